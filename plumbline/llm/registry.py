@@ -1,9 +1,10 @@
 """Queries of this subpackage and, where SQL can say them, their DuckDB SQL."""
 
-from . import mix, quality
+from . import mix, neardup, quality
 
 QUERIES = {
     "op3_mix": mix.op3_mix,
+    "op8_neardup": neardup.op8_neardup,
     "op9_quality": quality.op9_quality,
 }
 
