@@ -30,12 +30,11 @@ from pyspark.sql import functions as F
 
 from .common import fresh, saved, table
 from .hashing import PRIME, U, WordHashes, bitmap, in_bitmap, mixed, split_words, windows
-from .unionfind import components
+from .unionfind import components_of_buckets
 
 SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 20, 5
-LEADERS = 8
 
 
 def cells(hashes: np.ndarray, n: int = SHINGLE) -> np.ndarray:
@@ -121,42 +120,22 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sim
     """(id, class_id, n_shingles) per row of docs; class_id is the smallest id of the class."""
     sig = saved(signed(docs, id_col, text_col, bands, rows, n), "signatures")
     known = sig.where("id is not null and content is not null")
-    contents = saved(known.groupBy("content").agg(F.min("id").alias("node"), F.first("bands").alias("bands"), F.first("size").alias("size")), "contents")
-    keyed = contents.select(F.explode("bands").alias("key"), "node", "size")
+    contents = saved(known.groupBy("content").agg(F.min("id").alias("node"), F.first("bands").alias("bands")), "contents")
+    keyed = contents.select(F.explode("bands").alias("key"), "node")
     # a bucket's rows are kept if it has more than one node
     shared = keyed.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("key")
     members = saved(keyed.join(shared, "key"), "members")
     wanted = bitmap(members.select("node").distinct(), F.col("node"))
     raw = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text")).where("id is not null")
-    prints = raw.mapInArrow(_fingerprints(wanted, n), "node long, prints array<int>")
-    prints = saved(prints, "prints")
-    links = comp = None
-    turn = 0
-    while True:
-        turn += 1
-        if comp is not None:
-            members = members.drop("comp").join(comp.select("node", F.col("component").alias("comp")), "node", "left")
-        else:
-            members = members.withColumn("comp", F.lit(None).cast("long"))
-        members = members.withColumn("comp", F.coalesce("comp", "node"))
-        rank = F.struct(F.xxhash64("node").alias("h"), F.col("node").alias("leader"), F.col("comp").alias("leader_comp"), F.col("size").alias("leader_size"))
-        slots = 1 if turn == 1 else LEADERS
-        slot = F.pmod(F.xxhash64("comp", F.lit(turn)), F.lit(slots))
-        tops = members.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), *[F.min(F.when(slot == i, rank)).alias(f"s{i}") for i in range(slots)])
-        tops = tops.where("low < high").select("key", F.explode(F.filter(F.array(*[f"s{i}" for i in range(slots)]), lambda x: x.isNotNull())).alias("s")).select("key", "s.leader", "s.leader_comp", "s.leader_size")
-        led = saved(members.join(tops, "key"), "led")
-        if led.isEmpty():
-            break
-        pairs = led.where("comp <> leader_comp").where(F.least("size", "leader_size") >= similarity * F.greatest("size", "leader_size"))
-        pairs = pairs.select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct()
-        pa_, pb = prints.select(F.col("node").alias("a"), F.col("prints").alias("pa")), prints.select(F.col("node").alias("b"), F.col("prints").alias("pb"))
+    prints = saved(raw.mapInArrow(_fingerprints(wanted, n), "node long, prints array<int>"), "prints")
+
+    def alike(pairs: DataFrame) -> DataFrame:
+        pairs = pairs.join(prints.select(F.col("node").alias("a"), F.col("prints").alias("pa")), "a").join(prints.select(F.col("node").alias("b"), F.col("prints").alias("pb")), "b")
         common = F.size(F.array_intersect("pa", "pb"))
-        alike = pairs.join(pa_, "a").join(pb, "b").withColumn("common", common).where(F.col("common") >= similarity * (F.size("pa") + F.size("pb") - F.col("common")))
-        found = saved(alike.select("a", "b").distinct(), "links")
-        links = found if links is None else links.unionByName(found)
-        comp = saved(components(links), "components")
-        # leaders are done in their buckets
-        members = led.groupBy("key", "node").agg(F.first("size").alias("size"), F.max(F.col("node") == F.col("leader")).alias("leads")).where("not leads").select("key", "node", "size")
+        return pairs.where(F.least(F.size("pa"), F.size("pb")) >= similarity * F.greatest(F.size("pa"), F.size("pb"))).withColumn("common", common) \
+            .where(F.col("common") >= similarity * (F.size("pa") + F.size("pb") - F.col("common")))
+
+    comp = components_of_buckets(members, alike)
     root = contents.select("content", "node")
     if comp is not None:
         root = root.join(comp, "node", "left").select("content", F.coalesce("component", "node").alias("root"))

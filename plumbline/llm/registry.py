@@ -1,8 +1,9 @@
 """Queries of this subpackage and, where SQL can say them, their DuckDB SQL."""
 
-from . import mix, neardup, quality
+from . import linededup, mix, neardup, quality
 
 QUERIES = {
+    "op1_linededup": linededup.op1_linededup,
     "op3_mix": mix.op3_mix,
     "op8_neardup": neardup.op8_neardup,
     "op9_quality": quality.op9_quality,

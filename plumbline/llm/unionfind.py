@@ -26,3 +26,37 @@ def components(edges: DataFrame) -> DataFrame:
         if e.join(e.select(F.col("u").alias("v")).distinct(), "v", "left_semi").isEmpty() and e.groupBy("u").count().where("count > 1").isEmpty():
             break
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+
+
+def components_of_buckets(members: DataFrame, verified, leaders: int = 8) -> DataFrame | None:
+    """(node, component) of the nodes that have links, from members(key, node); None
+    if there are none.
+
+    verified(pairs(a, b)) gives the pairs that are links. In each round members of a
+    bucket lead (one in the first round, then up to `leaders`, of different components
+    where there are several) and are paired with the members outside their component;
+    then they are done there. A bucket ends once it lies in one component or all its
+    pairs have been compared or are joined already, so a bucket of n copies makes n
+    pairs and still no link in it is lost."""
+    links = comp = None
+    turn = 0
+    while True:
+        turn += 1
+        if comp is None:
+            now = members.withColumn("comp", F.col("node"))
+        else:
+            now = members.join(comp.select("node", F.col("component").alias("comp")), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+        rank = F.struct(F.xxhash64("node").alias("h"), F.col("node").alias("leader"), F.col("comp").alias("leader_comp"))
+        slots = 1 if turn == 1 else leaders
+        slot = F.pmod(F.xxhash64("comp", F.lit(turn)), F.lit(slots))
+        tops = now.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), *[F.min(F.when(slot == i, rank)).alias(f"s{i}") for i in range(slots)])
+        tops = tops.where("low < high").select("key", F.explode(F.filter(F.array(*[f"s{i}" for i in range(slots)]), lambda x: x.isNotNull())).alias("s")).select("key", "s.leader", "s.leader_comp")
+        led = saved(now.join(tops, "key"), "led")
+        if led.isEmpty():
+            return comp
+        pairs = led.where("comp <> leader_comp").select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct()
+        found = saved(verified(pairs).select("a", "b"), "links")
+        if not found.isEmpty():
+            links = found if links is None else links.unionByName(found)
+            comp = saved(components(links), "components")
+        members = led.groupBy("key", "node").agg(F.max((F.col("node") == F.col("leader")).cast("int")).alias("leads")).where("leads = 0").select("key", "node")
