@@ -1,9 +1,10 @@
 """Queries of this subpackage and, where SQL can say them, their DuckDB SQL."""
 
-from . import linededup, mix, neardup, quality
+from . import decontaminate, linededup, mix, neardup, quality
 
 QUERIES = {
     "op1_linededup": linededup.op1_linededup,
+    "op2_decontaminate": decontaminate.op2_decontaminate,
     "op3_mix": mix.op3_mix,
     "op8_neardup": neardup.op8_neardup,
     "op9_quality": quality.op9_quality,
