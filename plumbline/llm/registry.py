@@ -1,13 +1,15 @@
 """Queries of this subpackage and, where SQL can say them, their DuckDB SQL."""
 
-from . import decontaminate, linededup, mix, neardup, quality
+from . import decontaminate, linededup, mix, neardup, quality, substrings, tokencount
 
 QUERIES = {
     "op1_linededup": linededup.op1_linededup,
     "op2_decontaminate": decontaminate.op2_decontaminate,
     "op3_mix": mix.op3_mix,
+    "op4_substrings": substrings.op4_substrings,
     "op8_neardup": neardup.op8_neardup,
     "op9_quality": quality.op9_quality,
+    "op10_tokencount": tokencount.op10_tokencount,
 }
 
 ORACLE_SQL: dict[str, str] = {}
