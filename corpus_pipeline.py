@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from plumbline.llm import decontaminate, linededup, mix, neardup, quality
-from plumbline.llm.common import saved, table
+from plumbline.llm.common import fresh, saved, table
 
 #: Shingles, union-find and tilted rates are beyond SQL; the tests compare brute force.
 ORACLE_SQL = None
@@ -22,9 +22,11 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that are near copies of an earlier line go; n_chars follows the text."""
-    out = linededup.dedup_lines(docs).select(*docs.columns)
-    return out.selectExpr(*[f"cast(length(text) as {dict(docs.dtypes)[c]}) as n_chars" if c == "n_chars" else f"`{c}`" for c in docs.columns])
+    """Lines that are near copies of an earlier line go, and documents of which no line
+    is left; n_chars follows the text."""
+    count, gone = fresh(docs, "n_lines", "n_removed")
+    out = linededup.dedup_lines(docs)
+    return out.where(f"{gone} = 0 or {gone} < {count}").selectExpr(*[f"cast(length(text) as {dict(docs.dtypes)[c]}) as n_chars" if c == "n_chars" else f"`{c}`" for c in docs.columns])
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
