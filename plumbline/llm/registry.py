@@ -1,12 +1,13 @@
 """Queries of this subpackage and, where SQL can say them, their DuckDB SQL."""
 
-from . import chat, decontaminate, linededup, mix, neardup, quality, substrings, tokencount, warc
+from . import chat, contextmix, decontaminate, linededup, mix, neardup, quality, substrings, tokencount, warc
 
 QUERIES = {
     "op1_linededup": linededup.op1_linededup,
     "op2_decontaminate": decontaminate.op2_decontaminate,
     "op3_mix": mix.op3_mix,
     "op4_substrings": substrings.op4_substrings,
+    "op5_contextmix": contextmix.op5_contextmix,
     "op6_warc": warc.op6_warc,
     "op7_chat": chat.op7_chat,
     "op8_neardup": neardup.op8_neardup,
