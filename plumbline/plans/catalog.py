@@ -1,4 +1,6 @@
 """Every query of the library with the DuckDB SQL that gives the same rows."""
 
-QUERIES = {}
-ORACLE_SQL = {}
+from . import shape, sync
+
+QUERIES = sync.QUERIES | shape.QUERIES
+ORACLE_SQL = sync.ORACLE_SQL | shape.ORACLE_SQL
