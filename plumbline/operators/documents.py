@@ -12,11 +12,13 @@ def xml_nodes(df: DataFrame, key: str, xml: str, schema: str) -> DataFrame:
     """(key, path, ordinal, value) of the declared elements of an XML column. Elements that
     repeat are numbered from 1; absent ones have no row."""
     parsed = df.select(F.col(key), F.from_xml(xml, schema).alias("x"))
-    cells = []
-    for f in parsed.schema["x"].dataType.fields:
+
+    def cells_of(f):
         v = F.col(f"x.{f.name}")
         values = F.transform(v, lambda e: e.cast("string")) if f.dataType.typeName() == "array" else F.array(v.cast("string"))
-        cells.append(F.transform(values, lambda e, i, n=f.name: F.struct(F.lit(n).alias("path"), (i + 1).cast("int").alias("ordinal"), e.alias("value"))))
+        return F.transform(values, lambda e, i: F.struct(F.lit(f.name).alias("path"), (i + 1).cast("int").alias("ordinal"), e.alias("value")))
+
+    cells = [cells_of(f) for f in parsed.schema["x"].dataType.fields]
     return parsed.select(key, F.inline(F.filter(F.flatten(F.array(*cells)), lambda e: e["value"].isNotNull())))
 
 

@@ -53,16 +53,15 @@ def geo_join(df: DataFrame, name: str) -> DataFrame:
 COLUMN = "struct<Name:string,DataType:string,Nullable:boolean,Default:string,CheckExpression:string,ComputedExpression:string,Persisted:boolean,Sparse:boolean,Collation:string,DataMaskFunction:string,OldName:string>"
 INDEX = "struct<Name:string,IndexColumns:string,IncludeColumns:string,FilterExpression:string,Unique:boolean,PrimaryKey:boolean,UniqueConstraint:boolean,Clustered:boolean,ColumnStore:boolean,FillFactor:int,CompressionType:string>"
 FOREIGN_KEY = "struct<Name:string,Columns:string,RelatedTableSchema:string,RelatedTable:string,RelatedColumns:string,DeleteAction:string,UpdateAction:string>"
-DEFINITION = (f"struct<Schema:string,Name:string,OldName:string,CompressionType:string,IsTemporal:boolean,Columns:array<{COLUMN}>,Indexes:array<{INDEX}>,"
-              "XmlIndexes:array<struct<Name:string,Column:string,IsPrimary:boolean,PrimaryIndex:string,SecondaryIndexType:string>>,"
-              f"ForeignKeys:array<{FOREIGN_KEY}>,CheckConstraints:array<struct<Name:string,Expression:string>>,"
-              "Statistics:array<struct<Name:string,Columns:string,SampleSize:int,FilterExpression:string>>,FullTextIndex:struct<FullTextCatalog:string,KeyIndex:string,ChangeTracking:string,StopList:string,Columns:string>>")
+DEFINITION = ("Schema string, Name string, OldName string, CompressionType string, IsTemporal boolean, "
+              f"Columns array<{COLUMN}>, Indexes array<{INDEX}>, XmlIndexes array<struct<Name:string,Column:string,IsPrimary:boolean,PrimaryIndex:string,SecondaryIndexType:string>>, "
+              f"ForeignKeys array<{FOREIGN_KEY}>, CheckConstraints array<struct<Name:string,Expression:string>>, "
+              "Statistics array<struct<Name:string,Columns:string,SampleSize:int,FilterExpression:string>>, FullTextIndex struct<FullTextCatalog:string,KeyIndex:string,ChangeTracking:string,StopList:string,Columns:string>")
 
 
 def read_definitions(spark: SparkSession, path: str) -> DataFrame:
     """All table definitions under a folder; tables without columns are no tables."""
-    schema = T._parse_datatype_string(DEFINITION)
-    defs = spark.read.schema(schema).option("multiLine", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").json(path)
+    defs = spark.read.schema(DEFINITION).option("multiLine", True).option("recursiveFileLookup", True).json(path)
     return defs.withColumn("Schema", F.coalesce("Schema", F.lit("dbo"))).withColumn("CompressionType", F.coalesce("CompressionType", F.lit("NONE"))).where(F.size("Columns") > 0)
 
 
