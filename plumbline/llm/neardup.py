@@ -8,12 +8,14 @@ Two documents agree in a coordinate with the probability of their weighted
 Jaccard similarity. Darts are thrown only up to the time by which all coordinates
 are expected to be hit, k (ln k + 4) of them however large the document.
 
-Bands of the signature are joined. Texts with equal shingles are one node. In each
-round one member of a band bucket leads (a few per bucket from the second round
-on) and is compared, exactly and on all shingles, with the members that are not
-in its component yet; a leader is then done in that bucket. Rounds end when every
-bucket lies in one component or has been compared through, so no link that any
-bucket holds is lost, while a bucket of n copies costs n comparisons, not n * n.
+Bands of the signature are joined. Texts with equal shingles are one node. Small
+band buckets are compared pair by pair, exactly and on all shingles. In large ones
+the best connected member leads and is compared with the others; then those whose
+counts of shared shingles rule out any link leave, and the rest are compared with the
+fellows they may still be linked to. So no link that any bucket holds is lost, while a
+bucket of n copies costs n comparisons, not n * n. Pairs whose signatures agree so
+little that a similarity of 0.8 is out of reach (four standard deviations) are not
+compared in full.
 
 Texts of one to four words have one shingle, the whole text. Null, empty and blank
 texts have none: each is a class of its own. Rows that share a doc_id share a
@@ -30,11 +32,13 @@ from pyspark.sql import functions as F
 
 from .common import fresh, saved, table
 from .hashing import PRIME, U, WordHashes, bitmap, in_bitmap, mixed, split_words, windows
-from .unionfind import components_of_buckets
+from .unionfind import components_of_buckets, sketch_filter
 
 SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 20, 5
+#: Cells that are signed at a time.
+CELLS = 100_000
 
 
 def cells(hashes: np.ndarray, n: int = SHINGLE) -> np.ndarray:
@@ -48,30 +52,37 @@ def cells(hashes: np.ndarray, n: int = SHINGLE) -> np.ndarray:
     return mixed(s + (at - np.maximum.accumulate(np.where(first, at, 0))).astype(U) * U(PRIME))
 
 
-def signature(cell: np.ndarray, k: int) -> np.ndarray:
-    """The id of the earliest dart at each of k coordinates."""
-    until = (np.log(k) + 4) / len(cell)
-    while True:
-        left, when, n = cell, np.zeros(len(cell)), 0
-        ids, times = [], []
+def signatures(cell: np.ndarray, sizes: np.ndarray, k: int) -> np.ndarray:
+    """The ids of the earliest darts at k coordinates, one row per document; cell holds
+    the documents' cells one after another, sizes (above 0) how many each has."""
+    out = np.zeros((len(sizes), k), dtype=U)
+    todo = np.arange(len(sizes))
+    until = (np.log(k) + 4) / sizes
+    while len(todo):
+        owner = np.repeat(np.arange(len(todo)), sizes[todo])
+        left = cell if len(todo) == len(sizes) else cell[np.repeat(np.isin(np.arange(len(sizes)), todo), sizes)]
+        when, n = np.zeros(len(left)), 0
+        darts, times, places = [], [], []
         while len(left):
             n += 1
             dart = mixed(left + U(n * PRIME % (1 << 64)))
             when = when - np.log(((dart >> U(11)).astype(np.float64) + 0.5) * 2.0**-53) / k
-            go = when < until
-            left, when, dart = left[go], when[go], dart[go]
-            ids.append(dart)
+            go = np.flatnonzero(when < until[todo[owner]])
+            left, when, dart, owner = left[go], when[go], dart[go], owner[go]
+            darts.append(dart)
             times.append(when)
-        ids, times = np.concatenate(ids), np.concatenate(times)
-        coordinate = (mixed(ids ^ U(PRIME)) % U(k)).astype(np.int64)
-        earliest = np.full(k, np.inf)
-        np.minimum.at(earliest, coordinate, times)
-        if np.isfinite(earliest).all():
-            won = times == earliest[coordinate]
-            out = np.zeros(k, dtype=U)
-            out[coordinate[won]] = ids[won]
-            return out
-        until *= 2
+            places.append(owner * k + (mixed(dart ^ U(PRIME)) % U(k)).astype(np.int64))
+        darts, times, places = np.concatenate(darts), np.concatenate(times), np.concatenate(places)
+        earliest = np.full(len(todo) * k, np.inf)
+        np.minimum.at(earliest, places, times)
+        won = times == earliest[places]
+        ids = np.zeros(len(todo) * k, dtype=U)
+        ids[places[won]] = darts[won]
+        full = np.isfinite(earliest).reshape(len(todo), k).all(axis=1)
+        out[todo[full]] = ids.reshape(len(todo), k)[full]
+        todo = todo[~full]
+        until = until * 2
+    return out
 
 
 def _sign(bands: int, rows: int, n: int):
@@ -79,20 +90,26 @@ def _sign(bands: int, rows: int, n: int):
         known = WordHashes()
         salt = mixed(np.arange(1, bands + 1, dtype=U) * U(PRIME))
         for batch in batches:
-            sizes, contents, keys = [], [], []
-            for text in batch.column(1).to_pylist():
-                c = cells(known.of(split_words(text)), n)
-                sizes.append(len(c))
-                if not len(c):
-                    contents.append(None)
-                    keys.append(None)
-                    continue
-                contents.append(xxhash.xxh3_128_digest(c.tobytes()))
-                sig, key = signature(c, bands * rows).reshape(bands, rows), salt
-                for j in range(rows):
-                    key = mixed(key * U(PRIME) + sig[:, j])
-                keys.append(key.view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(contents, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], ["id", "size", "content", "bands"])
+            texts = batch.column(1).to_pylist()
+            at = 0
+            while at < len(texts):
+                start, made, total = at, [], 0
+                while at < len(texts) and total < CELLS:
+                    made.append(cells(known.of(split_words(texts[at])), n))
+                    total += len(made[-1])
+                    at += 1
+                sizes = np.array([len(c) for c in made])
+                has = np.flatnonzero(sizes)
+                keys = np.broadcast_to(salt, (len(has), bands)).copy()
+                sig = np.empty((0, 1, 1), dtype=U)
+                if len(has):
+                    sig = signatures(np.concatenate(made), sizes[has], bands * rows).reshape(len(has), bands, rows)
+                    for j in range(rows):
+                        keys = mixed(keys * U(PRIME) + sig[:, :, j])
+                listed = iter(keys.view(np.int64))
+                sketch = iter((sig.reshape(len(has), -1) >> U(24)).astype(np.uint8))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, at - start), pa.array(sizes, pa.int64()), pa.array([xxhash.xxh3_128_digest(c.tobytes()) if len(c) else None for c in made], pa.binary()),
+                                                  pa.array([next(listed) if m else None for m in sizes], pa.list_(pa.int64())), pa.array([next(sketch).tobytes() if m else None for m in sizes], pa.binary())], ["id", "size", "content", "bands", "sketch"])
 
     return run
 
@@ -113,14 +130,14 @@ def _fingerprints(wanted: np.ndarray, n: int):
 
 def signed(docs: DataFrame, id_col: str, text_col: str, bands: int = BANDS, rows: int = ROWS, n: int = SHINGLE) -> DataFrame:
     raw = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text"))
-    return raw.mapInArrow(_sign(bands, rows, n), "id long, size long, content binary, bands array<long>")
+    return raw.mapInArrow(_sign(bands, rows, n), "id long, size long, content binary, bands array<long>, sketch binary")
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, n: int = SHINGLE) -> DataFrame:
     """(id, class_id, n_shingles) per row of docs; class_id is the smallest id of the class."""
     sig = saved(signed(docs, id_col, text_col, bands, rows, n), "signatures")
     known = sig.where("id is not null and content is not null")
-    contents = saved(known.groupBy("content").agg(F.min("id").alias("node"), F.first("bands").alias("bands")), "contents")
+    contents = saved(known.groupBy("content").agg(F.min("id").alias("node"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")), "contents")
     keyed = contents.select(F.explode("bands").alias("key"), "node")
     # a bucket's rows are kept if it has more than one node
     shared = keyed.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("key")
@@ -128,14 +145,26 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sim
     wanted = bitmap(members.select("node").distinct(), F.col("node"))
     raw = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text")).where("id is not null")
     prints = saved(raw.mapInArrow(_fingerprints(wanted, n), "node long, prints array<int>"), "prints")
-
-    def alike(pairs: DataFrame) -> DataFrame:
-        pairs = pairs.join(prints.select(F.col("node").alias("a"), F.col("prints").alias("pa")), "a").join(prints.select(F.col("node").alias("b"), F.col("prints").alias("pb")), "b")
-        common = F.size(F.array_intersect("pa", "pb"))
-        return pairs.where(F.least(F.size("pa"), F.size("pb")) >= similarity * F.greatest(F.size("pa"), F.size("pb"))).withColumn("common", common) \
-            .where(F.col("common") >= similarity * (F.size("pa") + F.size("pb") - F.col("common")))
-
-    comp = components_of_buckets(members, alike)
+    sketches = contents.join(members.select("node").distinct(), "node", "left_semi").select("node", "sketch")
+    sketches = saved(sketches, "sketches")
+
+    def sides(pairs: DataFrame, of: DataFrame, name: str) -> DataFrame:
+        pairs = pairs.join(of.select(F.col("node").alias("a"), F.col(name).alias("pa")), "a")
+        return pairs.join(of.select(F.col("node").alias("b"), F.col(name).alias("pb")), "b")
+
+    def measured(pairs: DataFrame, every: bool) -> DataFrame:
+        if not every:
+            pairs = sides(pairs, sketches, "sketch").select("a", "b", "pa", "pb").mapInArrow(sketch_filter(similarity), "a long, b long")
+        both = sides(pairs, prints, "prints")
+        return both.select("a", "b", F.size(F.array_intersect("pa", "pb")).alias("common"), F.size("pa").alias("na"), F.size("pb").alias("nb"))
+
+    def shared_cells(nodes: DataFrame) -> DataFrame:
+        """How many of a node's cells some other of the nodes has too."""
+        cell = prints.join(nodes, "node", "left_semi").select("node", F.explode("prints").alias("cell"))
+        several = cell.groupBy("cell").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("cell")
+        return cell.join(several, "cell").groupBy("node").agg(F.count("*").alias("c"))
+
+    comp = components_of_buckets(members, measured, similarity, shared_cells)
     root = contents.select("content", "node")
     if comp is not None:
         root = root.join(comp, "node", "left").select("content", F.coalesce("component", "node").alias("root"))

@@ -5,6 +5,8 @@ written to the shared folder, so a lost executor costs one round at most."""
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,35 +30,117 @@ def components(edges: DataFrame) -> DataFrame:
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 
 
-def components_of_buckets(members: DataFrame, verified, leaders: int = 8) -> DataFrame | None:
-    """(node, component) of the nodes that have links, from members(key, node); None
-    if there are none.
+def _joined(comp: DataFrame | None, links: DataFrame) -> DataFrame:
+    """comp after further links: their components are found among components only."""
+    if comp is None:
+        return components(links)
+    of = comp.withColumnRenamed("component", "c")
+    for side in ("a", "b"):
+        links = links.join(of.withColumnRenamed("node", side), side, "left").withColumn(side, F.coalesce("c", side)).drop("c")
+    moved = saved(components(links), "moved")
+    kept = comp.join(moved.select(F.col("node").alias("component"), F.col("component").alias("to")), "component", "left").select("node", F.coalesce("to", "component").alias("component"))
+    return kept.unionByName(moved.join(comp.select("node"), "node", "left_anti"))
 
-    verified(pairs(a, b)) gives the pairs that are links. In each round members of a
-    bucket lead (one in the first round, then up to `leaders`, of different components
-    where there are several) and are paired with the members outside their component;
-    then they are done there. A bucket ends once it lies in one component or all its
-    pairs have been compared or are joined already, so a bucket of n copies makes n
-    pairs and still no link in it is lost."""
-    links = comp = None
-    turn = 0
-    while True:
-        turn += 1
+
+FEW = 8
+
+
+def sketch_filter(similarity: float):
+    """Of (a, b, pa, pb), the sketches having a byte per signature coordinate, the pairs
+    (a, b) that agree in as many as a similarity this high gives but for four standard
+    deviations."""
+    def run(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            p, q = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for i in (2, 3))
+            k = p.shape[1]
+            least = similarity - 4 * (similarity * (1 - similarity) / k) ** 0.5
+            yes = pa.array((p == q).mean(axis=1) >= least)
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(yes), batch.column(1).filter(yes)], ["a", "b"])
+
+    return run
+
+
+def _pairs_of_few(members: DataFrame) -> DataFrame:
+    """All pairs of buckets with at most FEW members, each list being that short."""
+    few = members.where(F.col("n") <= FEW).groupBy("key").agg(F.sort_array(F.collect_set("node")).alias("l"))
+    a = few.select("l", F.posexplode("l").alias("i", "a"))
+    return a.select("a", F.explode(F.slice("l", F.col("i") + 2, FEW)).alias("b"))
+
+
+def components_of_buckets(members: DataFrame, measured, similarity: float, shared=None, leaders: int = 8) -> DataFrame | None:
+    """(node, component) of the nodes that have links, from distinct members(key, node);
+    None if there are no links.
+
+    measured(pairs(a, b), a < b, every) gives (a, b, common, na, nb): how much two nodes
+    have in common and their sizes. Without `every` it may leave out pairs that a sketch
+    rules out. A link is a pair of Jaccard similarity `similarity` or more.
+
+    Buckets of at most FEW members are compared pair by pair. In a larger one the member
+    with most fellows leads and is measured against the others. Whoever is not joined to
+    the leader by then may still have a link to a fellow, but only if what both share
+    with the leader, and the lesser of what they have besides, suffice for it; besides
+    counts only what some other node has too, where shared(nodes) gives (node, c), the
+    part of a node that others have. The few that pass lead in turn, at most `leaders`
+    times the first round's members being paired in a round, until none is left. So a
+    group of n copies makes about n pairs, and no link in a bucket is lost."""
+    t = similarity / (1 + similarity)
+
+    def links_of(m: DataFrame) -> DataFrame:
+        return m.where(F.col("common") >= t * (F.col("na") + F.col("nb"))).select("a", "b")
+
+    def ordered(x, y) -> list:
+        return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
+
+    counted = members.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    members = saved(members.join(counted, "key"), "members")
+    links = saved(links_of(measured(_pairs_of_few(members).distinct(), False)), "links")
+    large = members.where(F.col("n") > FEW)
+    degree = large.groupBy("node").agg(F.sum("n").alias("degree"))
+    large = saved(large.join(degree, "node").select("key", "node", "degree"), "large")
+    if large.isEmpty():
+        return None if links.isEmpty() else saved(components(links), "components")
+    first = large.groupBy("key").agg(F.max(F.struct("degree", "node")).alias("top")).select("key", F.col("top.node").alias("leader"))
+    led = saved(large.join(first, "key").where("node <> leader").select("node", "leader").distinct(), "led")
+    m = saved(measured(led.select(*ordered("node", "leader")).distinct(), True), "measured")
+    links = links.unionByName(links_of(m))
+    comp = None if links.isEmpty() else saved(components(links), "components")
+
+    def with_comp(df: DataFrame, node: str, name: str) -> DataFrame:
         if comp is None:
-            now = members.withColumn("comp", F.col("node"))
-        else:
-            now = members.join(comp.select("node", F.col("component").alias("comp")), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-        rank = F.struct(F.xxhash64("node").alias("h"), F.col("node").alias("leader"), F.col("comp").alias("leader_comp"))
-        slots = 1 if turn == 1 else leaders
-        slot = F.pmod(F.xxhash64("comp", F.lit(turn)), F.lit(slots))
-        tops = now.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), *[F.min(F.when(slot == i, rank)).alias(f"s{i}") for i in range(slots)])
-        tops = tops.where("low < high").select("key", F.explode(F.filter(F.array(*[f"s{i}" for i in range(slots)]), lambda x: x.isNotNull())).alias("s")).select("key", "s.leader", "s.leader_comp")
-        led = saved(now.join(tops, "key"), "led")
-        if led.isEmpty():
+            return df.withColumn(name, F.col(node))
+        return df.join(comp.select(F.col("node").alias(node), F.col("component").alias(name)), node, "left").withColumn(name, F.coalesce(name, node))
+
+    of = m.select(F.col("a").alias("node"), F.col("b").alias("leader"), "common", F.col("na").alias("size"), F.col("nb").alias("leader_size"))
+    of = of.unionByName(m.select(F.col("b").alias("node"), F.col("a").alias("leader"), "common", F.col("nb").alias("size"), F.col("na").alias("leader_size")))
+    rest = led.join(of, ["node", "leader"])
+    besides = F.col("size") - F.col("common")
+    if shared is not None:
+        rest = rest.join(shared(led.select("node").distinct()), "node", "left")
+        besides = F.least(besides, F.greatest(F.coalesce("c", "size") - F.col("common"), F.lit(0)))
+    rest = saved(rest.select("leader", "node", "common", "size", besides.alias("besides")), "rest")
+    # a fellow is as small as the group's smallest, and has besides what the most has
+    best = rest.groupBy("leader").agg(F.min("size").alias("smallest"), F.max("besides").alias("most"))
+    open_ = rest.join(best, "leader").where(F.col("common") + F.least("besides", "most") >= t * (F.col("size") + F.col("smallest"))).select(*rest.columns)
+    rest = saved(open_, "open")
+    most = rest.count()
+    tried = None
+    while True:
+        now = saved(with_comp(with_comp(rest, "node", "comp"), "leader", "group_comp"), "now")
+        minor = now.where("comp <> group_comp")
+        if tried is not None:
+            minor = minor.join(tried, ["leader", "node"], "left_anti")
+        minor = saved(minor, "minor")
+        left = minor.count()
+        if not left:
             return comp
-        pairs = led.where("comp <> leader_comp").select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct()
-        found = saved(verified(pairs).select("a", "b"), "links")
+        slot = F.pmod(F.xxhash64("node"), F.lit(max(1, leaders * max(1, most // left))))
+        tops = saved(minor.groupBy("leader", slot.alias("slot")).agg(F.max(F.struct("besides", "node", "common", "size", "comp")).alias("s")).select("leader", F.col("s.node").alias("top"), F.col("s.common").alias("top_common"), F.col("s.size").alias("top_size"), F.col("s.besides").alias("top_besides"), F.col("s.comp").alias("top_comp")), "tops")
+        enough = (F.least("common", "top_common") + F.least("besides", "top_besides") >= t * (F.col("size") + F.col("top_size"))) & (F.col("comp") != F.col("top_comp"))
+        pairs = now.alias("n").join(tops.alias("t"), (F.col("n.leader") == F.col("t.leader")) & enough).select(*ordered("n.node", "t.top")).distinct()
+        found = saved(links_of(measured(pairs, False)), "links")
         if not found.isEmpty():
-            links = found if links is None else links.unionByName(found)
-            comp = saved(components(links), "components")
-        members = led.groupBy("key", "node").agg(F.max((F.col("node") == F.col("leader")).cast("int")).alias("leads")).where("leads = 0").select("key", "node")
+            comp = saved(_joined(comp, found), "components")
+        done = tops.select("leader", F.col("top").alias("node"))
+        tried = done if tried is None else tried.unionByName(done)
