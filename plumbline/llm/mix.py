@@ -71,6 +71,11 @@ def multipliers(sizes: DataFrame, goal: DataFrame, most: float = MOST, steps: in
         "source", "source_size", "target", F.greatest(F.col("source_size") / F.greatest(F.col("docs"), F.lit(1)), F.lit(1.0)).cast("double").alias("scale"),
         F.when(~full, F.lit(0.0)).alias("multiplier"), F.lit(None).cast("double").alias("low"), F.lit(None).cast("double").alias("high"), full.alias("done"))
     state = saved(state, "dual")
+
+    def exact(terms: Column) -> Column:
+        """A sum that is the same in any order of rows, so that reruns agree."""
+        return F.sum(terms.cast("decimal(38,9)")).cast("double")
+
     for _ in range(steps):
         if state.where(~F.col("done")).isEmpty():
             break
@@ -78,8 +83,8 @@ def multipliers(sizes: DataFrame, goal: DataFrame, most: float = MOST, steps: in
         x = F.col("h.size").cast("double")
         r = rate(x, F.col("s.multiplier"), F.col("s.scale"), most)
         sums = h.groupBy(F.col("s.source").alias("source")).agg(
-            F.sum(F.col("h.docs") * x * r).alias("words"),
-            F.sum(F.col("h.docs") * x * x / F.col("s.scale") * r * (1 - r / most)).alias("slope"))
+            exact(F.col("h.docs") * x * r).alias("words"),
+            exact(F.col("h.docs") * x * x / F.col("s.scale") * r * (1 - r / most)).alias("slope"))
         s = state.alias("s").join(sums.alias("g"), F.expr("s.source <=> g.source"), "left")
         at, gap = F.col("s.multiplier"), F.col("words") - F.col("s.target")
         low = F.when(gap <= 0, at).otherwise(F.col("s.low"))
