@@ -157,7 +157,7 @@ def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     if chars is None:
         return spark.createDataFrame([], "doc long, at int")
     index = FingerprintIndex(spark, max(partitions(spark), -(-chars // BUCKET_CHARS)), n, a)
-    edges = raw.approxQuantile("id", [i / batches for i in range(1, batches)], 0.005) if low < high else []
+    edges = raw.approxQuantile("id", [i / batches for i in range(1, batches)], 0.005) if batches > 1 and low < high else []
     cuts = [low, *sorted({int(x) + 1 for x in edges if low <= x < high}), high + 1]
     out = None
     for lo, hi in zip(cuts[:-1], cuts[1:]):
