@@ -112,4 +112,4 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     rates = small(host_rates(marked, "source", F.col(name)["base_failed"]))
     out = marked.join(rates, marked["source"].eqNullSafe(rates["host"]), "left")
     q = F.col(name)
-    return out.select("doc_id", *[q[c].alias(c) for c in MEASURES], q["base_failed"].alias("base_failed"), (~q["base_failed"] & ~F.col("rejected")).alias("kept"), F.col("rate").alias("host_rate"))
+    return out.select("doc_id", *[q[c].alias(c) for c in MEASURES], q["base_failed"].alias("base_failed"), (~q["base_failed"] & ~F.col("rejected")).alias("kept"), F.round("rate", 6).alias("host_rate"))

@@ -1,6 +1,6 @@
 """Queries of this subpackage and, where SQL can say them, their DuckDB SQL."""
 
-from . import chat, contextmix, decontaminate, linededup, mix, neardup, quality, substrings, tokencount, warc
+from . import chat, contextmix, decontaminate, linededup, mix, neardup, quality, sql, substrings, tokencount, warc
 
 QUERIES = {
     "op1_linededup": linededup.op1_linededup,
@@ -15,4 +15,4 @@ QUERIES = {
     "op10_tokencount": tokencount.op10_tokencount,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = sql.ORACLE_SQL
