@@ -6,8 +6,8 @@ characters get a one-permutation MinHash signature of their 8-character shingles
 (empty bins filled from the next bin), cut into 14 bands of 5 rows, which pairs
 lines of similarity 0.8 with a probability of 0.996. Band keys travel as packed
 8-byte values, once per task, only to find keys that two lines share; members of
-shared keys are then compared on all their shingles (exact Jaccard, 0.8 or more)
-and joined by distributed union-find. Of each component the first line by
+shared keys whose signatures do not rule it out are then compared on all their
+shingles (exact Jaccard, 0.8 or more) and joined by distributed union-find. Of each component the first line by
 (doc_id, line number) stays; the others go, in the same document too.
 
 Lines without a word stay as they are. Null text stays null, a null doc_id leaves
@@ -25,14 +25,14 @@ from pyspark.sql import functions as F
 
 from .common import fresh, partitions, saved, table
 from .hashing import PRIME, U, bitmap, in_bitmap, mixed
-from .unionfind import components_of_buckets
+from .unionfind import components_of_buckets, sketch_filter
 
 SHINGLE = 8
 SIMILARITY = 0.8
 BANDS, ROWS = 14, 5
 SHORTEST = 16
 #: Characters worked on at a time, and bytes of band keys a task gathers.
-CHUNK, GATHERED = 4_000_000, 64 << 20
+CHUNK, CHUNK_LINES, GATHERED = 4_000_000, 200_000, 64 << 20
 KEY_BITS = 1 << 25
 
 
@@ -51,17 +51,6 @@ def node(line: bytes) -> int:
     return xxhash.xxh3_64_intdigest(line) - (1 << 63)
 
 
-def _occurrences(batches):
-    for batch in batches:
-        ids, numbers, found = [], [], []
-        for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            at, lines = nodes_of(text or b"")
-            ids += [i] * len(at)
-            numbers += at
-            found += map(node, lines)
-        yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array(ids, pa.int64()), pa.array(numbers, pa.int32())], ["node", "id", "line"])
-
-
 def shingles(lines: list[str], n: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the n-character shingles of lines without line ends, and their lines."""
     text = np.frombuffer(("\n".join(lines) + "\n").encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
@@ -77,9 +66,9 @@ def shingles(lines: list[str], n: int = SHINGLE) -> tuple[np.ndarray, np.ndarray
     return mixed(h[inside]), owner[: len(text) - n + 1][inside]
 
 
-def band_keys(lines: list[str], bands: int = BANDS, rows: int = ROWS, n: int = SHINGLE) -> np.ndarray:
-    """Band keys, one row per line; each line has at least n characters."""
-    k, none = bands * rows, U(0xFFFFFFFFFFFFFFFF)
+def signatures(lines: list[str], k: int, n: int = SHINGLE) -> np.ndarray:
+    """One-permutation MinHash, one row per line; each line has at least n characters."""
+    none = U(0xFFFFFFFFFFFFFFFF)
     h, owner = shingles(lines, n)
     sig = np.full(len(lines) * k, none, dtype=U)
     np.minimum.at(sig, owner * k + ((h >> U(32)) * U(k) >> U(32)).astype(np.int64), h & U(0xFFFFFFFF))
@@ -92,27 +81,41 @@ def band_keys(lines: list[str], bands: int = BANDS, rows: int = ROWS, n: int = S
         part[fill] = right[fill] + U(0x100000001)
         sig[open_] = part
         open_ = open_[(part == none).any(axis=1)]
+    return sig
+
+
+def band_keys(lines: list[str], bands: int = BANDS, rows: int = ROWS, n: int = SHINGLE) -> np.ndarray:
     key = np.broadcast_to(mixed(np.arange(1, bands + 1, dtype=U) * U(PRIME)), (len(lines), bands)).copy()
-    sig = sig.reshape(len(lines), bands, rows)
+    sig = signatures(lines, bands * rows, n).reshape(len(lines), bands, rows)
     for j in range(rows):
         key = mixed(key * U(PRIME) + sig[:, :, j])
     return key
 
 
+PACKED = "node array<long>, id array<long>, line array<int>, nodes binary, keys binary"
+
+
 def _sign(shortest: int, bands: int, rows: int, n: int):
-    """Batches of (nodes, keys) as packed values, of the lines long enough."""
+    """One row per chunk of text: every line's node, document and number; and as packed
+    values the nodes and band keys of lines that are long enough, each once per task."""
     def run(batches):
         done: set[int] = set()
         for batch in batches:
-            ids, lines, chars = [], [], 0
+            found, owners, numbers, ids, lines, chars = [], [], [], [], [], 0
 
             def pack():
-                keys = band_keys(lines, bands, rows, n)
-                return pa.RecordBatch.from_arrays([pa.array([np.array(ids, np.int64).tobytes()], pa.binary()), pa.array([keys.tobytes()], pa.binary())], ["nodes", "keys"])
-
-            for text in batch.column(0).to_pylist():
-                for line in nodes_of(text or b"")[1]:
-                    if len(line) < shortest or (x := node(line)) in done:
+                keys = band_keys(lines, bands, rows, n) if lines else np.empty(0, U)
+                return pa.RecordBatch.from_arrays([pa.array([found], pa.list_(pa.int64())), pa.array([owners], pa.list_(pa.int64())), pa.array([numbers], pa.list_(pa.int32())),
+                                                   pa.array([np.array(ids, np.int64).tobytes()], pa.binary()), pa.array([keys.tobytes()], pa.binary())], ["node", "id", "line", "nodes", "keys"])
+
+            for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                at, here = nodes_of(text or b"")
+                numbers += at
+                owners += [i] * len(at)
+                for line in here:
+                    x = node(line)
+                    found.append(x)
+                    if len(line) < shortest or x in done:
                         continue
                     if len(done) > 2_000_000:
                         done.clear()
@@ -122,10 +125,10 @@ def _sign(shortest: int, bands: int, rows: int, n: int):
                         ids.append(x)
                         lines.append(s)
                         chars += len(s)
-                        if chars > CHUNK:
-                            yield pack()
-                            ids, lines, chars = [], [], 0
-            if lines:
+                if chars > CHUNK or len(found) > CHUNK_LINES:
+                    yield pack()
+                    found, owners, numbers, ids, lines, chars = [], [], [], [], [], 0
+            if found:
                 yield pack()
 
     return run
@@ -166,7 +169,8 @@ def _members(wanted: np.ndarray, bands: int):
     return run
 
 
-def _texts(wanted: np.ndarray):
+def _texts(wanted: np.ndarray, k: int, n: int):
+    """(node, text, sketch) of lines that may be wanted, each once per batch."""
     def run(batches):
         for batch in batches:
             every = {}
@@ -176,59 +180,71 @@ def _texts(wanted: np.ndarray):
             ids = np.fromiter(every, np.int64, len(every))
             yes = np.flatnonzero(in_bitmap(wanted, ids)) if len(ids) else ids
             lines = list(every.values())
-            yield pa.RecordBatch.from_arrays([pa.array(ids[yes], pa.int64()), pa.array([lines[i].decode("utf-8", "replace") for i in yes], pa.string())], ["node", "text"])
+            found = [(int(ids[i]), s) for i in yes if len(s := lines[i].decode("utf-8", "replace")) >= n]
+            sketch = [x.tobytes() for x in mixed(signatures([s for _, s in found], k, n)).astype(np.uint8)] if found else []
+            yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in found], pa.int64()), pa.array([s for _, s in found], pa.string()), pa.array(sketch, pa.binary())], ["node", "text", "sketch"])
 
     return run
 
 
-def _alike(similarity: float, n: int):
-    """Pairs (a, b, ta, tb) whose texts' shingle sets are similar enough."""
+def _measured(n: int):
+    """(a, b, common, na, nb) of pairs (a, b, pa, pb), by their texts' shingle sets."""
     def run(batches):
         def parts(s: str) -> set[str]:
             return {s[i : i + n] for i in range(len(s) - n + 1)}
 
         for batch in batches:
-            a, b = [], []
+            known: dict[int, set[str]] = {}
+            out = [], [], []
             for x, y, s, t in zip(*(c.to_pylist() for c in batch.columns)):
-                if min(len(s), len(t)) - n + 1 < similarity * 0.2 * max(len(s) - n + 1, len(t) - n + 1):
-                    continue
-                p, q = parts(s), parts(t)
-                both = len(p & q)
-                if both >= similarity * (len(p) + len(q) - both):
-                    a.append(x)
-                    b.append(y)
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+                p = known.get(x) or known.setdefault(x, parts(s))
+                q = known.get(y) or known.setdefault(y, parts(t))
+                if len(known) > 2000:
+                    known.clear()
+                for col, value in zip(out, (len(p & q), len(p), len(q))):
+                    col.append(value)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c, pa.int32()) for c in out)], ["a", "b", "common", "na", "nb"])
 
     return run
 
 
-def line_components(docs: DataFrame, text_col: str, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, n: int = SHINGLE, shortest: int = SHORTEST) -> DataFrame | None:
+def signed_lines(docs: DataFrame, id_col: str, text_col: str, bands: int = BANDS, rows: int = ROWS, n: int = SHINGLE, shortest: int = SHORTEST) -> DataFrame:
+    raw = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text")).where("id is not null and text is not null")
+    return saved(raw.mapInArrow(_sign(shortest, bands, rows, n), PACKED), "signed")
+
+
+def line_components(docs: DataFrame, signed: DataFrame, text_col: str, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, n: int = SHINGLE) -> DataFrame | None:
     """(node, component) of lines that have near copies, other than exact ones."""
     spark = docs.sparkSession
-    texts = docs.select(F.col(text_col).cast("binary").alias("text"))
-    signed = saved(texts.mapInArrow(_sign(shortest, bands, rows, n), "nodes binary, keys binary"), "signed")
+    signed = signed.select("nodes", "keys")
     volume = signed.agg(F.sum(F.length("keys"))).head()[0] or 0
     parts = max(partitions(spark), -(-volume // GATHERED))
     shared = signed.mapInArrow(_keys_out(4 * parts, bands), "bucket int, packed binary").repartition(parts, "bucket").mapInArrow(_shared, "key long")
     shared = saved(shared, "shared")
     found = signed.mapInArrow(_members(bitmap(shared, F.col("key"), KEY_BITS), bands), "key long, node long")
     members = saved(found.distinct().join(shared, "key"), "members")
-    lines = texts.mapInArrow(_texts(bitmap(members.select("node").distinct(), F.col("node"))), "node long, text string")
+    texts = docs.select(F.col(text_col).cast("binary").alias("text")).where("text is not null")
+    lines = texts.mapInArrow(_texts(bitmap(members.select("node").distinct(), F.col("node")), bands * rows, n), "node long, text string, sketch binary")
     lines = saved(lines.dropDuplicates(["node"]), "lines")
 
-    def verified(pairs: DataFrame) -> DataFrame:
-        pairs = pairs.join(lines.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a").join(lines.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b")
-        return pairs.select("a", "b", "ta", "tb").mapInArrow(_alike(similarity, n), "a long, b long")
+    def sides(pairs: DataFrame, name: str) -> DataFrame:
+        pairs = pairs.join(lines.select(F.col("node").alias("a"), F.col(name).alias("pa")), "a").join(lines.select(F.col("node").alias("b"), F.col(name).alias("pb")), "b")
+        return pairs.select("a", "b", "pa", "pb")
+
+    def measured(pairs: DataFrame, every: bool) -> DataFrame:
+        if not every:
+            pairs = sides(pairs, "sketch").mapInArrow(sketch_filter(similarity), "a long, b long")
+        return sides(pairs, "text").mapInArrow(_measured(n), "a long, b long, common int, na int, nb int")
 
-    return components_of_buckets(members, verified)
+    return components_of_buckets(members, measured, similarity)
 
 
-def removed_lines(docs: DataFrame, id_col: str, text_col: str, **options) -> DataFrame:
+def removed_lines(docs: DataFrame, id_col: str, text_col: str, similarity: float = SIMILARITY, **shape) -> DataFrame:
     """(id, gone): the numbers of the lines to remove, for documents that lose any."""
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text")).where("id is not null and text is not null")
-    lines = saved(texts.mapInArrow(_occurrences, "node long, id long, line int"), "occurrences")
+    signed = signed_lines(docs, id_col, text_col, **shape)
+    lines = signed.select(F.inline(F.arrays_zip("node", "id", "line")))
     first = saved(lines.groupBy("node").agg(F.min(F.struct("id", "line")).alias("first"), F.count("*").alias("n")), "first")
-    comp = line_components(docs.where(F.col(id_col).isNotNull()), text_col, **options)
+    comp = line_components(docs.where(F.col(id_col).isNotNull()), signed, text_col, similarity, shape.get("bands", BANDS), shape.get("rows", ROWS), shape.get("n", SHINGLE))
     own = first.where("n > 1").select("node", "first")
     if comp is not None:
         grouped = first.join(comp, "node")
