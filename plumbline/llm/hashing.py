@@ -52,21 +52,20 @@ BITMAP_BITS = 1 << 23
 
 
 def bitmap(df: DataFrame, key: Column, bits: int = BITMAP_BITS) -> np.ndarray:
-    """A bitmap of `bits` bits with that of every long key set. It is gathered as at
-    most bits / 32768 rows of 4 kB (1 MB), whatever the number of keys."""
-    place = F.pmod(key, F.lit(bits))
+    """A bitmap of `bits` bits, a power of two, with that of every long key set. It is
+    gathered as at most bits / 32768 rows of 4 kB (1 MB), whatever the number of keys."""
+    place = key.bitwiseAND(F.lit(bits - 1)) + 1
     rows = (df.select(F.bitmap_bucket_number(place).alias("bucket"), F.bitmap_bit_position(place).alias("at"))
             .groupBy("bucket").agg(F.bitmap_construct_agg("at").alias("bits")).collect())
     size = 32768 // 8
-    out = np.zeros((bits // 32768 + 2) * size, dtype=np.uint8)
+    out = np.zeros(bits // 8, dtype=np.uint8)
     for r in rows:
-        out[r["bucket"] * size : (r["bucket"] + 1) * size] = np.frombuffer(bytes(r["bits"]), dtype=np.uint8)
+        # places from 1 on have buckets from 1 on
+        out[(r["bucket"] - 1) * size : r["bucket"] * size] = np.frombuffer(bytes(r["bits"]), dtype=np.uint8)
     return out
 
 
 def in_bitmap(bits_set: np.ndarray, keys: np.ndarray, bits: int = BITMAP_BITS) -> np.ndarray:
-    """Which int64 keys may be in the bitmap. Bucket numbers count from 1 but for 0."""
-    place = keys.astype(np.int64) % bits
-    bucket = np.where(place > 0, 1 + (place - 1) // 32768, 0)
-    at = np.where(place > 0, (place - 1) % 32768, 0)
-    return (bits_set[bucket * 4096 + (at >> 3)] >> (at & 7).astype(np.uint8)) & 1 > 0
+    """Which int64 keys may be in the bitmap."""
+    k = keys.astype(np.int64, copy=False) & (bits - 1)
+    return (bits_set[k >> 3] >> (k & 7).astype(np.uint8)) & 1 > 0
