@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from .common import table
 
 LIMIT = 1024
-REMEMBERED = 300_000
+REMEMBERED = 600_000
 #: Bytes up to which the states of a piece's prefixes are remembered.
 KEPT_PREFIX = 64
 #: Fixed: Unicode white space, and the pattern by which such vocabularies split text.
@@ -46,6 +46,17 @@ def _letters() -> dict[str, int]:
     return {chr(b): b for b in own} | {chr(256 + i): b for i, b in enumerate(others)}
 
 
+class _Made(dict):
+    """A dict that makes what it lacks."""
+
+    def __init__(self, make):
+        self.make = make
+
+    def __missing__(self, key):
+        value = self[key] = self.make(key)
+        return value
+
+
 class PrefixCounter:
     """Prefix tables for the vocabulary in a tokenizer's .json file."""
 
@@ -65,7 +76,7 @@ class PrefixCounter:
         self.cut = regex.compile("|".join(map(regex.escape, sorted(self.specials, key=len, reverse=True)))) if self.specials else None
         self.pieces = regex.compile(PATTERN).findall
         self.blank = regex.compile(f"[{SPACE}]+").fullmatch
-        self.known: dict[str, bytes] = {}
+        self.known = _Made(self._table)
         #: (last token, count) of prefixes, which pieces share
         self.states: dict[bytes, tuple[bytes, int]] = {}
         self.blanks: set[str] = set()
@@ -135,13 +146,10 @@ class PrefixCounter:
             out[1] = 2
         return out
 
-    def table_of(self, text: str) -> bytes:
-        found = self.known.get(text)
-        if found is None:
-            found = self.known[text] = self.piece(text).tobytes()
-            if self.blank(text):
-                self.blanks.add(text)
-        return found
+    def _table(self, text: str) -> bytes:
+        if self.blank(text):
+            self.blanks.add(text)
+        return self.piece(text).tobytes()
 
     def _plain(self, text: str) -> np.ndarray:
         """The table of a text without special strings."""
@@ -151,7 +159,7 @@ class PrefixCounter:
         pieces = self.pieces(text)
         if not pieces:
             return np.empty(0, dtype=np.int64)
-        table_of = self.table_of
+        table_of = self.known.__getitem__
         every = np.frombuffer(b"".join([table_of(p) for p in pieces]), dtype=np.uint32)
         lengths = np.fromiter(map(len, pieces), dtype=np.int64, count=len(pieces))
         ends = np.cumsum(lengths)
@@ -163,7 +171,7 @@ class PrefixCounter:
         for i in [i for i, p in enumerate(pieces[:-1], 1) if p in blanks]:
             first = pieces[i][0]
             if self.blank(first):
-                whole = np.frombuffer(self.table_of(pieces[i - 1] + first), dtype=np.uint32)
+                whole = np.frombuffer(table_of(pieces[i - 1] + first), dtype=np.uint32)
                 out[ends[i] - lengths[i]] = before[i - 1] + whole[-1]
         return out
 
