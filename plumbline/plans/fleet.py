@@ -207,7 +207,7 @@ QUERIES = {f.__name__: f for f in (
     read_definitions, read_catalog, def_explode, normalize_names, normalize_exprs, normalize_column_list, type_string, new_tables, removed_objects, ownership_conflicts, renamed_tables, new_columns, renamed_columns,
     removed_columns, changed_columns, signature_drift, signature_renames, unknown_objects, clustered_conflicts, column_impact, drop_set, dependent_fks, storage_drift, catalog_to_defs, properties_map, untagged_objects)}
 
-_WITH = f"with lc as ({plain(LIVE_COLUMNS.replace('{{', '{').replace('}}', '}'))}), wc as ({plain(WANT_COLUMNS.replace('{{', '{').replace('}}', '}'))}), lt as ({plain(LIVE_TABLES)}), wt as ({plain(WANT_TABLES)}), lo as ({plain(LIVE_OBJECTS)}), wo as ({plain(WANT_OBJECTS)}), "
+_WITH = f"with lc as ({plain(LIVE_COLUMNS)}), wc as ({plain(WANT_COLUMNS)}), lt as ({plain(LIVE_TABLES)}), wt as ({plain(WANT_TABLES)}), lo as ({plain(LIVE_OBJECTS)}), wo as ({plain(WANT_OBJECTS)}), "
 _KEY = 'db as "database", sch as "schema", tab as "table"'
 
 
