@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from .common import fresh, partitions, saved, table
 from .hashing import PRIME, U, bitmap, in_bitmap, mixed
-from .unionfind import components_of_buckets, sketch_filter
+from .unionfind import components_of_buckets, shared_cells, sketch_filter
 
 SHINGLE = 8
 SIMILARITY = 0.8
@@ -60,9 +60,13 @@ def shingles(lines: list[str], n: int = SHINGLE) -> tuple[np.ndarray, np.ndarray
     owner = np.cumsum(ends) - ends
     inside = owner[: len(text) - n + 1] == owner[n - 1 :]
     inside &= ~ends[n - 1 :]
-    h, p, wide = np.zeros(len(text) - n + 1, dtype=U), U(PRIME), text.astype(U)
-    for k in range(n):
-        h = h * p + wide[k : len(text) - n + 1 + k]
+    # hashes of runs of twice the length from those of the two halves, then the rest
+    h, p, length = text.astype(U), PRIME, 1
+    while 2 * length <= n:
+        h = h[:-length] * U(p) + h[length:]
+        length, p = 2 * length, p * p % (1 << 64)
+    for k in range(length, n):
+        h = h[:-1] * U(PRIME) + text[k:].astype(U)
     return mixed(h[inside]), owner[: len(text) - n + 1][inside]
 
 
@@ -208,6 +212,19 @@ def _measured(n: int):
     return run
 
 
+def _prints(n: int):
+    """(node, prints): the distinct shingles of each line as 32-bit values."""
+    def run(batches):
+        for batch in batches:
+            lines = batch.column(1).to_pylist()
+            h, owner = shingles(lines, n)
+            ends = np.searchsorted(owner, np.arange(len(lines) + 1))
+            prints = [np.unique((h[a:b] >> U(32)).astype(np.uint32)).view(np.int32) for a, b in zip(ends[:-1], ends[1:])]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints, pa.list_(pa.int32()))], ["node", "prints"])
+
+    return run
+
+
 def signed_lines(docs: DataFrame, id_col: str, text_col: str, bands: int = BANDS, rows: int = ROWS, n: int = SHINGLE, shortest: int = SHORTEST) -> DataFrame:
     raw = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text")).where("id is not null and text is not null")
     return saved(raw.mapInArrow(_sign(shortest, bands, rows, n), PACKED), "signed")
@@ -225,10 +242,13 @@ def line_components(docs: DataFrame, signed: DataFrame, text_col: str, similarit
     members = saved(found.distinct().join(shared, "key"), "members")
     texts = docs.select(F.col(text_col).cast("binary").alias("text")).where("text is not null")
     lines = texts.mapInArrow(_texts(bitmap(members.select("node").distinct(), F.col("node")), bands * rows, n), "node long, text string, sketch binary")
-    lines = saved(lines.dropDuplicates(["node"]), "lines")
+    of = {"lines": saved(lines.dropDuplicates(["node"]), "lines")}
+
+    def narrow(nodes: DataFrame) -> None:
+        of["lines"] = saved(of["lines"].join(nodes, "node", "left_semi"), "lines")
 
     def sides(pairs: DataFrame, name: str) -> DataFrame:
-        pairs = pairs.join(lines.select(F.col("node").alias("a"), F.col(name).alias("pa")), "a").join(lines.select(F.col("node").alias("b"), F.col(name).alias("pb")), "b")
+        pairs = pairs.join(of["lines"].select(F.col("node").alias("a"), F.col(name).alias("pa")), "a").join(of["lines"].select(F.col("node").alias("b"), F.col(name).alias("pb")), "b")
         return pairs.select("a", "b", "pa", "pb")
 
     def measured(pairs: DataFrame, every: bool) -> DataFrame:
@@ -236,7 +256,11 @@ def line_components(docs: DataFrame, signed: DataFrame, text_col: str, similarit
             pairs = sides(pairs, "sketch").mapInArrow(sketch_filter(similarity), "a long, b long")
         return sides(pairs, "text").mapInArrow(_measured(n), "a long, b long, common int, na int, nb int")
 
-    return components_of_buckets(members, measured, similarity)
+    def shared(nodes: DataFrame) -> DataFrame:
+        texts = of["lines"].join(nodes, "node", "left_semi").select("node", "text")
+        return shared_cells(texts.mapInArrow(_prints(n), "node long, prints array<int>"), "prints")
+
+    return components_of_buckets(members, measured, similarity, shared, narrow)
 
 
 def removed_lines(docs: DataFrame, id_col: str, text_col: str, similarity: float = SIMILARITY, **shape) -> DataFrame:

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from .common import fresh, saved, table
 from .hashing import PRIME, U, WordHashes, bitmap, in_bitmap, mixed, split_words, windows
-from .unionfind import components_of_buckets, sketch_filter
+from .unionfind import components_of_buckets, shared_cells, sketch_filter
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -146,25 +146,23 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sim
     raw = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text")).where("id is not null")
     prints = saved(raw.mapInArrow(_fingerprints(wanted, n), "node long, prints array<int>"), "prints")
     sketches = contents.join(members.select("node").distinct(), "node", "left_semi").select("node", "sketch")
-    sketches = saved(sketches, "sketches")
+    of = {"sketch": saved(sketches, "sketches"), "prints": prints}
 
-    def sides(pairs: DataFrame, of: DataFrame, name: str) -> DataFrame:
-        pairs = pairs.join(of.select(F.col("node").alias("a"), F.col(name).alias("pa")), "a")
-        return pairs.join(of.select(F.col("node").alias("b"), F.col(name).alias("pb")), "b")
+    def narrow(nodes: DataFrame) -> None:
+        for name, df in of.items():
+            of[name] = saved(df.join(nodes, "node", "left_semi"), name)
+
+    def sides(pairs: DataFrame, name: str) -> DataFrame:
+        pairs = pairs.join(of[name].select(F.col("node").alias("a"), F.col(name).alias("pa")), "a")
+        return pairs.join(of[name].select(F.col("node").alias("b"), F.col(name).alias("pb")), "b")
 
     def measured(pairs: DataFrame, every: bool) -> DataFrame:
         if not every:
-            pairs = sides(pairs, sketches, "sketch").select("a", "b", "pa", "pb").mapInArrow(sketch_filter(similarity), "a long, b long")
-        both = sides(pairs, prints, "prints")
+            pairs = sides(pairs, "sketch").select("a", "b", "pa", "pb").mapInArrow(sketch_filter(similarity), "a long, b long")
+        both = sides(pairs, "prints")
         return both.select("a", "b", F.size(F.array_intersect("pa", "pb")).alias("common"), F.size("pa").alias("na"), F.size("pb").alias("nb"))
 
-    def shared_cells(nodes: DataFrame) -> DataFrame:
-        """How many of a node's cells some other of the nodes has too."""
-        cell = prints.join(nodes, "node", "left_semi").select("node", F.explode("prints").alias("cell"))
-        several = cell.groupBy("cell").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("cell")
-        return cell.join(several, "cell").groupBy("node").agg(F.count("*").alias("c"))
-
-    comp = components_of_buckets(members, measured, similarity, shared_cells)
+    comp = components_of_buckets(members, measured, similarity, lambda nodes: shared_cells(of["prints"].join(nodes, "node", "left_semi"), "prints"), narrow)
     root = contents.select("content", "node")
     if comp is not None:
         root = root.join(comp, "node", "left").select("content", F.coalesce("component", "node").alias("root"))

@@ -62,6 +62,13 @@ def sketch_filter(similarity: float):
     return run
 
 
+def shared_cells(nodes: DataFrame, cells: str) -> DataFrame:
+    """(node, c): how many of a node's distinct cells, an array, some other node has too."""
+    cell = nodes.select("node", F.explode(cells).alias("cell"))
+    several = cell.groupBy("cell").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("cell")
+    return cell.join(several, "cell").groupBy("node").agg(F.count("*").alias("c"))
+
+
 def _pairs_of_few(members: DataFrame) -> DataFrame:
     """All pairs of buckets with at most FEW members, each list being that short."""
     few = members.where(F.col("n") <= FEW).groupBy("key").agg(F.sort_array(F.collect_set("node")).alias("l"))
@@ -69,7 +76,7 @@ def _pairs_of_few(members: DataFrame) -> DataFrame:
     return a.select("a", F.explode(F.slice("l", F.col("i") + 2, FEW)).alias("b"))
 
 
-def components_of_buckets(members: DataFrame, measured, similarity: float, shared=None, leaders: int = 8) -> DataFrame | None:
+def components_of_buckets(members: DataFrame, measured, similarity: float, shared, narrow, leaders: int = 8) -> DataFrame | None:
     """(node, component) of the nodes that have links, from distinct members(key, node);
     None if there are no links.
 
@@ -80,11 +87,13 @@ def components_of_buckets(members: DataFrame, measured, similarity: float, share
     Buckets of at most FEW members are compared pair by pair. In a larger one the member
     with most fellows leads and is measured against the others. Whoever is not joined to
     the leader by then may still have a link to a fellow, but only if what both share
-    with the leader, and the lesser of what they have besides, suffice for it; besides
-    counts only what some other node has too, where shared(nodes) gives (node, c), the
-    part of a node that others have. The few that pass lead in turn, at most `leaders`
-    times the first round's members being paired in a round, until none is left. So a
-    group of n copies makes about n pairs, and no link in a bucket is lost."""
+    with the leader, and the lesser of what they have besides, suffice for it. Where that
+    leaves some, shared(nodes) tells how much of each (node, c) any other of these nodes
+    has, as nothing else can be besides. The few that pass lead in turn, at most `leaders`
+    times the members of their groups being paired in a round, until none is left. So a
+    group of n copies makes about n pairs, and no link in a bucket is lost.
+
+    narrow(nodes) says that only these nodes will be measured from then on."""
     t = similarity / (1 + similarity)
 
     def links_of(m: DataFrame) -> DataFrame:
@@ -114,16 +123,26 @@ def components_of_buckets(members: DataFrame, measured, similarity: float, share
 
     of = m.select(F.col("a").alias("node"), F.col("b").alias("leader"), "common", F.col("na").alias("size"), F.col("nb").alias("leader_size"))
     of = of.unionByName(m.select(F.col("b").alias("node"), F.col("a").alias("leader"), "common", F.col("nb").alias("size"), F.col("na").alias("leader_size")))
-    rest = led.join(of, ["node", "leader"])
-    besides = F.col("size") - F.col("common")
-    if shared is not None:
-        rest = rest.join(shared(led.select("node").distinct()), "node", "left")
-        besides = F.least(besides, F.greatest(F.coalesce("c", "size") - F.col("common"), F.lit(0)))
-    rest = saved(rest.select("leader", "node", "common", "size", besides.alias("besides")), "rest")
-    # a fellow is as small as the group's smallest, and has besides what the most has
-    best = rest.groupBy("leader").agg(F.min("size").alias("smallest"), F.max("besides").alias("most"))
-    open_ = rest.join(best, "leader").where(F.col("common") + F.least("besides", "most") >= t * (F.col("size") + F.col("smallest"))).select(*rest.columns)
-    rest = saved(open_, "open")
+    rest = led.join(of, ["node", "leader"]).select("leader", "node", "common", "size", (F.col("size") - F.col("common")).alias("besides"))
+
+    def possible(rest: DataFrame) -> DataFrame:
+        """The members of groups with somebody outside the leader's component who may have
+        a link: a fellow is as small as the group's smallest, and has besides what the
+        most has."""
+        best = rest.groupBy("leader").agg(F.min("size").alias("smallest"), F.max("besides").alias("most"))
+        may = rest.join(best, "leader").where(F.col("common") + F.least("besides", "most") >= t * (F.col("size") + F.col("smallest"))).select(*rest.columns)
+        may = saved(may, "may")
+        outside = with_comp(with_comp(may, "node", "comp"), "leader", "group_comp").where("comp <> group_comp").select("leader").distinct()
+        return saved(may.join(outside, "leader", "left_semi"), "open")
+
+    rest = possible(rest)
+    if rest.isEmpty():
+        return comp
+    nodes = saved(rest.select("node").union(rest.select("leader")).distinct(), "nodes")
+    narrow(nodes)
+    # leaders are among the nodes, so what is common with them counts as shared
+    has = rest.join(shared(nodes), "node", "left").withColumn("besides", F.least("besides", F.greatest(F.coalesce("c", F.lit(0)) - F.col("common"), F.lit(0))))
+    rest = possible(has.select(*rest.columns))
     most = rest.count()
     tried = None
     while True:

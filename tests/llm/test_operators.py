@@ -86,13 +86,14 @@ def test_large_buckets_lose_no_link(spark):
         return spark.createDataFrame([(r["a"], r["b"], len(sets[r["a"]] & sets[r["b"]]), len(sets[r["a"]]), len(sets[r["b"]])) for r in pairs.collect()], "a bigint, b bigint, common int, na int, nb int")
 
     def shared(nodes):
-        n = Counter(x for s in sets.values() for x in s)
-        return spark.createDataFrame([(r["node"], sum(n[x] > 1 for x in sets[r["node"]])) for r in nodes.collect()], "node bigint, c int")
+        among = [r["node"] for r in nodes.collect()]
+        n = Counter(x for i in among for x in sets[i])
+        return spark.createDataFrame([(i, sum(n[x] > 1 for x in sets[i])) for i in among], "node bigint, c int")
 
     links = [(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
     want = {r["node"]: r["component"] for r in unionfind.components(spark.createDataFrame(links, "a bigint, b bigint")).collect()}
-    for s in (None, shared):
-        got = unionfind.components_of_buckets(members, measured, 0.8, s)
+    for s in (lambda nodes: nodes.withColumn("c", F.lit(10**6)), shared):
+        got = unionfind.components_of_buckets(members, measured, 0.8, s, lambda nodes: None)
         assert {r["node"]: r["component"] for r in got.collect()} == want
 
 
@@ -279,7 +280,7 @@ def test_warc(spark):
 def test_loser_tree():
     rng = random.Random(4)
     for k in range(9):
-        runs = [sorted((str(rng.randrange(5)), "t", rng.choice([None, 1, 2])) for _ in range(rng.randrange(6))) if False else sorted(((str(rng.randrange(5)), "t", rng.choice([None, 1, 2])) for _ in range(rng.randrange(6))), key=warc.order) for _ in range(k)]
+        runs = [sorted(((str(rng.randrange(5)), "t", rng.choice([None, 1, 2])) for _ in range(rng.randrange(6))), key=warc.order) for _ in range(k)]
         got = list(warc.LoserTree([list(r) for r in runs]))
         assert [warc.order(x) for x in got] == sorted(warc.order(x) for r in runs for x in r)
 
