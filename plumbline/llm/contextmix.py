@@ -3,20 +3,20 @@
 A text is a sequence of words, each followed by a space byte, and an end byte (0).
 Every bit of these bytes is predicted by five predictors, whose contexts are the last
 two, three or five bytes of the word and all of it so far, most of them together with
-the text's class, hashed into tables of fixed size. The class, one of six, is what the
-words before in the text make likeliest under a mixture of unigrams, fitted by EM to a
-bounded sample of training documents (`class_docs`); it follows languages mostly.
+the text's class. The class, one of six, is what the words before in the text make
+likeliest under a mixture of unigrams, fitted by EM to a bounded sample of training
+documents (`CLASS_DOCS`); it follows languages mostly.
 A predictor's state is the counts of ones and zeros it has seen in all training
-documents, weighted by how often a word occurs; tasks sum them locally per (context,
-byte), Spark deals the sums out by context, and each part of the tables is built where
-its contexts meet. A slot holds the stretched probability in a byte and a tag; where
-contexts collide the one seen most keeps the slot and the others predict nothing.
+documents, weighted by how often a word occurs. Blocks of units (word, class) sum them
+locally per (context, byte) and ask for the sums of all blocks, which Spark makes part by
+part where contexts meet; there are as many parts as the corpus needs and no context is
+dropped. A context is known by a 55-bit hash. The answers go back to the blocks.
 
 A mixer adds the stretched probabilities with weights chosen by a gate (how often the
 whole-word context was seen, and the bit's place) and an adaptive map refines the sum
-by gate and value. Both learn online, bit batch by bit batch, from documents that the
-tables have not seen: of the training documents those with remainder 1, the first
-`mixer_docs` by hash (a bound that is a parameter; tables and counts take all others).
+by gate and value. Both learn from every training document: two folds (odd and even
+remainders) are each predicted by the other's counts, equal examples are counted, and
+Spark sums what the Newton steps for the weights and the map's averages need.
 
 As a word's contexts are itself and the class, its probability is computed once per
 distinct (word, class) of the corpus and looked up by the documents: the `hot` most
@@ -29,10 +29,13 @@ equal scores. A null doc_id counts as training. Empty input gives empty output.
 from __future__ import annotations
 
 from collections import Counter
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -42,11 +45,13 @@ from .hashing import PRIME, U, mixed
 ORDERS = 5
 #: Bytes of context (0: the word so far) and whether the class is in it, by predictor.
 SHAPES = ((2, True), (3, True), (5, False), (0, False), (0, True))
-SLOTS = (1 << 21, 1 << 21, 1 << 21, 1 << 22, 1 << 23)
+#: Bytes of words in a block of units, and of keys and counts in a part of the counts.
+BLOCK_BYTES, PART_BYTES = 700_000, 32 << 20
 #: Stretched probabilities are kept in steps of 1 / SCALE, up to 127 of them.
 SCALE = 10.0
 HOT, HOT_BYTES = 200_000, 64
-MIXER_DOCS, MIXER_WORDS = 600, 120_000
+#: Rounds of Newton steps, and bits mixed at a time.
+ROUNDS, STEP = 8, 1 << 18
 CLASSES, CLASS_DOCS, CLASS_WORDS, CLASS_CHARS = 6, 1500, 4000, 4000
 #: Words of a text after which its class is settled.
 SETTLED = 200
@@ -101,20 +106,21 @@ def runs(kind: np.ndarray) -> list[tuple[int, int, int]]:
 
 
 def _counted(classes):
-    """(word, class, main, mixer, n): counts in table documents, mixer documents and all."""
+    """(word, class, first, second, n): counts in either fold of the training documents
+    and in all documents."""
     def run(batches):
         of = classes.value.of
         for batch in batches:
-            counts = [[Counter() for _ in range(CLASSES)] for _ in range(3)]  # held out, mixer, main
+            counts = [[Counter() for _ in range(CLASSES)] for _ in range(3)]  # held out, first, second
             for r, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 ws = [*(text or b"").lower().split(), END]
                 for k, a, b in runs(of(ws)):
-                    counts[min(r, 2)][k].update(ws[a:b])
+                    counts[r and 1 + r % 2][k].update(ws[a:b])
             for k in range(CLASSES):
-                held, mixer, main = (c[k] for c in counts)
-                words = list({**held, **mixer, **main})
-                cols = [[c.get(w, 0) for w in words] for c in (main, mixer)] + [[held.get(w, 0) + mixer.get(w, 0) + main.get(w, 0) for w in words]]
-                yield pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array([k] * len(words), pa.int32()), *(pa.array(c, pa.int64()) for c in cols)], ["word", "class", "main", "mixer", "n"])
+                held, first, second = (c[k] for c in counts)
+                words = list({**held, **first, **second})
+                cols = [[c.get(w, 0) for w in words] for c in (first, second)] + [[held.get(w, 0) + first.get(w, 0) + second.get(w, 0) for w in words]]
+                yield pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array([k] * len(words), pa.int32()), *(pa.array(c, pa.int64()) for c in cols)], ["word", "class", "first", "second", "n"])
 
     return run
 
@@ -153,40 +159,172 @@ def prefix_hashes(data: np.ndarray, place: np.ndarray) -> np.ndarray:
     return h
 
 
-def slot(context: np.ndarray, partial: np.ndarray, parts: int, order: int) -> tuple[np.ndarray, np.ndarray]:
-    """Where a bit context's state is, inside the part of the table of its context, and
-    the tag that tells it from others in that place. Sizes and parts are powers of two."""
-    size = SLOTS[order] // parts
-    h = (context + partial) * U(PRIME)
-    h ^= h >> U(29)
-    at = ((context >> U(40)) & U(parts - 1)) * U(size) + ((h >> U(20)) & U(size - 1))
-    return at.view(np.int64), (h >> U(56)).astype(np.uint8)
+def packed_rows(x: np.ndarray) -> tuple[bytes, bytes]:
+    """(rows, number of the row in each place): rows of 24 bytes, each different one once."""
+    wide = np.ascontiguousarray(x).reshape(-1).view(U).reshape(-1, 3)
+    order = np.lexsort(wide.T)
+    new = np.ones(len(wide), bool)
+    new[1:] = (wide[order[1:]] != wide[order[:-1]]).any(axis=1)
+    at = np.empty(len(wide), np.uint32)
+    at[order] = np.cumsum(new) - 1
+    return packed(wide[order[new]], 1), packed(at, 4)
 
 
-def _sums(parts: int):
-    """(part, keys, contexts, weights) per batch: each (predictor, context, byte) once."""
+def unpacked_rows(rows: bytes, at: bytes) -> np.ndarray:
+    return unpacked(rows, 1).view(np.int8).reshape(-1, 3, 8)[unpacked(at, 4).view(np.uint32)]
+
+
+BLOCK = "block long, words array<binary>, class binary, first binary, second binary, n binary, c binary, bytes long, total long, known long"
+
+
+def _blocks(batches):
+    """Sorted (word, class, first, second, n, c, lead) as packed blocks of units."""
+    part, made, held, size = TaskContext.get().partitionId(), 0, [], 0
+
+    def cut():
+        nonlocal made
+        rows = pa.Table.from_batches(held).combine_chunks()
+        sizes = pc.binary_length(rows.column(0)).to_numpy().astype(np.int64) + 1
+        cuts = [0, *(np.flatnonzero(np.diff(np.cumsum(sizes) // (2 * BLOCK_BYTES))) + 1).tolist(), len(sizes)]
+        columns = [x.to_numpy() for x in rows.columns[1:]]
+        for a, b in zip(cuts[:-1], cuts[1:]):
+            kind, first, second, n, c, lead = (x[a:b] for x in columns)
+            row = [part << 32 | made, rows.column(0)[a:b].to_pylist(), kind.astype(np.uint8).tobytes(), *(x.astype(np.int64).tobytes() for x in (first, second, n, c)),
+                   int(sizes[a:b].sum()), int((first + second).sum()), int((lead & (c > 0)).sum())]
+            made += 1
+            types = [pa.int64(), pa.list_(pa.binary()), *[pa.binary()] * 5, *[pa.int64()] * 3]
+            yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, types)], ["block", "words", "class", "first", "second", "n", "c", "bytes", "total", "known"])
+
+    for batch in batches:
+        held.append(batch)
+        size += (pc.sum(pc.binary_length(batch.column(0))).as_py() or 0) + batch.num_rows
+        if size >= BLOCK_BYTES:
+            yield from cut()
+            held, size = [], 0
+    if size:
+        yield from cut()
+
+
+def packed(x: np.ndarray, width: int) -> bytes:
+    """Rows of so many bytes, compressed byte by byte of a row."""
+    raw = np.ascontiguousarray(x.reshape(-1).view(np.uint8).reshape(-1, width).T).tobytes()
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def unpacked(blob: bytes, width: int) -> np.ndarray:
+    raw = pa.decompress(blob[8:], int.from_bytes(blob[:8], "little"), codec="zstd", asbytes=True)
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(width, -1).T).reshape(-1)
+
+
+def keys(words: list[bytes], kinds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(key per predictor and byte, word per byte). A key is 55 bits of the hash of predictor
+    and context, a bit that says whether it is the last predictor's, and the byte."""
+    data, place, owner = spelled(words)
+    every = (contexts(data, place, kinds[owner]) & ~U(0x1FF)) | data
+    every[-1] |= U(0x100)
+    return every, owner
+
+
+def _asks(parts: int):
+    """(part, block, keys, first, second): a block's distinct keys, ascending over its parts,
+    and how often either fold has them."""
     def run(batches):
         for batch in batches:
-            data, place, owner = spelled(batch.column(0).to_pylist())
-            weight = batch.column(2).to_numpy(zero_copy_only=False).astype(np.float64)[owner]
-            every = contexts(data, place, batch.column(1).to_numpy(zero_copy_only=False)[owner])
-            rows = []
-            for k in range(ORDERS):
-                key = (every[k] & ~U(0xFF)) | data
-                order = np.argsort(key, kind="stable")
-                key, w = key[order], weight[order]
-                start = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.empty(0, np.int64)
-                key, w = key[start], np.add.reduceat(w, start) if len(start) else w
-                part = ((key >> U(40)) & U(parts - 1)).astype(np.int64)
-                order = np.argsort(part, kind="stable")
-                cuts = np.searchsorted(part[order], np.arange(parts + 1))
-                key, w = key[order], w[order].astype(np.float32)
-                rows += [(p, k, key[a:b].tobytes(), w[a:b].tobytes()) for p, (a, b) in enumerate(zip(cuts[:-1], cuts[1:])) if b > a]
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.binary()), pa.array([r[3] for r in rows], pa.binary())], ["part", "order", "keys", "weights"])
+            for block, words, kinds, first, second in zip(*(c.to_pylist() for c in batch.columns)):
+                every, owner = keys(words, np.frombuffer(kinds, np.uint8))
+                key, at = np.unique(every.ravel(), return_inverse=True)
+                folds = [np.bincount(at.ravel(), np.tile(np.frombuffer(w, np.int64)[owner].astype(np.float64), ORDERS), len(key)) for w in (first, second)]
+                cuts = np.searchsorted((key >> U(32)) * U(parts) >> U(32), np.arange(parts + 1, dtype=U))
+                rows = [(p, block, packed(np.diff(key[a:b], prepend=U(0)), 8), *(packed(x[a:b], 8) for x in folds)) for p, (a, b) in enumerate(zip(cuts[:-1], cuts[1:])) if b > a]
+                types = [pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), types)], ["part", "block", "keys", "first", "second"])
 
     return run
 
 
+def states(key: np.ndarray, first: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For distinct ascending keys and their counts, (keys, 3, 8) stretched probabilities and
+    counts' levels of the bits on the way to the byte: from all counts, and from the other
+    fold's for keys that the first or the second fold has. Contexts never seen say 0."""
+    out, level = np.zeros((2, len(key), 3, 8), np.int8)
+    for bit in range(8):
+        # ascending keys have the bytes of a context that begin alike side by side
+        known = key >> U(8 - bit)
+        start = np.concatenate(([True], known[1:] != known[:-1]))
+        at, start = np.cumsum(start) - 1, np.flatnonzero(start)
+        one = ((key >> U(7 - bit)) & U(1)).astype(np.float64)
+        n, ones = (np.array([np.add.reduceat(w * x, start) for w in (first, second)]) for x in (1.0, one))
+        for v, (n, ones, asked) in enumerate(((n[0] + n[1], ones[0] + ones[1], True), (n[1], ones[1], first > 0), (n[0], ones[0], second > 0))):
+            p = (ones + 0.02) / (n + 0.04)
+            some = (n[at] > 0) & asked
+            out[:, v, bit] = np.where(some, np.clip(np.rint(np.log(p / (1 - p)) * SCALE), -127, 127)[at], 0)
+            level[:, v, bit] = np.where(some, np.minimum(np.log2(n + 1).astype(np.int64) // 2 + 1, 7)[at], 0)
+    return out, level
+
+
+def _grouped(batches):
+    """(first column, rows) of rows that are sorted by it."""
+    return groupby((row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns))), key=lambda row: row[0])
+
+
+def _answers(batches):
+    """(block, part, states, levels) for the keys that blocks ask for, once the counts of
+    all blocks are summed. Levels are those of the last predictor."""
+    for part, rows in _grouped(batches):
+        blocks, *blobs = list(zip(*rows))[1:]
+        asked = [np.cumsum(unpacked(x, 8).view(U), dtype=U) for x in blobs[0]]
+        key, at = np.unique(np.concatenate(asked), return_inverse=True)
+        state, level = states(key, *(np.bincount(at, np.concatenate([unpacked(w, 8).view(np.float64) for w in x]), len(key)) for x in blobs[1:]))
+        ends = np.cumsum([0, *map(len, asked)])
+        for block, a, b in zip(blocks, ends[:-1], ends[1:]):
+            here = at[a:b]
+            last = here[(key[here] & U(0x100)) > 0]
+            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([part], pa.int32()), *(pa.array([packed_rows(x)], pa.list_(pa.binary())) for x in (state[here], level[last]))], ["block", "part", "states", "levels"])
+
+
+ANSWERS = "block long, part int, states array<binary>, levels array<binary>"
+
+
+def answered(blocks: DataFrame, parts: int) -> DataFrame:
+    """blocks with (states, levels) of their keys in ascending order. Counts are summed where
+    their contexts meet, each key being in one of `parts` parts; nothing is left out."""
+    asks = blocks.select("block", "words", "class", "first", "second").mapInArrow(_asks(parts), "part int, block long, keys binary, first binary, second binary")
+    answers = asks.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(_answers, ANSWERS)
+    got = answers.repartition(parts, "block").groupBy("block").agg(F.sort_array(F.collect_list(F.struct("part", "states", "levels"))).alias("got"))
+    return blocks.repartition(parts, "block").join(got.hint("merge"), "block").select("words", "class", "first", "second", "n", "c", F.col("got.states").alias("states"), F.col("got.levels").alias("levels"))
+
+
+def laid_out(words: list[bytes], kinds: bytes, state: list[bytes], level: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(predictor, byte, 3, 8) states, (byte, 3, 8) levels and the word of each byte."""
+    every, owner = keys(words, np.frombuffer(kinds, np.uint8))
+    key, at = np.unique(every.ravel(), return_inverse=True)
+    at = at.reshape(every.shape)
+    last = np.cumsum((key & U(0x100)) > 0) - 1
+    s, g = (np.concatenate([unpacked_rows(*y) for y in x]) for x in (state, level))
+    return s[at], g[last[at[-1]]], owner
+
+
+def _examples(batches):
+    """(codes, weights): the bits of all training words, each fold's as the other fold's
+    counts predict them. A code is gate, states and bit; equal ones are counted."""
+    bits = np.arange(8, dtype=U)
+    for batch in batches:
+        for words, kinds, first, second, state, level in zip(*(c.to_pylist() for c in batch.columns)):
+            s, g, owner = laid_out(words, kinds, state, level)
+            data = spelled(words)[0]
+            for v, fold in ((1, first), (2, second)):
+                w = np.frombuffer(fold, np.int64)[owner]
+                every = np.flatnonzero(w)
+                for a in range(0, len(every), STEP):
+                    on = every[a : a + STEP]
+                    code = g[on, v].astype(U) * U(8) + bits
+                    for k in range(ORDERS):
+                        code = code << U(8) | s[k, on, v].view(np.uint8)
+                    code = code << U(1) | (data[on, None] >> (U(7) - bits)) & U(1)
+                    code, weight = _summed(code.ravel(), np.repeat(w[on], 8).astype(np.float64))
+                    yield pa.RecordBatch.from_arrays([pa.array([packed(np.diff(code, prepend=U(0)), 8)], pa.binary()), pa.array([packed(weight, 8)], pa.binary())], ["codes", "weights"])
+
+
 def _summed(key: np.ndarray, *weights: np.ndarray) -> list[np.ndarray]:
     """Distinct keys and the sums of their weights."""
     order = np.argsort(key, kind="stable")
@@ -195,77 +333,51 @@ def _summed(key: np.ndarray, *weights: np.ndarray) -> list[np.ndarray]:
     return [key[start], *(np.add.reduceat(w[order], start) for w in weights)]
 
 
-def _tables(parts: int):
-    """(order, part, state, tag, seen): the parts of the tables whose contexts meet here.
-    A slot that several bit contexts fall on belongs to the one seen most."""
+def decoded(code: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(stretched predictions, gate, bit) of codes."""
+    x = np.full((len(code), ORDERS + 1), 0.3)
+    for k in range(ORDERS):
+        x[:, k] = ((code >> U(8 * (ORDERS - 1 - k) + 1)) & U(0xFF)).astype(np.uint8).view(np.int8) / SCALE
+    return x, (code >> U(8 * ORDERS + 1)).astype(np.int64), (code & U(1)).astype(np.float64)
+
+
+def _totals(measure):
+    """(at, value): what measure(code, weight) gives, summed over a task's blocks."""
     def run(batches):
-        rows: dict[tuple[int, int], list[tuple[bytes, bytes]]] = {}
+        total = 0.0
         for batch in batches:
-            for part, k, keys, weights in zip(*(c.to_pylist() for c in batch.columns)):
-                rows.setdefault((k, part), []).append((keys, weights))
-        for (k, part), blobs in rows.items():
-            key, w = _summed(np.frombuffer(b"".join(x for x, _ in blobs), U), np.frombuffer(b"".join(x for _, x in blobs), np.float32).astype(np.float64))
-            size = SLOTS[k] // parts
-            best, state, tags = np.zeros(size), np.zeros(size, np.int8), np.zeros(size, np.uint8)
-            context, byte = key & ~U(0xFF), key & U(0xFF)
-            for bit in range(8):
-                # sorted keys have the bytes of a context that begin alike side by side
-                known = key >> U(8 - bit)
-                start = np.flatnonzero(np.concatenate(([True], known[1:] != known[:-1])))
-                n, ones = np.add.reduceat(w, start), np.add.reduceat(w * ((byte >> U(7 - bit)) & U(1)), start)
-                at, tag = slot(context[start], (U(1) << U(bit)) | (byte[start] >> U(8 - bit)), parts, k)
-                at = at - part * size
-                up = np.argsort(n, kind="stable")
-                up = up[n[up] > best[at[up]]]
-                p = (ones[up] + 0.02) / (n[up] + 0.04)
-                best[at[up]], tags[at[up]] = n[up], tag[up]
-                state[at[up]] = np.clip(np.rint(np.log(p / (1 - p)) * SCALE), -127, 127).astype(np.int8)
-            seen = np.minimum(np.log2(best + 1), 255).astype(np.uint8) if k == ORDERS - 1 else np.empty(0, np.uint8)
-            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([part], pa.int32()), *(pa.array([x.tobytes()], pa.binary()) for x in (state, tags, seen))], ["order", "part", "state", "tag", "seen"])
+            for codes, weights in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                code, weight = np.cumsum(unpacked(codes, 8).view(U), dtype=U), unpacked(weights, 8).view(np.float64)
+                for a in range(0, len(code), STEP):
+                    total = total + measure(code[a : a + STEP], weight[a : a + STEP])
+        value = np.ravel(total) if np.ndim(total) else np.empty(0)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(value)), pa.int64()), pa.array(value, pa.float64())], ["at", "value"])
 
     return run
 
 
 class Mixer:
-    """The predictors' tables with the gated weights and the adaptive map on top."""
+    """Gated weights and the adaptive map over the predictors' states. `total` sums measures
+    of examples (codes, weights); those of a Spark table are summed by Spark."""
 
-    def __init__(self, parts: int):
-        self.parts = parts
-        self.states = [np.zeros(n, np.int8) for n in SLOTS]
-        self.tags = [np.zeros(n, np.uint8) for n in SLOTS]
-        self.seen = np.zeros(SLOTS[-1], np.uint8)
+    def __init__(self, rounds: int = ROUNDS):
+        self.rounds = rounds
         self.weights = np.full((GATES, ORDERS + 1), 0.3)
         self.weights[:, ORDERS] = 0.0
         centre = np.linspace(-8, 8, BINS)
         self.map = np.tile(1 / (1 + np.exp(-centre)), (GATES, 1))
 
-    def fill(self, order: int, part: int, state: bytes, tag: bytes, seen: bytes) -> None:
-        size = SLOTS[order] // self.parts
-        here = slice(part * size, (part + 1) * size)
-        self.states[order][here], self.tags[order][here] = np.frombuffer(state, np.int8), np.frombuffer(tag, np.uint8)
-        if order == ORDERS - 1:
-            self.seen[here] = np.frombuffer(seen, np.uint8)
-
-    def inputs(self, words: list[bytes], kinds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(stretched predictions, gate, bit, word), bits in reading order."""
-        data, place, owner = spelled(words)
-        every = contexts(data, place, kinds[owner]) & ~U(0xFF)
-        n = len(data)
-        x = np.zeros((n, 8, ORDERS + 1), dtype=np.float32)
-        gate = np.empty((n, 8), dtype=np.int64)
-        bits = np.empty((n, 8), dtype=np.int8)
+    def inputs(self, words: list[bytes], kinds: np.ndarray, state: np.ndarray | None = None, level: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(stretched predictions, gate, bit, word), bits in reading order, from states
+        (predictor, byte, 8) and levels (byte, 8); without them nothing has been seen."""
+        data, _, owner = spelled(words)
+        x = np.zeros((len(data), 8, ORDERS + 1), dtype=np.float32)
         x[:, :, ORDERS] = 0.3
-        wide = data.astype(U)
-        for bit in range(8):
-            partial = (U(1) << U(bit)) | (wide >> U(8 - bit))
-            bits[:, bit] = (data >> (7 - bit)) & 1
-            for k in range(ORDERS):
-                at, tag = slot(every[k], partial, self.parts, k)
-                own = self.tags[k][at] == tag
-                x[:, bit, k] = np.where(own, self.states[k][at], 0) / np.float32(SCALE)
-                if k == ORDERS - 1:
-                    gate[:, bit] = np.where(own, np.minimum(self.seen[at] // 2 + 1, 7), 0) * 8 + bit
-        return x.reshape(-1, ORDERS + 1), gate.ravel(), bits.ravel(), np.repeat(owner, 8)
+        if state is not None:
+            x[:, :, :ORDERS] = np.moveaxis(state, 0, 2) / np.float32(SCALE)
+        gate = np.arange(8) + (np.zeros((len(data), 8), np.int64) if level is None else level.astype(np.int64) * 8)
+        bits = (data[:, None] >> np.arange(7, -1, -1)) & 1
+        return x.reshape(-1, ORDERS + 1), gate.ravel(), bits.ravel().astype(np.int8), np.repeat(owner, 8)
 
     def _mixed(self, x: np.ndarray, gate: np.ndarray) -> np.ndarray:
         return np.clip((x * self.weights[gate]).sum(axis=1), -12, 12)
@@ -276,34 +388,70 @@ class Mixer:
         part = at - low
         return self.map[gate, low] * (1 - part) + self.map[gate, low + 1] * part, low, part
 
-    def learn(self, words: list[bytes], kinds: np.ndarray, step: int = 2048, passes: int = 2) -> None:
-        """Online: each batch of bits is predicted, then weights and map follow the error."""
-        square = np.full_like(self.weights, 1e-6)
-        hits = np.zeros_like(self.map)
-        for turn in range(passes):
-            for start in range(0, len(words), 4000):
-                x, gate, bits, _ = self.inputs(words[start : start + 4000], kinds[start : start + 4000])
-                for a in range(0, len(bits), step):
-                    xs, g, b = x[a : a + step], gate[a : a + step], bits[a : a + step]
-                    z = self._mixed(xs, g)
-                    error = b - 1 / (1 + np.exp(-z))
-                    slope = np.zeros_like(self.weights)
-                    np.add.at(slope, g, error[:, None] * xs)
-                    square += slope**2
-                    self.weights += 0.05 * slope / np.sqrt(square)
-                    if turn:
-                        _, low, part = self._mapped(z, g)
-                        near = low + (part > 0.5)
-                        np.add.at(hits, (g, near), 1)
-                        np.add.at(self.map, (g, near), (b - self.map[g, near]) / (hits[g, near] + 20))
-        np.clip(self.map, 1e-5, 1 - 1e-5, out=self.map)
-
-    def score(self, words: list[bytes], kinds: np.ndarray) -> np.ndarray:
-        """log10 of each word's probability."""
-        x, gate, bits, owner = self.inputs(words, kinds)
+    def slopes(self, code: np.ndarray, weight: np.ndarray) -> np.ndarray:
+        """Loss, gradient and curvature by gate, (GATES, 1 + m + m * m)."""
+        m = ORDERS + 1
+        out = np.zeros((GATES, 1 + m + m * m))
+        x, gate, bit = decoded(code)
         z = self._mixed(x, gate)
-        p = (1 / (1 + np.exp(-z)) + self._mapped(z, gate)[0]) / 2
-        return np.bincount(owner, np.log10(np.where(bits == 1, p, 1 - p)), len(words))
+        p = 1 / (1 + np.exp(-z))
+        cuts = np.searchsorted(gate, np.arange(GATES + 1))  # codes ascend
+        loss, error, bend = -weight * np.log(np.where(bit > 0, p, 1 - p)), weight * (bit - p), weight * p * (1 - p)
+        for g, (a, b) in enumerate(zip(cuts[:-1], cuts[1:])):
+            if b > a:
+                out[g, 0] = loss[a:b].sum()
+                out[g, 1 : 1 + m] = error[a:b] @ x[a:b]
+                out[g, 1 + m :] = ((x[a:b] * bend[a:b, None]).T @ x[a:b]).ravel()
+        return out
+
+    def hits(self, code: np.ndarray, weight: np.ndarray) -> np.ndarray:
+        """How many bits, and how many ones, are near each place of the map."""
+        x, gate, bit = decoded(code)
+        _, low, part = self._mapped(self._mixed(x, gate), gate)
+        at = gate * BINS + low + (part > 0.5)
+        return np.stack([np.bincount(at, w, GATES * BINS) for w in (weight, weight * bit)])
+
+    def fit(self, total) -> None:
+        """Newton steps for each gate's weights, halved where the loss has risen; then the
+        map is what bits near its places are on average."""
+        m = ORDERS + 1
+        start, best, least = self.weights.copy(), self.weights.copy(), np.full(GATES, np.inf)
+        step = np.zeros_like(start)
+        for _ in range(self.rounds):
+            sums = total(self.slopes)
+            if sums is None:
+                return
+            sums = sums.reshape(GATES, -1)
+            off = self.weights - start
+            loss = sums[:, 0] + (off**2).sum(axis=1) / 2
+            better = loss <= least
+            least[better], best[better] = loss[better], self.weights[better]
+            step[~better] /= 2
+            for g in np.flatnonzero(better):
+                step[g] = np.linalg.solve(sums[g, 1 + m :].reshape(m, m) + np.eye(m), sums[g, 1 : 1 + m] - off[g])
+            self.weights = best + step
+        sums = total(self.slopes).reshape(GATES, -1)
+        worse = sums[:, 0] + ((self.weights - start) ** 2).sum(axis=1) / 2 > least
+        self.weights[worse] = best[worse]
+        n, ones = total(self.hits).reshape(2, GATES, BINS)
+        self.map = np.clip((ones + 20 * self.map) / (n + 20), 1e-5, 1 - 1e-5)
+
+    def learn(self, words: list[bytes], kinds: np.ndarray) -> None:
+        """Fit to words of which nothing has been seen."""
+        _, gate, bits, _ = self.inputs(words, kinds)
+        code, weight = _summed(gate.astype(U) << U(8 * ORDERS + 1) | bits.astype(U), np.ones(len(bits)))
+        self.fit(lambda measure: measure(code, weight))
+
+    def score(self, words: list[bytes], kinds: np.ndarray, state: np.ndarray | None = None, level: np.ndarray | None = None) -> np.ndarray:
+        """log10 of each word's probability."""
+        out = np.zeros(len(words))
+        x, gate, bits, owner = self.inputs(words, kinds, state, level)
+        for a in range(0, len(bits), STEP):
+            g, b = gate[a : a + STEP], bits[a : a + STEP]
+            z = self._mixed(x[a : a + STEP], g)
+            p = (1 / (1 + np.exp(-z)) + self._mapped(z, g)[0]) / 2
+            out += np.bincount(owner[a : a + STEP], np.log10(np.where(b == 1, p, 1 - p)), len(words))
+        return out
 
 
 def sampled(docs: DataFrame, n: int, chars: int) -> list[bytes]:
@@ -313,21 +461,17 @@ def sampled(docs: DataFrame, n: int, chars: int) -> list[bytes]:
     return [t or b"" for (t,) in chosen.select(F.substring("text", 1, chars).alias("text")).limit(2 * n).collect()]
 
 
-def fit(spark: SparkSession, docs: DataFrame, words: DataFrame, classes: Classes, mixer_docs: int = MIXER_DOCS) -> Mixer:
-    """docs(r, text), words(word, class, main, ...). What comes to the driver are the tables,
-    45 MB whatever the corpus and fetched part by part, and the bounded sample for the mixer."""
-    parts = 64
-    while parts < partitions(spark):
-        parts *= 2
-    sums = words.where("main > 0").select("word", "class", "main").mapInArrow(_sums(parts), "part int, order int, keys binary, weights binary")
-    built = sums.repartition(parts, "part").mapInArrow(_tables(parts), "order int, part int, state binary, tag binary, seen binary")
-    model = Mixer(parts)
-    for row in saved(built, "tables").toLocalIterator():
-        model.fill(*row)
-    sample = sampled(docs.where("r = 1"), mixer_docs, 1 << 16)
-    texts = [[*(text or b"").lower().split(), END] for text in sample]
-    if texts:
-        model.learn([w for ws in texts for w in ws][:MIXER_WORDS], np.concatenate([classes.of(ws) for ws in texts])[:MIXER_WORDS])
+def fit(units: DataFrame) -> Mixer:
+    """The mixer of answered blocks, from the words of all training documents. What comes
+    to the driver are sums by gate, predictor and place of the map."""
+    examples = saved(units.select("words", "class", "first", "second", "states", "levels").mapInArrow(_examples, "codes binary, weights binary"), "examples")
+
+    def total(measure) -> np.ndarray | None:
+        rows = examples.mapInArrow(_totals(measure), "at long, value double").groupBy("at").agg(F.sum("value")).collect()
+        return np.array([v for _, v in sorted(rows)]) if rows else None
+
+    model = Mixer()
+    model.fit(total)
     return model
 
 
@@ -335,11 +479,11 @@ def _scored(model, total: int, distinct: int):
     def run(batches):
         m = model.value
         for batch in batches:
-            for a in range(0, batch.num_rows, 4000):
-                part = batch.slice(a, 4000)
-                kinds, c = part.column(1).to_numpy(zero_copy_only=False), part.column(2).to_numpy(zero_copy_only=False)
+            for words, kinds, n, c, state, level in zip(*(x.to_pylist() for x in batch.columns)):
+                s, g, _ = laid_out(words, kinds, state, level)
+                kinds, n, c = np.frombuffer(kinds, np.uint8), np.frombuffer(n, np.int64), np.frombuffer(c, np.int64)
                 base = np.log10((c + 0.1) / (total + 0.1 * (distinct + 1)))
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(base), pa.array(m.score(part.column(0).to_pylist(), kinds))], ["word", "class", "c", "n", "base", "score"])
+                yield pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array(kinds.astype(np.int32)), pa.array(c), pa.array(n), pa.array(base), pa.array(m.score(words, kinds, s[:, :, 0], g[:, 0]))], ["word", "class", "c", "n", "base", "score"])
 
     return run
 
@@ -369,19 +513,22 @@ def _documents(hot, classes):
     return run
 
 
-def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mixer_docs: int = MIXER_DOCS, hot: int = HOT) -> DataFrame:
+def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT) -> DataFrame:
     """(id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits) per row."""
     spark = docs.sparkSession
     raw = docs.select(remainder(F.col(id_col)).alias("r"), F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text"))
     classes = spark.sparkContext.broadcast(Classes(sampled(raw.where("r > 0"), CLASS_DOCS, CLASS_CHARS)))
-    counted = raw.select("r", "text").mapInArrow(_counted(classes), "word binary, class int, main long, mixer long, n long")
+    counted = raw.select("r", "text").mapInArrow(_counted(classes), "word binary, class int, first long, second long, n long")
     # dealt by word, so that a word's classes and its total meet in one place
-    units = counted.repartition(F.col("word")).groupBy("word", "class").agg(F.sum("main").alias("main"), F.sum("mixer").alias("mixer"), F.sum("n").alias("n"))
+    units = counted.repartition(F.col("word")).groupBy("word", "class").agg(F.sum("first").alias("first"), F.sum("second").alias("second"), F.sum("n").alias("n"))
     w = Window.partitionBy("word")
-    words = saved(units.withColumn("c", F.sum(F.col("main") + F.col("mixer")).over(w)).withColumn("lead", F.min("class").over(w) == F.col("class")), "words")
-    total, distinct = words.where("c > 0").agg(F.coalesce(F.sum(F.col("main") + F.col("mixer")), F.lit(0)), F.coalesce(F.sum(F.col("lead").cast("int")), F.lit(0))).head()
-    model = spark.sparkContext.broadcast(fit(spark, raw, words, classes.value, mixer_docs))
-    scored = saved(words.select("word", "class", "c", "n").mapInArrow(_scored(model, total, distinct), "word binary, class int, c long, n long, base double, score double"), "scored")
+    words = units.withColumn("c", F.sum(F.col("first") + F.col("second")).over(w)).withColumn("lead", F.min("class").over(w) == F.col("class"))
+    blocks = saved(words.select("word", "class", "first", "second", "n", "c", "lead").sortWithinPartitions("word", "class").mapInArrow(_blocks, BLOCK), "blocks")
+    total, distinct, size = blocks.agg(*(F.coalesce(F.sum(x), F.lit(0)) for x in ("total", "known", "bytes"))).head()
+    # of a byte's keys, each with its counts 24 bytes, a third or less is left in a block
+    answers = saved(answered(blocks, max(partitions(spark), -(-size * ORDERS * 8 // PART_BYTES))), "answers")
+    model = spark.sparkContext.broadcast(fit(answers))
+    scored = saved(answers.select("words", "class", "n", "c", "states", "levels").mapInArrow(_scored(model, total, distinct), "word binary, class int, c long, n long, base double, score double"), "scored")
     # the frequency from which on units are no more than `hot`, from some hundred bins
     short = scored.where(F.length("word") <= HOT_BYTES).withColumn("bin", F.floor(F.log2("n") * 16))
     least, many = 1 << 30, 0

@@ -253,6 +253,43 @@ def test_mixer_probabilities_add_up():
     assert math.isclose(sum(p), 1, rel_tol=1e-6)
 
 
+def test_context_counts_are_whole(spark):
+    """Every context of every word keeps its own counts, however many blocks and parts."""
+    import numpy as np
+
+    rng = random.Random(8)
+    words = sorted({"".join(rng.choice("abcdef") for _ in range(rng.randint(1, 7))).encode() for _ in range(400)})
+    rows = [(w, k, rng.randint(0, 3), rng.randint(0, 3), 9, 9, k == 0) for w in words for k in (0, 1)]
+    units = spark.createDataFrame(rows, "word binary, class int, first long, second long, n long, c long, lead boolean")
+    blocks = contextmix.saved(units.repartition(3, "word").sortWithinPartitions("word", "class").mapInArrow(contextmix._blocks, contextmix.BLOCK), "blocks")
+    counts, ways = Counter(), {}
+    for w, k, first, second, *_ in rows:
+        text = w + b" "
+        for at, byte in enumerate(text):
+            before = text[:at]
+            seen = ((0, before[-2:], at >= 1, at >= 2, k), (1, before[-3:], at >= 1, at >= 2, at >= 3, k), (2, before[-5:], min(at, 5)), (3, before), (4, before, k))
+            ways[w, k, at] = seen, byte
+            for c in seen:
+                for bit in range(8):
+                    counts[c, bit, byte >> (8 - bit), byte >> (7 - bit) & 1, 1] += first
+                    counts[c, bit, byte >> (8 - bit), byte >> (7 - bit) & 1, 2] += second
+    for ws, kinds, first, second, _, _, state, level in contextmix.answered(blocks, 5).collect():
+        s, _, owner = contextmix.laid_out(ws, kinds, state, level)
+        firsts, seconds = np.frombuffer(first, np.int64), np.frombuffer(second, np.int64)
+        place = Counter()
+        for i, o in enumerate(owner):
+            seen, byte = ways[bytes(ws[o]), kinds[o], place[o]]
+            place[o] += 1
+            for row, c in enumerate(seen):
+                for bit in range(8):
+                    for v, folds in ((0, (1, 2)), (1, (2,)), (2, (1,))):
+                        zero, one = (sum(counts[c, bit, byte >> (8 - bit), b, f] for f in folds) for b in (0, 1))
+                        if v and not (firsts, seconds)[v - 1][o]:
+                            continue
+                        p = (one + 0.02) / (zero + one + 0.04)
+                        assert abs(s[row, i, v, bit] - (math.log(p / (1 - p)) * contextmix.SCALE if zero + one else 0)) <= 0.501
+
+
 def test_warc(spark):
     odd = ["", None, "x\r\n\r\nWARC/1.1\r\nContent-Length: 5\r\n\r\n", "é", "same", "same", "same", "a b\n\r\n"]
     urls = ["http://www.B.com/x?y=1#f", None, "https://a.b.com:81/", "not a url", "http://a.com/\nHost: z", "", "http://[bad", "http://a.com/"]
