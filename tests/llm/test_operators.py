@@ -290,6 +290,17 @@ def test_context_counts_are_whole(spark):
                         assert abs(s[row, i, v, bit] - (math.log(p / (1 - p)) * contextmix.SCALE if zero + one else 0)) <= 0.501
 
 
+def test_all_training_documents_teach(spark):
+    """A word that only documents of remainder 1 have is learned from them."""
+    ids = [i for i in range(2000) if zlib.crc32(str(i).encode()) % 10 == 1][:60]
+    held = next(i for i in range(2000) if zlib.crc32(str(i).encode()) % 10 == 0)
+    rng = random.Random(4)
+    other = [i for i in range(2000) if zlib.crc32(str(i).encode()) % 10 > 1][:60]
+    rows = [(i, prose(rng, 30) + " xylophonist" * 3) for i in ids] + [(i, prose(rng, 30)) for i in other] + [(held, "xylophonist"), (None, "zzyzxphonist")]
+    out = contextmix.lm_scores(spark.createDataFrame(rows, "doc_id bigint, text string")).where(F.col("id") == held).head()
+    assert out["score"] > -8
+
+
 def test_warc(spark):
     odd = ["", None, "x\r\n\r\nWARC/1.1\r\nContent-Length: 5\r\n\r\n", "é", "same", "same", "same", "a b\n\r\n"]
     urls = ["http://www.B.com/x?y=1#f", None, "https://a.b.com:81/", "not a url", "http://a.com/\nHost: z", "", "http://[bad", "http://a.com/"]
