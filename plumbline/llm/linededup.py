@@ -31,6 +31,9 @@ SHINGLE = 8
 SIMILARITY = 0.8
 BANDS, ROWS = 14, 5
 SHORTEST = 16
+#: Distinct shingles per signature coordinate from which on a sketch may rule a line out;
+#: with fewer, coordinates are filled from others and agree or differ together.
+FILLED = 5
 #: Characters worked on at a time, and bytes of band keys a task gathers.
 CHUNK, CHUNK_LINES, GATHERED = 4_000_000, 200_000, 64 << 20
 KEY_BITS = 1 << 25
@@ -174,7 +177,12 @@ def _members(wanted: np.ndarray, bands: int):
 
 
 def _texts(wanted: np.ndarray, k: int, n: int):
-    """(node, text, sketch) of lines that may be wanted, each once per batch."""
+    """(node, text, sketch) of lines that may be wanted, each once per batch; the sketch of
+    a line with too few shingles is empty."""
+    def filled(s: str) -> bool:
+        m = len(s) - n + 1
+        return m >= FILLED * k and len({s[i : i + n] for i in range(m)}) >= FILLED * k
+
     def run(batches):
         for batch in batches:
             every = {}
@@ -185,7 +193,9 @@ def _texts(wanted: np.ndarray, k: int, n: int):
             yes = np.flatnonzero(in_bitmap(wanted, ids)) if len(ids) else ids
             lines = list(every.values())
             found = [(int(ids[i]), s) for i in yes if len(s := lines[i].decode("utf-8", "replace")) >= n]
-            sketch = [x.tobytes() for x in mixed(signatures([s for _, s in found], k, n)).astype(np.uint8)] if found else []
+            sketch, long = [b""] * len(found), [j for j, (_, s) in enumerate(found) if filled(s)]
+            for j, x in zip(long, mixed(signatures([found[j][1] for j in long], k, n)).astype(np.uint8) if long else ()):
+                sketch[j] = x.tobytes()
             yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in found], pa.int64()), pa.array([s for _, s in found], pa.string()), pa.array(sketch, pa.binary())], ["node", "text", "sketch"])
 
     return run

@@ -48,15 +48,19 @@ FEW = 8
 def sketch_filter(similarity: float):
     """Of (a, b, pa, pb), the sketches having a byte per signature coordinate, the pairs
     (a, b) that agree in as many as a similarity this high gives but for four standard
-    deviations."""
+    deviations. Coordinates must be independent; an empty sketch rules nothing out."""
     def run(batches):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            p, q = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for i in (2, 3))
-            k = p.shape[1]
-            least = similarity - 4 * (similarity * (1 - similarity) / k) ** 0.5
-            yes = pa.array((p == q).mean(axis=1) >= least)
+            sides = [batch.column(i).to_pylist() for i in (2, 3)]
+            yes = np.array([not x or not y for x, y in zip(*sides)])
+            both = np.flatnonzero(~yes)
+            if len(both):
+                p, q = (np.frombuffer(b"".join(side[i] for i in both), np.uint8).reshape(len(both), -1) for side in sides)
+                least = similarity - 4 * (similarity * (1 - similarity) / p.shape[1]) ** 0.5
+                yes[both] = (p == q).mean(axis=1) >= least
+            yes = pa.array(yes)
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(yes), batch.column(1).filter(yes)], ["a", "b"])
 
     return run

@@ -124,6 +124,28 @@ def test_line_dedup(docs, texts, nothing):
     assert linededup.dedup_lines(nothing).isEmpty()
 
 
+def test_sketches_lose_no_short_link():
+    """Similar lines of few shingles all pass the filter in front of the comparison."""
+    import numpy as np
+    import pyarrow as pa
+
+    rng = random.Random(6)
+    pairs = []
+    while len(pairs) < 1500:
+        s = "".join(rng.choice("abcdefghij") for _ in range(rng.randint(19, 40)))
+        t = s[: -rng.randint(1, 2)] + "".join(rng.choice("klmnopqrst") for _ in range(rng.randint(0, 2)))
+        p, q = ({x[j : j + 8] for j in range(len(x) - 7)} for x in (s, t))
+        if s != t and len(p & q) >= 0.8 * len(p | q):
+            pairs.append((s, t))
+    everything = np.full(1 << 20, 255, np.uint8)
+    (made,) = linededup._texts(everything, 70, 8)([pa.RecordBatch.from_arrays([pa.array([x.encode() for pair in pairs for x in pair])], ["text"])])
+    sketch = dict(zip(made.column(1).to_pylist(), made.column(2).to_pylist()))
+    ids = pa.array(range(len(pairs)))
+    sides = [pa.array([sketch[pair[i]] for pair in pairs], pa.binary()) for i in (0, 1)]
+    kept = list(unionfind.sketch_filter(0.8)([pa.RecordBatch.from_arrays([ids, ids, *sides], ["a", "b", "pa", "pb"])]))
+    assert sum(b.num_rows for b in kept) == len(pairs)
+
+
 def test_null_and_repeated_ids(spark):
     df = spark.createDataFrame([(None, "a line of some length here"), (1, "a line of some length here"), (1, "a line of some length here"), (2, "a line of some length here")], "doc_id bigint, text string")
     out = [(r["doc_id"], r["n_removed"]) for r in linededup.dedup_lines(df).collect()]
