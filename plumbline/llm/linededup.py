@@ -1,8 +1,8 @@
 """Fuzzy duplicate lines by MinHash over character shingles.
 
 A line that has a word is a node, named by the hash of its bytes without outer
-ASCII spaces, so exact copies are one node from the start. Lines of at least 16
-characters get a one-permutation MinHash signature of their 8-character shingles
+ASCII spaces, so exact copies are one node from the start. Lines of at least 8
+characters, which have a shingle, get a one-permutation MinHash signature of their 8-character shingles
 (empty bins filled from the next bin), cut into 14 bands of 5 rows, which pairs
 lines of similarity 0.8 with a probability of 0.996. Band keys travel as packed
 8-byte values, once per task, only to find keys that two lines share; members of
@@ -30,7 +30,7 @@ from .unionfind import components_of_buckets, shared_cells, sketch_filter
 SHINGLE = 8
 SIMILARITY = 0.8
 BANDS, ROWS = 14, 5
-SHORTEST = 16
+SHORTEST = SHINGLE
 #: Distinct shingles per signature coordinate from which on a sketch may rule a line out;
 #: with fewer, coordinates are filled from others and agree or differ together.
 FILLED = 5

@@ -146,6 +146,14 @@ def test_sketches_lose_no_short_link():
     assert sum(b.num_rows for b in kept) == len(pairs)
 
 
+def test_short_lines_are_compared(spark):
+    """Lines of 8 to 16 characters, against the Jaccard similarity of their shingles."""
+    rows = [(1, "Read more now"), (2, "Read more now!"), (3, "Sign in to us"), (4, "Sign in to u"), (5, "fifteen letters"), (6, "fifteen letters."),
+            (7, "今天天气很好我们去公园吧"), (8, "今天天气很好我们去公园吧。"), (9, "abcdefgh"), (10, "abcdefgi"), (11, "abcdefg"), (12, "Read less now")]
+    out = linededup.dedup_lines(spark.createDataFrame(rows, "doc_id bigint, text string"))
+    assert {r["doc_id"] for r in out.collect() if r["n_removed"]} == {2, 4, 6, 8}
+
+
 def test_null_and_repeated_ids(spark):
     df = spark.createDataFrame([(None, "a line of some length here"), (1, "a line of some length here"), (1, "a line of some length here"), (2, "a line of some length here")], "doc_id bigint, text string")
     out = [(r["doc_id"], r["n_removed"]) for r in linededup.dedup_lines(df).collect()]
