@@ -31,10 +31,13 @@ def let(value: Column, body) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (spark.checkpoint.dir); a
-    temporary one is set only where the session names none, as in local tests."""
+    """The folder that driver and executors share (spark.checkpoint.dir). A temporary
+    one is set only where a local session names none, as in tests."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         named = tempfile.mkdtemp(prefix="plumbline-")
         spark.sparkContext.setCheckpointDir(named)
     return named

@@ -63,7 +63,7 @@ class _Templates(dict):
         return out
 
 
-def _windows(lengths: tuple[int, ...], literals: int, wanted: np.ndarray | None):
+def _windows(lengths: tuple[int, ...], literals: int, wanted: tuple[np.ndarray, int] | None):
     """(hash, id, at, n, values) per window; of documents only those that may match."""
     def run(batches):
         known = _Templates()
@@ -80,7 +80,7 @@ def _windows(lengths: tuple[int, ...], literals: int, wanted: np.ndarray | None)
                         continue
                     yes = sure[n:] - sure[:-n] >= min(literals, n - 1)
                     if wanted is not None:
-                        yes &= in_bitmap(wanted, h)
+                        yes &= in_bitmap(wanted[0], h, wanted[1])
                     for at in np.flatnonzero(yes):
                         out[0].append(h[at])
                         out[1].append(i)

@@ -48,24 +48,29 @@ def split_words(text: bytes | None) -> list[bytes]:
     return text.split() if text else []
 
 
-BITMAP_BITS = 1 << 23
+#: Bits of a bitmap per key, and the most bits of one: 64 MB.
+BITS_PER_KEY, MOST_BITS = 64, 1 << 29
 
 
-def bitmap(df: DataFrame, key: Column, bits: int = BITMAP_BITS) -> np.ndarray:
-    """A bitmap of `bits` bits, a power of two, with that of every long key set. It is
-    gathered as at most bits / 32768 rows of 4 kB (1 MB), whatever the number of keys."""
+def bitmap(df: DataFrame, key: Column) -> tuple[np.ndarray, int]:
+    """A bitmap with the bit of every long key set, and its number of bits: a power of two
+    that follows the number of keys up to MOST_BITS. It is gathered as rows of 4 kB."""
+    bits = 1 << 20
+    n = df.count()
+    while bits < min(n * BITS_PER_KEY, MOST_BITS):
+        bits *= 2
     place = key.bitwiseAND(F.lit(bits - 1)) + 1
     rows = (df.select(F.bitmap_bucket_number(place).alias("bucket"), F.bitmap_bit_position(place).alias("at"))
-            .groupBy("bucket").agg(F.bitmap_construct_agg("at").alias("bits")).collect())
+            .groupBy("bucket").agg(F.bitmap_construct_agg("at").alias("bits")))
     size = 32768 // 8
     out = np.zeros(bits // 8, dtype=np.uint8)
-    for r in rows:
+    for r in rows.collect():
         # places from 1 on have buckets from 1 on
         out[(r["bucket"] - 1) * size : r["bucket"] * size] = np.frombuffer(bytes(r["bits"]), dtype=np.uint8)
-    return out
+    return out, bits
 
 
-def in_bitmap(bits_set: np.ndarray, keys: np.ndarray, bits: int = BITMAP_BITS) -> np.ndarray:
+def in_bitmap(bits_set: np.ndarray, keys: np.ndarray, bits: int) -> np.ndarray:
     """Which int64 keys may be in the bitmap."""
     k = keys.astype(np.int64, copy=False) & (bits - 1)
     return (bits_set[k >> 3] >> (k & 7).astype(np.uint8)) & 1 > 0

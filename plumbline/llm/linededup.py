@@ -1,14 +1,14 @@
 """Fuzzy duplicate lines by MinHash over character shingles.
 
-A line that has a word is a node, named by the hash of its bytes without outer
-ASCII spaces, so exact copies are one node from the start. Lines of at least 8
-characters, which have a shingle, get a one-permutation MinHash signature of their 8-character shingles
-(empty bins filled from the next bin), cut into 14 bands of 5 rows, which pairs
-lines of similarity 0.8 with a probability of 0.996. Band keys travel as packed
-8-byte values, once per task, only to find keys that two lines share; members of
-shared keys whose signatures do not rule it out are then compared on all their
-shingles (exact Jaccard, 0.8 or more) and joined by distributed union-find. Of each component the first line by
-(doc_id, line number) stays; the others go, in the same document too.
+A line that has a word is named by 128 bits of the hash of its bytes without outer
+ASCII spaces, the first half of which is its node, so exact copies are one from the
+start. Lines of at least 8 characters, which have a shingle, get a one-permutation
+MinHash signature of their 8-character shingles (empty bins filled from the next bin),
+cut into 14 bands of 5 rows, which pairs lines of similarity 0.8 with a probability of
+0.996. Band keys travel as packed 8-byte values, once per task, only to find keys that
+two lines share. Members of shared keys are compared on all their shingles (exact
+Jaccard, 0.8 or more) and joined by distributed union-find. Of each component the first
+line by (doc_id, line number) stays; the others go, in the same document too.
 
 Lines without a word stay as they are. Null text stays null, a null doc_id leaves
 the row alone, rows that share a doc_id count as one document. A document of which
@@ -23,20 +23,17 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh, partitions, saved, table
+from .common import fresh, let, partitions, saved, table
 from .hashing import PRIME, U, bitmap, in_bitmap, mixed
-from .unionfind import components_of_buckets, shared_cells, sketch_filter
+from .unionfind import components, links_of_buckets
 
 SHINGLE = 8
 SIMILARITY = 0.8
 BANDS, ROWS = 14, 5
-SHORTEST = SHINGLE
-#: Distinct shingles per signature coordinate from which on a sketch may rule a line out;
-#: with fewer, coordinates are filled from others and agree or differ together.
-FILLED = 5
 #: Characters worked on at a time, and bytes of band keys a task gathers.
 CHUNK, CHUNK_LINES, GATHERED = 4_000_000, 200_000, 64 << 20
-KEY_BITS = 1 << 25
+#: Characters of lines whose shingles a task remembers while it compares pairs.
+REMEMBERED = 2_000_000
 
 
 def nodes_of(text: bytes) -> tuple[list[int], list[bytes]]:
@@ -50,8 +47,9 @@ def nodes_of(text: bytes) -> tuple[list[int], list[bytes]]:
     return at, lines
 
 
-def node(line: bytes) -> int:
-    return xxhash.xxh3_64_intdigest(line) - (1 << 63)
+def names(lines: list[bytes]) -> np.ndarray:
+    """(node, check) of every line: the halves of its 128-bit hash."""
+    return np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, lines)), np.int64).reshape(-1, 2)
 
 
 def shingles(lines: list[str], n: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -99,36 +97,39 @@ def band_keys(lines: list[str], bands: int = BANDS, rows: int = ROWS, n: int = S
     return key
 
 
-PACKED = "node array<long>, id array<long>, line array<int>, nodes binary, keys binary"
+PACKED = "node array<long>, check array<long>, id array<long>, line array<int>, nodes binary, keys binary"
 
 
-def _sign(shortest: int, bands: int, rows: int, n: int):
-    """One row per chunk of text: every line's node, document and number; and as packed
+def _sign(bands: int, rows: int, n: int):
+    """One row per chunk of text: every line's name, document and number; and as packed
     values the nodes and band keys of lines that are long enough, each once per task."""
     def run(batches):
-        done: set[int] = set()
+        done: set[bytes] = set()
         for batch in batches:
             found, owners, numbers, ids, lines, chars = [], [], [], [], [], 0
 
             def pack():
                 keys = band_keys(lines, bands, rows, n) if lines else np.empty(0, U)
-                return pa.RecordBatch.from_arrays([pa.array([found], pa.list_(pa.int64())), pa.array([owners], pa.list_(pa.int64())), pa.array([numbers], pa.list_(pa.int32())),
-                                                   pa.array([np.array(ids, np.int64).tobytes()], pa.binary()), pa.array([keys.tobytes()], pa.binary())], ["node", "id", "line", "nodes", "keys"])
+                name = np.frombuffer(b"".join(found), np.int64).reshape(-1, 2)
+                cols = [pa.array([x], pa.list_(pa.int64())) for x in (name[:, 0], name[:, 1], np.array(owners, np.int64))]
+                nodes = np.frombuffer(b"".join(ids), np.int64)[::2]
+                return pa.RecordBatch.from_arrays([*cols, pa.array([np.array(numbers, np.int32)], pa.list_(pa.int32())), pa.array([nodes.tobytes()], pa.binary()), pa.array([keys.tobytes()], pa.binary())],
+                                                  ["node", "check", "id", "line", "nodes", "keys"])
 
             for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 at, here = nodes_of(text or b"")
                 numbers += at
                 owners += [i] * len(at)
-                for line in here:
-                    x = node(line)
-                    found.append(x)
-                    if len(line) < shortest or x in done:
+                digests = list(map(xxhash.xxh3_128_digest, here))
+                found += digests
+                for x, line in zip(digests, here):
+                    if len(line) < n or x in done:
                         continue
                     if len(done) > 2_000_000:
                         done.clear()
                     done.add(x)
                     s = line.decode("utf-8", "replace")
-                    if len(s) >= max(n, shortest):
+                    if len(s) >= n:
                         ids.append(x)
                         lines.append(s)
                         chars += len(s)
@@ -141,15 +142,24 @@ def _sign(shortest: int, bands: int, rows: int, n: int):
     return run
 
 
+def packed_keys(nodes: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """48 bits of each band key and 16 of a hash of key and node. Two nodes that agree in
+    those 16 bits of one key differ in those of other keys."""
+    tag = mixed(keys ^ mixed(nodes.view(U))[:, None] * U(PRIME)) >> U(48)
+    return (keys & U(0xFFFFFFFFFFFF0000)) | tag
+
+
+def distinct(x: np.ndarray) -> np.ndarray:
+    x = np.sort(x)
+    return x[np.concatenate(([True], x[1:] != x[:-1]))] if len(x) else x
+
+
 def _keys_out(buckets: int, bands: int):
-    """(bucket, packed 48 bits of key and 16 of node): each once per batch."""
+    """(bucket, packed keys): each once per batch."""
     def run(batches):
         for batch in batches:
-            every = []
-            for nodes, keys in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                tag = mixed(np.frombuffer(nodes, np.int64).view(U)) & U(0xFFFF)
-                every.append(((np.frombuffer(keys, U).reshape(-1, bands) & U(0xFFFFFFFFFFFF0000)) | tag[:, None]).ravel())
-            packed = np.unique(np.concatenate(every)) if every else np.empty(0, U)
+            every = [packed_keys(np.frombuffer(nodes, np.int64), np.frombuffer(keys, U).reshape(-1, bands)).ravel() for nodes, keys in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
+            packed = distinct(np.concatenate(every)) if every else np.empty(0, U)
             cuts = np.searchsorted((packed >> U(32)) * U(buckets) >> U(32), np.arange(buckets + 1, dtype=U))
             rows = [(b, packed[i:j].tobytes()) for b, (i, j) in enumerate(zip(cuts[:-1], cuts[1:])) if j > i]
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], ["bucket", "packed"])
@@ -160,43 +170,31 @@ def _keys_out(buckets: int, bands: int):
 def _shared(batches):
     """Keys (without their low 16 bits) that two different nodes of a partition have."""
     every = [np.frombuffer(x, U) for batch in batches for x in batch.column(1).to_pylist()]
-    packed = np.unique(np.concatenate(every)) if every else np.empty(0, U)
-    key = packed >> U(16)
-    yield pa.RecordBatch.from_arrays([pa.array(np.unique(key[1:][key[1:] == key[:-1]]).astype(np.int64), pa.int64())], ["key"])
+    key = distinct(np.concatenate(every) if every else np.empty(0, U)) >> U(16)
+    yield pa.RecordBatch.from_arrays([pa.array(distinct(key[1:][key[1:] == key[:-1]]).astype(np.int64), pa.int64())], ["key"])
 
 
-def _members(wanted: np.ndarray, bands: int):
+def _members(wanted: np.ndarray, bits: int, bands: int):
     def run(batches):
         for batch in batches:
             for nodes, keys in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 key = (np.frombuffer(keys, U).reshape(-1, bands) >> U(16)).astype(np.int64)
-                line, band = np.nonzero(in_bitmap(wanted, key.ravel(), KEY_BITS).reshape(key.shape))
+                line, band = np.nonzero(in_bitmap(wanted, key.ravel(), bits).reshape(key.shape))
                 yield pa.RecordBatch.from_arrays([pa.array(key[line, band], pa.int64()), pa.array(np.frombuffer(nodes, np.int64)[line], pa.int64())], ["key", "node"])
 
     return run
 
 
-def _texts(wanted: np.ndarray, k: int, n: int):
-    """(node, text, sketch) of lines that may be wanted, each once per batch; the sketch of
-    a line with too few shingles is empty."""
-    def filled(s: str) -> bool:
-        m = len(s) - n + 1
-        return m >= FILLED * k and len({s[i : i + n] for i in range(m)}) >= FILLED * k
-
+def _texts(wanted: np.ndarray, bits: int, n: int):
+    """(node, check, text) of lines that may be wanted, each once per batch."""
     def run(batches):
         for batch in batches:
-            every = {}
-            for text in batch.column(0).to_pylist():
-                for line in nodes_of(text or b"")[1]:
-                    every[node(line)] = line
-            ids = np.fromiter(every, np.int64, len(every))
-            yes = np.flatnonzero(in_bitmap(wanted, ids)) if len(ids) else ids
-            lines = list(every.values())
-            found = [(int(ids[i]), s) for i in yes if len(s := lines[i].decode("utf-8", "replace")) >= n]
-            sketch, long = [b""] * len(found), [j for j, (_, s) in enumerate(found) if filled(s)]
-            for j, x in zip(long, mixed(signatures([found[j][1] for j in long], k, n)).astype(np.uint8) if long else ()):
-                sketch[j] = x.tobytes()
-            yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in found], pa.int64()), pa.array([s for _, s in found], pa.string()), pa.array(sketch, pa.binary())], ["node", "text", "sketch"])
+            lines = [line for text in batch.column(0).to_pylist() for line in nodes_of(text or b"")[1] if len(line) >= n]
+            name = names(lines)
+            yes = np.flatnonzero(in_bitmap(wanted, name[:, 0], bits)) if len(lines) else ()
+            found = {lines[i]: name[i] for i in yes}
+            node, check = (pa.array([x[k] for x in found.values()], pa.int64()) for k in (0, 1))
+            yield pa.RecordBatch.from_arrays([node, check, pa.array([x.decode("utf-8", "replace") for x in found], pa.string())], ["node", "check", "text"])
 
     return run
 
@@ -208,13 +206,18 @@ def _measured(n: int):
             return {s[i : i + n] for i in range(len(s) - n + 1)}
 
         for batch in batches:
-            known: dict[int, set[str]] = {}
+            known, chars = {}, 0
             out = [], [], []
             for x, y, s, t in zip(*(c.to_pylist() for c in batch.columns)):
-                p = known.get(x) or known.setdefault(x, parts(s))
-                q = known.get(y) or known.setdefault(y, parts(t))
-                if len(known) > 2000:
-                    known.clear()
+                if chars > REMEMBERED:
+                    known, chars = {}, 0
+                p, q = known.get(x), known.get(y)
+                if p is None:
+                    p = known[x] = parts(s)
+                    chars += len(s)
+                if q is None:
+                    q = known[y] = parts(t)
+                    chars += len(t)
                 for col, value in zip(out, (len(p & q), len(p), len(q))):
                     col.append(value)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c, pa.int32()) for c in out)], ["a", "b", "common", "na", "nb"])
@@ -222,69 +225,53 @@ def _measured(n: int):
     return run
 
 
-def _prints(n: int):
-    """(node, prints): the distinct shingles of each line as 32-bit values."""
-    def run(batches):
-        for batch in batches:
-            lines = batch.column(1).to_pylist()
-            h, owner = shingles(lines, n)
-            ends = np.searchsorted(owner, np.arange(len(lines) + 1))
-            prints = [np.unique((h[a:b] >> U(32)).astype(np.uint32)).view(np.int32) for a, b in zip(ends[:-1], ends[1:])]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints, pa.list_(pa.int32()))], ["node", "prints"])
+def _cells(n: int):
+    """The distinct shingles of lines, as 64-bit hashes."""
+    def of(lines: list[str]) -> list[np.ndarray]:
+        h, owner = shingles(lines, n)
+        ends = np.searchsorted(owner, np.arange(len(lines) + 1))
+        return [np.unique(h[a:b]) for a, b in zip(ends[:-1], ends[1:])]
 
-    return run
+    return of
 
 
-def signed_lines(docs: DataFrame, id_col: str, text_col: str, bands: int = BANDS, rows: int = ROWS, n: int = SHINGLE, shortest: int = SHORTEST) -> DataFrame:
+def signed_lines(docs: DataFrame, id_col: str, text_col: str, bands: int = BANDS, rows: int = ROWS, n: int = SHINGLE) -> DataFrame:
     raw = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text")).where("id is not null and text is not null")
-    return saved(raw.mapInArrow(_sign(shortest, bands, rows, n), PACKED), "signed")
+    return saved(raw.mapInArrow(_sign(bands, rows, n), PACKED), "signed")
 
 
-def line_components(docs: DataFrame, signed: DataFrame, text_col: str, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, n: int = SHINGLE) -> DataFrame | None:
-    """(node, component) of lines that have near copies, other than exact ones."""
+def line_components(docs: DataFrame, signed: DataFrame, text_col: str, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, n: int = SHINGLE) -> DataFrame:
+    """(node, check, component) of lines that have near copies, other than exact ones."""
     spark = docs.sparkSession
     signed = signed.select("nodes", "keys")
     volume = signed.agg(F.sum(F.length("keys"))).head()[0] or 0
     parts = max(partitions(spark), -(-volume // GATHERED))
     shared = signed.mapInArrow(_keys_out(4 * parts, bands), "bucket int, packed binary").repartition(parts, "bucket").mapInArrow(_shared, "key long")
     shared = saved(shared, "shared")
-    found = signed.mapInArrow(_members(bitmap(shared, F.col("key"), KEY_BITS), bands), "key long, node long")
+    found = signed.mapInArrow(_members(*bitmap(shared, F.col("key")), bands), "key long, node long")
     members = saved(found.distinct().join(shared, "key"), "members")
     texts = docs.select(F.col(text_col).cast("binary").alias("text")).where("text is not null")
-    lines = texts.mapInArrow(_texts(bitmap(members.select("node").distinct(), F.col("node")), bands * rows, n), "node long, text string, sketch binary")
-    of = {"lines": saved(lines.dropDuplicates(["node"]), "lines")}
-
-    def narrow(nodes: DataFrame) -> None:
-        of["lines"] = saved(of["lines"].join(nodes, "node", "left_semi"), "lines")
-
-    def sides(pairs: DataFrame, name: str) -> DataFrame:
-        pairs = pairs.join(of["lines"].select(F.col("node").alias("a"), F.col(name).alias("pa")), "a").join(of["lines"].select(F.col("node").alias("b"), F.col(name).alias("pb")), "b")
-        return pairs.select("a", "b", "pa", "pb")
+    lines = texts.mapInArrow(_texts(*bitmap(members.select("node").distinct(), F.col("node")), n), "node long, check long, text string")
+    lines = saved(lines.dropDuplicates(["node"]), "lines")
 
-    def measured(pairs: DataFrame, every: bool) -> DataFrame:
-        if not every:
-            pairs = sides(pairs, "sketch").mapInArrow(sketch_filter(similarity), "a long, b long")
-        return sides(pairs, "text").mapInArrow(_measured(n), "a long, b long, common int, na int, nb int")
+    def measured(pairs: DataFrame) -> DataFrame:
+        pairs = pairs.join(lines.select(F.col("node").alias("a"), F.col("text").alias("pa")), "a").join(lines.select(F.col("node").alias("b"), F.col("text").alias("pb")), "b")
+        return pairs.select("a", "b", "pa", "pb").mapInArrow(_measured(n), "a long, b long, common int, na int, nb int")
 
-    def shared(nodes: DataFrame) -> DataFrame:
-        texts = of["lines"].join(nodes, "node", "left_semi").select("node", "text")
-        return shared_cells(texts.mapInArrow(_prints(n), "node long, prints array<int>"), "prints")
-
-    return components_of_buckets(members, measured, similarity, shared, narrow)
+    links = links_of_buckets(members, measured, lines.select("node", "text"), _cells(n), similarity)
+    return saved(components(links).join(lines.select("node", "check"), "node"), "components")
 
 
 def removed_lines(docs: DataFrame, id_col: str, text_col: str, similarity: float = SIMILARITY, **shape) -> DataFrame:
     """(id, gone): the numbers of the lines to remove, for documents that lose any."""
     signed = signed_lines(docs, id_col, text_col, **shape)
-    lines = signed.select(F.inline(F.arrays_zip("node", "id", "line")))
-    first = saved(lines.groupBy("node").agg(F.min(F.struct("id", "line")).alias("first"), F.count("*").alias("n")), "first")
+    lines = signed.select(F.inline(F.arrays_zip("node", "check", "id", "line")))
     comp = line_components(docs.where(F.col(id_col).isNotNull()), signed, text_col, similarity, shape.get("bands", BANDS), shape.get("rows", ROWS), shape.get("n", SHINGLE))
-    own = first.where("n > 1").select("node", "first")
-    if comp is not None:
-        grouped = first.join(comp, "node")
-        heads = grouped.groupBy("component").agg(F.min("first").alias("first"))
-        own = own.join(comp, "node", "left_anti").unionByName(comp.join(heads, "component").select("node", "first"))
-    goes = lines.join(own, "node").where("id <> first.id or line <> first.line")
+    first = lines.groupBy("node", "check").agg(F.min(F.struct("id", "line")).alias("first"), F.count("*").alias("n"))
+    first = saved(first.join(comp, ["node", "check"], "left").where("n > 1 or component is not null"), "first")
+    heads = first.where("component is not null").groupBy("component").agg(F.min("first").alias("head"))
+    own = first.join(heads, "component", "left").select("node", "check", F.coalesce("head", "first").alias("first"))
+    goes = lines.join(own, ["node", "check"]).where("id <> first.id or line <> first.line")
     return goes.groupBy("id").agg(F.collect_set("line").alias("gone"))
 
 
@@ -292,12 +279,16 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """docs with the text of its kept lines, and n_lines (with a word) and n_removed."""
     gone = saved(removed_lines(docs, id_col, text_col, **options), "gone")
     key, which = fresh(docs, "__id", "__gone")
-    out = docs.join(gone.select(F.col("id").alias(key), F.col("gone").alias(which)), F.col(id_col) == F.col(key), "left")
-    lines = F.split(F.col(text_col), "\n")
-    left = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains(F.col(which), i)), "\n")
+    # texts travel to what they lose at every size: one plan, whose cost follows the input
+    out = docs.join(gone.select(F.col("id").alias(key), F.col("gone").alias(which)).hint("merge"), F.col(id_col) == F.col(key), "left")
+
+    def left(lines):
+        stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(which))
+        return F.array_join(F.transform(stay, lambda i: F.get(lines, i)), "\n")
+
     n_lines, n_removed = fresh(docs, "n_lines", "n_removed")
-    had = F.size(F.filter(lines, lambda x: F.length(F.btrim(x, F.lit(" \t\n\x0b\x0c\r"))) > 0))
-    kept = F.when(F.col(which).isNull(), F.col(text_col)).otherwise(left)
+    had = F.size(F.filter(F.split(F.col(text_col), "\n"), lambda x: F.length(F.btrim(x, F.lit(" \t\n\x0b\x0c\r"))) > 0))
+    kept = F.when(F.col(which).isNull(), F.col(text_col)).otherwise(let(F.split(F.col(text_col), "\n"), left))
     return out.select(*[kept.alias(c) if c == text_col else F.col(c) for c in docs.columns],
                       F.when(F.col(text_col).isNull(), 0).otherwise(had).cast("long").alias(n_lines), F.when(F.col(which).isNull(), 0).otherwise(F.size(which)).cast("long").alias(n_removed))
 

@@ -9,13 +9,10 @@ Jaccard similarity. Darts are thrown only up to the time by which all coordinate
 are expected to be hit, k (ln k + 4) of them however large the document.
 
 Bands of the signature are joined. Texts with equal shingles are one node. Small
-band buckets are compared pair by pair, exactly and on all shingles. In large ones
-the best connected member leads and is compared with the others; then those whose
-counts of shared shingles rule out any link leave, and the rest are compared with the
-fellows they may still be linked to. So no link that any bucket holds is lost, while a
-bucket of n copies costs n comparisons, not n * n. Pairs whose signatures agree so
-little that a similarity of 0.8 is out of reach (four standard deviations) are not
-compared in full.
+band buckets are compared pair by pair, exactly and on all shingles (as 64-bit hashes).
+In large ones the best connected member leads and is compared with the others, and who
+is not linked to it with all fellows, block by block. So no link that any bucket holds
+is lost, while a bucket of n copies costs n comparisons, not n * n.
 
 Texts of one to four words have one shingle, the whole text. Null, empty and blank
 texts have none: each is a class of its own. Rows that share a doc_id share a
@@ -32,7 +29,7 @@ from pyspark.sql import functions as F
 
 from .common import fresh, saved, table
 from .hashing import PRIME, U, WordHashes, bitmap, in_bitmap, mixed, split_words, windows
-from .unionfind import components_of_buckets, shared_cells, sketch_filter
+from .unionfind import components, links_of_buckets
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -101,73 +98,58 @@ def _sign(bands: int, rows: int, n: int):
                 sizes = np.array([len(c) for c in made])
                 has = np.flatnonzero(sizes)
                 keys = np.broadcast_to(salt, (len(has), bands)).copy()
-                sig = np.empty((0, 1, 1), dtype=U)
                 if len(has):
                     sig = signatures(np.concatenate(made), sizes[has], bands * rows).reshape(len(has), bands, rows)
                     for j in range(rows):
                         keys = mixed(keys * U(PRIME) + sig[:, :, j])
                 listed = iter(keys.view(np.int64))
-                sketch = iter((sig.reshape(len(has), -1) >> U(24)).astype(np.uint8))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, at - start), pa.array(sizes, pa.int64()), pa.array([xxhash.xxh3_128_digest(c.tobytes()) if len(c) else None for c in made], pa.binary()),
-                                                  pa.array([next(listed) if m else None for m in sizes], pa.list_(pa.int64())), pa.array([next(sketch).tobytes() if m else None for m in sizes], pa.binary())], ["id", "size", "content", "bands", "sketch"])
+                                                  pa.array([next(listed) if m else None for m in sizes], pa.list_(pa.int64()))], ["id", "size", "content", "bands"])
 
     return run
 
 
-def _fingerprints(wanted: np.ndarray, n: int):
-    """(node, fingerprints): the cells as 32-bit values, of documents that may be wanted."""
+def _prints(wanted: np.ndarray, bits: int, n: int):
+    """(node, prints): the cells of documents that may be wanted."""
     def run(batches):
         known = WordHashes()
         for batch in batches:
             ids = batch.column(0)
-            maybe = np.flatnonzero(in_bitmap(wanted, ids.to_numpy(zero_copy_only=False)))
+            maybe = np.flatnonzero(in_bitmap(wanted, ids.to_numpy(zero_copy_only=False), bits))
             texts = batch.column(1).take(pa.array(maybe))
-            prints = [np.unique((cells(known.of(split_words(t)), n) >> U(32)).astype(np.uint32)).view(np.int32) for t in texts.to_pylist()]
-            yield pa.RecordBatch.from_arrays([ids.take(pa.array(maybe)), pa.array(prints, pa.list_(pa.int32()))], ["node", "prints"])
+            prints = [np.unique(cells(known.of(split_words(t)), n)).view(np.int64) for t in texts.to_pylist()]
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(maybe)), pa.array(prints, pa.list_(pa.int64()))], ["node", "prints"])
 
     return run
 
 
 def signed(docs: DataFrame, id_col: str, text_col: str, bands: int = BANDS, rows: int = ROWS, n: int = SHINGLE) -> DataFrame:
     raw = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text"))
-    return raw.mapInArrow(_sign(bands, rows, n), "id long, size long, content binary, bands array<long>, sketch binary")
+    return raw.mapInArrow(_sign(bands, rows, n), "id long, size long, content binary, bands array<long>")
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, n: int = SHINGLE) -> DataFrame:
     """(id, class_id, n_shingles) per row of docs; class_id is the smallest id of the class."""
     sig = saved(signed(docs, id_col, text_col, bands, rows, n), "signatures")
     known = sig.where("id is not null and content is not null")
-    contents = saved(known.groupBy("content").agg(F.min("id").alias("node"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")), "contents")
+    contents = saved(known.groupBy("content").agg(F.min("id").alias("node"), F.first("bands").alias("bands")), "contents")
     keyed = contents.select(F.explode("bands").alias("key"), "node")
     # a bucket's rows are kept if it has more than one node
     shared = keyed.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("key")
     members = saved(keyed.join(shared, "key"), "members")
-    wanted = bitmap(members.select("node").distinct(), F.col("node"))
     raw = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text")).where("id is not null")
-    prints = saved(raw.mapInArrow(_fingerprints(wanted, n), "node long, prints array<int>"), "prints")
-    sketches = contents.join(members.select("node").distinct(), "node", "left_semi").select("node", "sketch")
-    of = {"sketch": saved(sketches, "sketches"), "prints": prints}
-
-    def narrow(nodes: DataFrame) -> None:
-        for name, df in of.items():
-            of[name] = saved(df.join(nodes, "node", "left_semi"), name)
-
-    def sides(pairs: DataFrame, name: str) -> DataFrame:
-        pairs = pairs.join(of[name].select(F.col("node").alias("a"), F.col(name).alias("pa")), "a")
-        return pairs.join(of[name].select(F.col("node").alias("b"), F.col(name).alias("pb")), "b")
-
-    def measured(pairs: DataFrame, every: bool) -> DataFrame:
-        if not every:
-            pairs = sides(pairs, "sketch").select("a", "b", "pa", "pb").mapInArrow(sketch_filter(similarity), "a long, b long")
-        both = sides(pairs, "prints")
+    wanted = bitmap(members.select("node").distinct(), F.col("node"))
+    # rows that share an id: each of its texts is a node of the same number, the largest stands for it
+    prints = raw.mapInArrow(_prints(*wanted, n), "node long, prints array<long>").groupBy("node").agg(F.max_by("prints", F.size("prints")).alias("prints"))
+    prints = saved(prints, "prints")
+
+    def measured(pairs: DataFrame) -> DataFrame:
+        both = pairs.join(prints.select(F.col("node").alias("a"), F.col("prints").alias("pa")), "a").join(prints.select(F.col("node").alias("b"), F.col("prints").alias("pb")), "b")
         return both.select("a", "b", F.size(F.array_intersect("pa", "pb")).alias("common"), F.size("pa").alias("na"), F.size("pb").alias("nb"))
 
-    comp = components_of_buckets(members, measured, similarity, lambda nodes: shared_cells(of["prints"].join(nodes, "node", "left_semi"), "prints"), narrow)
-    root = contents.select("content", "node")
-    if comp is not None:
-        root = root.join(comp, "node", "left").select("content", F.coalesce("component", "node").alias("root"))
-    else:
-        root = root.withColumnRenamed("node", "root")
+    links = links_of_buckets(members, measured, prints, lambda found: [np.array(x, np.int64) for x in found], similarity)
+    comp = saved(components(links), "components")
+    root = contents.select("content", "node").join(comp, "node", "left").select("content", F.coalesce("component", "node").alias("root"))
     out = sig.join(root, "content", "left")
     return out.select("id", F.coalesce("root", "id").alias("class_id"), F.col("size").alias("n_shingles"))
 

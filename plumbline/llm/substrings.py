@@ -37,7 +37,6 @@ WINDOW, ANCHOR = 13, 6
 BATCHES, FANOUT = 3, 2
 #: Characters of text per bucket of the index, for choosing their number.
 BUCKET_CHARS = 64 << 20
-ANCHOR_BITS = 1 << 25
 
 
 def fingerprints(hashes: np.ndarray, n: int = WINDOW, a: int = ANCHOR) -> tuple[np.ndarray, np.ndarray]:
@@ -66,7 +65,7 @@ def _anchors(n: int, a: int):
     return run
 
 
-def _candidates(anchors: np.ndarray, docs: np.ndarray | None, n: int, a: int):
+def _candidates(anchors: tuple[np.ndarray, int], docs: tuple[np.ndarray, int] | None, n: int, a: int):
     """(key, doc, at, sure) of windows under shared anchors. Of equal windows in a batch
     only those of the first document keep their key; later ones are removed for sure.
     With docs, a bitmap, these are documents of history, of which no window is removed."""
@@ -74,11 +73,11 @@ def _candidates(anchors: np.ndarray, docs: np.ndarray | None, n: int, a: int):
         known = WordHashes()
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
-            which = np.arange(len(ids)) if docs is None else np.flatnonzero(in_bitmap(docs, ids))
+            which = np.arange(len(ids)) if docs is None else np.flatnonzero(in_bitmap(docs[0], ids, docs[1]))
             keys, owner, places = [np.empty(0, U)], [np.empty(0, np.int64)], [np.empty(0, np.int32)]
             for i, text in zip(ids[which], batch.column(1).take(pa.array(which)).to_pylist()):
                 key, low = fingerprints(known.of(split_words(text)), n, a)
-                at = np.flatnonzero(in_bitmap(anchors, low.view(np.int64), ANCHOR_BITS)) if len(key) else np.empty(0, np.int64)
+                at = np.flatnonzero(in_bitmap(anchors[0], low.view(np.int64), anchors[1])) if len(key) else np.empty(0, np.int64)
                 keys.append(key[at])
                 owner.append(np.full(len(at), i, np.int64))
                 places.append(at.astype(np.int32))
@@ -133,7 +132,7 @@ class FingerprintIndex:
             met = run.join(old.hint("merge"), "anchor", "left_semi").select("anchor")
             across = met if across is None else across.unionByName(met)
         shared = saved(inside if across is None else inside.unionByName(across.distinct()), "shared")
-        anchors = bitmap(shared, F.col("anchor"), ANCHOR_BITS)
+        anchors = bitmap(shared, F.col("anchor"))
         schema = "key long, doc long, at int, sure boolean"
         rows = batch.mapInArrow(_candidates(anchors, None, self.n, self.a), schema)
         if olds:
@@ -174,12 +173,12 @@ def kept_words(ws: list[bytes], starts: np.ndarray, n: int = WINDOW) -> list[byt
     return [ws[i] for i in np.flatnonzero(np.cumsum(edge[:-1]) == 0)]
 
 
-def _hit(documents: np.ndarray):
+def _hit(documents: tuple[np.ndarray, int]):
     """Documents that lose nothing get their digest at once; the others keep their text."""
     def run(batches):
         for batch in batches:
             ids = batch.column(0)
-            maybe = in_bitmap(documents, ids.fill_null(0).to_numpy(zero_copy_only=False)) & ids.is_valid().to_numpy(zero_copy_only=False)
+            maybe = in_bitmap(documents[0], ids.fill_null(0).to_numpy(zero_copy_only=False), documents[1]) & ids.is_valid().to_numpy(zero_copy_only=False)
             texts, counts, shas = [], [], []
             for text, later in zip(batch.column(1).to_pylist(), maybe):
                 ws = split_words(text)

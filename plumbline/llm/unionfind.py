@@ -1,13 +1,17 @@
-"""Connected components of an edge table by alternating large-star and small-star
-steps. Labels never leave the executors; each round is a partial minimum per node
-and a join that Spark may split where a node has very many neighbours. Rounds are
-written to the shared folder, so a lost executor costs one round at most."""
+"""Links among the members of shared buckets, and their connected components.
+
+Components come from alternating large-star and small-star steps. Labels never leave
+the executors; each round is a partial minimum per node and a join that Spark may split
+where a node has very many neighbours. Rounds are written to the shared folder, so a
+lost executor costs one round at most."""
 
 from __future__ import annotations
 
+from itertools import groupby
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import saved
@@ -25,145 +29,107 @@ def components(edges: DataFrame) -> DataFrame:
         small = large.join(lowest, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         e = saved(small.unionByName(lowest.select("u", F.col("m").alias("v"))).distinct(), "edges")
         # stars: every node points at one root, and no root points anywhere
-        if e.join(e.select(F.col("u").alias("v")).distinct(), "v", "left_semi").isEmpty() and e.groupBy("u").count().where("count > 1").isEmpty():
+        inner = e.join(e.select(F.col("u").alias("v")).distinct(), "v", "left_semi").select("u")
+        if inner.unionByName(e.groupBy("u").count().where("count > 1").select("u")).isEmpty():
             break
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 
 
-def _joined(comp: DataFrame | None, links: DataFrame) -> DataFrame:
-    """comp after further links: their components are found among components only."""
-    if comp is None:
-        return components(links)
-    of = comp.withColumnRenamed("component", "c")
-    for side in ("a", "b"):
-        links = links.join(of.withColumnRenamed("node", side), side, "left").withColumn(side, F.coalesce("c", side)).drop("c")
-    moved = saved(components(links), "moved")
-    kept = comp.join(moved.select(F.col("node").alias("component"), F.col("component").alias("to")), "component", "left").select("node", F.coalesce("to", "component").alias("component"))
-    return kept.unionByName(moved.join(comp.select("node"), "node", "left_anti"))
+#: Members up to which a bucket is compared pair by pair.
+FEW = 8
+#: Cells of a block of members that are compared with those of another block in one task.
+BLOCK_CELLS = 200_000
 
 
-FEW = 8
+def _pairs_of_few(members: DataFrame) -> DataFrame:
+    """All pairs of buckets with at most FEW members, each list being that short."""
+    few = members.where(F.col("n") <= FEW).groupBy("key").agg(F.sort_array(F.collect_set("node")).alias("l")).select("l").distinct()
+    a = few.select("l", F.posexplode("l").alias("i", "a"))
+    return a.select("a", F.explode(F.slice("l", F.col("i") + 2, FEW)).alias("b"))
+
 
+def _compared(cells, t: float):
+    """(a, b): links between the rows of a unit, fewest that join what is linked. Rows are
+    sorted by unit; `own` ones are compared with all of the unit, `joined` ones are known to
+    be in one component. cells(payloads) gives the distinct cells of each."""
+    def links(rows: list[tuple]) -> list[tuple[int, int]]:
+        nodes, joined, own = ([r[i] for r in rows] for i in (3, 4, 5))
+        sets = cells([r[6] for r in rows])
+        sizes = np.array([len(x) for x in sets])
+        starts = np.cumsum(sizes) - sizes
+        flat = np.unique(np.concatenate(sets), return_inverse=True)[1].ravel()
+        mark = np.zeros(int(flat.max()) + 1, np.int32)
+        group = np.arange(len(rows))
+        group[np.array(joined)] = int(np.argmax(joined)) if any(joined) else 0
+        found = []
+        for k in np.flatnonzero(own):
+            mine = flat[starts[k] : starts[k] + sizes[k]]
+            mark[mine] = 1
+            common = np.add.reduceat(mark[flat], starts)
+            mark[mine] = 0
+            for j in np.flatnonzero(common >= t * (sizes + sizes[k])):
+                if group[j] != group[k]:
+                    group[group == group[j]] = group[k]
+                    found.append((nodes[k], nodes[j]))
+        return found
 
-def sketch_filter(similarity: float):
-    """Of (a, b, pa, pb), the sketches having a byte per signature coordinate, the pairs
-    (a, b) that agree in as many as a similarity this high gives but for four standard
-    deviations. Coordinates must be independent; an empty sketch rules nothing out."""
     def run(batches):
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            sides = [batch.column(i).to_pylist() for i in (2, 3)]
-            yes = np.array([not x or not y for x, y in zip(*sides)])
-            both = np.flatnonzero(~yes)
-            if len(both):
-                p, q = (np.frombuffer(b"".join(side[i] for i in both), np.uint8).reshape(len(both), -1) for side in sides)
-                least = similarity - 4 * (similarity * (1 - similarity) / p.shape[1]) ** 0.5
-                yes[both] = (p == q).mean(axis=1) >= least
-            yes = pa.array(yes)
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(yes), batch.column(1).filter(yes)], ["a", "b"])
+        rows = (row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns)))
+        for _, unit in groupby(rows, key=lambda r: r[:3]):
+            if found := links(list(unit)):
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found)], ["a", "b"])
 
     return run
 
 
-def shared_cells(nodes: DataFrame, cells: str) -> DataFrame:
-    """(node, c): how many of a node's distinct cells, an array, some other node has too."""
-    cell = nodes.select("node", F.explode(cells).alias("cell"))
-    several = cell.groupBy("cell").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("cell")
-    return cell.join(several, "cell").groupBy("node").agg(F.count("*").alias("c"))
+def _units(led: DataFrame) -> DataFrame:
+    """(leader, p, q, node, joined, own) for led(leader, node, size, joined): where members
+    are compared. A group of up to BLOCK_CELLS cells is one unit. Of a larger one those not
+    joined to the leader make blocks, each of which meets every block of the group."""
+    of = led.groupBy("leader").agg(F.sum("size").alias("cells"), F.sum(F.when(~F.col("joined"), F.col("size"))).alias("loose"), F.count(F.when(~F.col("joined"), 1)).alias("n")).where("n > 0")
+    one = F.col("cells") <= BLOCK_CELLS
 
+    def blocks(cells: Column) -> Column:
+        return F.ceil(cells / BLOCK_CELLS).cast("int")
 
-def _pairs_of_few(members: DataFrame) -> DataFrame:
-    """All pairs of buckets with at most FEW members, each list being that short."""
-    few = members.where(F.col("n") <= FEW).groupBy("key").agg(F.sort_array(F.collect_set("node")).alias("l"))
-    a = few.select("l", F.posexplode("l").alias("i", "a"))
-    return a.select("a", F.explode(F.slice("l", F.col("i") + 2, FEW)).alias("b"))
+    rows = led.join(of, "leader").withColumn("h", F.xxhash64("node")).withColumn("a", F.when(one, 1).otherwise(blocks(F.col("loose"))))
+    rows = rows.withColumn("b", F.when(one, 0).otherwise(blocks(F.col("cells") - F.col("loose"))))
+    at = F.pmod("h", F.when(F.col("joined"), F.greatest("b", F.lit(1))).otherwise(F.col("a"))).cast("int")
+    rows = rows.withColumn("at", at)
+    loose = F.transform(F.sequence(F.lit(0), F.col("a") + F.col("b") - 1), lambda x: F.struct(F.when(x < F.col("a"), F.least(x, F.col("at"))).otherwise(F.col("at")).alias("p"), F.when(x < F.col("a"), F.greatest(x, F.col("at"))).otherwise(x).alias("q")))
+    firm = F.when(one, F.array(F.struct(F.lit(0).alias("p"), F.lit(0).alias("q")))).otherwise(F.transform(F.sequence(F.lit(0), F.col("a") - 1), lambda x: F.struct(x.alias("p"), (F.col("a") + F.col("at")).alias("q"))))
+    unit = rows.select("leader", "node", "joined", "at", F.explode(F.when(F.col("joined"), firm).otherwise(loose)).alias("u"))
+    return unit.select("leader", "u.p", "u.q", "node", "joined", (~F.col("joined") & (F.col("u.p") == F.col("at"))).alias("own"))
 
 
-def components_of_buckets(members: DataFrame, measured, similarity: float, shared, narrow, leaders: int = 8) -> DataFrame | None:
-    """(node, component) of the nodes that have links, from distinct members(key, node);
-    None if there are no links.
+def links_of_buckets(members: DataFrame, measured, nodes: DataFrame, cells, similarity: float) -> DataFrame:
+    """(a, b): pairs of nodes of Jaccard similarity `similarity` or more which connect all
+    that are linked inside a bucket, from distinct members(key, node).
 
-    measured(pairs(a, b), a < b, every) gives (a, b, common, na, nb): how much two nodes
-    have in common and their sizes. Without `every` it may leave out pairs that a sketch
-    rules out. A link is a pair of Jaccard similarity `similarity` or more.
+    measured(pairs(a, b), a < b) gives (a, b, common, na, nb): how many cells two nodes have
+    in common and how many each has. nodes is (node, payload), and cells(payloads) turns
+    payloads into arrays of distinct cells.
 
     Buckets of at most FEW members are compared pair by pair. In a larger one the member
-    with most fellows leads and is measured against the others. Whoever is not joined to
-    the leader by then may still have a link to a fellow, but only if what both share
-    with the leader, and the lesser of what they have besides, suffice for it. Where that
-    leaves some, shared(nodes) tells how much of each (node, c) any other of these nodes
-    has, as nothing else can be besides. The few that pass lead in turn, at most `leaders`
-    times the members of their groups being paired in a round, until none is left. So a
-    group of n copies makes about n pairs, and no link in a bucket is lost.
-
-    narrow(nodes) says that only these nodes will be measured from then on."""
+    with most fellows leads and is measured against the others. Those not linked to it are
+    then compared with all fellows, block by block, each block being one task's work; what is
+    linked to the leader already needs no more comparing. So a group of n copies makes n
+    pairs, nothing is emitted per pair of a group, and no link that a bucket holds is lost."""
     t = similarity / (1 + similarity)
-
-    def links_of(m: DataFrame) -> DataFrame:
-        return m.where(F.col("common") >= t * (F.col("na") + F.col("nb"))).select("a", "b")
-
-    def ordered(x, y) -> list:
-        return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
-
     counted = members.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     members = saved(members.join(counted, "key"), "members")
-    links = saved(links_of(measured(_pairs_of_few(members).distinct(), False)), "links")
     large = members.where(F.col("n") > FEW)
     degree = large.groupBy("node").agg(F.sum("n").alias("degree"))
     large = saved(large.join(degree, "node").select("key", "node", "degree"), "large")
-    if large.isEmpty():
-        return None if links.isEmpty() else saved(components(links), "components")
     first = large.groupBy("key").agg(F.max(F.struct("degree", "node")).alias("top")).select("key", F.col("top.node").alias("leader"))
-    led = saved(large.join(first, "key").where("node <> leader").select("node", "leader").distinct(), "led")
-    m = saved(measured(led.select(*ordered("node", "leader")).distinct(), True), "measured")
-    links = links.unionByName(links_of(m))
-    comp = None if links.isEmpty() else saved(components(links), "components")
-
-    def with_comp(df: DataFrame, node: str, name: str) -> DataFrame:
-        if comp is None:
-            return df.withColumn(name, F.col(node))
-        return df.join(comp.select(F.col("node").alias(node), F.col("component").alias(name)), node, "left").withColumn(name, F.coalesce(name, node))
-
-    of = m.select(F.col("a").alias("node"), F.col("b").alias("leader"), "common", F.col("na").alias("size"), F.col("nb").alias("leader_size"))
-    of = of.unionByName(m.select(F.col("b").alias("node"), F.col("a").alias("leader"), "common", F.col("nb").alias("size"), F.col("na").alias("leader_size")))
-    rest = led.join(of, ["node", "leader"]).select("leader", "node", "common", "size", (F.col("size") - F.col("common")).alias("besides"))
-
-    def possible(rest: DataFrame) -> DataFrame:
-        """The members of groups with somebody outside the leader's component who may have
-        a link: a fellow is as small as the group's smallest, and has besides what the
-        most has."""
-        best = rest.groupBy("leader").agg(F.min("size").alias("smallest"), F.max("besides").alias("most"))
-        may = rest.join(best, "leader").where(F.col("common") + F.least("besides", "most") >= t * (F.col("size") + F.col("smallest"))).select(*rest.columns)
-        may = saved(may, "may")
-        outside = with_comp(with_comp(may, "node", "comp"), "leader", "group_comp").where("comp <> group_comp").select("leader").distinct()
-        return saved(may.join(outside, "leader", "left_semi"), "open")
-
-    rest = possible(rest)
-    if rest.isEmpty():
-        return comp
-    nodes = saved(rest.select("node").union(rest.select("leader")).distinct(), "nodes")
-    narrow(nodes)
-    # leaders are among the nodes, so what is common with them counts as shared
-    has = rest.join(shared(nodes), "node", "left").withColumn("besides", F.least("besides", F.greatest(F.coalesce("c", F.lit(0)) - F.col("common"), F.lit(0))))
-    rest = possible(has.select(*rest.columns))
-    most = rest.count()
-    tried = None
-    while True:
-        now = saved(with_comp(with_comp(rest, "node", "comp"), "leader", "group_comp"), "now")
-        minor = now.where("comp <> group_comp")
-        if tried is not None:
-            minor = minor.join(tried, ["leader", "node"], "left_anti")
-        minor = saved(minor, "minor")
-        left = minor.count()
-        if not left:
-            return comp
-        slot = F.pmod(F.xxhash64("node"), F.lit(max(1, leaders * max(1, most // left))))
-        tops = saved(minor.groupBy("leader", slot.alias("slot")).agg(F.max(F.struct("besides", "node", "common", "size", "comp")).alias("s")).select("leader", F.col("s.node").alias("top"), F.col("s.common").alias("top_common"), F.col("s.size").alias("top_size"), F.col("s.besides").alias("top_besides"), F.col("s.comp").alias("top_comp")), "tops")
-        enough = (F.least("common", "top_common") + F.least("besides", "top_besides") >= t * (F.col("size") + F.col("top_size"))) & (F.col("comp") != F.col("top_comp"))
-        pairs = now.alias("n").join(tops.alias("t"), (F.col("n.leader") == F.col("t.leader")) & enough).select(*ordered("n.node", "t.top")).distinct()
-        found = saved(links_of(measured(pairs, False)), "links")
-        if not found.isEmpty():
-            comp = saved(_joined(comp, found), "components")
-        done = tops.select("leader", F.col("top").alias("node"))
-        tried = done if tried is None else tried.unionByName(done)
+    led = saved(large.join(first, "key").where("node <> leader").select("leader", "node").distinct(), "led")
+    pairs = _pairs_of_few(members).unionByName(led.select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b"))).distinct()
+    m = saved(measured(pairs), "measured")
+    links = F.col("common") >= t * (F.col("na") + F.col("nb"))
+    both = m.select(F.col("a").alias("leader"), F.col("b").alias("node"), F.col("nb").cast("long").alias("size"), links.alias("joined"))
+    both = both.unionByName(m.select(F.col("b").alias("leader"), F.col("a").alias("node"), F.col("na").cast("long").alias("size"), links.alias("joined")))
+    units = _units(saved(led.join(both, ["leader", "node"]), "groups"))
+    payload = [c for c in nodes.columns if c != "node"][0]
+    rows = units.join(nodes, "node").select("leader", "p", "q", "node", "joined", "own", payload)
+    found = rows.repartition("leader", "p", "q").sortWithinPartitions("leader", "p", "q").mapInArrow(_compared(cells, t), "a long, b long")
+    return saved(m.where(links).select("a", "b").unionByName(found), "links")

@@ -8,6 +8,7 @@ import re
 import zlib
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -72,7 +73,7 @@ def test_components(spark):
     assert unionfind.components(spark.createDataFrame([], "a bigint, b bigint")).isEmpty()
 
 
-def test_large_buckets_lose_no_link(spark):
+def test_large_buckets_lose_no_link(spark, monkeypatch):
     """Sets whose similarities are known, all in one bucket, against all pairs."""
     rng = random.Random(2)
     base = set(range(100))
@@ -82,19 +83,17 @@ def test_large_buckets_lose_no_link(spark):
         sets[i] = out | {1000 + rng.randrange(40) for _ in range(rng.randint(0, 12))}
     members = spark.createDataFrame([(7, i) for i in sets], "key bigint, node bigint")
 
-    def measured(pairs, every):
+    def measured(pairs):
         return spark.createDataFrame([(r["a"], r["b"], len(sets[r["a"]] & sets[r["b"]]), len(sets[r["a"]]), len(sets[r["b"]])) for r in pairs.collect()], "a bigint, b bigint, common int, na int, nb int")
 
-    def shared(nodes):
-        among = [r["node"] for r in nodes.collect()]
-        n = Counter(x for i in among for x in sets[i])
-        return spark.createDataFrame([(i, sum(n[x] > 1 for x in sets[i])) for i in among], "node bigint, c int")
-
     links = [(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
     want = {r["node"]: r["component"] for r in unionfind.components(spark.createDataFrame(links, "a bigint, b bigint")).collect()}
-    for s in (lambda nodes: nodes.withColumn("c", F.lit(10**6)), shared):
-        got = unionfind.components_of_buckets(members, measured, 0.8, s, lambda nodes: None)
-        assert {r["node"]: r["component"] for r in got.collect()} == want
+    nodes = spark.createDataFrame([(i, sorted(s)) for i, s in sets.items()], "node bigint, cells array<bigint>")
+    for cells in (200_000, 700, 90):
+        monkeypatch.setattr(unionfind, "BLOCK_CELLS", cells)
+        got = unionfind.links_of_buckets(members, measured, nodes, lambda found: [np.array(x) for x in found], 0.8)
+        assert {r["node"]: r["component"] for r in unionfind.components(got).collect()} == want
+        assert got.count() < 3 * len(sets)
 
 
 def test_line_dedup(docs, texts, nothing):
@@ -105,7 +104,7 @@ def test_line_dedup(docs, texts, nothing):
     def alike(s, t):
         if s == t:
             return True
-        if min(len(s), len(t)) < linededup.SHORTEST:
+        if min(len(s), len(t)) < linededup.SHINGLE:
             return False
         p, q = ({x[j : j + 8] for j in range(len(x) - 7)} for x in (s, t))
         return len(p & q) >= 0.8 * len(p | q)
@@ -124,26 +123,28 @@ def test_line_dedup(docs, texts, nothing):
     assert linededup.dedup_lines(nothing).isEmpty()
 
 
-def test_sketches_lose_no_short_link():
-    """Similar lines of few shingles all pass the filter in front of the comparison."""
-    import numpy as np
-    import pyarrow as pa
+def test_keys_of_clashing_nodes_are_shared():
+    """Two nodes that agree in their low bits still share all but a key or so."""
+    rng = np.random.default_rng(4)
+    keys = rng.integers(0, 1 << 63, (2000, 14)).astype(np.uint64)
+    nodes = rng.integers(0, 1 << 62, 2000)
+    both = linededup.packed_keys(np.concatenate([nodes, nodes ^ (1 << 62)]), np.concatenate([keys, keys]))
+    assert ((both[:2000] != both[2000:]).sum(axis=1) >= 12).all()
 
-    rng = random.Random(6)
+
+def test_line_recall():
+    """Pairs at the threshold and above meet in a band."""
+    rng = random.Random(8)
     pairs = []
     while len(pairs) < 1500:
-        s = "".join(rng.choice("abcdefghij") for _ in range(rng.randint(19, 40)))
-        t = s[: -rng.randint(1, 2)] + "".join(rng.choice("klmnopqrst") for _ in range(rng.randint(0, 2)))
+        s = "".join(rng.choice("abcdefghij ") for _ in range(rng.randint(20, 250)))
+        cut = rng.randrange(len(s))
+        t = s[:cut] + "".join(rng.choice("klmn") for _ in range(rng.randint(1, 6))) + s[cut:]
         p, q = ({x[j : j + 8] for j in range(len(x) - 7)} for x in (s, t))
-        if s != t and len(p & q) >= 0.8 * len(p | q):
+        if 0.8 <= len(p & q) / len(p | q) < 0.9:
             pairs.append((s, t))
-    everything = np.full(1 << 20, 255, np.uint8)
-    (made,) = linededup._texts(everything, 70, 8)([pa.RecordBatch.from_arrays([pa.array([x.encode() for pair in pairs for x in pair])], ["text"])])
-    sketch = dict(zip(made.column(1).to_pylist(), made.column(2).to_pylist()))
-    ids = pa.array(range(len(pairs)))
-    sides = [pa.array([sketch[pair[i]] for pair in pairs], pa.binary()) for i in (0, 1)]
-    kept = list(unionfind.sketch_filter(0.8)([pa.RecordBatch.from_arrays([ids, ids, *sides], ["a", "b", "pa", "pb"])]))
-    assert sum(b.num_rows for b in kept) == len(pairs)
+    a, b = (linededup.band_keys([p[i] for p in pairs]) for i in (0, 1))
+    assert (a == b).any(axis=1).mean() > 0.99
 
 
 def test_short_lines_are_compared(spark):
