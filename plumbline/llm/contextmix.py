@@ -1,562 +1,558 @@
-"""Language-model scores by logistic mixing of hashed-context bit predictors.
-
-A text is a sequence of words, each followed by a space byte, and an end byte (0).
-Every bit of these bytes is predicted by five predictors, whose contexts are the last
-two, three or five bytes of the word and all of it so far, most of them together with
-the text's class. The class, one of six, is what the words before in the text make
-likeliest under a mixture of unigrams, fitted by EM to a bounded sample of training
-documents (`CLASS_DOCS`); it follows languages mostly.
-A predictor's state is the counts of ones and zeros it has seen in all training
-documents, weighted by how often a word occurs. Blocks of units (word, class) sum them
-locally per (context, byte) and ask for the sums of all blocks, which Spark makes part by
-part where contexts meet; there are as many parts as the corpus needs and no context is
-dropped. A context is known by a 55-bit hash. The answers go back to the blocks.
-
-A mixer adds the stretched probabilities with weights chosen by a gate (how often the
-whole-word context was seen, and the bit's place) and an adaptive map refines the sum
-by gate and value. Both learn from every training document: two folds (odd and even
-remainders) are each predicted by the other's counts, equal examples are counted, and
-Spark sums what the Newton steps for the weights and the map's averages need.
-
-As a word's contexts are itself and the class, its probability is computed once per
-distinct (word, class) of the corpus and looked up by the documents: the `hot` most
-frequent (bounded in number and length) in tasks, all others by a join.
-
-Null text is empty and scores its end alone. Rows that repeat a doc_id and text get
-equal scores. A null doc_id counts as training. Empty input gives empty output.
+"""Language-model scores by online logistic mixing of hashed-context bit predictors.
+
+A text is a sequence of words and one end. Each word is a symbol of 8 bits: the 191 most
+frequent words of the training documents have symbols of their own, the end has one, all
+other words of training share 63 symbols by a hash of their ending, and one symbol says
+that a new word follows, which is then spelled in bytes. Words that training has once
+teach what comes before new words and how these are spelled. So
+
+    P(text) = product of P(symbol | text before) * P(word | symbol) * P(spelling)
+
+where P(word | symbol) is the word's share of the symbol's training count and spellings
+are texts of bytes, modelled like the texts of symbols. The most frequent words are the
+only vocabulary that is gathered; words and their counts stay in Spark tables, in which
+blocks of documents look theirs up, part by part, and none is dropped.
+
+Each bit is predicted in five contexts: the two symbols before, the one before, the
+second before alone (a sparse pair), and, learned in the text itself, none and the one
+before (hashed). A mixer adds the stretched probabilities by weights which a gate chooses
+(the bit's place and how often the two symbols before were seen in training), and an
+adaptive map refines the sum. The text's own changes of the weights and its own predictors
+are updated after every bit, in the order of the text. They restart every SEGMENT symbols,
+so that parts of texts are worked on side by side, whatever their length; the symbols
+before are known across such a cut. Where weights start, and the map, are learned bit by
+bit from all training documents, in two folds (odd and even remainders), each predicted
+from the other's counts.
+
+Null text is empty and scores its end alone. Rows that repeat score alike. A null
+doc_id counts as training. Words are told apart by 64 bits. Empty input gives empty output.
 """
 
 from __future__ import annotations
 
-from collections import Counter
+from collections.abc import Iterator
 from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import partitions, saved, table
-from .hashing import PRIME, U, mixed
-
-ORDERS = 5
-#: Bytes of context (0: the word so far) and whether the class is in it, by predictor.
-SHAPES = ((2, True), (3, True), (5, False), (0, False), (0, True))
-#: Bytes of words in a block of units, and of keys and counts in a part of the counts.
-BLOCK_BYTES, PART_BYTES = 700_000, 32 << 20
+from .hashing import U
+
+NEW, END, TOP, ENDINGS = 0, 1, 191, 63
+FIRST_ENDING = 2 + TOP
+#: Bytes of text in a block, symbols until online states restart, rows worked on at a time.
+BLOCK_BYTES, SEGMENT, WIDTH = 8_000_000, 512, 2048
+#: Bytes of words that a part of the vocabulary should get, and tasks that sum contexts.
+PART_BYTES, CONTEXT_PARTS = 16 << 20, 32
 #: Stretched probabilities are kept in steps of 1 / SCALE, up to 127 of them.
-SCALE = 10.0
-HOT, HOT_BYTES = 200_000, 64
-#: Rounds of Newton steps, and bits mixed at a time.
-ROUNDS, STEP = 8, 1 << 18
-CLASSES, CLASS_DOCS, CLASS_WORDS, CLASS_CHARS = 6, 1500, 4000, 4000
-#: Words of a text after which its class is settled.
-SETTLED = 200
-GATES, BINS = 8 * 8, 33
-END = b""
+SCALE = 12.0
+INPUTS, GATES, BINS = 3, 8 * 8, 33
+#: Entries of a segment's own hashed contexts; what weights and own contexts move by.
+OWN = 2048
+RATE, SHARED_RATE, OWN_RATES = 0.002, 0.02, (0.05, 0.15)
 
 
 def remainder(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 10, F.lit(2)).cast("int")
 
 
-class Classes:
-    """A mixture of unigrams over frequent words, for the class of a text so far."""
-
-    def __init__(self, texts: list[bytes], k: int = CLASSES):
-        docs = [t.lower().split() for t in texts]
-        top = Counter(w for d in docs for w in d).most_common(CLASS_WORDS)
-        self.known = {w: i for i, (w, _) in enumerate(top)}
-        n = len(top) + 1
-        counts = np.zeros((len(docs), n))
-        for i, d in enumerate(docs):
-            np.add.at(counts[i], [self.known.get(w, n - 1) for w in d], 1)
-        rng = np.random.default_rng(7)
-        soft = rng.dirichlet(np.ones(k), len(docs)) if docs else np.zeros((0, k))
-        for _ in range(40):
-            p = soft.T @ counts + 0.1
-            p /= p.sum(axis=1, keepdims=True)
-            prior = np.log((soft.sum(axis=0) + 1) / (len(docs) + k))
-            fit = counts @ np.log(p).T / 4 + prior
-            soft = np.exp(fit - fit.max(axis=1, keepdims=True))
-            soft /= soft.sum(axis=1, keepdims=True)
-        # words outside the table say nothing
-        self.weight = np.vstack([np.log(p).T[:-1], np.zeros(k)]).astype(np.float32)
-        self.prior = prior.astype(np.float32)
-
-    def of(self, ws: list[bytes]) -> np.ndarray:
-        """The class before each word; from word SETTLED on it stays."""
-        at = np.fromiter((self.known.get(w, -1) for w in ws[:SETTLED]), np.int64, min(len(ws), SETTLED))
-        so_far = np.cumsum(self.weight[at], axis=0)
-        so_far[1:] = so_far[:-1]
-        so_far[:1] = 0
-        kind = np.empty(len(ws), np.uint8)
-        kind[:SETTLED] = (so_far + self.prior).argmax(axis=1)
-        kind[SETTLED:] = kind[min(len(ws), SETTLED) - 1]
-        return kind
-
-
-def runs(kind: np.ndarray) -> list[tuple[int, int, int]]:
-    """(class, start, end) of the stretches of one class."""
-    cuts = [0, *(np.flatnonzero(kind[1:] != kind[:-1]) + 1).tolist(), len(kind)]
-    return [(int(kind[a]), a, b) for a, b in zip(cuts[:-1], cuts[1:])]
-
-
-def _counted(classes):
-    """(word, class, first, second, n): counts in either fold of the training documents
-    and in all documents."""
-    def run(batches):
-        of = classes.value.of
-        for batch in batches:
-            counts = [[Counter() for _ in range(CLASSES)] for _ in range(3)]  # held out, first, second
-            for r, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                ws = [*(text or b"").lower().split(), END]
-                for k, a, b in runs(of(ws)):
-                    counts[r and 1 + r % 2][k].update(ws[a:b])
-            for k in range(CLASSES):
-                held, first, second = (c[k] for c in counts)
-                words = list({**held, **first, **second})
-                cols = [[c.get(w, 0) for w in words] for c in (first, second)] + [[held.get(w, 0) + first.get(w, 0) + second.get(w, 0) for w in words]]
-                yield pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array([k] * len(words), pa.int32()), *(pa.array(c, pa.int64()) for c in cols)], ["word", "class", "first", "second", "n"])
-
-    return run
-
+def packed(x: np.ndarray) -> bytes:
+    """An array's bytes, first those of all values' first bytes and so on, compressed."""
+    raw = np.ascontiguousarray(np.ascontiguousarray(x).view(np.uint8).reshape(len(x), x.itemsize).T).tobytes()
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
 
-def spelled(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(bytes, place in word, word) of all words as the model reads them."""
-    text = b"".join([w + b" " if w else b"\0" for w in words])
-    sizes = np.fromiter((len(w) + 1 if w else 1 for w in words), np.int64, len(words))
-    owner = np.repeat(np.arange(len(words)), sizes)
-    return np.frombuffer(text, np.uint8), np.arange(len(text)) - np.repeat(np.cumsum(sizes) - sizes, sizes), owner
-
-
-def contexts(data: np.ndarray, place: np.ndarray, kind: np.ndarray) -> np.ndarray:
-    """A hash of each predictor's context for every byte, (ORDERS, bytes); kind is the class."""
-    out = np.empty((ORDERS, len(data)), dtype=U)
-    wide = data.astype(U) + U(1)
-    whole = prefix_hashes(data, place)
-    for row, (length, classed) in enumerate(SHAPES):
-        h = whole if not length else np.zeros(len(data), dtype=U)
-        for k in range(1, length + 1):
-            before = np.concatenate((np.zeros(k, U), wide[:-k])) if len(data) > k else np.zeros(len(data), U)
-            h = h * U(0x1F3) + np.where(place >= k, before, U(0))
-        out[row] = mixed(h * U(PRIME) + U(row + 1) + (kind.astype(U) + U(1)) * U(0xD6E8FEB86659FD93 if classed else 0))
-    return out
 
+def unpacked(blob: bytes, kind) -> np.ndarray:
+    raw = pa.decompress(blob[8:], int.from_bytes(blob[:8], "little"), codec="zstd", asbytes=True)
+    wide = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(wide, -1).T).reshape(-1).view(kind)
 
-def prefix_hashes(data: np.ndarray, place: np.ndarray) -> np.ndarray:
-    """Hash of the word's bytes before each byte, place by place."""
-    h = np.zeros(len(data), dtype=U)
-    wide = data.astype(U) + U(1)
-    order = np.argsort(place, kind="stable")
-    ends = np.cumsum(np.bincount(place)) if len(place) else np.empty(0, np.int64)
-    for a, b in zip(ends[:-1], ends[1:]):
-        at = order[a:b]
-        h[at] = mixed(h[at - 1] + wide[at - 1] * U(PRIME))
-    return h
 
+def _rows(names: str, rows: list[tuple]) -> pa.RecordBatch:
+    """A batch for a schema of longs and binaries."""
+    kinds = {"long": pa.int64(), "binary": pa.binary(), "double": pa.float64(), "boolean": pa.bool_()}
+    fields = [f.split() for f in names.split(", ")]
+    columns = list(zip(*rows)) or [()] * len(fields)
+    return pa.RecordBatch.from_arrays([pa.array(c, kinds[k]) for c, (_, k) in zip(columns, fields)], [n for n, _ in fields])
 
-def packed_rows(x: np.ndarray) -> tuple[bytes, bytes]:
-    """(rows, number of the row in each place): rows of 24 bytes, each different one once."""
-    wide = np.ascontiguousarray(x).reshape(-1).view(U).reshape(-1, 3)
-    order = np.lexsort(wide.T)
-    new = np.ones(len(wide), bool)
-    new[1:] = (wide[order[1:]] != wide[order[:-1]]).any(axis=1)
-    at = np.empty(len(wide), np.uint32)
-    at[order] = np.cumsum(new) - 1
-    return packed(wide[order[new]], 1), packed(at, 4)
 
+# the words of blocks and their counts
 
-def unpacked_rows(rows: bytes, at: bytes) -> np.ndarray:
-    return unpacked(rows, 1).view(np.int8).reshape(-1, 3, 8)[unpacked(at, 4).view(np.uint32)]
+BLOCKS = "block long, ids binary, rest binary, sizes binary, lengths binary, tokens binary, words binary, keys binary, first binary, second binary, n_words long, n_train long, n_ends long"
 
 
-BLOCK = "block long, words array<binary>, class binary, first binary, second binary, n binary, c binary, bytes long, total long, known long"
+class _Endings(dict):
+    def __missing__(self, ending: bytes) -> int:
+        value = self[ending] = xxhash.xxh3_64_intdigest(ending) % ENDINGS
+        return value
 
 
-def _blocks(batches):
-    """Sorted (word, class, first, second, n, c, lead) as packed blocks of units."""
-    part, made, held, size = TaskContext.get().partitionId(), 0, [], 0
+def word_keys(words: list[bytes], endings: _Endings) -> np.ndarray:
+    """58 bits of a word's hash and the symbol that its ending has."""
+    h = np.fromiter(map(xxhash.xxh3_64_intdigest, words), U, len(words))
+    ending = np.fromiter((endings[w[-2:]] for w in words), U, len(words))
+    return h & ~U(63) | ending
 
-    def cut():
-        nonlocal made
-        rows = pa.Table.from_batches(held).combine_chunks()
-        sizes = pc.binary_length(rows.column(0)).to_numpy().astype(np.int64) + 1
-        cuts = [0, *(np.flatnonzero(np.diff(np.cumsum(sizes) // (2 * BLOCK_BYTES))) + 1).tolist(), len(sizes)]
-        columns = [x.to_numpy() for x in rows.columns[1:]]
-        for a, b in zip(cuts[:-1], cuts[1:]):
-            kind, first, second, n, c, lead = (x[a:b] for x in columns)
-            row = [part << 32 | made, rows.column(0)[a:b].to_pylist(), kind.astype(np.uint8).tobytes(), *(x.astype(np.int64).tobytes() for x in (first, second, n, c)),
-                   int(sizes[a:b].sum()), int((first + second).sum()), int((lead & (c > 0)).sum())]
-            made += 1
-            types = [pa.int64(), pa.list_(pa.binary()), *[pa.binary()] * 5, *[pa.int64()] * 3]
-            yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, types)], ["block", "words", "class", "first", "second", "n", "c", "bytes", "total", "known"])
 
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Documents (rest, id, text) as blocks: ids (null: the smallest long), each document's
+    words as places in the block's list of words, which is sorted by key, and how often
+    either fold has them."""
+    endings, made = _Endings(), TaskContext.get().partitionId() << 32
     for batch in batches:
-        held.append(batch)
-        size += (pc.sum(pc.binary_length(batch.column(0))).as_py() or 0) + batch.num_rows
-        if size >= BLOCK_BYTES:
-            yield from cut()
-            held, size = [], 0
-    if size:
-        yield from cut()
-
-
-def packed(x: np.ndarray, width: int) -> bytes:
-    """Rows of so many bytes, compressed byte by byte of a row."""
-    raw = np.ascontiguousarray(x.reshape(-1).view(np.uint8).reshape(-1, width).T).tobytes()
-    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
-
-
-def unpacked(blob: bytes, width: int) -> np.ndarray:
-    raw = pa.decompress(blob[8:], int.from_bytes(blob[:8], "little"), codec="zstd", asbytes=True)
-    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(width, -1).T).reshape(-1)
-
-
-def keys(words: list[bytes], kinds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(key per predictor and byte, word per byte). A key is 55 bits of the hash of predictor
-    and context, a bit that says whether it is the last predictor's, and the byte."""
-    data, place, owner = spelled(words)
-    every = (contexts(data, place, kinds[owner]) & ~U(0x1FF)) | data
-    every[-1] |= U(0x100)
-    return every, owner
+        ids = batch.column(1).fill_null(-(1 << 63)).to_numpy(zero_copy_only=False)
+        rest = batch.column(0).to_numpy(zero_copy_only=False).astype(np.uint8)
+        texts = batch.column(2).to_pylist()
+        at = 0
+        while at < len(texts):
+            start, size = at, 0
+            place: dict[bytes, int] = {}
+            found, sizes = [], []
+            while at < len(texts) and size < BLOCK_BYTES:
+                text = texts[at] or b""
+                words = text.lower().split()
+                found.append(np.fromiter([place.setdefault(w, len(place)) for w in words], np.uint32, len(words)))
+                sizes.append(len(text))
+                size += len(text)
+                at += 1
+            words = list(place)
+            key = word_keys(words, endings)
+            order = np.argsort(key)
+            rank = np.empty(len(order), np.uint32)
+            rank[order] = np.arange(len(order), dtype=np.uint32)
+            lengths = np.array([len(x) for x in found], np.int32)
+            tokens, r = rank[np.concatenate(found)], rest[start:at]
+            fold = np.repeat(np.where(r > 0, 1 + r % 2, 0), lengths)
+            counts = [np.bincount(tokens[fold == f], minlength=len(words)).astype(np.uint32) for f in (1, 2)]
+            yield _rows(BLOCKS, [(made, ids[start:at].tobytes(), r.tobytes(), packed(np.array(sizes, np.int64)), packed(lengths), packed(tokens), packed(np.frombuffer(b" ".join(words[i] for i in order), np.uint8)),
+                                  key[order].tobytes(), packed(counts[0]), packed(counts[1]), len(words), int((fold > 0).sum() + (r > 0).sum()), int((r > 0).sum()))])
+            made += 1
 
 
 def _asks(parts: int):
-    """(part, block, keys, first, second): a block's distinct keys, ascending over its parts,
-    and how often either fold has them."""
+    """(part, block, keys, counts): the words of a block by part of the vocabulary."""
     def run(batches):
         for batch in batches:
-            for block, words, kinds, first, second in zip(*(c.to_pylist() for c in batch.columns)):
-                every, owner = keys(words, np.frombuffer(kinds, np.uint8))
-                key, at = np.unique(every.ravel(), return_inverse=True)
-                folds = [np.bincount(at.ravel(), np.tile(np.frombuffer(w, np.int64)[owner].astype(np.float64), ORDERS), len(key)) for w in (first, second)]
+            for block, keys, first, second in zip(*(c.to_pylist() for c in batch.columns)):
+                key = np.frombuffer(keys, U)
+                n = unpacked(first, np.uint32) + unpacked(second, np.uint32)
                 cuts = np.searchsorted((key >> U(32)) * U(parts) >> U(32), np.arange(parts + 1, dtype=U))
-                rows = [(p, block, packed(np.diff(key[a:b], prepend=U(0)), 8), *(packed(x[a:b], 8) for x in folds)) for p, (a, b) in enumerate(zip(cuts[:-1], cuts[1:])) if b > a]
-                types = [pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), types)], ["part", "block", "keys", "first", "second"])
+                yield _rows("part long, block long, keys binary, n binary", [(p, block, packed(np.diff(key[a:b], prepend=U(0))), packed(n[a:b])) for p, (a, b) in enumerate(zip(cuts[:-1], cuts[1:])) if b > a])
 
     return run
 
 
-def states(key: np.ndarray, first: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For distinct ascending keys and their counts, (keys, 3, 8) stretched probabilities and
-    counts' levels of the bits on the way to the byte: from all counts, and from the other
-    fold's for keys that the first or the second fold has. Contexts never seen say 0."""
-    out, level = np.zeros((2, len(key), 3, 8), np.int8)
-    for bit in range(8):
-        # ascending keys have the bytes of a context that begin alike side by side
-        known = key >> U(8 - bit)
-        start = np.concatenate(([True], known[1:] != known[:-1]))
-        at, start = np.cumsum(start) - 1, np.flatnonzero(start)
-        one = ((key >> U(7 - bit)) & U(1)).astype(np.float64)
-        n, ones = (np.array([np.add.reduceat(w * x, start) for w in (first, second)]) for x in (1.0, one))
-        for v, (n, ones, asked) in enumerate(((n[0] + n[1], ones[0] + ones[1], True), (n[1], ones[1], first > 0), (n[0], ones[0], second > 0))):
-            p = (ones + 0.02) / (n + 0.04)
-            some = (n[at] > 0) & asked
-            out[:, v, bit] = np.where(some, np.clip(np.rint(np.log(p / (1 - p)) * SCALE), -127, 127)[at], 0)
-            level[:, v, bit] = np.where(some, np.minimum(np.log2(n + 1).astype(np.int64) // 2 + 1, 7)[at], 0)
-    return out, level
-
-
-def _grouped(batches):
-    """(first column, rows) of rows that are sorted by it."""
-    return groupby((row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns))), key=lambda row: row[0])
-
-
 def _answers(batches):
-    """(block, part, states, levels) for the keys that blocks ask for, once the counts of
-    all blocks are summed. Levels are those of the last predictor."""
-    for part, rows in _grouped(batches):
-        blocks, *blobs = list(zip(*rows))[1:]
-        asked = [np.cumsum(unpacked(x, 8).view(U), dtype=U) for x in blobs[0]]
+    """(block, part, c): training counts of the words that a block asks for; and one row per
+    part (block -1) with its number of known words, counts by ending, keys and counts of its
+    most frequent words."""
+    rows = (row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns)))
+    for part, asks in groupby(rows, key=lambda r: r[0]):
+        blocks, keys, counts = list(zip(*asks))[1:]
+        asked = [np.cumsum(unpacked(x, U), dtype=U) for x in keys]
         key, at = np.unique(np.concatenate(asked), return_inverse=True)
-        state, level = states(key, *(np.bincount(at, np.concatenate([unpacked(w, 8).view(np.float64) for w in x]), len(key)) for x in blobs[1:]))
+        c = np.bincount(at.ravel(), np.concatenate([unpacked(x, np.uint32) for x in counts]), len(key)).astype(np.int64)
         ends = np.cumsum([0, *map(len, asked)])
         for block, a, b in zip(blocks, ends[:-1], ends[1:]):
-            here = at[a:b]
-            last = here[(key[here] & U(0x100)) > 0]
-            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([part], pa.int32()), *(pa.array([packed_rows(x)], pa.list_(pa.binary())) for x in (state[here], level[last]))], ["block", "part", "states", "levels"])
+            yield _rows(ANSWERS, [(block, part, packed(c[at[a:b]].astype(np.uint64)), 0, b"", b"", b"")])
+        top = np.lexsort((key, -c))[:TOP]
+        top = top[c[top] > 1]
+        by_ending = np.bincount((key & U(63)).astype(np.int64), c, 64).astype(np.int64)
+        yield _rows(ANSWERS, [(-1, part, b"", int((c > 0).sum()), by_ending.tobytes(), key[top].tobytes(), c[top].tobytes())])
 
 
-ANSWERS = "block long, part int, states array<binary>, levels array<binary>"
+ANSWERS = "block long, part long, c binary, known long, by_ending binary, top_keys binary, top_counts binary"
 
 
-def answered(blocks: DataFrame, parts: int) -> DataFrame:
-    """blocks with (states, levels) of their keys in ascending order. Counts are summed where
-    their contexts meet, each key being in one of `parts` parts; nothing is left out."""
-    asks = blocks.select("block", "words", "class", "first", "second").mapInArrow(_asks(parts), "part int, block long, keys binary, first binary, second binary")
-    answers = asks.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(_answers, ANSWERS)
-    got = answers.repartition(parts, "block").groupBy("block").agg(F.sort_array(F.collect_list(F.struct("part", "states", "levels"))).alias("got"))
-    return blocks.repartition(parts, "block").join(got.hint("merge"), "block").select("words", "class", "first", "second", "n", "c", F.col("got.states").alias("states"), F.col("got.levels").alias("levels"))
+class Vocabulary:
+    """What documents must know besides their words' counts; its size is fixed."""
 
+    def __init__(self, keys: np.ndarray, counts: np.ndarray, by_ending: np.ndarray, total: int, ends: int, distinct: int):
+        order = np.argsort(keys)
+        self.keys, self.symbols = keys[order], (2 + np.arange(len(keys)))[order].astype(np.uint8)
+        self.by_ending = by_ending.copy()
+        np.subtract.at(self.by_ending, (keys & U(63)).astype(np.int64), counts)
+        self.total, self.ends, self.distinct = total, ends, distinct
 
-def laid_out(words: list[bytes], kinds: bytes, state: list[bytes], level: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(predictor, byte, 3, 8) states, (byte, 3, 8) levels and the word of each byte."""
-    every, owner = keys(words, np.frombuffer(kinds, np.uint8))
-    key, at = np.unique(every.ravel(), return_inverse=True)
-    at = at.reshape(every.shape)
-    last = np.cumsum((key & U(0x100)) > 0) - 1
-    s, g = (np.concatenate([unpacked_rows(*y) for y in x]) for x in (state, level))
-    return s[at], g[last[at[-1]]], owner
+    def symbols_of(self, key: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(symbol, log10 of the word's share of it) of words with these counts."""
+        ending = (key & U(63)).astype(np.int64)
+        symbol = np.where(c > 0, FIRST_ENDING + ending, NEW).astype(np.uint8)
+        share = np.where(c > 0, np.log10(np.maximum(c, 1)) - np.log10(np.maximum(self.by_ending, 1))[ending], 0.0)
+        if len(self.keys):
+            at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+            own = self.keys[at] == key
+            symbol[own] = self.symbols[at[own]]
+            share[own] = 0.0
+        return symbol, share
 
+    def base(self, c) -> np.ndarray:
+        return np.log10((c + 0.1) / (self.total + 0.1 * (self.distinct + 1)))
 
-def _examples(batches):
-    """(codes, weights): the bits of all training words, each fold's as the other fold's
-    counts predict them. A code is gate, states and bit; equal ones are counted."""
-    bits = np.arange(8, dtype=U)
-    for batch in batches:
-        for words, kinds, first, second, state, level in zip(*(c.to_pylist() for c in batch.columns)):
-            s, g, owner = laid_out(words, kinds, state, level)
-            data = spelled(words)[0]
-            for v, fold in ((1, first), (2, second)):
-                w = np.frombuffer(fold, np.int64)[owner]
-                every = np.flatnonzero(w)
-                for a in range(0, len(every), STEP):
-                    on = every[a : a + STEP]
-                    code = g[on, v].astype(U) * U(8) + bits
-                    for k in range(ORDERS):
-                        code = code << U(8) | s[k, on, v].view(np.uint8)
-                    code = code << U(1) | (data[on, None] >> (U(7) - bits)) & U(1)
-                    code, weight = _summed(code.ravel(), np.repeat(w[on], 8).astype(np.float64))
-                    yield pa.RecordBatch.from_arrays([pa.array([packed(np.diff(code, prepend=U(0)), 8)], pa.binary()), pa.array([packed(weight, 8)], pa.binary())], ["codes", "weights"])
-
-
-def _summed(key: np.ndarray, *weights: np.ndarray) -> list[np.ndarray]:
-    """Distinct keys and the sums of their weights."""
-    order = np.argsort(key, kind="stable")
-    key = key[order]
-    start = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
-    return [key[start], *(np.add.reduceat(w[order], start) for w in weights)]
-
-
-def decoded(code: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(stretched predictions, gate, bit) of codes."""
-    x = np.full((len(code), ORDERS + 1), 0.3)
-    for k in range(ORDERS):
-        x[:, k] = ((code >> U(8 * (ORDERS - 1 - k) + 1)) & U(0xFF)).astype(np.uint8).view(np.int8) / SCALE
-    return x, (code >> U(8 * ORDERS + 1)).astype(np.int64), (code & U(1)).astype(np.float64)
-
-
-def _totals(measure):
-    """(at, value): what measure(code, weight) gives, summed over a task's blocks."""
+
+#: Texts to score, and those to learn from.
+TEXTS = ("symbols", "lengths", "spelled", "spelled_lengths")
+LESSONS = ("learn_symbols", "learn_lengths", "learn_spelled", "learn_spelled_lengths")
+STREAMS = "ids binary, rest binary, sizes binary, known binary, base binary, share binary, learn_rest binary, " + ", ".join(f"{n} binary" for n in TEXTS + LESSONS)
+
+
+def _texts(symbol: np.ndarray, doc: np.ndarray, n: int, word: np.ndarray, spelling: list[bytes]) -> list[bytes]:
+    """Packed symbols and lengths, spelled bytes and lengths, of n documents whose words
+    have these symbols; the end stands after each document's words."""
+    stream = np.full(len(symbol) + n, END, np.uint8)
+    stream[np.arange(len(symbol)) + doc] = symbol
+    new = np.flatnonzero(symbol == NEW)
+    spelled = [spelling[i] + b" " for i in word[new].tolist()]
+    size = np.bincount(doc[new], np.fromiter(map(len, spelled), np.int64, len(spelled)), n).astype(np.int64)
+    return [packed(x) for x in (stream, np.bincount(doc, minlength=n) + 1, np.frombuffer(b"".join(spelled), np.uint8), size)]
+
+
+def _streams(vocabulary):
+    """Blocks with the counts of their words as texts of symbols and of spelled bytes."""
     def run(batches):
-        total = 0.0
+        v = vocabulary.value
         for batch in batches:
-            for codes, weights in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                code, weight = np.cumsum(unpacked(codes, 8).view(U), dtype=U), unpacked(weights, 8).view(np.float64)
-                for a in range(0, len(code), STEP):
-                    total = total + measure(code[a : a + STEP], weight[a : a + STEP])
-        value = np.ravel(total) if np.ndim(total) else np.empty(0)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(value)), pa.int64()), pa.array(value, pa.float64())], ["at", "value"])
+            for ids, rest, sizes, lengths, tokens, words, keys, got in zip(*(x.to_pylist() for x in batch.columns)):
+                key, n = np.frombuffer(keys, U), unpacked(lengths, np.int32).astype(np.int64)
+                c = np.concatenate([unpacked(x, np.uint64) for x in got or ()] or [np.empty(0, U)]).astype(np.int64)
+                symbol, share = v.symbols_of(key, c)
+                at, r = unpacked(tokens, np.uint32), np.frombuffer(rest, np.uint8)
+                doc = np.repeat(np.arange(len(n)), n)
+                spelling = unpacked(words, np.uint8).tobytes().split(b" ")
+                known = np.bincount(doc, (c > 0)[at], len(n)).astype(np.int64) + (v.ends > 0)
+                sums = [np.bincount(doc, x[at], len(n)) for x in (v.base(c), share)]
+                texts = _texts(symbol[at], doc, len(n), at, spelling)
+                # what occurs once is new where it occurs
+                learn = (r > 0)[doc]
+                lessons = _texts(np.where(c > 1, symbol, NEW).astype(np.uint8)[at[learn]], (np.cumsum(r > 0) - 1)[doc[learn]], int((r > 0).sum()), at[learn], spelling)
+                yield _rows(STREAMS, [(ids, rest, sizes, packed(known), packed(sums[0] + v.base(v.ends)), packed(sums[1]), r[r > 0].tobytes(), *texts, *lessons)])
 
     return run
 
 
+# contexts learned from training documents
+
+def before(stream: np.ndarray, lengths: np.ndarray, start: int) -> tuple[np.ndarray, np.ndarray]:
+    """The symbols one and two before each of the texts that stand one after another."""
+    first = np.cumsum(lengths) - lengths
+    one = np.concatenate(([start], stream[:-1])).astype(np.uint8)[: len(stream)]
+    one[first[lengths > 0]] = start
+    two = np.concatenate(([start], one[:-1])).astype(np.uint8)[: len(stream)]
+    two[first[lengths > 0]] = start
+    return one, two
+
+
+#: What stands before a text of symbols and one of spellings.
+STARTS = (END, 32)
+
+
+def _texts_of(row: tuple, kind: int) -> tuple[np.ndarray, np.ndarray]:
+    """(stream, lengths) of a row of symbols, lengths, spelled, spelled_lengths."""
+    symbols, lengths, spelled, spelled_lengths = row
+    return (unpacked(symbols, np.uint8), unpacked(lengths, np.int64)) if kind == 0 else (unpacked(spelled, np.uint8), unpacked(spelled_lengths, np.int64))
+
+
+def _contexts(batches):
+    """(part, kind, fold, codes, counts): how often two symbols and the next one occur."""
+    for batch in batches:
+        for rest, *row in zip(*(c.to_pylist() for c in batch.columns)):
+            r = np.frombuffer(rest, np.uint8)
+            for kind in (0, 1):
+                stream, lengths = _texts_of(row, kind)
+                one, two = before(stream, lengths, STARTS[kind])
+                code = two.astype(np.uint32) << 16 | one.astype(np.uint32) << 8 | stream
+                of = np.repeat(1 + r % 2, lengths)
+                for fold in (1, 2):
+                    x, n = np.unique(code[of == fold], return_counts=True)
+                    cuts = np.searchsorted(x, np.arange(CONTEXT_PARTS + 1) * (1 << 24) // CONTEXT_PARTS)
+                    yield _rows(CONTEXTS, [(p, kind, fold, packed(np.diff(x[a:b], prepend=np.uint32(0))), packed(n[a:b].astype(np.uint32))) for p, (a, b) in enumerate(zip(cuts[:-1], cuts[1:])) if b > a])
+
+
+CONTEXTS = "part long, kind long, fold long, codes binary, n binary"
+
+
+def states(counts: np.ndarray) -> np.ndarray:
+    """For counts (contexts, 256), what each context's nodes predict, (contexts, 256): the
+    stretched probability plus 128 in the low byte, the level of the node's count above it.
+    Node 1 is the first bit, 2 n and 2 n + 1 follow n. Nodes never seen say 0 at level 0."""
+    out = np.full(counts.shape, 128, np.uint16)
+    for bit in range(8):
+        n = counts.reshape(len(counts), 1 << bit, 2, -1).sum(axis=3)
+        total = n.sum(axis=2)
+        with np.errstate(divide="ignore"):
+            value = np.clip(np.rint(np.log((n[:, :, 1] + 0.05) / (n[:, :, 0] + 0.05)) * SCALE), -127, 127).astype(np.int64)
+            level = np.minimum(np.log2(total + 1).astype(np.int64) // 2 + 1, 7)
+        out[:, 1 << bit : 2 << bit] = np.where(total > 0, level << 8 | value + 128, 128)
+    return out
+
+
+def _tables(batches):
+    """(kind, version, part, pairs, ones, skips): states of the contexts of a part in all
+    counts (version 0) and either fold's (1, 2); counts of single symbols before, of which
+    each part has a share; states of the second symbol before."""
+    rows = (row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns)))
+    width = (1 << 24) // CONTEXT_PARTS
+    for (part, kind), given in groupby(rows, key=lambda r: r[:2]):
+        n = np.zeros((3, width), np.int64)
+        for _, _, fold, codes, counts in given:
+            at = np.cumsum(unpacked(codes, np.uint32), dtype=np.uint32).astype(np.int64) - part * width
+            n[fold, at] += unpacked(counts, np.uint32)
+        n[0] = n[1] + n[2]
+        for version in range(3):
+            cube = n[version].reshape(-1, 256, 256)
+            yield _rows(TABLES, [(kind, version, part, packed(states(cube.reshape(-1, 256)).ravel()), packed(cube.sum(axis=0).ravel()), packed(states(cube.sum(axis=1)).ravel()))])
+
+
+TABLES = "kind long, version long, part long, pairs binary, ones binary, skips binary"
+
+
+class Tables:
+    """Predictions by the symbols before, of fixed size: 2^24 nodes for two of them."""
+
+    def __init__(self, rows: list[tuple] = ()):
+        """rows: part, pairs, ones, skips."""
+        self.pairs, self.levels = np.zeros(1 << 24, np.int8), np.zeros(1 << 24, np.int8)
+        ones, skips = np.zeros((256, 256), np.int64), np.full((256, 256), 128, np.uint16)
+        width, high = (1 << 24) // CONTEXT_PARTS, 256 // CONTEXT_PARTS
+        for part, pairs, one, skip in rows:
+            state = unpacked(pairs, np.uint16)
+            self.pairs[part * width : (part + 1) * width] = ((state & 255).astype(np.int16) - 128).astype(np.int8)
+            self.levels[part * width : (part + 1) * width] = state >> 8
+            ones += unpacked(one, np.int64).reshape(256, 256)
+            skips[part * high : (part + 1) * high] = unpacked(skip, np.uint16).reshape(-1, 256)
+        self.one, self.skip = (self._value(x).ravel() for x in (states(ones), skips))
+
+    @staticmethod
+    def _value(state: np.ndarray) -> np.ndarray:
+        return (((state & 255).astype(np.float32) - 128) / np.float32(SCALE)).astype(np.float32)
+
+
+# mixing
+
 class Mixer:
-    """Gated weights and the adaptive map over the predictors' states. `total` sums measures
-    of examples (codes, weights); those of a Spark table are summed by Spark."""
-
-    def __init__(self, rounds: int = ROUNDS):
-        self.rounds = rounds
-        self.weights = np.full((GATES, ORDERS + 1), 0.3)
-        self.weights[:, ORDERS] = 0.0
-        centre = np.linspace(-8, 8, BINS)
-        self.map = np.tile(1 / (1 + np.exp(-centre)), (GATES, 1))
-
-    def inputs(self, words: list[bytes], kinds: np.ndarray, state: np.ndarray | None = None, level: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(stretched predictions, gate, bit, word), bits in reading order, from states
-        (predictor, byte, 8) and levels (byte, 8); without them nothing has been seen."""
-        data, _, owner = spelled(words)
-        x = np.zeros((len(data), 8, ORDERS + 1), dtype=np.float32)
-        x[:, :, ORDERS] = 0.3
-        if state is not None:
-            x[:, :, :ORDERS] = np.moveaxis(state, 0, 2) / np.float32(SCALE)
-        gate = np.arange(8) + (np.zeros((len(data), 8), np.int64) if level is None else level.astype(np.int64) * 8)
-        bits = (data[:, None] >> np.arange(7, -1, -1)) & 1
-        return x.reshape(-1, ORDERS + 1), gate.ravel(), bits.ravel().astype(np.int8), np.repeat(owner, 8)
-
-    def _mixed(self, x: np.ndarray, gate: np.ndarray) -> np.ndarray:
-        return np.clip((x * self.weights[gate]).sum(axis=1), -12, 12)
-
-    def _mapped(self, z: np.ndarray, gate: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        at = np.clip((z + 8) * ((BINS - 1) / 16), 0, BINS - 1 - 1e-9)
-        low = at.astype(np.int64)
-        part = at - low
-        return self.map[gate, low] * (1 - part) + self.map[gate, low + 1] * part, low, part
-
-    def slopes(self, code: np.ndarray, weight: np.ndarray) -> np.ndarray:
-        """Loss, gradient and curvature by gate, (GATES, 1 + m + m * m)."""
-        m = ORDERS + 1
-        out = np.zeros((GATES, 1 + m + m * m))
-        x, gate, bit = decoded(code)
-        z = self._mixed(x, gate)
-        p = 1 / (1 + np.exp(-z))
-        cuts = np.searchsorted(gate, np.arange(GATES + 1))  # codes ascend
-        loss, error, bend = -weight * np.log(np.where(bit > 0, p, 1 - p)), weight * (bit - p), weight * p * (1 - p)
-        for g, (a, b) in enumerate(zip(cuts[:-1], cuts[1:])):
-            if b > a:
-                out[g, 0] = loss[a:b].sum()
-                out[g, 1 : 1 + m] = error[a:b] @ x[a:b]
-                out[g, 1 + m :] = ((x[a:b] * bend[a:b, None]).T @ x[a:b]).ravel()
-        return out
-
-    def hits(self, code: np.ndarray, weight: np.ndarray) -> np.ndarray:
-        """How many bits, and how many ones, are near each place of the map."""
-        x, gate, bit = decoded(code)
-        _, low, part = self._mapped(self._mixed(x, gate), gate)
-        at = gate * BINS + low + (part > 0.5)
-        return np.stack([np.bincount(at, w, GATES * BINS) for w in (weight, weight * bit)])
-
-    def fit(self, total) -> None:
-        """Newton steps for each gate's weights, halved where the loss has risen; then the
-        map is what bits near its places are on average."""
-        m = ORDERS + 1
-        start, best, least = self.weights.copy(), self.weights.copy(), np.full(GATES, np.inf)
-        step = np.zeros_like(start)
-        for _ in range(self.rounds):
-            sums = total(self.slopes)
-            if sums is None:
-                return
-            sums = sums.reshape(GATES, -1)
-            off = self.weights - start
-            loss = sums[:, 0] + (off**2).sum(axis=1) / 2
-            better = loss <= least
-            least[better], best[better] = loss[better], self.weights[better]
-            step[~better] /= 2
-            for g in np.flatnonzero(better):
-                step[g] = np.linalg.solve(sums[g, 1 + m :].reshape(m, m) + np.eye(m), sums[g, 1 : 1 + m] - off[g])
-            self.weights = best + step
-        sums = total(self.slopes).reshape(GATES, -1)
-        worse = sums[:, 0] + ((self.weights - start) ** 2).sum(axis=1) / 2 > least
-        self.weights[worse] = best[worse]
-        n, ones = total(self.hits).reshape(2, GATES, BINS)
-        self.map = np.clip((ones + 20 * self.map) / (n + 20), 1e-5, 1 - 1e-5)
-
-    def learn(self, words: list[bytes], kinds: np.ndarray) -> None:
-        """Fit to words of which nothing has been seen."""
-        _, gate, bits, _ = self.inputs(words, kinds)
-        code, weight = _summed(gate.astype(U) << U(8 * ORDERS + 1) | bits.astype(U), np.ones(len(bits)))
-        self.fit(lambda measure: measure(code, weight))
-
-    def score(self, words: list[bytes], kinds: np.ndarray, state: np.ndarray | None = None, level: np.ndarray | None = None) -> np.ndarray:
-        """log10 of each word's probability."""
-        out = np.zeros(len(words))
-        x, gate, bits, owner = self.inputs(words, kinds, state, level)
-        for a in range(0, len(bits), STEP):
-            g, b = gate[a : a + STEP], bits[a : a + STEP]
-            z = self._mixed(x[a : a + STEP], g)
-            p = (1 / (1 + np.exp(-z)) + self._mapped(z, g)[0]) / 2
-            out += np.bincount(owner[a : a + STEP], np.log10(np.where(b == 1, p, 1 - p)), len(words))
-        return out
-
-
-def sampled(docs: DataFrame, n: int, chars: int) -> list[bytes]:
-    """About n texts (twice as many at most), so long at most, chosen by the ids' hash."""
-    share = min(1.0, n / max(1, docs.count()))
-    chosen = docs.where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < int(share * (1 << 30)))
-    return [t or b"" for (t,) in chosen.select(F.substring("text", 1, chars).alias("text")).limit(2 * n).collect()]
-
-
-def fit(units: DataFrame) -> Mixer:
-    """The mixer of answered blocks, from the words of all training documents. What comes
-    to the driver are sums by gate, predictor and place of the map."""
-    examples = saved(units.select("words", "class", "first", "second", "states", "levels").mapInArrow(_examples, "codes binary, weights binary"), "examples")
-
-    def total(measure) -> np.ndarray | None:
-        rows = examples.mapInArrow(_totals(measure), "at long, value double").groupBy("at").agg(F.sum("value")).collect()
-        return np.array([v for _, v in sorted(rows)]) if rows else None
-
-    model = Mixer()
-    model.fit(total)
-    return model
-
-
-def _scored(model, total: int, distinct: int):
+    """Where the weights by gate (INPUTS, GATES) and the map (8, BINS) start."""
+
+    def __init__(self, weights: np.ndarray | None = None, refined: np.ndarray | None = None):
+        self.weights = np.full((INPUTS, GATES), 0.4, np.float32) if weights is None else weights.astype(np.float32)
+        centre = 1 / (1 + np.exp(-np.linspace(-8, 8, BINS)))
+        self.map = np.tile(centre, (8, 1)).astype(np.float32) if refined is None else refined.astype(np.float32)
+
+
+def segments(lengths: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, start, length) of pieces of at most `size` symbols, longest first."""
+    n = -(-lengths // size)
+    text = np.repeat(np.arange(len(lengths)), n)
+    piece = np.arange(len(text)) - np.repeat(np.cumsum(n) - n, n)
+    start = np.repeat(np.cumsum(lengths) - lengths, n) + piece * size
+    length = np.minimum(lengths[text] - piece * size, size)
+    order = np.argsort(-length, kind="stable")
+    return text[order], start[order], length[order]
+
+
+def mixed(tables: Tables, mixer: Mixer, stream: np.ndarray, lengths: np.ndarray, start: int, learn: bool = False, size: int = SEGMENT):
+    """The bits that each of the texts takes. With learn, the weights by gate are learned,
+    one set for all texts, and (bits, weights, times, ones), the last two being the map's
+    counts, come back."""
+    one, two = before(stream, lengths, start)
+    text, at, length = segments(lengths, size)
+    out = np.zeros(len(lengths))
+    shared = mixer.weights.copy()
+    seen = np.zeros((2, 8 * BINS))
+    for a in range(0, len(text), WIDTH):
+        few = slice(a, a + WIDTH)
+        np.add.at(out, text[few], _together(tables, mixer, stream, one, two, at[few], length[few], shared, seen, learn))
+    return (out, shared, *seen) if learn else out
+
+
+def _together(tables: Tables, mixer: Mixer, stream, one, two, at, length, shared, seen, learn) -> np.ndarray:
+    """Bits per segment; all advance bit by bit side by side, longest first.
+
+    Stretched prediction: the contexts' values times (weight by gate + the segment's own
+    change of it) + what the segment has learned in its own two contexts. Each of these
+    moves by its rate times the error after the bit."""
+    n, total = len(at), np.zeros(len(at))
+    active = np.searchsorted(-length, -np.arange(int(length[0])) - 1, side="right")
+    own0, own1 = np.zeros(n * 256, np.float32), np.zeros(n * OWN, np.float32)
+    moved = np.zeros((8, INPUTS, n), np.float32)
+    base0, base1 = np.arange(n) * 256, np.arange(n) * OWN
+    one_f, clip, refined = np.float32(1), "clip", mixer.map.ravel()
+    for step, m in enumerate(active):
+        here = at[:m] + step
+        symbol, c1, c2 = stream.take(here), one.take(here).astype(np.int64), two.take(here).astype(np.int64)
+        b0, b1 = base0[:m], base1[:m] + ((c1 * 0x9E35 + 0x55) & (OWN - 1))
+        pair, c1, c2 = c2 << 16 | c1 << 8, c1 << 8, c2 << 8
+        node = np.ones(m, np.int64)
+        bits = symbol >> np.arange(7, -1, -1, dtype=np.uint8)[:, None] & 1
+        wide = bits.astype(np.float32)
+        ys, gates, spots = np.empty((8, INPUTS, m), np.float32), np.empty((8, m), np.int64), np.empty((8, m), np.int64)
+        ps = np.empty((8, m), np.float32)
+        for bit in range(8):
+            y, gate, p = ys[bit], gates[bit], ps[bit]
+            i = pair + node
+            np.multiply(tables.pairs.take(i, mode=clip), np.float32(1 / SCALE), out=y[0])
+            np.add(tables.levels.take(i, mode=clip), bit * 8, out=gate)
+            tables.one.take(c1 + node, out=y[1], mode=clip)
+            tables.skip.take(c2 + node, out=y[2], mode=clip)
+            i0, i1 = b0 + node, b1 ^ (node * 0x2F & (OWN - 1))
+            p0, p1 = own0.take(i0, mode=clip), own1.take(i1, mode=clip)
+            z = p0 + p1
+            for k in range(INPUTS):
+                w = shared[k].take(gate, mode=clip)
+                w += moved[bit, k, :m]
+                w *= y[k]
+                z += w
+            np.clip(z, -8, 8, out=z)
+            np.negative(z, out=p)
+            np.exp(p, out=p)
+            p += one_f
+            np.divide(one_f, p, out=p)
+            z *= np.float32((BINS - 1) / 16)
+            z += np.float32((BINS - 1) / 2 + 0.5 + bit * BINS)
+            spots[bit] = z
+            error = wide[bit] - p
+            own0[i0] = p0 + error * np.float32(OWN_RATES[0])
+            own1[i1] = p1 + error * np.float32(OWN_RATES[1])
+            change = moved[bit, :, :m]
+            change += y * (error * np.float32(RATE))
+            node += node
+            node += bits[bit]
+        if learn:
+            error, gate, spot = wide - ps, gates.ravel(), spots.ravel()
+            seen[0] += np.bincount(spot, minlength=8 * BINS)
+            seen[1] += np.bincount(spot, wide.ravel(), 8 * BINS)
+            times = np.maximum(np.bincount(gate, minlength=GATES), 50)
+            for k in range(INPUTS):
+                shared[k] += np.bincount(gate, (error * ys[:, k]).ravel(), GATES) / times * SHARED_RATE
+        ps += refined.take(spots, mode=clip)
+        ps *= np.float32(0.5)
+        # 1 - p where the bit is 0
+        ps -= one_f - wide
+        total[:m] -= np.log2(np.maximum(np.abs(ps, out=ps), np.float32(1e-9))).sum(axis=0, dtype=np.float64)
+    return total
+
+
+def _learned(tables):
+    """(name, kind, at, value): sums over tasks of weights times bits, bits, and the map's
+    counts, each fold's documents being predicted by the other fold's counts."""
     def run(batches):
-        m = model.value
+        sums = [np.zeros(GATES * INPUTS + 1 + 2 * 8 * BINS) for _ in range(2)]
+        mixers = [Mixer(), Mixer()]
         for batch in batches:
-            for words, kinds, n, c, state, level in zip(*(x.to_pylist() for x in batch.columns)):
-                s, g, _ = laid_out(words, kinds, state, level)
-                kinds, n, c = np.frombuffer(kinds, np.uint8), np.frombuffer(n, np.int64), np.frombuffer(c, np.int64)
-                base = np.log10((c + 0.1) / (total + 0.1 * (distinct + 1)))
-                yield pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array(kinds.astype(np.int32)), pa.array(c), pa.array(n), pa.array(base), pa.array(m.score(words, kinds, s[:, :, 0], g[:, 0]))], ["word", "class", "c", "n", "base", "score"])
+            for rest, *row in zip(*(c.to_pylist() for c in batch.columns)):
+                r = np.frombuffer(rest, np.uint8)
+                for kind in (0, 1):
+                    stream, lengths = _texts_of(row, kind)
+                    of = 1 + r % 2
+                    for fold in (1, 2):
+                        some = stream[np.repeat(of == fold, lengths)]
+                        if len(some):
+                            _, w, times, ones = mixed(tables.value[kind][3 - fold], mixers[kind], some, lengths[of == fold], STARTS[kind], True)
+                            # a task goes on with the weights that it has
+                            mixers[kind] = Mixer(w, mixers[kind].map)
+                            sums[kind] += np.concatenate([w.ravel() * len(some), [len(some)], times, ones])
+        for kind in (0, 1):
+            yield pa.RecordBatch.from_arrays([pa.array([kind] * len(sums[kind]), pa.int64()), pa.array(np.arange(len(sums[kind]))), pa.array(sums[kind])], ["kind", "at", "value"])
 
     return run
 
 
-def _documents(hot, classes):
-    """(id, hash, word, class, k, sums): what frequent units add up to, others by themselves."""
+def fitted(sums: np.ndarray) -> Mixer:
+    """The mixer for sums of what tasks have learned, rounded so that reruns agree."""
+    if not len(sums) or not sums[GATES * INPUTS]:
+        return Mixer()
+    weights = (sums[: GATES * INPUTS] / sums[GATES * INPUTS]).reshape(INPUTS, GATES)
+    times, ones = sums[GATES * INPUTS + 1 :].reshape(2, 8, BINS)
+    return Mixer(np.round(weights, 5), np.round(np.clip((ones + 20 * Mixer().map) / (times + 20), 1e-4, 1 - 1e-4), 5))
+
+
+SCORED = "id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits double, bits_per_byte double"
+
+
+def _scored(tables, mixers, total: int):
     def run(batches):
-        (known, c, base, score), of = hot.value, classes.value.of
         for batch in batches:
-            out = [[] for _ in range(9)]
-            for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                text = text or b""
-                ws = [*text.lower().split(), END]
-                kind = of(ws)
-                at = np.fromiter((known.get(w, -1) for w in ws), np.int64, len(ws))
-                value = score[at, kind]
-                sure = ~np.isnan(value)
-                yes = at[sure]
-                h = xxhash.xxh3_64_intdigest(text) - (1 << 63)
-                rows = [(i, h, b"\0own" + f"{i}:{h}".encode(), 0, 1, len(ws), int((c[yes] > 0).sum()), float(base[yes].sum()), float(value[sure].sum()))]
-                rows += [(i, h, w, k, n, 0, 0, 0.0, 0.0) for (w, k), n in Counter((ws[j], int(kind[j])) for j in np.flatnonzero(~sure)).items()]
-                for col, values in zip(out, zip(*rows)):
-                    col.extend(values)
-            kinds = [pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
-            yield pa.RecordBatch.from_arrays([pa.array(col, t) for col, t in zip(out, kinds)], ["id", "h", "word", "class", "k", "n_tokens", "n_known", "base_sum", "score_sum"])
+            for ids, rest, sizes, known, base, share, *row in zip(*(c.to_pylist() for c in batch.columns)):
+                bits = -unpacked(share, np.float64) / np.log10(2)
+                for kind in (0, 1):
+                    stream, lengths = _texts_of(row, kind)
+                    if len(stream):
+                        bits = bits + mixed(tables.value[kind], mixers[kind], stream, lengths, STARTS[kind])
+                i, size = np.frombuffer(ids, np.int64), unpacked(sizes, np.int64)
+                none = i == -(1 << 63)
+                columns = [pa.array(i, mask=none), pa.array(np.frombuffer(rest, np.uint8) == 0), pa.array(unpacked(row[1], np.int64)), pa.array(unpacked(known, np.int64)), pa.array(np.full(len(i), total)),
+                           pa.array(unpacked(base, np.float64)), pa.array(-bits * np.log10(2)), pa.array(bits), pa.array(bits / np.maximum(size, 1), mask=size == 0)]
+                yield pa.RecordBatch.from_arrays(columns, [f.split()[0] for f in SCORED.split(", ")])
 
     return run
 
 
-def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT) -> DataFrame:
-    """(id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits) per row."""
+def _vocabulary(blocks: DataFrame, answers: DataFrame) -> Vocabulary:
+    total, ends = blocks.agg(F.coalesce(F.sum("n_train"), F.lit(0)), F.coalesce(F.sum("n_ends"), F.lit(0))).head()
+    stats = answers.where("block = -1")
+
+    def unfolded(batches):
+        for batch in batches:
+            for keys, counts in zip(*(c.to_pylist() for c in batch.columns)):
+                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(keys, np.int64)), pa.array(np.frombuffer(counts, np.int64))], ["key", "c"])
+
+    def endings(batches):
+        for batch in batches:
+            for x in batch.column(0).to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(64)), pa.array(np.frombuffer(x, np.int64))], ["at", "c"])
+
+    distinct = stats.agg(F.coalesce(F.sum("known"), F.lit(0))).head()[0]
+    top = stats.select("top_keys", "top_counts").mapInArrow(unfolded, "key long, c long").orderBy(F.desc("c"), "key").limit(TOP).collect()
+    by_ending = np.zeros(64, np.int64)
+    for r in stats.select("by_ending").mapInArrow(endings, "at long, c long").groupBy("at").agg(F.sum("c").alias("c")).collect():
+        by_ending[r["at"]] = r["c"]
+    return Vocabulary(np.array([r["key"] for r in top], np.int64).view(U), np.array([r["c"] for r in top], np.int64), by_ending, total, ends, distinct + (ends > 0))
+
+
+def model_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, Vocabulary, list[Tables], list[Mixer]]:
+    """All documents as texts of symbols, and the model of the training documents among
+    them: the vocabulary, and tables and mixer for symbols and for spellings."""
     spark = docs.sparkSession
-    raw = docs.select(remainder(F.col(id_col)).alias("r"), F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text"))
-    classes = spark.sparkContext.broadcast(Classes(sampled(raw.where("r > 0"), CLASS_DOCS, CLASS_CHARS)))
-    counted = raw.select("r", "text").mapInArrow(_counted(classes), "word binary, class int, first long, second long, n long")
-    # dealt by word, so that a word's classes and its total meet in one place
-    units = counted.repartition(F.col("word")).groupBy("word", "class").agg(F.sum("first").alias("first"), F.sum("second").alias("second"), F.sum("n").alias("n"))
-    w = Window.partitionBy("word")
-    words = units.withColumn("c", F.sum(F.col("first") + F.col("second")).over(w)).withColumn("lead", F.min("class").over(w) == F.col("class"))
-    blocks = saved(words.select("word", "class", "first", "second", "n", "c", "lead").sortWithinPartitions("word", "class").mapInArrow(_blocks, BLOCK), "blocks")
-    total, distinct, size = blocks.agg(*(F.coalesce(F.sum(x), F.lit(0)) for x in ("total", "known", "bytes"))).head()
-    # of a byte's keys, each with its counts 24 bytes, a third or less is left in a block
-    answers = saved(answered(blocks, max(partitions(spark), -(-size * ORDERS * 8 // PART_BYTES))), "answers")
-    model = spark.sparkContext.broadcast(fit(answers))
-    scored = saved(answers.select("words", "class", "n", "c", "states", "levels").mapInArrow(_scored(model, total, distinct), "word binary, class int, c long, n long, base double, score double"), "scored")
-    # the frequency from which on units are no more than `hot`, from some hundred bins
-    short = scored.where(F.length("word") <= HOT_BYTES).withColumn("bin", F.floor(F.log2("n") * 16))
-    least, many = 1 << 30, 0
-    for row in short.groupBy("bin").count().orderBy(F.desc("bin")).collect():
-        many += row["count"]
-        if many > hot:
-            break
-        least = row["bin"]
-    top = short.where(F.col("bin") >= least).toArrow()
-    known: dict[bytes, int] = {}
-    place = np.fromiter((known.setdefault(w, len(known)) for w in top.column("word").to_pylist()), np.int64, top.num_rows)
-    c, base, score = np.zeros(len(known) + 1, np.int64), np.zeros(len(known) + 1), np.full((len(known) + 1, CLASSES), np.nan)
-    c[place], base[place] = top.column("c").to_numpy(), top.column("base").to_numpy()
-    score[place, top.column("class").to_numpy()] = top.column("score").to_numpy()
-    # the last row, which index -1 meets, stays unknown
-    ready = spark.sparkContext.broadcast((known, c, base, score))
-    rows = raw.select("id", "text").mapInArrow(_documents(ready, classes), "id long, h long, word binary, class int, k long, n_tokens long, n_known long, base_sum double, score_sum double")
-    both = rows.join(scored.select("word", "class", "c", "base", "score"), ["word", "class"], "left")
-    k = F.when(F.col("c").isNotNull(), F.col("k")).otherwise(0)
-    sums = both.groupBy("id", "h").agg(
-        F.sum((F.col("n_tokens") > 0).cast("int")).alias("copies"), F.sum("n_tokens").alias("n_tokens"), F.sum(F.col("n_known") + F.when(F.col("c") > 0, F.col("k")).otherwise(0)).alias("n_known"),
-        F.sum(F.col("base_sum") + k * F.coalesce("base", F.lit(0.0))).alias("base_score"), F.sum(F.col("score_sum") + k * F.coalesce("score", F.lit(0.0))).alias("score"))
-    m = F.col("copies")
-    return sums.withColumn("copy", F.explode(F.sequence(F.lit(1), m))).select(
-        "id", (remainder(F.col("id")) == 0).alias("held_out"), (F.col("n_tokens") / m).cast("long").alias("n_tokens"), (F.col("n_known") / m).cast("long").alias("n_known"),
-        F.lit(total).cast("long").alias("train_tokens"), (F.col("base_score") / m).alias("base_score"), (F.col("score") / m).alias("score"), (-F.col("score") / m / float(np.log10(2))).alias("bits"))
+    share = spark.sparkContext.broadcast
+    raw = docs.select(remainder(F.col(id_col)).alias("rest"), F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text"))
+    blocks = saved(raw.mapInArrow(_blocks, BLOCKS), "blocks")
+    size = blocks.agg(F.coalesce(F.sum("n_words"), F.lit(0))).head()[0] * 12
+    parts = max(partitions(spark), -(-size // PART_BYTES))
+    asks = blocks.select("block", "keys", "first", "second").mapInArrow(_asks(parts), "part long, block long, keys binary, n binary")
+    answers = saved(asks.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(_answers, ANSWERS), "answers")
+    vocabulary = _vocabulary(blocks, answers)
+    got = answers.where("block >= 0").groupBy("block").agg(F.sort_array(F.collect_list(F.struct("part", "c"))).alias("got"))
+    both = blocks.join(got.hint("merge"), "block", "left").select("ids", "rest", "sizes", "lengths", "tokens", "words", "keys", F.col("got.c").alias("got"))
+    streams = saved(both.mapInArrow(_streams(share(vocabulary)), STREAMS), "streams")
+    contexts = streams.select("learn_rest", *LESSONS).mapInArrow(_contexts, CONTEXTS)
+    summed = contexts.repartition(CONTEXT_PARTS, "part").sortWithinPartitions("part", "kind").mapInArrow(_tables, TABLES)
+    # 2 * 3 * CONTEXT_PARTS rows, of 2^24 nodes in all for each kind and version
+    made = saved(summed, "contexts")
+
+    def tables(version: int) -> list[Tables]:
+        rows = made.where(F.col("version") == version).collect()
+        return [Tables([tuple(r)[2:] for r in rows if r["kind"] == kind]) for kind in (0, 1)]
+
+    folds = share([{1: a, 2: b} for a, b in zip(tables(1), tables(2))])
+    learned = streams.select("learn_rest", *LESSONS).mapInArrow(_learned(folds), "kind long, at long, value double").groupBy("kind", "at").agg(F.sum("value").alias("value")).collect()
+    mixers = [fitted(np.array([v for _, v in sorted((r["at"], r["value"]) for r in learned if r["kind"] == kind)])) for kind in (0, 1)]
+    folds.unpersist()
+    return streams, vocabulary, tables(0), mixers
+
+
+def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits,
+    bits_per_byte) per row; no bytes have no bits per byte."""
+    streams, vocabulary, tables, mixers = model_of(docs, id_col, text_col)
+    shared = docs.sparkSession.sparkContext.broadcast(tables)
+    return streams.select("ids", "rest", "sizes", "known", "base", "share", *TEXTS).mapInArrow(_scored(shared, mixers, vocabulary.total), SCORED)
 
 
 def op5_contextmix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document, scored by the model of those whose remainder is not 0."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return lm_scores(docs).withColumnRenamed("id", "doc_id")
