@@ -7,8 +7,13 @@ from pyspark.sql import functions as F
 
 
 def strip_brackets(name: Column) -> Column:
-    """A name without outer blanks and outer square brackets, however often repeated."""
-    return F.regexp_replace(F.trim(name), r"^[\[\s]+|[\]\s]+$", "")
+    """A name without outer blanks and without pairs of square brackets around it, however
+    often repeated; a bracket that only one end has stays."""
+    e = F.trim(name)
+    left = F.length(F.regexp_extract(e, r"^\[*", 0))
+    right = F.length(F.replace(F.regexp_extract(e, r"(?:\] *)*$", 0), F.lit(" ")))
+    # one step per pair that both ends have
+    return F.aggregate(F.array_repeat(F.lit(0), F.least(left, right)), e, lambda acc, _: F.rtrim(F.substr(acc, F.lit(2), F.length(acc) - 2)))
 
 
 def bracketed(name: Column) -> Column:

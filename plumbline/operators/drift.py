@@ -143,16 +143,21 @@ def dependent_fks(fks: DataFrame, keys: DataFrame, dropped: DataFrame) -> DataFr
     return fks.join(gone.distinct(), ["database", "related_schema", "related_table", "related_columns"], "left_semi").select(*TABLE, "name")
 
 
-def storage_drift(desired: DataFrame, live: DataFrame, tables: DataFrame) -> DataFrame:
-    """Indexes whose compression or fill factor differs. No compression is NONE, a fill
-    factor of 0 is 100, and a clustered index takes its table's compression."""
-    t = tables.select(*TABLE, F.col("compression").alias("table_compression"))
-    want = desired.join(t, TABLE, "left")
-    compression = F.when(F.col("clustered"), F.coalesce("table_compression", "compression", F.lit("NONE"))).otherwise(F.coalesce("compression", F.lit("NONE")))
+def storage_drift(desired: DataFrame, live: DataFrame, tables: DataFrame, live_tables: DataFrame) -> DataFrame:
+    """Indexes and (without a name) tables whose compression or fill factor differs. No
+    compression is NONE, a fill factor of 0 is 100, and a table takes the compression of
+    its clustered index, if it is to have one."""
+    none = lambda c: F.coalesce(c, F.lit("NONE"))
     fill = lambda c: F.coalesce(F.nullif(c, F.lit(0)), F.lit(100))
-    want = want.select(*TABLE, "name", compression.alias("want_compression"), fill(F.col("fill_factor")).alias("want_fill"))
-    have = live.select(*TABLE, "name", F.coalesce("compression", F.lit("NONE")).alias("have_compression"), fill(F.col("fill_factor")).alias("have_fill"))
-    return want.join(have, [*TABLE, "name"]).where("want_compression <> have_compression or want_fill <> have_fill")
+    want = desired.select(*TABLE, "name", none(F.col("compression")).alias("want_compression"), fill(F.col("fill_factor")).alias("want_fill"))
+    have = live.select(*TABLE, "name", none(F.col("compression")).alias("have_compression"), fill(F.col("fill_factor")).alias("have_fill"))
+    indexes = want.join(have, [*TABLE, "name"])
+    over = desired.where("clustered").groupBy(*TABLE).agg(F.max(none(F.col("compression"))).alias("over"))
+    full = F.lit(100)
+    of = tables.join(over, TABLE, "left").select(*TABLE, none(F.coalesce("over", "compression")).alias("want_compression")).distinct()
+    of = of.join(live_tables.select(*TABLE, none(F.col("compression")).alias("have_compression")), TABLE)
+    of = of.select(*TABLE, F.lit(None).cast("string").alias("name"), "want_compression", full.alias("want_fill"), "have_compression", full.alias("have_fill"))
+    return indexes.select(*of.columns).unionByName(of).where("want_compression <> have_compression or want_fill <> have_fill")
 
 
 def catalog_to_definitions(columns: DataFrame, objects: dict[str, DataFrame]) -> DataFrame:

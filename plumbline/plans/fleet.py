@@ -72,9 +72,11 @@ def read_definitions(spark, d):
 
 def read_catalog(spark, d):
     live = _frame(spark, d, LIVE_COLUMNS)
-    system = live.where("column = 'C1'").withColumn("schema", F.lit("sys"))
-    only = derived(spark, d, "select 'DBO.t' || n_nationkey as name from {nation} union all select 't30'")
-    return src.read_catalog(live.unionByName(system), only).select(*K, "column", "type")
+    first = live.where("column = 'C1'")
+    for schema, name in (("sys", "T30"), ("dbo", "sysdiagrams"), ("dbo", "MSpub_x"), ("dbo", "system_users")):
+        live = live.unionByName(first.where("table = 'T30'").withColumns({"schema": F.lit(schema), "table": F.lit(name)}))
+    only = derived(spark, d, "select 'DBO.t' || n_nationkey as name from {nation} union all select explode(array('t30', 'sysdiagrams', 'mspub_x', 'system_users'))")
+    return src.read_catalog(live, only).select(*K, "column", "type")
 
 
 def def_explode(spark, d):
@@ -83,12 +85,12 @@ def def_explode(spark, d):
     return cols.unionByName(flat["indexes"].select("schema", "table", F.lit("index").alias("kind"), F.col("Name").alias("name"), F.col("IndexColumns").alias("detail")))
 
 
-NAMED = "select n_nationkey, case when n_nationkey % 4 = 0 then ' [' || n_name || '] ' when n_nationkey % 4 = 1 then '[[' || n_name || ']]' when n_nationkey % 4 = 2 then n_name else '[' || n_name end as name from {nation}"
+NAMED = "select c_custkey, case c_custkey % 6 when 0 then ' [' || c_name || '] ' when 1 then '[[' || c_name || '] ]' when 2 then c_name when 3 then '[' || c_name when 4 then '[' || c_name || ']]' else '[a].[' || c_name || ']' end as name from {customer}"
 
 
 def normalize_names(spark, d):
     df = derived(spark, d, NAMED)
-    return df.select("n_nationkey", normalize.strip_brackets(F.col("name")).alias("name"), normalize.bracketed(F.col("name")).alias("wrapped"))
+    return df.select("c_custkey", normalize.strip_brackets(F.col("name")).alias("name"), normalize.bracketed(F.col("name")).alias("wrapped"))
 
 
 EXPRESSIONS = "select o_orderkey, case o_orderkey % 6 when 0 then '(C' || o_custkey || ')' when 1 then '((C' || o_custkey || '>(0)))' when 2 then '(a)+(b' || o_custkey || ')' when 3 then '((a)+(b' || o_custkey || '))' when 4 then 'C' || o_custkey else '(((f(x)))=' || o_custkey || ')' end as e from {orders}"
@@ -180,8 +182,7 @@ def dependent_fks(spark, d):
 
 def storage_drift(spark, d):
     want, live = _objects(spark, d)
-    tables = _tables(spark, d)[0]
-    return drift.storage_drift(want.where("kind = 'index'"), live.where("kind = 'index'"), tables)
+    return drift.storage_drift(want.where("kind = 'index'"), live.where("kind = 'index'"), *_tables(spark, d))
 
 
 def catalog_to_defs(spark, d):
@@ -226,9 +227,9 @@ _NO_WANT = f"not exists (select 1 from wo w where {_same('w', 'l', 'kind', 'name
 _DROPS = "drops as (select db, sch, tab, kind, name from drifted where change in ('changed', 'removed')), "
 ORACLE_SQL = {
     "read_definitions": _WITH + "x as (select 1) select sch as \"schema\", tab as \"table\", count(*)::int as n_columns from wc where db = 'd0' group by 1, 2",
-    "read_catalog": _WITH + f"x as (select 1) select {_KEY}, col as \"column\", type from lc where tab in (select 'T' || n_nationkey from nation) or tab = 'T30'",
+    "read_catalog": _WITH + f"x as (select 1) select {_KEY}, col as \"column\", type from lc where tab in (select 'T' || n_nationkey from nation) or tab = 'T30' union all select db, sch, 'system_users', col, type from lc where tab = 'T30' and col = 'C1'",
     "def_explode": _WITH + "x as (select 1) select sch as \"schema\", tab as \"table\", 'column' as kind, col as name, type as detail from wc where db = 'd0' union all select sch, tab, 'index', name, columns from wo o where db = 'd0' and kind = 'index' and exists (select 1 from wc c where c.db = o.db and c.tab = o.tab)",
-    "normalize_names": "select n_nationkey, n_name as name, '[' || n_name || ']' as wrapped from nation",
+    "normalize_names": "select c_custkey, name, '[' || name || ']' as wrapped from (select c_custkey, case c_custkey % 6 when 3 then '[' || c_name when 4 then c_name || ']' when 5 then 'a].[' || c_name else c_name end as name from customer)",
     "normalize_exprs": "select o_orderkey, case o_orderkey % 6 when 1 then 'C' || o_custkey || '>(0)' when 2 then '(a)+(b' || o_custkey || ')' when 3 then '(a)+(b' || o_custkey || ')' when 5 then '((f(x)))=' || o_custkey else 'C' || o_custkey end as e from orders",
     "normalize_column_list": "select o_orderkey, 'B' || (o_orderkey % 7) || ' DESC,A,C' || (o_orderkey % 3) as keys, 'A,B' || (o_orderkey % 7) || ' DESC,C' || (o_orderkey % 3) as sorted from orders",
     "type_string": "select p_partkey, case p_partkey % 4 when 0 then 'VARCHAR(' || case when p_size % 5 = 0 then 'MAX' else p_size::varchar end || ')' when 1 then 'DECIMAL(' || p_size || ', ' || (p_size % 3) || ')' when 2 then 'DATETIME2(' || (p_size % 3) || ')' else 'INT' end as type from part",
@@ -247,7 +248,7 @@ ORACLE_SQL = {
     "column_impact": _WITH + _CHANGED + f" select distinct {_key('o')}, o.kind, o.name from lo o join changed c on {_same('o', 'c')} where c.reasons <> '' and (list_contains(list_transform(string_split(o.columns, ','), lambda x: replace(x, ' DESC', '')), c.col) or contains(o.definition, c.col))",
     "drop_set": _WITH + _DRIFT + ", " + _DROPS + f"t as (select distinct l.db, l.sch, l.tab from lo l join drops d on {_same('d', 'l', 'kind', 'name')} where l.clustered) select {_KEY}, kind, name from drops union select l.db, l.sch, l.tab, l.kind, l.name from lo l join t on {_same('t', 'l')} where l.kind = 'statistic'",
     "dependent_fks": _WITH + f"x as (select 1) select {_key('f')}, f.name from lo f where f.kind = 'statistic' and exists (select 1 from lo l where l.kind = 'index' and {_same('f', 'l', 'columns')} and {_NO_WANT})",
-    "storage_drift": _WITH + f"j as (select {_key('w')}, w.name, case when w.clustered then coalesce(t.compression, w.compression, 'NONE') else coalesce(w.compression, 'NONE') end as want_compression, coalesce(nullif(w.fill_factor, 0), 100) as want_fill, coalesce(l.compression, 'NONE') as have_compression, coalesce(nullif(l.fill_factor, 0), 100) as have_fill from wo w left join wt t on {_same('w', 't')} join lo l on {_same('w', 'l', 'name')} and l.kind = 'index' where w.kind = 'index') select * from j where want_compression <> have_compression or want_fill <> have_fill",
+    "storage_drift": _WITH + f"i as (select {_key('w')}, w.name, coalesce(w.compression, 'NONE') as want_compression, coalesce(nullif(w.fill_factor, 0), 100) as want_fill, coalesce(l.compression, 'NONE') as have_compression, coalesce(nullif(l.fill_factor, 0), 100) as have_fill from wo w join lo l on {_same('w', 'l', 'name')} and l.kind = 'index' where w.kind = 'index'), c as (select db, sch, tab, max(coalesce(compression, 'NONE')) as over from wo where kind = 'index' and clustered group by 1, 2, 3), t as (select distinct {_key('w')}, null::varchar as name, coalesce(c.over, w.compression, 'NONE') as want_compression, 100 as want_fill, coalesce(l.compression, 'NONE') as have_compression, 100 as have_fill from wt w left join c on {_same('w', 'c')} join lt l on {_same('w', 'l')}), j as (select * from i union all select * from t) select * from j where want_compression <> have_compression or want_fill <> have_fill",
     "catalog_to_defs": _WITH + f"x as (select 1) select {_key('c')}, count(*)::int as n_columns, (select count(*)::int from wo o where o.kind = 'index' and {_same('o', 'c')}) as n_indexes, min(c.col) as first, min_by(c.type, c.col) as type from wc c group by c.db, c.sch, c.tab",
     "properties_map": f"with i as ({plain(PROPS_I)}), c as ({plain(PROPS_C)}), b as (select coalesce(i.owner, c.owner) as owner, coalesce(i.name, c.name) as name, coalesce(i.value, c.value) as value from i full join c on i.owner = c.owner and i.name = c.name) select owner, string_agg(name || '=' || value, ';' order by name) as properties from b group by owner",
     "untagged_objects": _WITH + f"x as (select 1) select {_KEY} from lt l where owner is null and exists (select 1 from wt w where {_same('w', 'l')})",

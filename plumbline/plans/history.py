@@ -91,8 +91,8 @@ def text_multi_column(spark, d):
 
 
 def _texts(spark, d):
-    old = table(spark, d, "documents").select("doc_id", "text").where("doc_id % 2 = 0")
-    return old, old.where("doc_id % 6 = 0").withColumn("text", F.concat(F.lit("changed "), F.left("text", F.lit(50))))
+    old = table(spark, d, "documents").select("doc_id", "text")
+    return old, old.where("doc_id % 6 = 0").withColumn("text", F.concat(F.lit("changed "), "text"))
 
 
 def text_refresh_manual(spark, d):
@@ -102,11 +102,11 @@ def text_refresh_manual(spark, d):
 
 
 def text_refresh_stream(spark, d):
-    """The documents, and then changed texts of some, as a stream of two files."""
+    """The documents, and then changed texts of some, as a stream of two sets of files."""
     base = common.work_dir(spark)
     old, new = _texts(spark, d)
     for n, part in enumerate((old, new)):
-        part.coalesce(1).write.mode("append").parquet(f"{base}/in")
+        part.write.mode("append").parquet(f"{base}/in")
         stream = spark.readStream.schema(old.schema).parquet(f"{base}/in")
         text_stream.keep_postings(stream, f"{base}/out", f"{base}/state", "doc_id", ["text"]).awaitTermination()
     return text_stream.read_postings(spark, f"{base}/out", "doc_id").select("term", "doc_id", "n")
@@ -152,7 +152,7 @@ def _terms(rows="documents", text="text"):
     return _PIECES.format(rows=rows, text=text)
 
 
-_REFRESHED = ("with r as (select doc_id, case when doc_id % 6 = 0 then 'changed ' || left(text, 50) else text end as text from documents where doc_id % 2 = 0) "
+_REFRESHED = ("with r as (select doc_id, case when doc_id % 6 = 0 then 'changed ' || text else text end as text from documents) "
               "select term, doc_id, count(*) as n from " + _terms("r") + " where term <> ''{stop} group by 1, 2")
 _INPUTS = "(select 'in/' || o_orderkey || '.sql' as path, 'p' || (o_custkey % 3) as product, 's' || (o_orderkey % 2) as slot, o_orderkey % 17 = 0 as always from orders)"
 _LEDGER = f"({plain(LEDGER)})"

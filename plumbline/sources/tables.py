@@ -66,9 +66,12 @@ def read_definitions(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_catalog(snapshot: DataFrame, only: DataFrame | None = None, own_schema: str = "tool") -> DataFrame:
-    """Column rows (database, schema, table, column, ...) of user tables; only(name) lists
-    `table` or `schema.table`, in any case."""
-    rows = snapshot.where(~F.lower("schema").isin("sys", "information_schema", own_schema.lower()) & ~F.lower("table").like("sys%"))
+    """Column rows (database, schema, table, column, ...) of user tables, without those that
+    replication and diagrams leave among them; only(name) lists `table` or `schema.table`,
+    in any case."""
+    name = F.lower("table")
+    made = name.isin("dtproperties", "sysdiagrams") | name.startswith("mspeer_") | name.startswith("mspub_")
+    rows = snapshot.where(~F.lower("schema").isin("sys", "information_schema", own_schema.lower()) & ~made)
     if only is None:
         return rows
     names = only.select(F.lower(F.trim("name")).alias("wanted"))

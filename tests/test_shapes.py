@@ -14,8 +14,25 @@ def test_strip_parens(spark, text, want):
 
 
 def test_names(spark):
-    df = spark.createDataFrame([("[[a b]]",), (" [x",), (None,)], "n string").select(normalize.strip_brackets(F.col("n")).alias("n"))
-    assert [r["n"] for r in df.collect()] == ["a b", "x", None]
+    df = spark.createDataFrame([("[[a b]]",), (" [x",), ("a]",), ("[[a ] ]",), ("[[]",), ("[]",), ("",), (None,)], "n string").select(normalize.strip_brackets(F.col("n")).alias("n"))
+    assert [r["n"] for r in df.collect()] == ["a b", "[x", "a]", "a", "[", "", "", None]
+
+
+def test_catalog_of_user_tables(spark):
+    rows = [("d", s, t, "c") for s, t in (("dbo", "system_users"), ("dbo", "SysDiagrams"), ("dbo", "MSpeer_a"), ("dbo", "mspeers"), ("sys", "x"), ("Tool", "x"))]
+    df = spark.createDataFrame(rows, "database string, schema string, table string, column string")
+    assert sorted(r["table"] for r in src.read_catalog(df).collect()) == ["mspeers", "system_users"]
+
+
+def test_compression_of_a_clustered_index(spark):
+    index = "database string, schema string, table string, name string, compression string, clustered boolean, fill_factor int"
+    table = "database string, schema string, table string, compression string"
+    desired = spark.createDataFrame([("d", "dbo", "t", "i", "ROW", True, 0), ("d", "dbo", "u", "i", None, False, 0)], index)
+    live = spark.createDataFrame([("d", "dbo", "t", "i", "ROW", True, 100), ("d", "dbo", "u", "i", "PAGE", False, 100)], index)
+    tables = spark.createDataFrame([("d", "dbo", "t", "PAGE"), ("d", "dbo", "u", "PAGE")], table)
+    now = spark.createDataFrame([("d", "dbo", "t", "ROW"), ("d", "dbo", "u", "NONE")], table)
+    out = drift.storage_drift(desired, live, tables, now).collect()
+    assert sorted((r["table"], r["name"] or "", r["want_compression"], r["have_compression"]) for r in out) == [("u", "", "PAGE", "NONE"), ("u", "i", "NONE", "PAGE")]
 
 
 def test_conform(spark):
