@@ -327,6 +327,14 @@ class Tables:
             skips[part * high : (part + 1) * high] = unpacked(skip, np.uint16).reshape(-1, 256)
         self.one, self.skip = (self._value(x).ravel() for x in (states(ones), skips))
 
+    def __getstate__(self) -> tuple:
+        """Contexts never seen, the most by far in small corpora, take no room on the way."""
+        return packed(self.pairs), packed(self.levels), self.one, self.skip
+
+    def __setstate__(self, state: tuple) -> None:
+        self.pairs, self.levels = (unpacked(x, np.int8) for x in state[:2])
+        self.one, self.skip = state[2:]
+
     @staticmethod
     def _value(state: np.ndarray) -> np.ndarray:
         return (((state & 255).astype(np.float32) - 128) / np.float32(SCALE)).astype(np.float32)
