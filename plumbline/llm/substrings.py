@@ -6,9 +6,9 @@ windows mostly share one: the index holds a fifth of the windows' number and yet
 misses none. A batch becomes a run, an immutable table of (anchor, doc) bucketed and
 sorted by anchor. The new run is merge-joined with the runs of history, bucket by
 bucket and without a shuffle; documents on either side that have a shared anchor
-are read again, their windows under shared anchors compared in full (13-word hash
-and anchor, 128 bits in one 64-bit key and its bucket of equal anchors), and windows
-that start in an earlier document are removed. When `fanout` runs stand beside each
+are read again, their windows under shared anchors compared by 128 bits (64 of the 13
+words and, beside them, the anchor's 64), and windows that start in an earlier
+document are removed. When `fanout` runs stand beside each
 other they are merged into one.
 
 Batches are taken in order of doc_id, so what history holds is earlier. Tasks keep
@@ -66,32 +66,34 @@ def _anchors(n: int, a: int):
 
 
 def _candidates(anchors: tuple[np.ndarray, int], docs: tuple[np.ndarray, int] | None, n: int, a: int):
-    """(key, doc, at, sure) of windows under shared anchors. Of equal windows in a batch
-    only those of the first document keep their key; later ones are removed for sure.
+    """(key, low, doc, at, sure) of windows under shared anchors (low). Of equal windows in
+    a batch only those of the first document keep their key; later ones are removed for sure.
     With docs, a bitmap, these are documents of history, of which no window is removed."""
     def run(batches):
         known = WordHashes()
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             which = np.arange(len(ids)) if docs is None else np.flatnonzero(in_bitmap(docs[0], ids, docs[1]))
-            keys, owner, places = [np.empty(0, U)], [np.empty(0, np.int64)], [np.empty(0, np.int32)]
+            keys, lows, owner, places = [np.empty(0, U)], [np.empty(0, U)], [np.empty(0, np.int64)], [np.empty(0, np.int32)]
             for i, text in zip(ids[which], batch.column(1).take(pa.array(which)).to_pylist()):
                 key, low = fingerprints(known.of(split_words(text)), n, a)
                 at = np.flatnonzero(in_bitmap(anchors[0], low.view(np.int64), anchors[1])) if len(key) else np.empty(0, np.int64)
                 keys.append(key[at])
+                lows.append(low[at])
                 owner.append(np.full(len(at), i, np.int64))
                 places.append(at.astype(np.int32))
-            key, doc, at = np.concatenate(keys), np.concatenate(owner), np.concatenate(places)
+            key, low, doc, at = (np.concatenate(x) for x in (keys, lows, owner, places))
             order = np.lexsort((doc, key))
-            key, doc, at = key[order], doc[order], at[order]
-            start = np.concatenate(([True], key[1:] != key[:-1])) if len(key) else np.empty(0, bool)
+            key, low, doc, at = key[order], low[order], doc[order], at[order]
+            # different windows of one key have different anchors and start anew
+            start = np.concatenate(([True], (key[1:] != key[:-1]) | (low[1:] != low[:-1]))) if len(key) else np.empty(0, bool)
             head = np.maximum.accumulate(np.where(start, np.arange(len(key)), 0)) if len(key) else np.empty(0, np.int64)
             sure = doc != doc[head]
             if docs is not None:
-                key, doc, at, sure = key[start], doc[start], np.full(int(start.sum()), -1, np.int32), sure[start]
+                key, low, doc, at, sure = key[start], low[start], doc[start], np.full(int(start.sum()), -1, np.int32), sure[start]
             # rows that are settled get keys that spread them evenly
             key = np.where(sure, mixed(doc.view(U) * U(PRIME) + at.astype(np.int64).view(U)), key)
-            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(doc), pa.array(at), pa.array(sure)], ["key", "doc", "at", "sure"])
+            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(low.view(np.int64)), pa.array(doc), pa.array(at), pa.array(sure)], ["key", "low", "doc", "at", "sure"])
 
     return run
 
@@ -133,7 +135,7 @@ class FingerprintIndex:
             across = met if across is None else across.unionByName(met)
         shared = saved(inside if across is None else inside.unionByName(across.distinct()), "shared")
         anchors = bitmap(shared, F.col("anchor"))
-        schema = "key long, doc long, at int, sure boolean"
+        schema = "key long, low long, doc long, at int, sure boolean"
         rows = batch.mapInArrow(_candidates(anchors, None, self.n, self.a), schema)
         if olds:
             docs = None
@@ -141,8 +143,8 @@ class FingerprintIndex:
                 had = old.join(run.hint("merge"), "anchor", "left_semi").select("doc")
                 docs = had if docs is None else docs.unionByName(had)
             rows = rows.unionByName(history.mapInArrow(_candidates(anchors, bitmap(docs, F.col("doc")), self.n, self.a), schema))
-        first = F.min("doc").over(Window.partitionBy("key"))
-        removed = saved(rows.withColumn("first", F.when(~F.col("sure"), first)).where("at >= 0 and (sure or doc > first)").select("doc", "at"), "removed")
+        first = F.min(F.when(~F.col("sure"), F.col("doc"))).over(Window.partitionBy("key", "low"))
+        removed = saved(rows.withColumn("first", first).where("at >= 0 and (sure or doc > first)").select("doc", "at"), "removed")
         self.runs.append((0, new))
         self._compact()
         return removed
