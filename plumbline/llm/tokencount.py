@@ -47,13 +47,15 @@ def _letters() -> dict[str, int]:
 
 
 class _Made(dict):
-    """A dict that makes what it lacks."""
+    """A dict that makes what it lacks; long keys are made each time."""
 
     def __init__(self, make):
         self.make = make
 
     def __missing__(self, key):
-        value = self[key] = self.make(key)
+        value = self.make(key)
+        if len(key) <= KEPT_PREFIX:
+            self[key] = value
         return value
 
 
@@ -125,8 +127,7 @@ class PrefixCounter:
             self.states.clear()
         tokens, fits, states = self.tokens, self.fits, self.states
         for i in range(1, len(b) + 1):
-            prefix = b[:i]
-            state = states.get(prefix)
+            state = states.get(b[:i]) if i <= KEPT_PREFIX else None
             if state is None:
                 for j in range(max(0, i - self.longest), i):
                     token = b[j:i]
@@ -136,7 +137,7 @@ class PrefixCounter:
                             state = token, count[j] + 1
                             break
                 if i <= KEPT_PREFIX:
-                    states[prefix] = state
+                    states[b[:i]] = state
             last.append(state[0])
             count.append(state[1])
         out = np.array(count[1:], dtype=np.uint32)

@@ -5,10 +5,12 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -458,6 +460,34 @@ def test_quality(spark, docs, texts, nothing):
     assert set(by_id(quality.quality_filter(bad))) == set(range(42, 200))
 
 
+def test_windows_of_one_key_are_told_apart_by_their_anchors(monkeypatch):
+    real = substrings.fingerprints
+    monkeypatch.setattr(substrings, "fingerprints", lambda *a: (np.zeros(len(real(*a)[0]), np.uint64), real(*a)[1]))
+    monkeypatch.setattr(substrings, "in_bitmap", lambda bits, keys, n: np.ones(len(keys), bool))
+    texts = [" ".join(f"{c}{i}" for i in range(13)).encode() for c in "aba"]
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2, 3]), pa.array(texts)], ["id", "text"])
+    (out,) = substrings._candidates((None, 0), None, 13, 6)([batch])
+    rows = out.to_pylist()
+    assert len({r["low"] for r in rows if r["doc"] in (1, 2)}) == 2
+    # which of equal keys stand beside each other is chance; no window is taken for another
+    assert not any(r["sure"] for r in rows if r["doc"] != 3)
+
+
+def test_a_very_long_piece_is_counted_in_linear_time():
+    pytest.importorskip("public_tokenizers")
+    of = tokencount.counter(tokencount.default_path())
+    text = "ab" * 100_000
+    start = time.monotonic()
+    table = of.prefixes(text)
+    assert time.monotonic() - start < 20
+    assert len(table) == len(text) and len(of.known) < tokencount.REMEMBERED and text not in of.known
+    tokenizers = pytest.importorskip("tokenizers")
+
+    library = tokenizers.Tokenizer.from_file(tokencount.default_path())
+    for n in (1000, 5001, 20_000):
+        assert table[n - 1] == len(library.encode(text[:n], add_special_tokens=False).ids)
+
+
 def test_token_prefixes():
     tokenizers = pytest.importorskip("tokenizers")
     pytest.importorskip("public_tokenizers")
