@@ -2,12 +2,14 @@
 
 Words are canonicalised one by one: outer punctuation is dropped, numbers become
 <num>, units <unit>, capitalised words <name>, everything else its lower case.
-Windows of 13 template words (a whole item where it has only 8 to 12) with at least
-7 words that are no placeholders are hashed and joined with those of the benchmark,
-so a question whose numbers and names were exchanged still meets its original. The
+Windows of 13 template words (a whole item where it has only 8 to 12) are hashed and
+joined with those of the benchmark, so a question whose numbers and names were
+exchanged still meets its original. Windows with fewer than 7 words that are no
+placeholders say too little as templates and are hashed by their words themselves. The
 values behind the placeholders are then compared along the alignment of document
 and item: the same value must always stand for the same one, in both directions.
-A consistent alignment makes the document contaminated.
+A consistent alignment makes the document contaminated, and so does any window of
+which all values are the item's own, whatever the rest of the alignment.
 
 Tasks drop windows by a bitmap of 1 MB made from the benchmark's hashes, whatever
 its size; what passes is joined exactly. Items of fewer than 8 words are too short
@@ -35,6 +37,10 @@ UNITS = frozenset(
     "mm cm m km in inch inches ft foot feet yd yard yards mi mile miles mg g kg lb lbs oz ounce ounces gram grams ton tons"
     " ml l liter liters litre litres gallon gallons s sec second seconds min minute minutes h hr hour hours day days week weeks"
     " month months year years cent cents dollar dollars euro euros usd eur percent degree degrees mph kmh".split())
+#: Numbers in words.
+SPELLED = frozenset(
+    "one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen"
+    " twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million".split())
 _EDGES = re.compile(r"^[\W_]+|[\W_]+$")
 _NUMBER = re.compile(r"[\d][\d.,:/]*(?:st|nd|rd|th|%|[a-z]{1,3})?")
 
@@ -43,7 +49,7 @@ def template(word: str) -> tuple[str, str]:
     """(template word, value): the value is empty for words that are no placeholders."""
     bare = _EDGES.sub("", word)
     low = bare.lower()
-    if _NUMBER.fullmatch(low):
+    if _NUMBER.fullmatch(low) or all(x in SPELLED for x in low.split("-")):
         return "<num>", "n:" + low
     if low in UNITS:
         return "<unit>", "u:" + low
@@ -63,24 +69,37 @@ class _Templates(dict):
         return out
 
 
+class _Words(dict):
+    """Hash of a word itself, without outer punctuation and case, unlike any template's."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= CACHED_WORDS:
+            self.clear()
+        out = self[word] = xxhash.xxh3_64_intdigest(_EDGES.sub("", word.decode("utf-8", "replace")).lower() or word, seed=1)
+        return out
+
+
 def _windows(lengths: tuple[int, ...], literals: int, wanted: tuple[np.ndarray, int] | None):
     """(hash, id, at, n, values) per window; of documents only those that may match."""
     def run(batches):
-        known = _Templates()
+        known, itself = _Templates(), _Words()
         for batch in batches:
             out = [[], [], [], [], []]
             for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 ws = split_words(text)
                 t = np.fromiter(map(known.__getitem__, ws), dtype=U, count=len(ws))
+                own = None
                 sure = np.concatenate(([0], np.cumsum(t & U(1)).astype(np.int64)))
                 # an item of its own is taken in windows of one length
                 for n in lengths if wanted is not None else (min(WINDOW, len(ws)),) if len(ws) >= SHORTEST else ():
                     h = windows(t, n).view(np.int64)
                     if not len(h):
                         continue
-                    yes = sure[n:] - sure[:-n] >= min(literals, n - 1)
-                    if wanted is not None:
-                        yes &= in_bitmap(wanted[0], h, wanted[1])
+                    vague = sure[n:] - sure[:-n] < min(literals, n - 1)
+                    if vague.any():
+                        own = np.fromiter(map(itself.__getitem__, ws), dtype=U, count=len(ws)) if own is None else own
+                        h = np.where(vague, windows(own, n).view(np.int64), h)
+                    yes = np.ones(len(h), bool) if wanted is None else in_bitmap(wanted[0], h, wanted[1])
                     for at in np.flatnonzero(yes):
                         out[0].append(h[at])
                         out[1].append(i)
@@ -105,10 +124,10 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_
     i = small(items.select("h", "n", F.col("id").alias("item"), F.col("at").alias("item_at"), F.col("values").alias("item_values")))
     both = found.join(i, ["h", "n"])
     slots = F.filter(F.arrays_zip(F.col("item_values").alias("a"), F.col("values").alias("b")), lambda x: x["a"] != "")
-    per = both.groupBy("id", "item", (F.col("at") - F.col("item_at")).alias("shift")).agg(F.count("*").alias("n_windows"), F.array_distinct(F.flatten(F.collect_set(slots))).alias("slots"))
+    per = both.groupBy("id", "item", (F.col("at") - F.col("item_at")).alias("shift")).agg(F.count("*").alias("n_windows"), F.array_distinct(F.flatten(F.collect_set(slots))).alias("slots"), F.max(F.col("values") == F.col("item_values")).alias("verbatim"))
     one_way = F.size(F.array_distinct(F.transform("slots", lambda x: x["a"]))) == F.size("slots")
     other_way = F.size(F.array_distinct(F.transform("slots", lambda x: x["b"]))) == F.size("slots")
-    return per.select("id", F.col("item").alias("item_id"), "shift", "n_windows", F.size("slots").alias("n_slots"), (one_way & other_way).alias("consistent"))
+    return per.select("id", F.col("item").alias("item_id"), "shift", "n_windows", F.size("slots").alias("n_slots"), (F.col("verbatim") | one_way & other_way).alias("consistent"))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, **columns) -> DataFrame:

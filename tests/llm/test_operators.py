@@ -209,6 +209,62 @@ def test_decontamination(spark, texts, docs, nothing):
     assert decontaminate.decontaminate(nothing, bench).isEmpty()
 
 
+def test_decontamination_against_brute_force(spark):
+    rng = random.Random(4)
+    words = [f"{a}{b}" for a in ("ba", "ke", "lo", "mi", "tu") for b in ("ral", "sen", "tog", "vip", "nux")]
+    names = ["Ann", "Bob", "Cid", "Dora", "Eve", "Fay", "Gus", "Hal"]
+    numbers = [str(x) for x in range(20, 90)] + ["three", "twenty-one", "eleven"]
+
+    def other(word: str, to: dict) -> str:
+        pool = names if word in names else numbers if word in numbers else None
+        return word if pool is None else to.setdefault(word, rng.choice([x for x in pool if x not in to.values()]))
+
+    items, texts, want = {}, {}, {}
+    for k in range(24):
+        slots = 0.2 if k % 2 else 0.7
+        ws = [rng.choice(rng.choice((names, numbers))) if rng.random() < slots else rng.choice(words) for _ in range(rng.randrange(9, 24))]
+        items[k] = " ".join(ws)
+        before, after = (" ".join(rng.choices(words, k=9)) for _ in "ab")
+        to = {}
+        texts[4 * k] = f"{before} {items[k]} {after}"
+        texts[4 * k + 1] = f"{before} " + " ".join(other(w, to) for w in ws) + f", {after}"
+        texts[4 * k + 2] = f"{before} " + " ".join(other(w, {}) for w in ws) + f" {after}"
+        texts[4 * k + 3] = " ".join(rng.choice(names + numbers) if rng.random() < 0.3 else rng.choice(words) for _ in range(40))
+    items[24] = "Ann 3 kg Bob 4 kg Cid 5 kg Dan 6 kg total of these"
+    texts |= {96: f"so {items[24]} then", 97: items[24].replace("3", "7"), 98: "", 99: items[1], 100: items[1]}
+
+    def keys(text: str, n: int) -> list:
+        forms = [decontaminate.template(w) for w in text.split()]
+        own = [decontaminate._EDGES.sub("", w).lower() for w in text.split()]
+        out = []
+        for at in range(len(own) - n + 1):
+            part = forms[at : at + n]
+            literal = sum(not v for _, v in part)
+            out.append((tuple(f for f, _ in part) if literal >= min(7, n - 1) else ("itself", *own[at : at + n]), tuple(v for _, v in part)))
+        return out
+
+    for i, text in texts.items():
+        for k, item in items.items():
+            n = min(13, len(item.split()))
+            runs = {}
+            for x, (h, values) in enumerate(keys(text, n)):
+                for y, (g, original) in enumerate(keys(item, n)):
+                    if h == g:
+                        runs.setdefault(x - y, []).append((original, values))
+            for met in runs.values():
+                pairs = {p for original, values in met for p in zip(original, values) if p[0]}
+                if any(a == b for a, b in met) or len({a for a, _ in pairs}) == len(pairs) == len({b for _, b in pairs}):
+                    want.setdefault(i, set()).add(k)
+    bench = spark.createDataFrame(list(items.items()), "item_id bigint, text string")
+    more = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")
+    hits = {r["id"]: r["n_items"] for r in decontaminate.contaminated(more, bench).collect()}
+    assert hits == {i: len(found) for i, found in want.items()}
+    # copies word for word are all found, clean texts never; of re-parameterised ones those
+    # with enough words besides placeholders
+    assert {*range(0, 96, 4), 96, 99, 100} <= set(hits) and not {*range(3, 96, 4), 98} & set(hits)
+    assert sum(4 * k + 1 in hits for k in range(1, 24, 2)) >= 11
+
+
 def test_mix(docs, texts, nothing):
     out = by_id(mix.mix(docs))
     sizes = {i: len(WORD.findall(t or "")) for i, t in texts.items()}
