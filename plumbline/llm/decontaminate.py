@@ -11,7 +11,7 @@ and item: the same value must always stand for the same one, in both directions.
 A consistent alignment makes the document contaminated, and so does any window of
 which all values are the item's own, whatever the rest of the alignment.
 
-Tasks drop windows by a bitmap of 1 MB made from the benchmark's hashes, whatever
+Tasks drop windows by two bitmaps made from the benchmark's hashes, whatever
 its size; what passes is joined exactly. Items of fewer than 8 words are too short
 to tell and are ignored. Null text matches nothing; null doc_ids are left alone;
 rows that share a doc_id are one document. No benchmark leaves all documents clean.
@@ -69,49 +69,43 @@ class _Templates(dict):
         return out
 
 
-class _Words(dict):
-    """Hash of a word itself, without outer punctuation and case, unlike any template's."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= CACHED_WORDS:
-            self.clear()
-        out = self[word] = xxhash.xxh3_64_intdigest(_EDGES.sub("", word.decode("utf-8", "replace")).lower() or word, seed=1)
-        return out
+def _itself(words: list[bytes]) -> int:
+    """Hash of words themselves, without outer punctuation and case."""
+    h = xxhash.xxh3_64_intdigest("\n".join(_EDGES.sub("", w.decode("utf-8", "replace")).lower() for w in words), seed=1)
+    return h - (h >> 63 << 64)
 
 
-def _windows(lengths: tuple[int, ...], literals: int, wanted: tuple[np.ndarray, int] | None):
-    """(hash, id, at, n, values) per window; of documents only those that may match."""
+def _windows(lengths: tuple[int, ...], literals: int, wanted: tuple[tuple[np.ndarray, int], tuple[np.ndarray, int]] | None):
+    """(hash, template's hash, id, at, n, values) per window; of documents only those that
+    may match, by bitmaps of the templates' hashes and of the hashes."""
     def run(batches):
-        known, itself = _Templates(), _Words()
+        known = _Templates()
         for batch in batches:
-            out = [[], [], [], [], []]
+            out = [[], [], [], [], [], []]
             for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 ws = split_words(text)
                 t = np.fromiter(map(known.__getitem__, ws), dtype=U, count=len(ws))
-                own = None
                 sure = np.concatenate(([0], np.cumsum(t & U(1)).astype(np.int64)))
                 # an item of its own is taken in windows of one length
                 for n in lengths if wanted is not None else (min(WINDOW, len(ws)),) if len(ws) >= SHORTEST else ():
                     h = windows(t, n).view(np.int64)
                     if not len(h):
                         continue
-                    vague = sure[n:] - sure[:-n] < min(literals, n - 1)
-                    if vague.any():
-                        own = np.fromiter(map(itself.__getitem__, ws), dtype=U, count=len(ws)) if own is None else own
-                        h = np.where(vague, windows(own, n).view(np.int64), h)
-                    yes = np.ones(len(h), bool) if wanted is None else in_bitmap(wanted[0], h, wanted[1])
-                    for at in np.flatnonzero(yes):
-                        out[0].append(h[at])
-                        out[1].append(i)
-                        out[2].append(at)
-                        out[3].append(n)
-                        out[4].append([template(w.decode("utf-8", "replace"))[1] for w in ws[at : at + n]])
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int32()), pa.array(out[3], pa.int32()), pa.array(out[4], pa.list_(pa.string()))], ["h", "id", "at", "n", "values"])
+                    for at in range(len(h)) if wanted is None else np.flatnonzero(in_bitmap(wanted[0][0], h, wanted[0][1])):
+                        key = h[at]
+                        if sure[at + n] - sure[at] < min(literals, n - 1):
+                            key = _itself(ws[at : at + n])
+                            if wanted is not None and not in_bitmap(wanted[1][0], np.array([key]), wanted[1][1])[0]:
+                                continue
+                        for column, value in zip(out, (key, h[at], i, at, n, [template(w.decode("utf-8", "replace"))[1] for w in ws[at : at + n]])):
+                            column.append(value)
+            kinds = pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds)], ["h", "t", "id", "at", "n", "values"])
 
     return run
 
 
-SCHEMA = "h long, id long, at int, n int, values array<string>"
+SCHEMA = "h long, t long, id long, at int, n int, values array<string>"
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", literals: int = LITERALS) -> DataFrame:
@@ -120,7 +114,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_
     items = saved(b.mapInArrow(_windows((), literals, None), SCHEMA), "templates")
     lengths = tuple(sorted(r["n"] for r in items.select("n").distinct().collect()))  # at most 6 values
     raw = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text")).where("id is not null and text is not null")
-    found = saved(raw.mapInArrow(_windows(lengths, literals, bitmap(items.select("h"), F.col("h"))), SCHEMA), "windows")
+    found = saved(raw.mapInArrow(_windows(lengths, literals, (bitmap(items.select("t"), F.col("t")), bitmap(items.select("h"), F.col("h")))), SCHEMA).drop("t"), "windows")
     i = small(items.select("h", "n", F.col("id").alias("item"), F.col("at").alias("item_at"), F.col("values").alias("item_values")))
     both = found.join(i, ["h", "n"])
     slots = F.filter(F.arrays_zip(F.col("item_values").alias("a"), F.col("values").alias("b")), lambda x: x["a"] != "")
