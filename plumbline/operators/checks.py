@@ -9,6 +9,8 @@ from operator import and_, or_
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.naming import fresh
+
 
 def _any_null(keys: list[str]) -> Column:
     return reduce(or_, [F.col(k).isNull() for k in keys])
@@ -28,8 +30,9 @@ def unique_violations(df: DataFrame, keys: list[str], where: str | None = None)
 
 def fk_orphans(child: DataFrame, columns: list[str], parent: DataFrame, related: list[str]) -> DataFrame:
     """Child rows without a parent; a null anywhere in the key passes."""
-    p = parent.select(*[F.col(r).alias(f"__p{i}") for i, r in enumerate(related)])
-    on = reduce(and_, [F.col(c) == F.col(f"__p{i}") for i, c in enumerate(columns)])
+    names = fresh(child.columns, *[f"parent{i}" for i in range(len(related))])
+    p = parent.select(*[F.col(r).alias(n) for r, n in zip(related, names)])
+    on = reduce(and_, [F.col(c) == F.col(n) for c, n in zip(columns, names)])
     return child.where(~_any_null(columns)).join(p, on, "left_anti")
 
 
@@ -54,7 +57,8 @@ def cascade_delete(removed: DataFrame, steps: list[tuple[DataFrame, str, str]])
     its parents being the rows that the step before removes."""
     out = []
     for child, column, key in steps:
-        removed = child.join(removed.select(F.col(key).alias("__k")).distinct(), F.col(column) == F.col("__k"), "left_semi")
+        (k,) = fresh(child.columns, "key")
+        removed = child.join(removed.select(F.col(key).alias(k)).distinct(), F.col(column) == F.col(k), "left_semi")
         out.append(removed)
     return out
 
@@ -64,6 +68,7 @@ def cascade_delete_self(df: DataFrame, key: str, parent: str, removed: DataFrame
     Each round's rows are written under work, so none is computed twice."""
     spark, base = df.sparkSession, f"{work}/{uuid.uuid4().hex}"
     front, n, paths = removed.select(key), 0, []
+    (k,) = fresh(df.columns, "key")
     while True:
         path = f"{base}/{n}"
         front.write.parquet(path)
@@ -72,16 +77,17 @@ def cascade_delete_self(df: DataFrame, key: str, parent: str, removed: DataFrame
             break
         paths.append(path)
         seen = spark.read.parquet(*paths)
-        kids = df.join(front.select(F.col(key).alias("__k")), F.col(parent) == F.col("__k"), "left_semi").select(key)
+        kids = df.join(front.select(F.col(key).alias(k)), F.col(parent) == F.col(k), "left_semi").select(key)
         front, n = kids.join(seen, key, "left_anti").distinct(), n + 1
     return df.join(spark.read.parquet(*paths), key, "left_semi") if paths else df.limit(0)
 
 
 def set_on_delete(child: DataFrame, column: str, removed: DataFrame, key: str, default: str = "null") -> DataFrame:
     """Children whose parent goes get null, or the default expression, for their key."""
-    gone = removed.select(F.col(key).alias("__k")).distinct().withColumn("__gone", F.lit(True))
-    value = F.when(F.col("__gone"), F.expr(default).cast(child.schema[column].dataType)).otherwise(F.col(column))
-    return child.join(gone, F.col(column) == F.col("__k"), "left").withColumn(column, value).select(*child.columns)
+    k, mark = fresh(child.columns, "key", "gone")
+    gone = removed.select(F.col(key).alias(k)).distinct().withColumn(mark, F.lit(True))
+    value = F.when(F.col(mark), F.expr(default).cast(child.schema[column].dataType)).otherwise(F.col(column))
+    return child.join(gone, F.col(column) == F.col(k), "left").withColumn(column, value).select(*child.columns)
 
 
 def no_action_blockers(removed: DataFrame, key: str, child: DataFrame, column: str) -> DataFrame:
@@ -92,9 +98,10 @@ def no_action_blockers(removed: DataFrame, key: str, child: DataFrame, column: s
 
 def cascade_update(child: DataFrame, column: str, changes: DataFrame, old: str, new: str) -> DataFrame:
     """Children with the parent's new key where changes(old, new) has one."""
-    c = changes.select(F.col(old).alias("__old"), F.col(new).alias("__new"), F.lit(True).alias("__moved"))
-    value = F.when(F.col("__moved"), F.col("__new")).otherwise(F.col(column))
-    return child.join(c, F.col(column) == F.col("__old"), "left").withColumn(column, value).select(*child.columns)
+    was, becomes, moved = fresh(child.columns, "old", "new", "moved")
+    c = changes.select(F.col(old).alias(was), F.col(new).alias(becomes), F.lit(True).alias(moved))
+    value = F.when(F.col(moved), F.col(becomes)).otherwise(F.col(column))
+    return child.join(c, F.col(column) == F.col(was), "left").withColumn(column, value).select(*child.columns)
 
 
 class GateClosed(RuntimeError):
@@ -108,7 +115,17 @@ def gate(condition: DataFrame, name: str = "gate") -> None:
         raise GateClosed(name)
 
 
+def row_report(df: DataFrame, table: str, checks: dict[str, str], not_null: list[str] = ()) -> DataFrame:
+    """(table, constraint, n): rows that break each check {constraint: expression} or have
+    a null in a column, all counted in one pass over the table."""
+    broken = [(c, ~F.expr(e)) for c, e in checks.items()] + [(c, F.col(c).isNull()) for c in not_null]
+    one = df.agg(*[F.count_if(x).alias(f"n{i}") for i, (_, x) in enumerate(broken)])
+    rows = [F.struct(F.lit(table).alias("table"), F.lit(c).alias("constraint"), F.col(f"n{i}").alias("n")) for i, (c, _) in enumerate(broken)]
+    return one.select(F.inline(F.array(*rows)))
+
+
 def constraint_report(counted: dict[tuple[str, str], DataFrame]) -> DataFrame:
-    """(table, constraint, n) for {(table, constraint): violations}."""
+    """(table, constraint, n) for {(table, constraint): violations}, each a plan of its own;
+    constraints on single rows belong in a row_report of their table."""
     each = [v.agg(F.count("*").alias("n")).select(F.lit(t).alias("table"), F.lit(c).alias("constraint"), "n") for (t, c), v in counted.items()]
     return reduce(DataFrame.unionByName, each)

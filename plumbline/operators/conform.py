@@ -3,12 +3,15 @@ computed columns, in that order, all as projections."""
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.naming import fresh
+
 PERIOD = ("ValidFrom", "ValidTo")
 
 
@@ -43,23 +46,28 @@ def computed_columns(df: DataFrame, expressions: dict[str, str]) -> DataFrame:
     return df.withColumns({c: F.expr(e) for c, e in expressions.items()})
 
 
-def identity_column(df: DataFrame, name: str, order: list[str], seed: int = 1, increment: int = 1) -> DataFrame:
+def identity_column(df: DataFrame, name: str, order: list[str], work: str, seed: int = 1, increment: int = 1) -> DataFrame:
     """Number rows that have no value in `name`, by order, from the seed or on from the
-    largest value. Rows are ranged and sorted, numbered inside partitions, and shifted by
-    the counts of the partitions before, of which there is one row each."""
+    largest value. Rows are ranged, sorted and numbered inside partitions, written under
+    work, so that a lost executor cannot number them anew, and shifted by the counts of
+    the partitions before, of which there is one row each."""
     missing = df.where(F.col(name).isNull()) if name in df.columns else df.withColumn(name, F.lit(None).cast("long"))
     rest = df.where(F.col(name).isNotNull()) if name in df.columns else None
     sorted_ = missing.repartitionByRange(*order).sortWithinPartitions(*order)
-    numbered = sorted_.withColumn("__part", F.spark_partition_id()).withColumn("__row", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)).persist()
-    counts = numbered.groupBy("__part").agg(F.count("*").alias("__n"))
-    before = F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    part, row, n, earlier, last = fresh(missing.columns, "part", "row", "n", "before", "top")
+    sorted_ = sorted_.withColumn(part, F.spark_partition_id()).withColumn(row, F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1))
+    path = f"{work}/{uuid.uuid4().hex}"
+    sorted_.write.parquet(path)
+    numbered = df.sparkSession.read.schema(sorted_.schema).parquet(path)
+    counts = numbered.groupBy(part).agg(F.count("*").alias(n))
+    before = F.coalesce(F.sum(n).over(Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     start: Column = F.lit(seed)
-    shifts = counts.select("__part", before.alias("__before"))
+    shifts = counts.select(part, before.alias(earlier))
     if rest is not None:
-        top = rest.agg(F.max(name).alias("__top"))
+        top = rest.agg(F.max(name).alias(last))
         shifts = shifts.join(F.broadcast(top), F.lit(True))  # one row
-        start = F.coalesce(F.col("__top") + increment, F.lit(seed))
-    made = numbered.join(shifts, "__part").withColumn(name, (start + (F.col("__before") + F.col("__row")) * increment).cast("long"))
+        start = F.coalesce(F.col(last) + increment, F.lit(seed))
+    made = numbered.join(shifts, part).withColumn(name, (start + (F.col(earlier) + F.col(row)) * increment).cast("long"))
     made = made.select(*missing.columns)
     return made if rest is None else rest.select(*missing.columns).unionByName(made)
 
@@ -84,10 +92,10 @@ def cast_failures(df: DataFrame, keys: list[str], rules: dict[str, dict]) -> Dat
 
 def fill_defaults(df: DataFrame, json_col: str, schema: T.StructType, defaults: dict[str, str]) -> DataFrame:
     """Rows from JSON where a default stands for an absent property, not for a null one."""
-    typed = df.select(F.from_json(json_col, schema).alias("j"), F.json_object_keys(json_col).alias("__keys"))
+    typed = df.select(F.from_json(json_col, schema).alias("j"), F.json_object_keys(json_col).alias("keys"))
     def value(f: T.StructField) -> Column:
         v = F.col(f"j.{f.name}")
-        return F.when(~F.array_contains("__keys", f.name), F.expr(defaults[f.name]).cast(f.dataType)).otherwise(v).alias(f.name) if f.name in defaults else v.alias(f.name)
+        return F.when(~F.array_contains("keys", f.name), F.expr(defaults[f.name]).cast(f.dataType)).otherwise(v).alias(f.name) if f.name in defaults else v.alias(f.name)
     return typed.select(*[value(f) for f in schema.fields])
 
 

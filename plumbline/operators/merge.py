@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.naming import fresh
 from ..sources.tables import COMPUTED, IDENTITY, ROWGUID
 
 INSERT, UPDATE, DELETE, KEEP = "insert", "update", "delete", "keep"
@@ -33,40 +34,42 @@ def comparable(c: Column, kind: T.DataType) -> Column:
     return c
 
 
-def _differs(columns: list[str], schema: T.StructType, t: str = "t", s: str = "s") -> Column:
+def differs(columns: list[str], schema: T.StructType, t: str = "t", s: str = "s") -> Column:
     each = [~comparable(F.col(f"{t}.{c}"), schema[c].dataType).eqNullSafe(comparable(F.col(f"{s}.{c}"), schema[c].dataType)) for c in columns]
     return reduce(or_, each, F.lit(False))
 
 
-def _joined(target: DataFrame, source: DataFrame, keys: list[str], how: str) -> DataFrame:
-    t = target.withColumn("__in", F.lit(True)).alias("t")
-    s = source.withColumn("__in", F.lit(True)).alias("s")
-    return t.join(s, [F.col(f"t.{k}") == F.col(f"s.{k}") for k in keys], how)
+def joined(target: DataFrame, source: DataFrame, keys: list[str], how: str) -> tuple[DataFrame, Column, Column]:
+    """The target as `t` joined with the source as `s`, and whether a row is only the
+    source's, or only the target's."""
+    (mark,) = fresh([*target.columns, *source.columns], "in")
+    t = target.withColumn(mark, F.lit(True)).alias("t")
+    s = source.withColumn(mark, F.lit(True)).alias("s")
+    return t.join(s, [F.col(f"t.{k}") == F.col(f"s.{k}") for k in keys], how), F.col(f"t.{mark}").isNull(), F.col(f"s.{mark}").isNull()
 
 
-def _scoped(target: DataFrame, where: str | None) -> DataFrame:
-    return target if where is None else target.withColumn("__scope", F.coalesce(F.expr(where), F.lit(False)))
+def _scoped(target: DataFrame, where: str | None) -> tuple[DataFrame, Column]:
+    (scope,) = fresh(target.columns, "scope")
+    return target.withColumn(scope, F.lit(True) if where is None else F.coalesce(F.expr(where), F.lit(False))), F.col(f"t.{scope}")
 
 
 def diff(target: DataFrame, source: DataFrame, keys: list[str], where: str | None = None, compare: list[str] | None = None) -> DataFrame:
     """keys and action for every key of either side. A row that only the target has is a
     delete, with `where` only if the predicate is true for it; otherwise it is kept."""
     compare = [c for c in target.columns if c in source.columns and c not in keys] if compare is None else compare
-    joined = _joined(_scoped(target, where), source, keys, "full_outer")
-    scope = F.lit(True) if where is None else F.col("t.__scope")
-    new, gone = F.col("t.__in").isNull(), F.col("s.__in").isNull()
-    action = F.when(new, INSERT).when(gone & scope, DELETE).when(gone, KEEP).when(_differs(compare, target.schema), UPDATE).otherwise(KEEP)
-    return joined.select(*[F.coalesce(f"t.{k}", f"s.{k}").alias(k) for k in keys], action.alias("action"))
+    scoped, scope = _scoped(target, where)
+    both, new, gone = joined(scoped, source, keys, "full_outer")
+    action = F.when(new, INSERT).when(gone & scope, DELETE).when(gone, KEEP).when(differs(compare, target.schema), UPDATE).otherwise(KEEP)
+    return both.select(*[F.coalesce(f"t.{k}", f"s.{k}").alias(k) for k in keys], action.alias("action"))
 
 
 def merge(target: DataFrame, source: DataFrame, keys: list[str], update: bool = True, delete: bool = False, where: str | None = None, set_columns: list[str] | None = None) -> DataFrame:
     """The target after inserts and, as asked for, updates and scoped deletes. Only
     set_columns (all but the keys) change in matched rows."""
-    joined = _joined(_scoped(target, where), source, keys, "full_outer")
-    new, gone = F.col("t.__in").isNull(), F.col("s.__in").isNull()
+    scoped, scope = _scoped(target, where)
+    both, new, gone = joined(scoped, source, keys, "full_outer")
     if delete:
-        scope = F.lit(True) if where is None else F.col("t.__scope")
-        joined = joined.where(~(gone & scope))
+        both = both.where(~(gone & scope))
     change = {c for c in target.columns if c in source.columns and c not in keys}
     change &= set(set_columns) if set_columns is not None else change
 
@@ -76,7 +79,7 @@ def merge(target: DataFrame, source: DataFrame, keys: list[str], update: bool =
         takes = new | (~gone & F.lit(update and c in change))
         return F.when(takes, F.col(f"s.{c}")).otherwise(F.col(f"t.{c}")).alias(c)
 
-    return joined.select(*[value(c) for c in target.columns])
+    return both.select(*[value(c) for c in target.columns])
 
 
 def insert_only(target: DataFrame, source: DataFrame, keys: list[str]) -> DataFrame:
@@ -87,7 +90,7 @@ def insert_only(target: DataFrame, source: DataFrame, keys: list[str]) -> DataFr
 def changed(target: DataFrame, source: DataFrame, keys: list[str]) -> DataFrame:
     """Source rows of matched keys where any other column differs."""
     compare = [c for c in target.columns if c in source.columns and c not in keys]
-    return _joined(target, source, keys, "inner").where(_differs(compare, target.schema)).select(*[F.col(f"s.{c}") for c in source.columns])
+    return joined(target, source, keys, "inner")[0].where(differs(compare, target.schema)).select(*[F.col(f"s.{c}") for c in source.columns])
 
 
 def plan_counts(actions: DataFrame) -> DataFrame:

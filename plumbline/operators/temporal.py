@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .merge import DELETE, INSERT, UPDATE, diff
+from .merge import differs, joined
 
 FIRST, LAST = "0001-01-01 00:00:00", "9999-12-31 23:59:59.999999"
 
@@ -29,18 +29,21 @@ def off(current: DataFrame) -> DataFrame:
 
 def apply(current: DataFrame, history: DataFrame, source: DataFrame, keys: list[str], at: str) -> tuple[DataFrame, DataFrame]:
     """(current, history) after the source's rows became valid at a time: changed and
-    deleted rows close into history, changed and new ones open a version."""
-    actions = diff(off(current), source, keys)
-    ended = actions.where(F.col("action").isin(UPDATE, DELETE)).select(*keys)
-    begun = actions.where(F.col("action").isin(UPDATE, INSERT)).select(*keys)
-    closed = current.join(ended, keys, "left_semi").withColumn("ValidTo", _time(at))
-    opened = source.join(begun, keys, "left_semi").withColumns({"ValidFrom": _time(at), "ValidTo": _time(LAST)})
-    kept = current.join(ended, keys, "left_anti")
-    return kept.unionByName(opened), history.unionByName(closed)
+    deleted rows close into history, changed and new ones open a version. A null key
+    matches nothing, so such rows close and open each time. Both results are read off one
+    join, whose shuffles a plan with both of them makes once."""
+    columns = off(current).columns
+    both, new, gone = joined(current, source, keys, "full_outer")
+    keep = ~new & ~gone & ~differs([c for c in columns if c not in keys], current.schema)
+    period = {"ValidFrom": _time(at), "ValidTo": _time(LAST)}
+    now = both.where(~gone).select(*[F.when(keep, F.col(f"t.{c}")).otherwise(period[c] if c in period else F.col(f"s.{c}")).alias(c) for c in current.columns])
+    closed = both.where(~new & ~keep).select(*[F.col(f"t.{c}") for c in current.columns]).withColumn("ValidTo", _time(at))
+    return now, history.unionByName(closed)
 
 
 def versions(events: DataFrame, key: str, time: str, tie: str) -> DataFrame:
-    """Every event as a version valid until the key's next one."""
+    """Every event as a version valid until the key's next one. All events of a key are
+    sorted in one task, which spills to disk where a key has very many."""
     until = F.lead(time).over(Window.partitionBy(key).orderBy(time, tie))
     return events.withColumns({"ValidFrom": F.col(time), "ValidTo": F.coalesce(until, _time(LAST))})
 

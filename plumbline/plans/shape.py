@@ -43,7 +43,7 @@ def computed_columns(spark, d):
 
 def identity_column(spark, d):
     df = derived(spark, d, "select c_custkey, case when c_custkey % 5 = 0 then c_custkey * 2 + 13 end as id from {customer}")
-    return conform.identity_column(df, "id", ["c_custkey"], 13, 2)
+    return conform.identity_column(df, "id", ["c_custkey"], common.work_dir(spark), 13, 2)
 
 
 def cast_failures(spark, d):
@@ -164,7 +164,9 @@ def gate(spark, d):
 
 def constraint_report(spark, d):
     lines = table(spark, d, "lineitem")
-    return checks.constraint_report({("lineitem", "pk"): checks.pk_violations(lines, LI_KEY), ("lineitem", "fk_orders"): checks.fk_orphans(lines, ["l_orderkey"], _some_orders(spark, d), ["o_orderkey"]), ("lineitem", "ck_quantity"): checks.check_violations(lines, "l_quantity < 25"), ("orders", "uq_cust"): checks.unique_violations(table(spark, d, "orders"), ["o_custkey"])})
+    keys = checks.constraint_report({("lineitem", "pk"): checks.pk_violations(lines, LI_KEY), ("lineitem", "fk_orders"): checks.fk_orphans(lines, ["l_orderkey"], _some_orders(spark, d), ["o_orderkey"]), ("orders", "uq_cust"): checks.unique_violations(table(spark, d, "orders"), ["o_custkey"])})
+    rows = checks.row_report(lines, "lineitem", {"ck_quantity": "l_quantity < 25", "ck_discount": "l_discount <= 0.05"}, ["l_shipdate"])
+    return keys.unionByName(rows)
 
 
 def _single(**how):
@@ -218,7 +220,7 @@ ORACLE_SQL = {
     "no_action_blockers": f"select o_custkey as c_custkey, count(*) as n_children from orders where o_custkey in {_GONE} group by 1",
     "cascade_update": f"select o_orderkey, case when o_custkey not in {_GONE} then o_custkey when o_custkey % 20 <> 0 then o_custkey + 1000000 end as o_custkey from orders",
     "gate": "select count(*) > 0 as ok from orders",
-    "constraint_report": "select 'lineitem' as \"table\", 'pk' as \"constraint\", count(*) as n from (select 1 from lineitem group by l_orderkey, l_linenumber having count(*) > 1) union all select 'lineitem', 'fk_orders', count(*) from lineitem where l_orderkey not in (select o_orderkey from orders where o_orderkey % 20 <> 0) union all select 'lineitem', 'ck_quantity', count(*) from lineitem where not l_quantity < 25 union all select 'orders', 'uq_cust', count(*) from (select 1 from orders group by o_custkey having count(*) > 1)",
+    "constraint_report": "select 'lineitem' as \"table\", 'pk' as \"constraint\", count(*) as n from (select 1 from lineitem group by l_orderkey, l_linenumber having count(*) > 1) union all select 'lineitem', 'fk_orders', count(*) from lineitem where l_orderkey not in (select o_orderkey from orders where o_orderkey % 20 <> 0) union all select 'lineitem', 'ck_quantity', count(*) from lineitem where not l_quantity < 25 union all select 'lineitem', 'ck_discount', count(*) from lineitem where not l_discount <= 0.05 union all select 'lineitem', 'l_shipdate', count(*) from lineitem where l_shipdate is null union all select 'orders', 'uq_cust', count(*) from (select 1 from orders group by o_custkey having count(*) > 1)",
     "stats_multi": "select 1 as prefix, count(distinct l_returnflag) as n_distinct from lineitem union all select 2, count(*) from (select distinct l_returnflag, l_linestatus from lineitem) union all select 3, count(*) from (select distinct l_returnflag, l_linestatus, l_suppkey from lineitem)",
     "stats_single": _STATS, "stats_filtered": _STATS + " where o_orderstatus = 'F'", "stats_sampled": _STATS + " where o_orderkey % 100 < 20",
 }

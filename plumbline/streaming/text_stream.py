@@ -12,7 +12,8 @@ from ..operators.text import text_index
 def keep_postings(changes: DataFrame, path: str, checkpoint: str, key: str, columns: list[str]) -> StreamingQuery:
     """Start a query that writes each micro-batch's postings under path/batch=N, where N is
     the batch id, so a batch that is repeated replaces itself. Of rows of one key in a
-    batch the last in `version` order counts, if there is such a column."""
+    batch the last in `version` order counts, if there is such a column. A key whose texts
+    are null loses its postings."""
     def write(batch: DataFrame, n: int) -> None:
         if "version" in batch.columns:
             last = batch.groupBy(key).agg(F.max("version").alias("version"))
@@ -29,3 +30,10 @@ def read_postings(spark, path: str, key: str) -> DataFrame:
     rows = spark.read.option("basePath", path).parquet(path)
     last = rows.groupBy(key).agg(F.max("batch").alias("batch"))
     return rows.join(last, [key, "batch"], "left_semi").where("term is not null").drop("batch", "changed")
+
+
+def compact(spark, path: str, to: str, key: str) -> None:
+    """Write the current postings alone under `to`, as those of the last batch of path. A
+    stream that goes on from its checkpoint with `to` as its path replaces what changes."""
+    last = spark.read.option("basePath", path).parquet(path).agg(F.max("batch")).head()[0]
+    read_postings(spark, path, key).withColumn("changed", F.lit(True)).write.mode("overwrite").parquet(f"{to}/batch={last}")

@@ -42,9 +42,9 @@ def test_conform(spark):
     assert [tuple(r) for r in out.orderBy("id").collect()] == [(1, 12, "none", 2), (2, None, "none", 4)]
 
 
-def test_identity_continues(spark):
+def test_identity_continues(spark, tmp_path):
     df = spark.createDataFrame([(k, 100 if k == 3 else None) for k in range(8)], "k int, id bigint").repartition(3)
-    out = {r["k"]: r["id"] for r in conform.identity_column(df, "id", ["k"], 1, 10).collect()}
+    out = {r["k"]: r["id"] for r in conform.identity_column(df, "id", ["k"], str(tmp_path), 1, 10).collect()}
     assert out == {3: 100, 0: 110, 1: 120, 2: 130, 4: 140, 5: 150, 6: 160, 7: 170}
 
 
