@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.normalize import column_list, strip_brackets, strip_parens
@@ -20,12 +20,15 @@ def normalize(df: DataFrame, names: list[str] = (), expressions: list[str] = ())
 
 
 def explode_definitions(defs: DataFrame) -> dict[str, DataFrame]:
-    """Definition documents as flat frames: tables and each kind of child."""
-    who = [strip_brackets(F.coalesce("Schema", F.lit("dbo"))).alias("schema"), strip_brackets(F.col("Name")).alias("table")]
+    """Definition documents as flat frames: tables, each kind of child and the columns'
+    defaults; with the documents' database, if they have one."""
+    keys = [c for c in TABLE if c != "database" or c in defs.columns]
+    who = [F.col(c) for c in keys if c == "database"]
+    who += [strip_brackets(F.coalesce("Schema", F.lit("dbo"))).alias("schema"), strip_brackets(F.col("Name")).alias("table")]
     out = {"tables": defs.select(*who, strip_brackets(F.col("OldName")).alias("old_name"), F.coalesce("CompressionType", F.lit("NONE")).alias("compression"), F.coalesce("IsTemporal", F.lit(False)).alias("temporal"))}
-    kinds = {"columns": "Columns", "indexes": "Indexes", "xml_indexes": "XmlIndexes", "foreign_keys": "ForeignKeys", "checks": "CheckConstraints", "statistics": "Statistics"}
-    for name, field in kinds.items():
-        out[name] = defs.select(*who, F.explode(field).alias("x")).select("schema", "table", "x.*").withColumn("Name", strip_brackets(F.col("Name")))
+    for name, field in CHILDREN.items():
+        out[name] = defs.select(*who, F.explode(field).alias("x")).select(*keys, "x.*").withColumn("Name", strip_brackets(F.col("Name")))
+    out["defaults"] = out["columns"].where(F.col("Default").isNotNull()).select(*keys, "Name", F.col("Default").alias("Expression"))
     out["text"] = defs.where("FullTextIndex is not null").select(*who, "FullTextIndex.*")
     return out
 
@@ -85,6 +88,42 @@ def changed_columns(desired: DataFrame, live: DataFrame) -> DataFrame:
 
 OBJECT = [*TABLE, "kind", "name"]
 
+#: The kind of each frame's objects, and the fields of their signature with the spelling
+#: in which they are compared.
+SIGNED = {
+    "indexes": ("index", {"IndexColumns": "list", "IncludeColumns": "set", "FilterExpression": "expression", "Unique": "flag", "PrimaryKey": "flag", "UniqueConstraint": "flag", "Clustered": "flag", "ColumnStore": "flag"}),
+    "xml_indexes": ("xml_index", {"Column": "name", "IsPrimary": "flag", "PrimaryIndex": "name", "SecondaryIndexType": "word"}),
+    "foreign_keys": ("foreign_key", {"Columns": "list", "RelatedTableSchema": "name", "RelatedTable": "name", "RelatedColumns": "list", "DeleteAction": "action", "UpdateAction": "action"}),
+    "checks": ("check", {"Expression": "expression"}),
+    "defaults": ("default", {"Expression": "expression"}),
+    "statistics": ("statistic", {"Columns": "list", "FilterExpression": "expression"}),
+    "text": ("text_index", {"FullTextCatalog": "name", "KeyIndex": "name", "ChangeTracking": "word", "StopList": "name", "Columns": "set"}),
+}
+_SPELL = {
+    "list": lambda c: F.array_join(column_list(c), ","),
+    "set": lambda c: F.array_join(column_list(c, False), ","),
+    "expression": strip_parens,
+    "name": strip_brackets,
+    "flag": lambda c: F.coalesce(c, F.lit(False)).cast("string"),
+    "action": lambda c: F.upper(F.coalesce(c, F.lit("NO ACTION"))),
+    "word": F.upper,
+}
+
+
+def signatures(flat: dict[str, DataFrame]) -> DataFrame:
+    """(table, kind, name, signature) of all objects of flat frames as explode_definitions
+    makes them, however names, lists and expressions are spelled. A field that a frame
+    lacks counts as null; a text index, of which a table has one, is named `text`."""
+    def signed(df: DataFrame, kind: str, fields: dict[str, str]) -> DataFrame:
+        def part(name: str, how: str) -> Column:
+            value = F.col(name) if name in df.columns else F.lit(None).cast("boolean" if how == "flag" else "string")
+            return F.concat(F.lit(f"{name}="), F.coalesce(_SPELL[how](value), F.lit("")))
+
+        name = F.col("Name") if "Name" in df.columns else F.lit("text")
+        return df.select(*[c for c in TABLE if c in df.columns], F.lit(kind).alias("kind"), name.alias("name"), F.concat_ws(";", *[part(*x) for x in fields.items()]).alias("signature"))
+
+    return reduce(DataFrame.unionByName, [signed(flat[name], *SIGNED[name]) for name in SIGNED if name in flat])
+
 
 def signature_drift(desired: DataFrame, live: DataFrame) -> DataFrame:
     """(object, change): added, removed or changed by signature, of all kinds at once."""
@@ -136,11 +175,24 @@ def drop_set(reasons: list[DataFrame], xml_indexes: DataFrame | None = None, clu
     return out.unionByName(more.select(*OBJECT))
 
 
-def dependent_fks(fks: DataFrame, keys: DataFrame, dropped: DataFrame) -> DataFrame:
-    """Foreign keys(database, schema, table, name, related_schema, related_table,
-    related_columns) that refer to a unique key(…, columns) in the drop set."""
-    gone = keys.join(dropped, OBJECT, "left_semi").select("database", F.col("schema").alias("related_schema"), F.col("table").alias("related_table"), F.col("columns").alias("related_columns"))
-    return fks.join(gone.distinct(), ["database", "related_schema", "related_table", "related_columns"], "left_semi").select(*TABLE, "name")
+def index_drops(desired: DataFrame, live: DataFrame, drifted: DataFrame, changed: DataFrame, owner: str, drop_unknown: bool = True) -> DataFrame:
+    """Distinct indexes and XML indexes to drop. Indexes go that the owner has and desires no
+    more, and those on changed columns; of both kinds those that drifted (object, change) by
+    signature and, if asked for, those that are not desired at all; and XML indexes of tables
+    whose clustered index goes."""
+    index, xml = (live.where(F.col("kind") == k) for k in ("index", "xml_index"))
+    both = F.col("kind").isin("index", "xml_index")
+    reasons = [removed_objects(index, desired, OBJECT, owner), column_impact(changed, index), drifted.where(both & (F.col("change") == "changed"))]
+    if drop_unknown:
+        reasons.append(unknown_objects(live.where(both), desired))
+    return drop_set(reasons, xml, index.where("clustered"))
+
+
+def dependent_fks(fks: DataFrame, indexes: DataFrame, dropped: DataFrame) -> DataFrame:
+    """Foreign keys(database, schema, table, name, related_schema, related_table) that refer
+    to a table which loses an index (object, is_unique), be it a constraint's or unique."""
+    gone = indexes.where("is_unique").join(dropped, OBJECT, "left_semi").select("database", F.col("schema").alias("related_schema"), F.col("table").alias("related_table"))
+    return fks.join(gone.distinct(), ["database", "related_schema", "related_table"], "left_semi").select(*TABLE, "name")
 
 
 def storage_drift(desired: DataFrame, live: DataFrame, tables: DataFrame, live_tables: DataFrame) -> DataFrame:
@@ -160,18 +212,23 @@ def storage_drift(desired: DataFrame, live: DataFrame, tables: DataFrame, live_t
     return indexes.select(*of.columns).unionByName(of).where("want_compression <> have_compression or want_fill <> have_fill")
 
 
-def catalog_to_definitions(columns: DataFrame, objects: dict[str, DataFrame]) -> DataFrame:
-    """(database, schema, table, document): nested definitions from flat frames, children in
-    name order; each frame of objects has the table's key and a name."""
-    def nested(df: DataFrame, first: str, alias: str) -> DataFrame:
-        rest = [c for c in df.columns if c not in TABLE]
-        order = [first, *[c for c in rest if c != first]]
-        return df.groupBy(*TABLE).agg(F.array_sort(F.collect_list(F.struct(*order))).alias(alias))
+#: The frames of children and their fields in a document.
+CHILDREN = {"columns": "Columns", "indexes": "Indexes", "xml_indexes": "XmlIndexes", "foreign_keys": "ForeignKeys", "checks": "CheckConstraints", "statistics": "Statistics"}
+
+
+def catalog_to_definitions(flat: dict[str, DataFrame]) -> DataFrame:
+    """(database, schema, table, document): nested definitions from flat frames named as in
+    CHILDREN, whose first column after the table's key is the Name, by which children are
+    sorted, and from one row of `text` for each table with a text index."""
+    def fields(df: DataFrame):
+        return F.struct(*[c for c in df.columns if c not in TABLE])
 
-    out = nested(columns, "column", "Columns")
-    for alias, df in objects.items():
-        out = out.join(nested(df, "name", alias), TABLE, "left")
-    return out.select(*TABLE, F.to_json(F.struct(F.col("schema").alias("Schema"), F.col("table").alias("Name"), "Columns", *objects)).alias("document"))
+    kinds = {frame: field for frame, field in CHILDREN.items() if frame in flat}
+    nested = [flat[frame].groupBy(*TABLE).agg(F.array_sort(F.collect_list(fields(flat[frame]))).alias(field)) for frame, field in kinds.items()]
+    if "text" in flat:
+        nested.append(flat["text"].select(*TABLE, fields(flat["text"]).alias("FullTextIndex")))
+    out = reduce(lambda a, b: a.join(b, TABLE, "left"), nested)
+    return out.select(*TABLE, F.to_json(F.struct(F.col("schema").alias("Schema"), F.col("table").alias("Name"), *[c for c in out.columns if c not in TABLE])).alias("document"))
 
 
 def properties_map(index_props: DataFrame, constraint_props: DataFrame) -> DataFrame:

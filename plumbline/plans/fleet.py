@@ -1,5 +1,6 @@
 """Queries on drift between declared and live catalogs. The fleet's catalogs are derived
-from lineitem and orders: every row stands for a column or an object somewhere."""
+from lineitem and orders: every row stands for a column or an object somewhere, and a
+database for every few suppliers or customers, so that the fleet grows with the tables."""
 
 from __future__ import annotations
 
@@ -12,19 +13,19 @@ from . import common
 from .common import derived, plain
 
 NAMES = {"db": "database", "sch": "schema", "tab": "table", "col": "column"}
-_WHO = "'d' || (l_suppkey % 20) as db, 'dbo' as sch, 'T' || (l_partkey % 40) as tab"
+_WHO = "'d' || cast(floor(l_suppkey / 10) as int) as db, 'dbo' as sch, 'T' || (l_partkey % 40) as tab"
 #: Columns: live ones and desired ones, which lack some, add others and change some.
 LIVE_COLUMNS = f"select {_WHO}, 'C' || l_linenumber as col, case when max(l_partkey) % 3 = 0 then 'DECIMAL(10, 2)' else 'VARCHAR(' || (max(l_partkey) % 5) || ')' end as type, max(l_suppkey) % 2 = 0 as nullable, case when max(l_partkey) % 7 = 0 then 'C1*2' end as computed from {{lineitem}} where l_orderkey % 3 <> 0 group by 1, 2, 3, 4"
 WANT_COLUMNS = f"select {_WHO}, 'C' || (l_linenumber + 1) as col, case when max(l_partkey) % 3 = 0 then 'DECIMAL(10,2)' else 'VARCHAR(' || (max(l_partkey) % 5) || ')' end as type, max(l_suppkey) % 2 = 0 as nullable, case when max(l_partkey) % 7 = 0 then 'C1*2' end as computed, case when min(l_partkey) % 4 = 0 then 'C' || l_linenumber end as old_name from {{lineitem}} where l_orderkey % 4 <> 0 and l_partkey % 40 < 35 group by 1, 2, 3, 4, l_linenumber"
 #: Tables with owner, compression and former name.
-LIVE_TABLES = "select 'd' || (o_custkey % 20) as db, 'dbo' as sch, 'T' || (o_orderkey % 40) as tab, case when max(o_custkey) % 5 = 0 then null when max(o_custkey) % 3 = 0 then 'other' else 'mine' end as owner, case when max(o_orderkey) % 2 = 0 then 'PAGE' else 'NONE' end as compression from {orders} where o_orderkey % 3 <> 0 and o_custkey % 7 <> 0 group by 1, 2, 3"
-WANT_TABLES = "select 'd' || (o_custkey % 20) as db, 'dbo' as sch, 'T' || (o_orderkey % 40 + 5) as tab, case when max(o_custkey) % 2 = 0 then 'T' || (o_orderkey % 40) end as old_name, case when max(o_orderkey) % 3 = 0 then 'PAGE' end as compression from {orders} where o_custkey % 9 <> 0 group by 1, 2, 3, o_orderkey % 40"
+LIVE_TABLES = "select 'd' || cast(floor(o_custkey / 150) as int) as db, 'dbo' as sch, 'T' || (o_orderkey % 40) as tab, case when max(o_custkey) % 5 = 0 then null when max(o_custkey) % 3 = 0 then 'other' else 'mine' end as owner, case when max(o_orderkey) % 2 = 0 then 'PAGE' else 'NONE' end as compression from {orders} where o_orderkey % 3 <> 0 and o_custkey % 7 <> 0 group by 1, 2, 3"
+WANT_TABLES = "select 'd' || cast(floor(o_custkey / 150) as int) as db, 'dbo' as sch, 'T' || (o_orderkey % 40 + 5) as tab, case when max(o_custkey) % 2 = 0 then 'T' || (o_orderkey % 40) end as old_name, case when max(o_orderkey) % 3 = 0 then 'PAGE' end as compression from {orders} where o_custkey % 9 <> 0 group by 1, 2, 3, o_orderkey % 40"
 #: Objects of several kinds with a signature, a column list or a text.
-_OBJECT = "'d' || (o_custkey % 20) as db, 'dbo' as sch, 'T' || (o_orderkey % 40) as tab, case when o_custkey % 3 = 0 then 'index' when o_custkey % 3 = 1 then 'check' else 'statistic' end as kind"
-_REST = ("case when max(o_custkey) % 3 = 1 then null else 'C' || (max(o_orderkey) % 9) || ',C' || (max(o_orderkey) % 4) || ' DESC' end as columns, case when max(o_custkey) % 3 = 1 then '([C' || (max(o_orderkey) % 9) || ']>(0))' end as definition, "
-         "max(o_custkey) % 6 = 0 as clustered, cast(max(o_orderkey) % 3 * 40 as int) as fill_factor, case when max(o_orderkey) % 5 = 0 then 'ROW' end as compression, case when max(o_custkey) % 5 = 0 then null when max(o_custkey) % 4 = 0 then 'other' else 'mine' end as owner")
-LIVE_OBJECTS = f"select {_OBJECT}, 'N' || (o_orderkey % 11) as name, 'sig' || (max(o_custkey) % 6) as signature, {_REST} from {{orders}} where o_orderkey % 3 <> 0 group by 1, 2, 3, 4, 5"
-WANT_OBJECTS = f"select {_OBJECT}, 'N' || (o_orderkey % 13) as name, 'sig' || (max(o_custkey) % 6) as signature, {_REST} from {{orders}} where o_orderkey % 4 <> 0 group by 1, 2, 3, 4, 5"
+_OBJECT = "'d' || cast(floor(o_custkey / 150) as int) as db, 'dbo' as sch, 'T' || (o_orderkey % 40) as tab, case o_custkey % 5 when 0 then 'index' when 1 then 'check' when 2 then 'statistic' when 3 then 'xml_index' else 'foreign_key' end as kind"
+_REST = ("case when max(o_custkey) % 5 = 1 then null else 'C' || (max(o_orderkey) % 9) || ',C' || (max(o_orderkey) % 4) || ' DESC' end as columns, case when max(o_custkey) % 5 = 1 then '([C' || (max(o_orderkey) % 9) || ']>(0))' end as definition, "
+         "max(o_custkey) % 10 = 0 as clustered, max(o_orderkey) % 4 = 0 as is_unique, 'T' || (max(o_orderkey) % 30) as related, cast(max(o_orderkey) % 3 * 40 as int) as fill_factor, case when max(o_orderkey) % 5 = 0 then 'ROW' end as compression, case when max(o_custkey) % 7 = 0 then null when max(o_custkey) % 4 = 0 then 'other' else 'mine' end as owner")
+LIVE_OBJECTS = f"select {_OBJECT}, 'N' || (o_orderkey % 11) as name, {_REST} from {{orders}} where o_orderkey % 3 <> 0 group by 1, 2, 3, 4, 5"
+WANT_OBJECTS = f"select {_OBJECT}, 'N' || (o_orderkey % 13) as name, {_REST} from {{orders}} where o_orderkey % 4 <> 0 group by 1, 2, 3, 4, 5"
 
 
 def _frame(spark, d, sql):
@@ -48,26 +49,41 @@ K = ["database", "schema", "table"]
 O = [*K, "kind", "name"]
 
 
+def _flat(objects):
+    """The objects of each kind with the fields of their definition."""
+    of = {k: objects.where(F.col("kind") == k).withColumn("Name", F.col("name")) for k in ("index", "xml_index", "foreign_key", "check", "statistic")}
+    return {
+        "indexes": of["index"].select(*K, "Name", F.col("columns").alias("IndexColumns"), F.col("is_unique").alias("Unique"), F.col("clustered").alias("Clustered")),
+        "xml_indexes": of["xml_index"].select(*K, "Name", F.split("columns", ",")[0].alias("Column"), F.lit(True).alias("IsPrimary")),
+        "foreign_keys": of["foreign_key"].select(*K, "Name", F.col("columns").alias("Columns"), F.lit("dbo").alias("RelatedTableSchema"), F.col("related").alias("RelatedTable"), F.col("columns").alias("RelatedColumns")),
+        "checks": of["check"].select(*K, "Name", F.col("definition").alias("Expression")),
+        "statistics": of["statistic"].select(*K, "Name", F.col("columns").alias("Columns")),
+    }
+
+
+def _signed(spark, d):
+    return tuple(drift.signatures(_flat(x)) for x in _objects(spark, d))
+
+
 def _documents(spark, d):
-    cols = _frame(spark, d, WANT_COLUMNS).select(*K, F.col("column").alias("column"), "type")
-    idx = _objects(spark, d)[0].where("kind = 'index'").select(*K, "name", "columns")
-    return drift.catalog_to_definitions(cols, {"Indexes": idx})
+    cols = _frame(spark, d, WANT_COLUMNS).select(*K, F.col("column").alias("Name"), F.col("type").alias("DataType"))
+    text = cols.groupBy(*K).agg(F.min("Name").alias("KeyIndex"), F.max("Name").alias("Columns"))
+    return drift.catalog_to_definitions({"columns": cols, **_flat(_objects(spark, d)[0]), "text": text})
 
 
 def _definitions(spark, d):
-    """Definitions of database d0 written as documents and read as a package."""
-    docs = _documents(spark, d).where("database = 'd0'").select(F.col("document").alias("value"))
-    fixed = docs.select(F.replace(F.replace(F.replace(F.replace("value", F.lit('"column":'), F.lit('"Name":')), F.lit('"name":'), F.lit('"Name":')), F.lit('"type":'), F.lit('"DataType":')), F.lit('"columns":'), F.lit('"IndexColumns":')).alias("value"))
+    """All definitions as a package: a file for each database, whose name stands for the schema."""
+    docs = _documents(spark, d)
+    named = F.replace("document", F.lit('"Schema":"dbo"'), F.concat(F.lit('"Schema":"'), F.col("database"), F.lit('"')))
+    files = docs.groupBy("database").agg(F.concat(F.lit("["), F.array_join(F.collect_list(named), ","), F.lit("]")).alias("value"))
     path = common.work_dir(spark)
-    # a file per definition, as a package has them
-    fixed.write.option("maxRecordsPerFile", 1).text(path)
-    return spark.read.schema(src.DEFINITION).json(path), path
+    files.select("value").write.option("maxRecordsPerFile", 1).text(path)
+    return src.read_definitions(spark, path)
 
 
 def read_definitions(spark, d):
-    """The package folder of documents, read one file at a time."""
-    out = src.read_definitions(spark, _definitions(spark, d)[1])
-    return out.select(F.col("Schema").alias("schema"), F.col("Name").alias("table"), F.size("Columns").alias("n_columns"))
+    """The package, read file by file."""
+    return _definitions(spark, d).select(F.col("Schema").alias("schema"), F.col("Name").alias("table"), F.size("Columns").alias("n_columns"))
 
 
 def read_catalog(spark, d):
@@ -80,9 +96,12 @@ def read_catalog(spark, d):
 
 
 def def_explode(spark, d):
-    flat = drift.explode_definitions(_definitions(spark, d)[0])
-    cols = flat["columns"].select("schema", "table", F.lit("column").alias("kind"), F.col("Name").alias("name"), F.col("DataType").alias("detail"))
-    return cols.unionByName(flat["indexes"].select("schema", "table", F.lit("index").alias("kind"), F.col("Name").alias("name"), F.col("IndexColumns").alias("detail")))
+    flat = drift.explode_definitions(_definitions(spark, d))
+    show = {"columns": "DataType", "indexes": "concat_ws(' ', IndexColumns, Unique, Clustered)", "xml_indexes": "Column", "foreign_keys": "concat_ws(' ', Columns, RelatedTableSchema, RelatedTable, RelatedColumns)", "checks": "Expression", "statistics": "Columns"}
+    out = flat["tables"].selectExpr("schema", "`table`", "'tables' as kind", "`table` as name", "concat_ws(' ', compression, temporal) as detail")
+    for name, detail in show.items():
+        out = out.unionByName(flat[name].selectExpr("schema", "`table`", f"'{name}' as kind", "Name as name", f"{detail} as detail"))
+    return out.unionByName(flat["text"].selectExpr("schema", "`table`", "'text' as kind", "KeyIndex as name", "Columns as detail"))
 
 
 NAMED = "select c_custkey, case c_custkey % 6 when 0 then ' [' || c_name || '] ' when 1 then '[[' || c_name || '] ]' when 2 then c_name when 3 then '[' || c_name when 4 then '[' || c_name || ']]' else '[a].[' || c_name || ']' end as name from {customer}"
@@ -148,11 +167,11 @@ def changed_columns(spark, d):
 
 
 def signature_drift(spark, d):
-    return drift.signature_drift(*_objects(spark, d))
+    return drift.signature_drift(*_signed(spark, d))
 
 
 def signature_renames(spark, d):
-    return drift.signature_renames(*_objects(spark, d))
+    return drift.signature_renames(*_signed(spark, d))
 
 
 def unknown_objects(spark, d):
@@ -168,16 +187,20 @@ def column_impact(spark, d):
     return drift.column_impact(drift.changed_columns(*_columns(spark, d)), _objects(spark, d)[1])
 
 
-def drop_set(spark, d):
+def _drops(spark, d, unknown):
     want, live = _objects(spark, d)
-    gone, unknown = drift.signature_drift(want, live).where("change = 'changed'"), drift.unknown_objects(live, want)
-    return drift.drop_set([gone, unknown], live.where("kind = 'statistic'"), live.where("clustered"))
+    return drift.index_drops(want, live, drift.signature_drift(*_signed(spark, d)), drift.changed_columns(*_columns(spark, d)), "mine", unknown)
+
+
+def drop_set(spark, d):
+    """What goes with unknown indexes and without them."""
+    return _drops(spark, d, True).withColumn("drop_unknown", F.lit(True)).unionByName(_drops(spark, d, False).withColumn("drop_unknown", F.lit(False)))
 
 
 def dependent_fks(spark, d):
-    want, live = _objects(spark, d)
-    fks = live.where("kind = 'statistic'").select(*K, "name", F.col("schema").alias("related_schema"), F.col("table").alias("related_table"), F.col("columns").alias("related_columns"))
-    return drift.dependent_fks(fks, live.where("kind = 'index'"), drift.unknown_objects(live, want))
+    live = _objects(spark, d)[1]
+    fks = live.where("kind = 'foreign_key'").select(*K, "name", F.lit("dbo").alias("related_schema"), F.col("related").alias("related_table"))
+    return drift.dependent_fks(fks, live.where("kind = 'index'"), _drops(spark, d, False))
 
 
 def storage_drift(spark, d):
@@ -186,8 +209,11 @@ def storage_drift(spark, d):
 
 
 def catalog_to_defs(spark, d):
-    out = _documents(spark, d)
-    return out.select(*K, F.json_array_length(F.get_json_object("document", "$.Columns")).alias("n_columns"), F.coalesce(F.json_array_length(F.get_json_object("document", "$.Indexes")), F.lit(0)).alias("n_indexes"), F.get_json_object("document", "$.Columns[0].column").alias("first"), F.get_json_object("document", "$.Columns[0].type").alias("type"))
+    """Every document, read again, with its children in their order."""
+    out = _documents(spark, d).select(*K, F.from_json("document", src.DEFINITION).alias("j"))
+    show = {"Columns": "x.Name || ' ' || x.DataType", "Indexes": "concat_ws(' ', x.Name, x.IndexColumns, x.Unique, x.Clustered)", "XmlIndexes": "concat_ws(' ', x.Name, x.Column, x.IsPrimary)",
+            "ForeignKeys": "concat_ws(' ', x.Name, x.Columns, x.RelatedTable, x.RelatedColumns)", "CheckConstraints": "concat_ws(' ', x.Name, x.Expression)", "Statistics": "concat_ws(' ', x.Name, x.Columns)"}
+    return out.selectExpr("database", "schema", "`table`", "j.FullTextIndex.KeyIndex as text_key", *[f"coalesce(array_join(transform(j.{k}, x -> {e}), ';'), '') as {k}" for k, e in show.items()])
 
 
 PROPS_I = "select o_custkey as owner, 'p' || (o_orderkey % 4) as name, max(o_orderstatus) as value from {orders} where o_orderkey % 2 = 0 group by 1, 2"
@@ -208,7 +234,8 @@ QUERIES = {f.__name__: f for f in (
     read_definitions, read_catalog, def_explode, normalize_names, normalize_exprs, normalize_column_list, type_string, new_tables, removed_objects, ownership_conflicts, renamed_tables, new_columns, renamed_columns,
     removed_columns, changed_columns, signature_drift, signature_renames, unknown_objects, clustered_conflicts, column_impact, drop_set, dependent_fks, storage_drift, catalog_to_defs, properties_map, untagged_objects)}
 
-_WITH = f"with lc as ({plain(LIVE_COLUMNS)}), wc as ({plain(WANT_COLUMNS)}), lt as ({plain(LIVE_TABLES)}), wt as ({plain(WANT_TABLES)}), lo as ({plain(LIVE_OBJECTS)}), wo as ({plain(WANT_OBJECTS)}), "
+_SIGNATURE = "case kind when 'index' then columns || ' ' || is_unique::varchar || ' ' || clustered::varchar when 'xml_index' then split_part(columns, ',', 1) when 'foreign_key' then columns || ' ' || related when 'check' then definition else columns end as signature"
+_WITH = f"with lc as ({plain(LIVE_COLUMNS)}), wc as ({plain(WANT_COLUMNS)}), lt as ({plain(LIVE_TABLES)}), wt as ({plain(WANT_TABLES)}), lo as (select *, {_SIGNATURE} from ({plain(LIVE_OBJECTS)})), wo as (select *, {_SIGNATURE} from ({plain(WANT_OBJECTS)})), "
 _KEY = 'db as "database", sch as "schema", tab as "table"'
 
 
@@ -224,11 +251,28 @@ _TYPES = "replace(w.type, ', ', ',') <> replace(l.type, ', ', ',')"
 _CHANGED = f"changed as (select w.db, w.sch, w.tab, w.col, concat_ws(',', case when {_TYPES} then 'type' end, case when w.nullable <> l.nullable then 'nullable' end, case when coalesce(w.computed, '') <> coalesce(l.computed, '') then 'computed' end) as reasons, coalesce(w.computed, '') <> coalesce(l.computed, '') as must_recreate from wc w join lc l on {_same('w', 'l', 'col')})"
 _DRIFT = f"drifted as (select coalesce(w.db, l.db) as db, coalesce(w.sch, l.sch) as sch, coalesce(w.tab, l.tab) as tab, coalesce(w.kind, l.kind) as kind, coalesce(w.name, l.name) as name, case when l.name is null then 'added' when w.name is null then 'removed' when w.signature <> l.signature then 'changed' end as change from wo w full join lo l on {_same('w', 'l', 'kind', 'name')})"
 _NO_WANT = f"not exists (select 1 from wo w where {_same('w', 'l', 'kind', 'name')})"
-_DROPS = "drops as (select db, sch, tab, kind, name from drifted where change in ('changed', 'removed')), "
+_LISTED = "list_contains(list_transform(string_split(o.columns, ','), lambda x: replace(x, ' DESC', '')), c.col)"
+_OBJ = "l.db, l.sch, l.tab, l.kind, l.name"
+_DROPS = (_CHANGED + ", " + _DRIFT + f", known as (select {_OBJ} from lo l where kind = 'index' and owner = 'mine' and {_NO_WANT} union select o.db, o.sch, o.tab, o.kind, o.name from lo o join changed c on {_same('o', 'c')} where o.kind = 'index' and c.reasons <> '' and {_LISTED} "
+          f"union select {_OBJ} from drifted l where change = 'changed' and kind in ('index', 'xml_index')), every as (select true as drop_unknown, * from (select * from known union select {_OBJ} from lo l where kind in ('index', 'xml_index') and {_NO_WANT}) union all select false, * from known), "
+          f"gone as (select * from every union select e.drop_unknown, {_OBJ} from lo l join every e on {_same('e', 'l')} join lo c on {_same('e', 'c', 'kind', 'name')} and c.clustered and c.kind = 'index' where l.kind = 'xml_index') ")
+_TABLES = "(select distinct db, tab from wc)"
+
+
+def _child(kind, detail, part):
+    return f" union all select o.db, o.tab, '{kind}', o.name, {detail} from wo o join {_TABLES} t on t.db = o.db and t.tab = o.tab where o.kind = '{part}'"
+
+
+def _listed(kind, detail):
+    return f"(select coalesce(string_agg(concat_ws(' ', o.name, {detail}), ';' order by o.name), '') from wo o where o.kind = '{kind}' and {_same('o', 'c')})"
+
+
 ORACLE_SQL = {
-    "read_definitions": _WITH + "x as (select 1) select sch as \"schema\", tab as \"table\", count(*)::int as n_columns from wc where db = 'd0' group by 1, 2",
+    "read_definitions": _WITH + "x as (select 1) select db as \"schema\", tab as \"table\", count(*)::int as n_columns from wc group by 1, 2",
     "read_catalog": _WITH + f"x as (select 1) select {_KEY}, col as \"column\", type from lc where tab in (select 'T' || n_nationkey from nation) or tab = 'T30' union all select db, sch, 'system_users', col, type from lc where tab = 'T30' and col = 'C1'",
-    "def_explode": _WITH + "x as (select 1) select sch as \"schema\", tab as \"table\", 'column' as kind, col as name, type as detail from wc where db = 'd0' union all select sch, tab, 'index', name, columns from wo o where db = 'd0' and kind = 'index' and exists (select 1 from wc c where c.db = o.db and c.tab = o.tab)",
+    "def_explode": _WITH + "x as (select 1) select db as \"schema\", tab as \"table\", 'columns' as kind, col as name, type as detail from wc union all select db, tab, 'tables', tab, 'NONE false' from " + _TABLES + " union all select db, tab, 'text', min(col), max(col) from wc group by db, tab"
+    + _child("indexes", "concat_ws(' ', o.columns, o.is_unique, o.clustered)", "index") + _child("xml_indexes", "split_part(o.columns, ',', 1)", "xml_index") + _child("foreign_keys", "concat_ws(' ', o.columns, 'dbo', o.related, o.columns)", "foreign_key")
+    + _child("checks", "o.definition", "check") + _child("statistics", "o.columns", "statistic"),
     "normalize_names": "select c_custkey, name, '[' || name || ']' as wrapped from (select c_custkey, case c_custkey % 6 when 3 then '[' || c_name when 4 then c_name || ']' when 5 then 'a].[' || c_name else c_name end as name from customer)",
     "normalize_exprs": "select o_orderkey, case o_orderkey % 6 when 1 then 'C' || o_custkey || '>(0)' when 2 then '(a)+(b' || o_custkey || ')' when 3 then '(a)+(b' || o_custkey || ')' when 5 then '((f(x)))=' || o_custkey else 'C' || o_custkey end as e from orders",
     "normalize_column_list": "select o_orderkey, 'B' || (o_orderkey % 7) || ' DESC,A,C' || (o_orderkey % 3) as keys, 'A,B' || (o_orderkey % 7) || ' DESC,C' || (o_orderkey % 3) as sorted from orders",
@@ -246,10 +290,10 @@ ORACLE_SQL = {
     "unknown_objects": _WITH + f"x as (select 1) select {_KEY}, kind, name from lo l where {_NO_WANT}",
     "clustered_conflicts": _WITH + f"x as (select 1) select {_key('w')}, w.name, l.name as conflict from wo w join lo l on {_same('w', 'l')} and l.clustered where w.clustered and not exists (select 1 from lo l2 where {_same('w', 'l2', 'name')})",
     "column_impact": _WITH + _CHANGED + f" select distinct {_key('o')}, o.kind, o.name from lo o join changed c on {_same('o', 'c')} where c.reasons <> '' and (list_contains(list_transform(string_split(o.columns, ','), lambda x: replace(x, ' DESC', '')), c.col) or contains(o.definition, c.col))",
-    "drop_set": _WITH + _DRIFT + ", " + _DROPS + f"t as (select distinct l.db, l.sch, l.tab from lo l join drops d on {_same('d', 'l', 'kind', 'name')} where l.clustered) select {_KEY}, kind, name from drops union select l.db, l.sch, l.tab, l.kind, l.name from lo l join t on {_same('t', 'l')} where l.kind = 'statistic'",
-    "dependent_fks": _WITH + f"x as (select 1) select {_key('f')}, f.name from lo f where f.kind = 'statistic' and exists (select 1 from lo l where l.kind = 'index' and {_same('f', 'l', 'columns')} and {_NO_WANT})",
+    "drop_set": _WITH + _DROPS + f"select drop_unknown, {_KEY}, kind, name from gone",
+    "dependent_fks": _WITH + _DROPS + f"select {_key('f')}, f.name from lo f where f.kind = 'foreign_key' and exists (select 1 from gone g join lo l on {_same('g', 'l', 'kind', 'name')} where not g.drop_unknown and g.kind = 'index' and l.is_unique and l.db = f.db and l.sch = 'dbo' and l.tab = f.related)",
     "storage_drift": _WITH + f"i as (select {_key('w')}, w.name, coalesce(w.compression, 'NONE') as want_compression, coalesce(nullif(w.fill_factor, 0), 100) as want_fill, coalesce(l.compression, 'NONE') as have_compression, coalesce(nullif(l.fill_factor, 0), 100) as have_fill from wo w join lo l on {_same('w', 'l', 'name')} and l.kind = 'index' where w.kind = 'index'), c as (select db, sch, tab, max(coalesce(compression, 'NONE')) as over from wo where kind = 'index' and clustered group by 1, 2, 3), t as (select distinct {_key('w')}, null::varchar as name, coalesce(c.over, w.compression, 'NONE') as want_compression, 100 as want_fill, coalesce(l.compression, 'NONE') as have_compression, 100 as have_fill from wt w left join c on {_same('w', 'c')} join lt l on {_same('w', 'l')}), j as (select * from i union all select * from t) select * from j where want_compression <> have_compression or want_fill <> have_fill",
-    "catalog_to_defs": _WITH + f"x as (select 1) select {_key('c')}, count(*)::int as n_columns, (select count(*)::int from wo o where o.kind = 'index' and {_same('o', 'c')}) as n_indexes, min(c.col) as first, min_by(c.type, c.col) as type from wc c group by c.db, c.sch, c.tab",
+    "catalog_to_defs": _WITH + f"x as (select 1) select {_key('c')}, min(c.col) as text_key, string_agg(c.col || ' ' || c.type, ';' order by c.col) as \"Columns\", {_listed('index', 'o.columns, o.is_unique, o.clustered')} as \"Indexes\", {_listed('xml_index', "split_part(o.columns, ',', 1), true")} as \"XmlIndexes\", {_listed('foreign_key', 'o.columns, o.related, o.columns')} as \"ForeignKeys\", {_listed('check', 'o.definition')} as \"CheckConstraints\", {_listed('statistic', 'o.columns')} as \"Statistics\" from wc c group by c.db, c.sch, c.tab",
     "properties_map": f"with i as ({plain(PROPS_I)}), c as ({plain(PROPS_C)}), b as (select coalesce(i.owner, c.owner) as owner, coalesce(i.name, c.name) as name, coalesce(i.value, c.value) as value from i full join c on i.owner = c.owner and i.name = c.name) select owner, string_agg(name || '=' || value, ';' order by name) as properties from b group by owner",
     "untagged_objects": _WITH + f"x as (select 1) select {_KEY} from lt l where owner is null and exists (select 1 from wt w where {_same('w', 'l')})",
 }
