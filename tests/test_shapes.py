@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from plumbline.functions import normalize
-from plumbline.operators import checks, conform, drift, ledger
+from plumbline.operators import checks, conform, drift, ledger, stats
 from plumbline.sources import tables as src
 
 
@@ -88,6 +88,16 @@ def test_definition_file(spark, tmp_path):
     assert flat["foreign_keys"].isEmpty() and flat["text"].isEmpty()
 
 
+def test_histogram_steps_hold_equally_many_rows(spark, sf):
+    orders = spark.read.parquet(f"{sf}/orders.parquet")
+    n = orders.count()
+    steps = {r["step"]: r["high"] for r in stats.histogram(orders, "o_totalprice").collect()}
+    assert sorted(steps) == list(range(1, 11)) and steps[10] == orders.agg(F.max("o_totalprice")).head()[0]
+    for step, high in steps.items():
+        below, upto = orders.where(F.col("o_totalprice") < high).count(), orders.where(F.col("o_totalprice") <= high).count()
+        assert below - n / 1000 - 1 <= n * step / 10 <= upto + n / 1000 + 1
+
+
 def test_ledger(spark):
     inputs = spark.createDataFrame([("a", "p", "s", False), ("b", "p", "s", True), ("c", "p", "s", None)], "path string, product string, slot string, always boolean")
     done = spark.createDataFrame([("a", "p", "s", None), ("b", "p", "s", None), ("z", "p", "s", None)], "path string, product string, slot string, done_at timestamp")
