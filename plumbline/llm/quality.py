@@ -94,10 +94,11 @@ def judge(docs: DataFrame, text_col: str = "text", host_col: str = "source", lim
     """docs with one struct column: the measures, base_failed, host_rate and kept."""
     marked, name = measured(docs, text_col)
     marked = saved(marked, "measured")
-    rates = small(host_rates(marked, host_col, F.col(name)["base_failed"], limit).select(F.col("host").alias("__host"), F.col("rate").alias("__rate"), F.col("rejected").alias("__rejected")))
-    out = marked.join(rates, F.col(host_col).eqNullSafe(F.col("__host")), "left")
-    kept = ~F.col(name)["base_failed"] & ~F.col("__rejected")
-    return out.withColumn(name, F.col(name).withField("host_rate", F.col("__rate")).withField("kept", kept)).drop("__host", "__rate", "__rejected"), name
+    host, rate, rejected = fresh(marked, "host", "rate", "rejected")
+    rates = small(host_rates(marked, host_col, F.col(name)["base_failed"], limit).select(F.col("host").alias(host), F.col("rate").alias(rate), F.col("rejected").alias(rejected)))
+    out = marked.join(rates, F.col(host_col).eqNullSafe(F.col(host)), "left")
+    kept = ~F.col(name)["base_failed"] & ~F.col(rejected)
+    return out.withColumn(name, F.col(name).withField("host_rate", F.col(rate)).withField("kept", kept)).drop(host, rate, rejected), name
 
 
 def quality_filter(docs: DataFrame, text_col: str = "text", host_col: str = "source", limit: float = HOST_LIMIT) -> DataFrame:
