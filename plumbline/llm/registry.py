@@ -1,6 +1,6 @@
 """Queries of this subpackage and, where SQL can say them, their DuckDB SQL."""
 
-from . import chat, contextmix, decontaminate, linededup, mix, neardup, quality, sql, substrings, tokencount, warc
+from . import chat, collocations, contextmix, decontaminate, linededup, lloyd, mix, neardup, quality, secrets, sql, substrings, tokencount, warc
 
 QUERIES = {
     "op1_linededup": linededup.op1_linededup,
@@ -13,6 +13,9 @@ QUERIES = {
     "op8_neardup": neardup.op8_neardup,
     "op9_quality": quality.op9_quality,
     "op10_tokencount": tokencount.op10_tokencount,
+    "op11_collocations": collocations.op11_collocations,
+    "op12_secrets": secrets.op12_secrets,
+    "op13_lloyd": lloyd.op13_lloyd,
 }
 
 ORACLE_SQL = sql.ORACLE_SQL
