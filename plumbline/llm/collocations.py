@@ -4,17 +4,18 @@ Texts are lower-cased (A-Z), cut into pieces at punctuation and line ends, and i
 words at spaces and tabs. The occurrence relation of phrases of one length is stored
 sorted by piece and position: tasks write chunks of bounded size, each with the places
 of its occurrences (places of neighbouring words differ by 1, those of different pieces
-by 2 or more) and a dictionary of the phrases that occur in it, with counts.
+by 2 or more) and a dictionary of the phrases that occur in it, with counts, dealt into
+buckets by the phrase's hash.
 
 A level joins each occurrence with its neighbour at the next place of the same piece, a
 merge of two sorted relations, which gives the occurrences of phrases one word longer.
 A phrase is the pair of the numbers of its first and last part, which overlap in all
 but one word, so that keys stay two numbers at every length and no hash can mix
-phrases. The dictionaries are counted by a grouping of what the tasks have counted
-already; phrases with at least LEAST occurrences are numbered and written. A semi-join
-of the dictionaries with them tells every chunk which of its occurrences stay, before
-the next level extends them. A frequent word or phrase is one row per chunk at most,
-however often it occurs, and nothing is broadcast.
+phrases. One shuffle brings the dictionaries of a bucket together. There they are
+counted, phrases with at least LEAST occurrences get numbers, and each chunk is told
+which of its entries those are: a semi-join, before the next level extends them. The
+buckets are as many as the occurrences ask for, and a phrase is one entry per chunk at
+most, however often it occurs. Nothing is broadcast or sent to the driver.
 
 Scores use decimals of 38 digits; counts up to 10**15 fit. Null text is empty, a null
 language is `und`. Repeated rows count as often as they occur. A piece longer than a
@@ -24,131 +25,194 @@ chunk stays whole. Empty input gives empty output.
 from __future__ import annotations
 
 import re
+from array import array
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import xxhash
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import saved, table
+from .common import partitions, saved, table
+from .hashing import PRIME, U, mixed
+from .lloyd import pack, unpack
 
 # Fixed values of the query's contract.
 PIECE = rb"[.,;:!?\x0A-\x0D]"
 LONGEST, LEAST, INSIDE_PERCENT, TOP = 3, 10, 50, 2000
-#: Words of a chunk: its places and numbers take 3 MB, its dictionary a few times that.
-CHUNK_WORDS = 1 << 18
+#: Words of a chunk: its places and numbers take 8 MB, its dictionary a few times that.
+CHUNK_WORDS = 1 << 20
+#: Occurrences that a bucket is meant for, and how many phrases one can number.
+BUCKET_OCCURRENCES, NUMBERS = 400_000, 1 << 24
 #: Groups that share a language's ranking before its best are brought together.
 SALTS = 64
 
-RELATION = "chunk bigint, place binary, item binary"
-SCHEMA = pa.schema([("chunk", pa.int64()), ("place", pa.binary()), ("item", pa.binary())])
+#: Bucket -1 holds the relation itself (places, items), others their part of the
+#: dictionary: items, key (heads and tails, or lengths and bytes of words), counts.
+STORED = "chunk bigint, bucket int, size bigint, items binary, one binary, two binary, counts binary, lang array<string>, n array<bigint>"
+SCHEMA = pa.schema([("chunk", pa.int64()), ("bucket", pa.int32()), ("size", pa.int64()), ("items", pa.binary()), ("one", pa.binary()), ("two", pa.binary()), ("counts", pa.binary()), ("lang", pa.list_(pa.string())), ("n", pa.list_(pa.int64()))])
 
 
-def _chunk(number: int, place: np.ndarray, item: np.ndarray, *dictionary: pa.Array, schema: pa.Schema) -> pa.RecordBatch:
-    """One row; item says which entry of the dictionary stands at a place."""
-    return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([place.astype("<i4").tobytes()], pa.binary()), pa.array([item.astype("<i4").tobytes()], pa.binary()),
-                                       *[pa.ListArray.from_arrays(pa.array([0, len(d)], pa.int32()), d) for d in dictionary]], schema=schema)
+def squeezed(a: np.ndarray) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(pack(a))
 
 
-WORDS = SCHEMA.append(pa.field("lang", pa.list_(pa.string()))).append(pa.field("word", pa.list_(pa.binary()))).append(pa.field("n", pa.list_(pa.int64())))
+def spread(data: bytes) -> np.ndarray:
+    return unpack(zstandard.ZstdDecompressor().decompress(data))
 
 
-def _words(batches, size: int = CHUNK_WORDS):
-    """(lang, text) to chunks of word occurrences."""
+def _stored(chunk: int, place: np.ndarray, item: np.ndarray, bucket: np.ndarray, keys, counts: np.ndarray, totals: Counter | None) -> pa.Table:
+    """The rows of a chunk. keys(entries) packs the keys of some entries as two binaries."""
+    order = np.argsort(bucket, kind="stable")
+    parts = [p for p in np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1) if len(p)]
+    packed = [keys(p) for p in parts]
+    n = len(parts) + 1
+    columns = [[chunk] * n, [-1, *(int(bucket[p[0]]) for p in parts)], [len(place), *(len(p) for p in parts)],
+               [squeezed(item), *(squeezed(np.diff(p, prepend=0)) for p in parts)], [squeezed(np.diff(place, prepend=0)), *(x for x, _ in packed)], [None, *(y for _, y in packed)],
+               [None, *(squeezed(counts[p]) for p in parts)], [list(totals) if totals else None] + [None] * (n - 1), [list(totals.values()) if totals else None] + [None] * (n - 1)]
+    return pa.table([pa.array(c, f.type) for c, f in zip(columns, SCHEMA)], schema=SCHEMA)
+
+
+def _words(buckets: int, size: int):
+    """(lang, text) to chunks of word occurrences. A word's key is word, space, language."""
     cut = re.compile(PIECE)
-    known, items, places, at = {}, [], [], 0
-    number = TaskContext.get().partitionId() << 32
-
-    def made():
-        item = np.array(items, dtype=np.int64)
-        keys = list(known)
-        return _chunk(number, np.array(places, dtype=np.int64), item, pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.binary()), pa.array(np.bincount(item, minlength=len(keys)), pa.int64()), schema=WORDS)
-
-    for batch in batches:
-        for lang, text in zip(batch.column(0), batch.column(1)):
-            lang, text = lang.as_py(), text.as_py()
-            for piece in cut.split(text.lower()):
-                ws = piece.split()
-                if not ws:
-                    continue
-                items.extend([known.setdefault((lang, w), len(known)) for w in ws])
-                places.extend(range(at, at + len(ws)))
-                at += len(ws) + 1
-                if len(items) >= size:
-                    yield made()
-                    number += 1
-                    known, items, places, at = {}, [], [], 0
-    if items:
-        yield made()
-
-
-PAIRS = SCHEMA.append(pa.field("head", pa.list_(pa.int64()))).append(pa.field("tail", pa.list_(pa.int64()))).append(pa.field("n", pa.list_(pa.int64())))
-
-
-def _extend(batches):
-    """Chunks with the entries that stay (item, and number over all chunks) to chunks of
-    the phrases one word longer."""
-    for batch in batches:
-        for i in range(batch.num_rows):
-            chunk = batch.column(0)[i].as_py()
-            place, item = (np.frombuffer(batch.column(k)[i].as_py(), dtype="<i4").astype(np.int64) for k in (1, 2))
-            stay, ids = (batch.column(k)[i].values.to_numpy() for k in (3, 4))
-            dense = np.full(int(item.max()) + 1, -1, dtype=np.int64)
-            dense[stay] = np.arange(len(stay))
-            item = dense[item]
-            place, item = place[item >= 0], item[item >= 0]
-            # both relations are sorted by place: the neighbour at the next place, if any, is the next row
-            pair = np.flatnonzero(place[1:] == place[:-1] + 1)
-            if not len(pair):
-                continue
-            keys, entry, n = np.unique(item[pair] * len(stay) + item[pair + 1], return_inverse=True, return_counts=True)
-            head, tail = np.divmod(keys, len(stay))
-            yield _chunk(chunk, place[pair], entry, pa.array(ids[head], pa.int64()), pa.array(ids[tail], pa.int64()), pa.array(n, pa.int64()), schema=PAIRS)
-
-
-def frequent_words(relation: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
-    """Frequent words as phrases of length 1, and all word occurrences per language."""
-    counts = saved(relation.select(F.explode(F.arrays_zip("lang", "word", "n")).alias("d")).groupBy(F.col("d.lang").alias("lang"), F.col("d.word").alias("word")).agg(F.sum("d.n").alias("a")), "words")
-    words = counts.where(F.col("a") >= least).select("lang", F.col("word").alias("tail"), "a", F.array(F.col("word").cast("string")).alias("words"), F.array("a").alias("firsts"), F.array("a").alias("lasts"))
-    return words, counts.groupBy("lang").agg(F.sum("a").alias("n"))
-
-
-def frequent_pairs(relation: DataFrame, shorter: DataFrame, least: int) -> DataFrame:
-    """Frequent phrases of the relation, with the counts of all they start and end with."""
-    counts = relation.select(F.explode(F.arrays_zip("head", "tail", "n")).alias("d")).groupBy(F.col("d.head").alias("head"), F.col("d.tail").alias("tail")).agg(F.sum("d.n").alias("a")).where(F.col("a") >= least)
-    first = shorter.select(F.col("id").alias("head"), "lang", F.col("words").alias("before"), "firsts")
-    last = shorter.select(F.col("id").alias("tail"), F.element_at("words", -1).alias("word"), "lasts")
-    return (counts.join(first, "head").join(last, "tail")
-            .select("lang", "head", "tail", "a", F.concat("before", F.array("word")).alias("words"), F.concat("firsts", F.array("a")).alias("firsts"), F.concat("lasts", F.array("a")).alias("lasts")))
-
-
-def numbered(phrases: DataFrame, name: str) -> DataFrame:
-    """Written first: numbers given to rows must not change when tasks run again."""
-    return saved(phrases.withColumn("id", F.monotonically_increasing_id()), name)
-
-
-def staying(relation: DataFrame, phrases: DataFrame, keys: list[str]) -> DataFrame:
-    """The relation with the entries of each chunk that are frequent, and their numbers."""
-    own = {"lang": "lang", "word": "tail"} if "word" in keys else {k: k for k in keys}
-    entries = relation.select("chunk", F.posexplode(F.arrays_zip(*keys)).alias("item", "d")).select("chunk", "item", *[F.col(f"d.{k}").alias(k) for k in keys])
-    met = entries.join(phrases.select("id", *[F.col(v).alias(k) for k, v in own.items()]), keys)
-    lists = met.groupBy("chunk").agg(F.collect_list(F.struct(F.col("item").cast("bigint").alias("item"), "id")).alias("s")).select("chunk", F.col("s.item").alias("stay"), F.col("s.id").alias("ids"))
-    return relation.select("chunk", "place", "item").join(lists, "chunk")
-
-
-def mined(docs: DataFrame, text_col: str, lang_col: str, longest: int = LONGEST, least: int = LEAST) -> tuple[list[DataFrame], DataFrame]:
-    """Frequent phrases of every length from 1 to longest, and the words per language."""
+
+    def made(number, known, items, lengths, totals):
+        item, lengths = np.frombuffer(items, dtype="i").astype(np.int64), np.array(lengths)
+        place = np.arange(len(item)) + np.repeat(np.arange(len(lengths)), lengths)
+        keys = [w + b" " + lang.encode() for lang, w in known]
+        bucket = np.fromiter((xxhash.xxh3_64_intdigest(k) % buckets for k in keys), dtype=np.int64, count=len(keys))
+        return _stored(number, place, item, bucket, lambda p: (squeezed(np.array([len(keys[i]) for i in p])), zstandard.compress(b"".join([keys[i] for i in p]), 1)), np.bincount(item, minlength=len(keys)), totals)
+
+    def run(batches):
+        number = TaskContext.get().partitionId() << 32
+        known, items, lengths, totals = {}, array("i"), [], Counter()
+        for batch in batches:
+            for lang, text in zip(batch.column(0), batch.column(1)):
+                lang, text = lang.as_py(), text.as_py()
+                for piece in cut.split(text.lower()):
+                    ws = piece.split()
+                    if not ws:
+                        continue
+                    items.extend([known.setdefault((lang, w), len(known)) for w in ws])
+                    lengths.append(len(ws))
+                    totals[lang] += len(ws)
+                    if len(items) >= size:
+                        yield from made(number, known, items, lengths, totals).to_batches()
+                        number += 1
+                        known, items, lengths, totals = {}, array("i"), [], Counter()
+        if items:
+            yield from made(number, known, items, lengths, totals).to_batches()
+
+    return run
+
+
+def _extend(buckets: int):
+    """A chunk's relation and its entries that stay (items, and numbers over all chunks)
+    to the relation of phrases one word longer."""
+    def run(relation, stay):
+        if not relation.num_rows or not stay.num_rows:
+            return SCHEMA.empty_table()
+        item, place = spread(relation.column("items")[0].as_py()), np.cumsum(spread(relation.column("one")[0].as_py()))
+        kept, ids = (np.concatenate([spread(x.as_py()) for x in stay.column(c)]) for c in ("items", "ids"))
+        order = np.argsort(kept)
+        kept, ids = kept[order], ids[order]
+        dense = np.full(int(item.max()) + 1, -1, dtype=np.int64)
+        dense[kept] = np.arange(len(kept))
+        item = dense[item]
+        place, item = place[item >= 0], item[item >= 0]
+        # both relations are sorted by place: the neighbour at the next place, if any, is the next row
+        pair = np.flatnonzero(place[1:] == place[:-1] + 1)
+        if not len(pair):
+            return SCHEMA.empty_table()
+        keys, entry, n = np.unique(item[pair] * len(kept) + item[pair + 1], return_inverse=True, return_counts=True)
+        head, tail = (ids[x] for x in np.divmod(keys, len(kept)))
+        bucket = (mixed(head.astype(U) * U(PRIME) + tail.astype(U)) % U(buckets)).astype(np.int64)
+        return _stored(relation.column("chunk")[0].as_py(), place[pair], entry, bucket, lambda p: (squeezed(np.diff(head[p], prepend=0)), squeezed(tail[p])), n, None)
+
+    return run
+
+
+#: A row per chunk with the entries that stay, and one per bucket, without a chunk, with its phrases.
+COUNTED = "chunk bigint, items binary, ids binary, word array<binary>, head array<bigint>, tail array<bigint>, a array<bigint>, id array<bigint>"
+COUNTED_SCHEMA = pa.schema([("chunk", pa.int64()), ("items", pa.binary()), ("ids", pa.binary()), ("word", pa.list_(pa.binary())), *[(c, pa.list_(pa.int64())) for c in ("head", "tail", "a", "id")]])
+
+
+def _count(words: bool, least: int):
+    """All dictionaries of a bucket: the frequent phrases, numbered, and who has them."""
+    def run(key, rows):
+        column = {c: [x.as_py() for x in rows.column(c)] for c in ("chunk", "items", "one", "two", "counts")}
+        counts, sizes = np.concatenate([spread(x) for x in column["counts"]]), rows.column("size").to_numpy()
+        if words:
+            ends = np.cumsum(np.concatenate([spread(x) for x in column["one"]]))
+            data = b"".join(zstandard.decompress(x) for x in column["two"])
+            known: dict[bytes, int] = {}
+            start, phrase = 0, np.empty(len(ends), dtype=np.int64)
+            for i, end in enumerate(ends.tolist()):
+                phrase[i] = known.setdefault(data[start:end], len(known))
+                start = end
+        else:
+            (heads, h), (tails, t) = (np.unique(np.concatenate(x), return_inverse=True) for x in ([np.cumsum(spread(x)) for x in column["one"]], [spread(x) for x in column["two"]]))
+            codes, phrase = np.unique(h * len(tails) + t, return_inverse=True)
+            head, tail = np.divmod(codes, len(tails))
+        total = np.bincount(phrase, weights=counts).astype(np.int64)
+        often = np.flatnonzero(total >= least)
+        if len(often) > NUMBERS:
+            raise ValueError("too many frequent phrases in a bucket")
+        number = np.full(len(total), -1, dtype=np.int64)
+        number[often] = key[0].as_py() * NUMBERS + np.arange(len(often))
+        names = list(known) if words else None
+        lists = [[names[i] for i in often] if words else None, *(None if words else x.tolist() for x in ((None, None) if words else (heads[head[often]], tails[tail[often]]))), total[often].tolist(), number[often].tolist()]
+        out = [[None], [None], [None], *[[x] for x in lists]]
+        mine = np.split(number[phrase], np.cumsum(sizes)[:-1])
+        for chunk, items, ids in zip(column["chunk"], column["items"], mine):
+            has = ids >= 0
+            if has.any():
+                for x, y in zip(out, (chunk, squeezed(np.cumsum(spread(items))[has]), squeezed(ids[has]), None, None, None, None, None)):
+                    x.append(y)
+        return pa.table([pa.array(c, f.type) for c, f in zip(out, COUNTED_SCHEMA)], schema=COUNTED_SCHEMA)
+
+    return run
+
+
+def buckets_for(spark: SparkSession, occurrences: int) -> int:
+    return max(2 * partitions(spark), -(-occurrences // BUCKET_OCCURRENCES))
+
+
+def counted(relation: DataFrame, words: bool, least: int) -> tuple[DataFrame, DataFrame]:
+    """The relation's frequent phrases, and per chunk the entries that stay."""
+    entries = relation.where("bucket >= 0").select("bucket", "chunk", "size", "items", "one", "two", "counts")
+    out = saved(entries.groupBy("bucket").applyInArrow(_count(words, least), COUNTED), "counted")
+    zipped = F.explode(F.arrays_zip(*(["word"] if words else ["head", "tail"]), "a", "id")).alias("d")
+    return out.where("chunk is null").select(zipped).select("d.*"), out.where("chunk is not null").select("chunk", "items", "ids")
+
+
+def mined(docs: DataFrame, text_col: str, lang_col: str, longest: int = LONGEST, least: int = LEAST, size: int = CHUNK_WORDS) -> tuple[list[DataFrame], DataFrame]:
+    """Frequent phrases of every length from 1 to longest (id, lang, words, a, the counts
+    of all first and all last parts, and the parts' numbers), and all words per language."""
+    spark = docs.sparkSession
     kept = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), F.encode(F.coalesce(F.col(text_col), F.lit("")), "UTF-8").alias("text"))
-    relation = saved(kept.mapInArrow(_words, f"{RELATION}, lang array<string>, word array<binary>, n array<bigint>"), "occurrences")
-    words, totals = frequent_words(relation, least)
-    levels, keys = [numbered(words, "phrases")], ["lang", "word"]
+    # a word and its space have six bytes or so; the number only says how work is dealt
+    n = (kept.agg(F.sum(F.octet_length("text"))).head()[0] or 0) // 6
+    relation = saved(kept.mapInArrow(_words(buckets_for(spark, n), size), STORED), "occurrences")
+    totals = saved(relation.where("bucket = -1").select(F.explode(F.arrays_zip("lang", "n")).alias("d")).groupBy(F.col("d.lang").alias("lang")).agg(F.sum("d.n").alias("n")), "totals")
+    found, stay = counted(relation, True, least)
+    text = F.col("word").cast("string")
+    word = F.substring_index(text, " ", 1)
+    levels = [saved(found.select("id", F.substring(text, F.length(word) + 2, F.length(text)).alias("lang"), F.array(word).alias("words"), "a", F.array("a").alias("firsts"), F.array("a").alias("lasts")), "phrases")]
     for _ in range(longest - 1):
-        relation = saved(staying(relation, levels[-1], keys).mapInArrow(_extend, f"{RELATION}, head array<bigint>, tail array<bigint>, n array<bigint>"), "occurrences")
-        levels.append(numbered(frequent_pairs(relation, levels[-1], least), "phrases"))
-        keys = ["head", "tail"]
-    return levels, saved(totals, "totals")
+        whole = relation.where("bucket = -1")
+        n = whole.agg(F.sum("size")).head()[0] or 0
+        relation = saved(whole.select("chunk", "items", "one").groupBy("chunk").cogroup(stay.groupBy("chunk")).applyInArrow(_extend(buckets_for(spark, n)), STORED), "occurrences")
+        found, stay = counted(relation, False, least)
+        first = levels[-1].select(F.col("id").alias("head"), "lang", F.col("words").alias("before"), "firsts")
+        last = levels[-1].select(F.col("id").alias("tail"), F.element_at("words", -1).alias("word"), "lasts")
+        levels.append(saved(found.join(first, "head").join(last, "tail").select("id", "lang", "head", "tail", F.concat("before", F.array("word")).alias("words"), "a", F.concat("firsts", F.array("a")).alias("firsts"), F.concat("lasts", F.array("a")).alias("lasts")), "phrases"))
+    return levels, totals
 
 
 def outside(phrases: DataFrame, longer: DataFrame | None, percent: int = INSIDE_PERCENT) -> DataFrame:
@@ -189,9 +253,9 @@ def best(phrases: DataFrame, top: int = TOP) -> DataFrame:
     return lists.select("lang", F.posexplode("rows").alias("i", "x")).select("lang", (F.col("i") + 1).cast("bigint").alias("rank"), "x.phrase", (-F.col("x.b")).alias("a"), "x.l", "x.r", (-F.col("x.s")).alias("score"))
 
 
-def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", longest: int = LONGEST, least: int = LEAST, top: int = TOP) -> DataFrame:
+def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", longest: int = LONGEST, least: int = LEAST, top: int = TOP, size: int = CHUNK_WORDS) -> DataFrame:
     """Each language's best phrases of 2 to longest words: lang, rank, phrase, a, l, r, n, score."""
-    levels, totals = mined(docs, text_col, lang_col, longest, least)
+    levels, totals = mined(docs, text_col, lang_col, longest, least, size)
     kept = [scored(outside(p, q)) for p, q in zip(levels[1:], [*levels[2:], None])]
     out = kept[0]
     for x in kept[1:]:

@@ -96,12 +96,10 @@ def test_collocations_against_brute_force(spark, hard):
     assert collocations.collocations(docs.limit(0)).isEmpty()
 
 
-def test_collocations_over_small_chunks(spark, hard, monkeypatch):
+def test_collocations_over_small_chunks(spark, hard):
     """Pieces never straddle chunks; what is counted is the same whatever their size."""
     docs = spark.read.parquet(f"{hard}/documents.parquet")
-    want, run = rows_of(collocations.collocations(docs, least=3)), collocations._words
-    monkeypatch.setattr(collocations, "_words", lambda batches: run(batches, 20))
-    assert rows_of(collocations.collocations(docs, least=3)) == want
+    assert rows_of(collocations.collocations(docs, least=3, size=20)) == rows_of(collocations.collocations(docs, least=3))
 
 
 def test_products_beyond_64_bits(spark):
