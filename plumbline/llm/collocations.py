@@ -58,21 +58,31 @@ SCHEMA = pa.schema([("chunk", pa.int64()), ("bucket", pa.int32()), ("size", pa.i
 
 
 def squeezed(a: np.ndarray) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(pack(a))
+    """Packed numbers, all their first bytes before all second ones, compressed."""
+    data = pack(a)
+    planes = np.frombuffer(data, dtype=np.uint8, offset=1).reshape(-1, data[0]).T
+    return zstandard.compress(data[:1] + planes.tobytes(), 1)
 
 
 def spread(data: bytes) -> np.ndarray:
-    return unpack(zstandard.ZstdDecompressor().decompress(data))
+    data = zstandard.decompress(data)
+    return unpack(data[:1] + np.frombuffer(data, dtype=np.uint8, offset=1).reshape(data[0], -1).T.tobytes())
 
 
 def _stored(chunk: int, place: np.ndarray, item: np.ndarray, bucket: np.ndarray, keys, counts: np.ndarray, totals: Counter | None) -> pa.Table:
-    """The rows of a chunk. keys(entries) packs the keys of some entries as two binaries."""
-    order = np.argsort(bucket, kind="stable")
+    """The rows of a chunk. keys(entries) packs the keys of some entries as two binaries.
+    Entries are numbered in the order of their buckets, so that a bucket's are told by the
+    first; words, of which few make up most occurrences, by falling count, which packs best."""
+    order = np.argsort(-counts if totals else bucket, kind="stable")
+    rank = np.empty(len(order), dtype=np.int64)
+    rank[order] = np.arange(len(order))
+    if totals:
+        order = order[np.argsort(bucket[order], kind="stable")]
     parts = [p for p in np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1) if len(p)]
     packed = [keys(p) for p in parts]
     n = len(parts) + 1
     columns = [[chunk] * n, [-1, *(int(bucket[p[0]]) for p in parts)], [len(place), *(len(p) for p in parts)],
-               [squeezed(item), *(squeezed(np.diff(p, prepend=0)) for p in parts)], [squeezed(np.diff(place, prepend=0)), *(x for x, _ in packed)], [None, *(y for _, y in packed)],
+               [squeezed(rank[item]), *(squeezed(np.diff(rank[p], prepend=0) if totals else rank[p[:1]]) for p in parts)], [squeezed(np.diff(place, prepend=0)), *(x for x, _ in packed)], [None, *(y for _, y in packed)],
                [None, *(squeezed(counts[p]) for p in parts)], [list(totals) if totals else None] + [None] * (n - 1), [list(totals.values()) if totals else None] + [None] * (n - 1)]
     return pa.table([pa.array(c, f.type) for c, f in zip(columns, SCHEMA)], schema=SCHEMA)
 
@@ -172,7 +182,8 @@ def _count(words: bool, least: int):
         for chunk, items, ids in zip(column["chunk"], column["items"], mine):
             has = ids >= 0
             if has.any():
-                for x, y in zip(out, (chunk, squeezed(np.cumsum(spread(items))[has]), squeezed(ids[has]), None, None, None, None, None)):
+                at = np.cumsum(spread(items)) if words else spread(items)[0] + np.arange(len(ids))
+                for x, y in zip(out, (chunk, squeezed(at[has]), squeezed(ids[has]), None, None, None, None, None)):
                     x.append(y)
         return pa.table([pa.array(c, f.type) for c, f in zip(out, COUNTED_SCHEMA)], schema=COUNTED_SCHEMA)
 
