@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.naming import fresh
+from ..sources.paths import delete, listed
 from ..sources.tables import COMPUTED, IDENTITY, ROWGUID
 
 INSERT, UPDATE, DELETE, KEEP = "insert", "update", "delete", "keep"
@@ -102,3 +103,66 @@ def key_guard(source: DataFrame, keys: list[str]) -> DataFrame:
     null = reduce(or_, [F.col(k).isNull() for k in keys])
     per = source.groupBy(*keys).agg(F.count("*").alias("n"))
     return per.where(null | (F.col("n") > 1)).withColumn("reason", F.when(null, "null").otherwise("repeated"))
+
+
+def _values(by: list[str], rows: list) -> Column:
+    """Whether a row lies in one of the partitions."""
+    return reduce(or_, [reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.lit(r[c])) for c in by]) for r in rows], F.lit(False))
+
+
+def merge_stored(path: str, source: DataFrame, keys: list[str], by: list[str], work: str, update: bool = True, delete_missing: bool = False, where: str | None = None, set_columns: list[str] | None = None) -> DataFrame:
+    """Merge into a Parquet table that is partitioned by some columns, and return the
+    partitions that were written, with the rows inserted, updated and deleted in each.
+
+    One join finds the rows that change; they are written under work. Only partitions that
+    lose or get a row are read again and replaced, each at once when the write commits;
+    files of others stay as they are. Partitions that lose all rows are deleted. Where all
+    partition columns are keys, and nothing is deleted, only partitions that the source
+    names are read at all. The partitions' values go through the driver, which lists them
+    for every scan anyway.
+
+    The new rows are complete in work before the table is touched, so that a run which
+    fails can be repeated: rows that have been merged are then equal, and change nothing.
+    Repeated keys of the source are for key_guard to find; here they insert or update once
+    each. A null key matches nothing."""
+    spark = source.sparkSession
+    target = spark.read.parquet(path)
+    if set(by) <= set(keys) and not delete_missing:
+        target = target.where(_values(by, source.select(*by).distinct().collect()))
+    change = [c for c in target.columns if c in source.columns and c not in keys and (set_columns is None or c in set_columns)]
+    scoped, scope = _scoped(target, where)
+    both, new, gone = joined(scoped, source, keys, "full_outer")
+    action = F.when(new, INSERT).when(gone & scope & F.lit(delete_missing), DELETE).when(gone, KEEP).when(F.lit(update) & differs(change, target.schema), UPDATE).otherwise(KEEP)
+    act, *old = fresh([*target.columns, *source.columns], "action", *[f"old_{c}" for c in by])
+
+    def value(c: str) -> Column:
+        if c not in source.columns:
+            return F.col(f"t.{c}")
+        return F.when(new | (~gone & F.lit(c in change)), F.col(f"s.{c}")).otherwise(F.col(f"t.{c}")).cast(target.schema[c].dataType)
+
+    rows = both.withColumn(act, action).where(F.col(act) != KEEP).select(F.col(act), *[F.col(f"t.{c}").alias(o) for c, o in zip(by, old)], *[value(c).alias(c) for c in target.columns])
+    rows.write.parquet(f"{work}/changes")
+    rows = spark.read.schema(rows.schema).parquet(f"{work}/changes")
+    was = rows.where(F.col(act) != INSERT).select(act, *[F.col(o).alias(c) for c, o in zip(by, old)])
+    now = rows.where(F.col(act) != DELETE).select(act, *by)
+    moved = was.where(F.col(act) == UPDATE).select(F.lit("left").alias(act), *by)
+    counts = now.unionByName(was.where(F.col(act) == DELETE)).unionByName(moved).groupBy(*by).agg(*[F.count_if(F.col(act) == a).alias(f"n_{a}") for a in (INSERT, UPDATE, DELETE)])
+    counts.write.parquet(f"{work}/counts")
+    counts = spark.read.schema(counts.schema).parquet(f"{work}/counts")
+    touched = counts.select(*by).collect()
+    if touched:
+        held = spark.read.parquet(path).where(_values(by, touched))
+        # keys of rows that go or are replaced; a null key matches nothing, so such rows only go by being missing
+        out = held.join(rows.where(F.col(act) != INSERT).select(*keys), keys, "left_anti").select(*target.columns)
+        if delete_missing:
+            null = reduce(or_, [F.col(k).isNull() for k in keys])
+            out = out.where(~(null & (F.lit(True) if where is None else F.coalesce(F.expr(where), F.lit(False)))))
+        out = out.unionByName(rows.where(F.col(act) != DELETE).select(*target.columns))
+        out.write.parquet(f"{work}/rows")
+        out = spark.read.schema(out.schema).parquet(f"{work}/rows")
+        filled = {tuple(r) for r in out.select(*by).distinct().collect()}
+        emptied = [r for r in touched if tuple(r) not in filled]
+        places = listed(held.where(_values(by, emptied))) if emptied else []
+        out.repartition(*by).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path)
+        delete(spark, sorted({p.rsplit("/", 1)[0] for p in places}))
+    return counts

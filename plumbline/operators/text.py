@@ -47,6 +47,11 @@ def without_stop_words(postings: DataFrame, stop: DataFrame | None = None) -> Da
 def text_index(df: DataFrame, key: str, columns: list[str], stop: DataFrame | None = None, use_stop: bool = True) -> DataFrame:
     """(term, key, column, n, positions) for rows of one key each, which is checked."""
     require_key(df, key)
+    return postings_of(df, key, columns, stop, use_stop)
+
+
+def postings_of(df: DataFrame, key: str, columns: list[str], stop: DataFrame | None = None, use_stop: bool = True) -> DataFrame:
+    """text_index for rows whose key is known to be one."""
     texts = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("text")) for c in columns])).alias("t")
     each = df.select(F.col(key), texts).select(key, "t.column", F.explode(_runs(F.col("t.text"))).alias("run"))
     out = each.select("run.term", key, "column", F.size("run.positions").cast("long").alias("n"), "run.positions")

@@ -102,13 +102,16 @@ def text_refresh_manual(spark, d):
 
 
 def text_refresh_stream(spark, d):
-    """The documents, and then changed texts of some, as a stream of two sets of files."""
+    """The documents as version 1; changed texts of some as version 3, each twice; and late
+    ones of version 2, which lose. Folded after two of the three batches."""
     base = common.work_dir(spark)
     old, new = _texts(spark, d)
-    for n, part in enumerate((old, new)):
+    first, again = old.withColumn("version", F.lit(1)), new.withColumn("version", F.lit(3))
+    late = old.where("doc_id % 12 = 0").select("doc_id", F.lit("late").alias("text"), F.lit(2).alias("version"))
+    for part in (first, again.unionByName(again), late):
         part.write.mode("append").parquet(f"{base}/in")
-        stream = spark.readStream.schema(old.schema).parquet(f"{base}/in")
-        text_stream.keep_postings(stream, f"{base}/out", f"{base}/state", "doc_id", ["text"]).awaitTermination()
+        stream = spark.readStream.schema(first.schema).parquet(f"{base}/in")
+        text_stream.keep_postings(stream, f"{base}/out", f"{base}/state", "doc_id", ["text"], fold=2).awaitTermination()
     return text_stream.read_postings(spark, f"{base}/out", "doc_id").select("term", "doc_id", "n")
 
 

@@ -91,6 +91,31 @@ def changed_rows_typed(spark, d):
     return merge.changed(derived(spark, d, TYPED_T), derived(spark, d, TYPED_S), ["p_partkey"]).select("p_partkey", "p_name")
 
 
+PARTS = "year(o_orderdate) as o_year, month(o_orderdate) as o_month"
+
+
+def _stored(spark, d):
+    """The target as a table partitioned by month, and a source of one year that moves some
+    orders by a month, deletes all of February and leaves out a column."""
+    path = f"{common.work_dir(spark)}/orders"
+    derived(spark, d, f"select *, {PARTS} from ({TARGET})").repartition("o_year", "o_month").write.partitionBy("o_year", "o_month").parquet(path)
+    source = derived(spark, d, f"select o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderdate, o_year, case when o_orderkey % 17 = 0 then o_month % 12 + 1 else o_month end as o_month from (select *, {PARTS} from ({SOURCE})) where o_year = 1995 and o_month <> 2")
+    return path, source
+
+
+def merge_stored(spark, d):
+    """The table after it, partition by partition rewritten only where rows change."""
+    path, source = _stored(spark, d)
+    merge.merge_stored(path, source, KEYS, ["o_year", "o_month"], common.work_dir(spark), delete_missing=True, where="o_year = 1995 and o_month < 5")
+    return spark.read.parquet(path)
+
+
+def merge_stored_counts(spark, d):
+    """What was written in each partition that was touched."""
+    path, source = _stored(spark, d)
+    return merge.merge_stored(path, source, KEYS, ["o_year", "o_month"], common.work_dir(spark), delete_missing=True, where="o_year = 1995 and o_month < 5")
+
+
 def merge_column_roles(spark, d):
     t, s = _both(spark, d)
     t = src.with_roles(t, {"o_totalprice": src.COMPUTED, "o_custkey": src.IDENTITY, "o_orderstatus": src.ROWGUID})
@@ -113,13 +138,21 @@ QUERIES = {
     "write_clustered": write_clustered, "covering_projection": covering_projection, "extract_many": extract_many,
     "merge_upsert": _merged(), "merge_insert_only": merge_insert_only, "merge_delete_scoped": _merged(delete=True, where="o_orderstatus = 'F'"),
     "changed_rows": changed_rows, "changed_rows_typed": changed_rows_typed, "merge_column_roles": merge_column_roles, "merge_plan_counts": merge_plan_counts, "merge_key_guard": merge_key_guard,
+    "merge_stored": merge_stored, "merge_stored_counts": merge_stored_counts,
 }
 
 _JSON = "json_merge_patch('{}', to_json({c_acctbal: c_acctbal, c_custkey: c_custkey, c_mktsegment: case when c_custkey % 7 = 0 then null else c_mktsegment end, c_name: c_name, c_nationkey: c_nationkey}))"
 _ACTION = "case when t.o_orderkey is null then 'insert' when s.o_orderkey is null then {gone} when " + DIFFERS + " then 'update' else 'keep' end"
 _JOIN = " from t full join s on t.o_orderkey = s.o_orderkey"
 _TAKE = ", ".join(f"case when s.o_orderkey is not null then s.{c} else t.{c} end as {c}" for c in ALL.split(", "))
+_HELD = (f"with t as (select *, year(o_orderdate)::int as o_year, month(o_orderdate)::int as o_month from ({plain(TARGET)})), s as (select o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderdate, o_year, case when o_orderkey % 17 = 0 then o_month % 12 + 1 else o_month end as o_month "
+         f"from (select *, year(o_orderdate)::int as o_year, month(o_orderdate)::int as o_month from ({plain(SOURCE)})) where o_year = 1995 and o_month <> 2) ")
+_SET = "o_custkey o_orderstatus o_totalprice o_orderdate o_year o_month".split()
+_MOVED = " or ".join(f"t.{c} is distinct from s.{c}" for c in _SET)
 ORACLE_SQL = {
+    "merge_stored": _HELD + "select coalesce(t.o_orderkey, s.o_orderkey) as o_orderkey, " + ", ".join(f"case when s.o_orderkey is not null then s.{c} else t.{c} end as {c}" for c in _SET) + ", t.o_orderpriority from t full join s on t.o_orderkey = s.o_orderkey where not (s.o_orderkey is null and t.o_year = 1995 and t.o_month < 5)",
+    "merge_stored_counts": _HELD + ", j as (select t.o_year as ty, t.o_month as tm, s.o_year as sy, s.o_month as sm, case when t.o_orderkey is null then 'insert' when s.o_orderkey is null then 'delete' else 'update' end as action from t full join s on t.o_orderkey = s.o_orderkey where t.o_orderkey is null or (s.o_orderkey is null and t.o_year = 1995 and t.o_month < 5) or (s.o_orderkey is not null and (" + _MOVED + "))), "
+    "p as (select ty as o_year, tm as o_month, case action when 'update' then 'left' else action end as action from j where action <> 'insert' union all select sy, sm, action from j where action <> 'delete') select o_year, o_month, count(*) filter (action = 'insert') as n_insert, count(*) filter (action = 'update') as n_update, count(*) filter (action = 'delete') as n_delete from p group by 1, 2",
     "extract_filtered": "select o_custkey, o_orderdate, o_orderkey, o_orderpriority, o_orderstatus, o_totalprice from orders where o_orderstatus = 'F' and o_totalprice > 100000",
     "rows_to_json": f"select c_custkey, {_JSON}::varchar as doc from customer",
     "json_to_rows": "select c_custkey, c_name, c_nationkey, case when c_custkey % 7 = 0 then null else c_mktsegment end as c_mktsegment, null::varchar as c_phone from customer",

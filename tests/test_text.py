@@ -26,25 +26,87 @@ def test_key(spark):
             text.text_index(spark.createDataFrame(rows, "id int, a string"), "id", ["a"])
 
 
-def test_stream_and_compaction(spark, tmp_path):
-    into, state = f"{tmp_path}/in", f"{tmp_path}/state"
-
-    def step(rows, out):
-        spark.createDataFrame(rows, "id int, a string").write.mode("append").parquet(into)
-        changes = spark.readStream.schema("id int, a string").parquet(into)
-        text_stream.keep_postings(changes, out, state, "id", ["a"]).awaitTermination()
-
-    def terms(out):
-        return {(r["id"], r["term"]) for r in text_stream.read_postings(spark, out, "id").collect()}
-
-    one, two = f"{tmp_path}/one", f"{tmp_path}/two"
-    step([(1, "red"), (2, "blue"), (3, "green")], one)
-    step([(1, "pink"), (3, None)], one)
-    assert terms(one) == {(1, "pink"), (2, "blue")}
-    text_stream.compact(spark, one, two, "id")
-    assert terms(two) == terms(one)
-    step([(2, "black")], two)
-    assert terms(two) == {(1, "pink"), (2, "black")}
+class Store:
+    """A stream of rows (id, a, version) into a store, a batch per call."""
+
+    def __init__(self, spark, folder, schema="id int, a string, version int", **how):
+        self.spark, self.folder, self.schema, self.how = spark, str(folder), schema, how
+        self.path = f"{folder}/store"
+
+    def step(self, *rows):
+        self.spark.createDataFrame(rows, self.schema).coalesce(1).write.mode("append").parquet(f"{self.folder}/in")
+        changes = self.spark.readStream.schema(self.schema).parquet(f"{self.folder}/in")
+        text_stream.keep_postings(changes, self.path, f"{self.folder}/state", "id", ["a"], **self.how).awaitTermination()
+
+    def terms(self):
+        return {(r["id"], r["term"]) for r in text_stream.read_postings(self.spark, self.path, "id").collect()}
+
+
+def test_late_versions_lose(spark, tmp_path):
+    s = Store(spark, tmp_path)
+    s.step((1, "red", 5), (2, "blue", 1))
+    s.step((1, "pink", 3), (2, "black", 2))
+    assert s.terms() == {(1, "red"), (2, "black")}
+    s.step((1, "late", 5), (2, None, 3))
+    assert s.terms() == {(1, "red")}
+    s.step((2, "grey", 2), (3, "new", None), (None, "lost", 1))
+    assert s.terms() == {(1, "red"), (3, "new")}
+    s.step((2, "white", 4), (3, "newer", 0))
+    assert s.terms() == {(1, "red"), (2, "white"), (3, "newer")}
+
+
+def test_repeated_rows_collapse(spark, tmp_path):
+    s = Store(spark, tmp_path)
+    s.step((1, "red red", 1), (1, "red red", 1), (2, "a1", 1), (2, "b1", 1), (2, "c1", 0))
+    rows = text_stream.read_postings(spark, s.path, "id").collect()
+    assert sorted((r["id"], r["term"], r["n"]) for r in rows) == [(1, "red", 2), (2, "b1", 1)]
+    plain = Store(spark, tmp_path / "plain", "id int, a string")
+    plain.step((1, "x1"), (1, "x1"))
+    plain.step((1, "y1"))
+    assert plain.terms() == {(1, "y1")}
+
+
+def test_tombstones_by_column(spark, tmp_path):
+    s = Store(spark, tmp_path, "id int, a string, version int, deleted boolean")
+    s.step((1, "red", 1, None), (2, "blue", 1, False))
+    s.step((1, "red", 2, True))
+    s.step((1, "red", 1, False))
+    assert s.terms() == {(2, "blue")}
+
+
+def test_compaction_keeps_what_was_decided(spark, tmp_path):
+    """Reading touches the live generation only, tombstones outlive it, batches fold."""
+    s = Store(spark, tmp_path, fold=3)
+    s.step((1, "red", 5), (2, "blue", 1), (3, "green", 1))
+    s.step((2, None, 4), (3, "lime", 2))
+    assert len(text_stream.manifests(spark, s.path)[0]["segments"]) == 2
+    s.step((1, "pink", 6))
+    live = text_stream.manifests(spark, s.path)[0]["segments"]
+    assert live == ["base-3"] and s.terms() == {(1, "pink"), (3, "lime")}
+    read = text_stream.read_postings(spark, s.path, "id")
+    assert all("/postings/base-3/" in f for f in read.inputFiles())
+    assert "Exchange" not in read._jdf.queryExecution().executedPlan().toString()
+    s.step((2, "late", 3), (1, "late", 5))
+    assert s.terms() == {(1, "pink"), (3, "lime")}
+    s.step((2, "back", 5))
+    assert s.terms() == {(1, "pink"), (3, "lime"), (2, "back")}
+    # what only manifests before the replaced one named is gone
+    assert not any((tmp_path / "store" / "postings" / f"batch-{n}").exists() for n in (0, 1, 2))
+    assert (tmp_path / "store" / "postings" / "base-3").exists()
+
+
+def test_repeated_batch_changes_nothing(spark, tmp_path):
+    """A batch that failed before its manifest is written anew; one that had it is skipped."""
+    path = str(tmp_path)
+    df = spark.createDataFrame([(1, "red")], "id int, a string")
+    text_stream.take(spark, df, 0, path, "id", ["a"])
+    before = text_stream.manifests(spark, path)
+    text_stream.take(spark, df.limit(0), 0, path, "id", ["a"])
+    assert text_stream.manifests(spark, path) == before
+    spark.createDataFrame([(9, 0, 1, False)], "id int, version bigint, seq bigint, gone boolean").write.parquet(f"{path}/heads/batch-1")
+    assert {r["term"] for r in text_stream.read_postings(spark, path, "id").collect()} == {"red"}
+    text_stream.take(spark, df.selectExpr("2 as id", "'blue' as a"), 1, path, "id", ["a"])
+    assert {r["term"] for r in text_stream.read_postings(spark, path, "id").collect()} == {"red", "blue"}
 
 
 def test_clashing_names(spark):
