@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from functools import reduce
+from xml.parsers import expat
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+
 
 
 def xml_nodes(df: DataFrame, key: str, xml: str, schema: str) -> DataFrame:
@@ -22,6 +25,73 @@ def xml_nodes(df: DataFrame, key: str, xml: str, schema: str) -> DataFrame:
     return parsed.select(key, F.inline(F.filter(F.flatten(F.array(*cells)), lambda e: e["value"].isNotNull())))
 
 
+NODE = "node bigint, parent bigint, kind string, name string, path string, ordinal int, value string"
+
+
+def shred(xml: str) -> list[tuple]:
+    """The nodes of one document in document order, numbered from 0: elements (their value
+    is their own text, null if there is none), their attributes, and runs of text. path
+    holds element names from the root and @name for attributes; ordinal counts siblings of
+    one kind and name from 1. Text of blanks alone is no node."""
+    nodes: list[list] = []
+    open_: list[tuple[int, str, dict]] = [(-1, "", {})]
+    text: list[str] = []
+
+    def add(kind, name, step, value):
+        parent, path, seen = open_[-1]
+        seen[kind, name] = seen.get((kind, name), 0) + 1
+        nodes.append([len(nodes), None if parent < 0 else parent, kind, name, path + step, seen[kind, name], value])
+
+    def flush():
+        run = "".join(text).strip()
+        text.clear()
+        if run:
+            add("text", None, "", run)
+            own = nodes[open_[-1][0]]
+            own[6] = run if own[6] is None else own[6] + " " + run
+
+    def start(name, attributes):
+        flush()
+        add("element", name, f"/{name}", None)
+        open_.append((len(nodes) - 1, nodes[-1][4], {}))
+        for k in range(0, len(attributes), 2):
+            add("attribute", attributes[k], f"/@{attributes[k]}", attributes[k + 1])
+
+    def end(_):
+        flush()
+        open_.pop()
+
+    parser = expat.ParserCreate()
+    parser.ordered_attributes, parser.buffer_text = True, True
+    parser.StartElementHandler, parser.EndElementHandler, parser.CharacterDataHandler = start, end, text.append
+    # entities of the document's own could grow without bound
+    parser.EntityDeclHandler = lambda *_: (_ for _ in ()).throw(ValueError("entity declarations are not read"))
+    parser.Parse(xml, True)
+    return [tuple(n) for n in nodes]
+
+
+def xml_shred(df: DataFrame, key: str, xml: str) -> DataFrame:
+    """(key, node, parent, kind, name, path, ordinal, value): every node of an XML column at
+    any depth, without a schema, one pass over each document. Null has no nodes; what is
+    not well-formed, or declares entities, has one of kind `fault` with the reason."""
+    schema = pa.schema([(key, to_arrow_type(df.schema[key].dataType)), ("node", pa.int64()), ("parent", pa.int64()), ("kind", pa.string()), ("name", pa.string()), ("path", pa.string()), ("ordinal", pa.int32()), ("value", pa.string())])
+
+    def run(batches):
+        for batch in batches:
+            for k, doc in zip(batch.column(0), batch.column(1)):
+                if not doc.is_valid:
+                    continue
+                try:
+                    nodes = shred(doc.as_py())
+                except (expat.ExpatError, ValueError) as e:
+                    nodes = [(0, None, "fault", None, None, None, str(e))]
+                if nodes:
+                    columns = list(zip(*nodes))
+                    yield pa.RecordBatch.from_arrays([pa.array([k.as_py()] * len(nodes), schema.field(0).type), *[pa.array(c, f.type) for c, f in zip(columns, list(schema)[1:])]], schema=schema)
+
+    return df.select(key, xml).mapInArrow(run, f"`{key}` {df.schema[key].dataType.simpleString()}, {NODE}")
+
+
 #: The lookups a node table can be laid out for.
 LAYOUTS = {"PATH": ("path", "value"), "VALUE": ("value", "path"), "PROPERTY": (None, "path")}
 
@@ -40,19 +110,26 @@ def json_entries(df: DataFrame, key: str, column: str) -> DataFrame:
     return rows.select(key, "name", F.when(F.schema_of_variant("v") == "STRING", F.variant_get("v", "$", "string")).otherwise(F.to_json("v")).alias("value"), F.schema_of_variant("v").alias("type"))
 
 
-def json_flatten(df: DataFrame, key: str, column: str, depth: int = 5) -> DataFrame:
-    """(key, path, value) of all leaves with dotted paths, down to a depth; what lies
-    deeper stays JSON. Elements of arrays have their number in the path."""
-    spark = df.sparkSession
+def json_flatten(df: DataFrame, key: str, column: str, work: str) -> DataFrame:
+    """(key, path, value) of all leaves with dotted paths, at any depth. Elements of arrays
+    have their number in the path; nulls, empty objects and empty arrays have no row.
+
+    Documents are parsed once. A job per level takes what the level before found to have
+    parts, and writes its own parts under work, leaves as text and others as variants; no
+    level is computed twice, and the leaves are read from there."""
+    spark, depth = df.sparkSession, 0
     level = df.select(F.col(key), F.lit("").alias("path"), F.try_parse_json(column).alias("v"))
-    leaves = []
     inner = F.schema_of_variant("v").rlike("^(OBJECT|ARRAY)")
-    for d in range(depth):
-        level.createOrReplaceTempView(view := f"json_level_{id(df)}_{d}")
-        level = spark.sql(f"select `{key}`, concat(if(path = '', '', concat(path, '.')), coalesce(e.key, cast(e.pos as string))) as path, e.value as v from {view}, lateral variant_explode(v) as e")
-        level = level.where(~F.is_variant_null("v"))
-        last = d == depth - 1
-        leaves.append(level if last else level.where(~inner))
-        level = level.where(inner)
-    out = reduce(DataFrame.unionByName, leaves)
-    return out.select(key, "path", F.when(F.schema_of_variant("v") == "STRING", F.variant_get("v", "$", "string")).otherwise(F.to_json("v")).alias("value"))
+    text = F.when(F.schema_of_variant("v") == "STRING", F.variant_get("v", "$", "string")).otherwise(F.to_json("v"))
+    while True:
+        level.createOrReplaceTempView(view := f"json_level_{id(df)}")
+        parts = spark.sql(f"select `{key}`, concat(if(path = '', '', concat(path, '.')), coalesce(e.key, cast(e.pos as string))) as path, e.value as v from {view}, lateral variant_explode(v) as e")
+        parts = parts.where(~F.is_variant_null("v")).select(key, "path", F.when(inner, F.col("v")).alias("v"), F.when(~inner, text).alias("value"))
+        path = f"{work}/level={depth}"
+        parts.write.parquet(path)
+        spark.catalog.dropTempView(view)
+        level = spark.read.schema(parts.schema).parquet(path).where("v is not null").select(key, "path", "v")
+        if level.isEmpty():
+            break
+        depth += 1
+    return spark.read.schema(parts.schema).parquet(*[f"{work}/level={i}" for i in range(depth + 1)]).where("value is not null").select(key, "path", "value")

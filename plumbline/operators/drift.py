@@ -152,16 +152,68 @@ def clustered_conflicts(desired: DataFrame, live: DataFrame) -> DataFrame:
     return wanted.join(live.where("clustered").select(*TABLE, F.col("name").alias("conflict")), TABLE)
 
 
-def column_impact(changed: DataFrame, objects: DataFrame, whole_word: bool = False) -> DataFrame:
-    """Objects that changed columns touch, by their column list or by a text that holds the
-    column's name: a union of two joins on the table, so neither is a nested loop."""
-    c = changed.select(*TABLE, "column").distinct()
-    listed = objects.where("columns is not null").select(*OBJECT, F.explode(column_list(F.col("columns"))).alias("column"))
-    listed = listed.withColumn("column", F.regexp_replace("column", " DESC$", "")).join(c, [*TABLE, "column"], "left_semi").select(*OBJECT)
+#: String literals, which name no column, and what can name one.
+LITERAL, IDENTIFIER = "'[^']*'", r"\[[^\]]+\]|[A-Za-z_@#][A-Za-z0-9_@#$]*"
+
+
+def identifiers(expression: Column) -> Column:
+    """The distinct names in an expression, in lower case and without brackets."""
+    names = F.regexp_extract_all(F.regexp_replace(expression, LITERAL, " "), F.lit(IDENTIFIER), F.lit(0))
+    return F.array_distinct(F.transform(names, lambda x: F.lower(F.btrim(x, F.lit("[]")))))
+
+
+def column_impact(changed: DataFrame, objects: DataFrame, mode: str = "identifier") -> DataFrame:
+    """Objects that changed columns touch, by their column list, by an expression that names
+    the column, or, as foreign keys (related_schema, related_table, related_columns), by
+    what they refer to. Lists and expressions are split once and joined by equality, so
+    C1 does not find C10; mode `substring` asks for any text that holds the name."""
+    names = F.lower("column")
+    c = changed.select(*TABLE, names.alias("column")).distinct()
+
+    def listed(table: list[str], text: str) -> DataFrame:
+        own = objects.where(F.col(text).isNotNull()).select(*[F.col(t).alias(f"{o}_") for t, o in zip(table, TABLE)], *OBJECT, F.explode(column_list(F.col(text))).alias("column"))
+        own = own.withColumn("column", F.lower(F.regexp_replace("column", " DESC$", "")))
+        return own.join(c.select(*[F.col(t).alias(f"{t}_") for t in TABLE], "column"), [*[f"{t}_" for t in TABLE], "column"], "left_semi").select(*OBJECT)
+
+    found = listed(TABLE, "columns")
+    if "related_columns" in objects.columns:
+        found = found.unionByName(listed(["database", "related_schema", "related_table"], "related_columns"))
     texts = objects.where("definition is not null").select(*OBJECT, "definition")
-    both = texts.join(c, TABLE)
-    hit = F.expr(r"regexp_like(definition, concat('\\b', regexp_replace(column, '[^A-Za-z0-9_ ]', '.'), '\\b'))") if whole_word else F.contains("definition", F.col("column"))
-    return listed.unionByName(both.where(hit).select(*OBJECT)).distinct()
+    if mode == "substring":
+        hits = texts.join(c, TABLE).where(F.contains(F.lower("definition"), F.col("column")))
+    else:
+        hits = texts.withColumn("column", F.explode(identifiers(F.col("definition")))).join(c, [*TABLE, "column"], "left_semi")
+    return found.unionByName(hits.select(*OBJECT)).distinct()
+
+
+def affected_columns(changed: DataFrame, columns: DataFrame, work: str) -> DataFrame:
+    """(table, column, depth): changed columns (0) and computed ones of the same table that
+    name one of them, directly (1) or over others. Expressions are split once; each round
+    joins what the one before found, and is written under work. Names are lower-cased."""
+    spark = changed.sparkSession
+    edges = columns.where("computed is not null").select(*TABLE, F.lower("column").alias("to"), F.explode(identifiers(F.col("computed"))).alias("column"))
+    edges.write.parquet(f"{work}/edges")
+    edges = spark.read.schema(edges.schema).parquet(f"{work}/edges")
+    front, depth, paths = changed.select(*TABLE, F.lower("column").alias("column")).distinct().withColumn("depth", F.lit(0)), 0, []
+    while True:
+        front.write.parquet(path := f"{work}/{depth}")
+        front = spark.read.schema(front.schema).parquet(path)
+        if front.isEmpty():
+            return seen if paths else front
+        paths.append(path)
+        seen, depth = spark.read.schema(front.schema).parquet(*paths), depth + 1
+        front = edges.join(front, [*TABLE, "column"]).select(*TABLE, F.col("to").alias("column")).distinct().join(seen, [*TABLE, "column"], "left_anti").withColumn("depth", F.lit(depth))
+
+
+def transitive_impact(changed: DataFrame, columns: DataFrame, objects: DataFrame, work: str) -> DataFrame:
+    """Objects that changed columns touch themselves or through computed columns, those
+    computed columns with kind `column`, by the least depth. An index on a computed column
+    over a changed one has depth 1."""
+    affected = affected_columns(changed, columns, work)
+    own = affected.where("depth > 0").select(*TABLE, F.lit("column").alias("kind"), F.col("column").alias("name"), "depth")
+    levels = [r[0] for r in affected.select("depth").distinct().collect()]
+    each = [column_impact(affected.where(F.col("depth") == n), objects).withColumn("depth", F.lit(n)) for n in levels]
+    return reduce(DataFrame.unionByName, [own, *each]).groupBy(*OBJECT).agg(F.min("depth").alias("depth"))
 
 
 def drop_set(reasons: list[DataFrame], xml_indexes: DataFrame | None = None, clustered: DataFrame | None = None) -> DataFrame:

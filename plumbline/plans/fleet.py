@@ -187,6 +187,17 @@ def column_impact(spark, d):
     return drift.column_impact(drift.changed_columns(*_columns(spark, d)), _objects(spark, d)[1])
 
 
+#: Columns of which some are computed from the one before, so that they form chains.
+CHAIN_COLUMNS = f"select {_WHO}, 'C' || l_linenumber as col, case when l_linenumber > 1 and max(l_partkey) % 3 <> 0 then '[c' || (l_linenumber - 1) || '] * 2 + len(''C7 is no column'')' end as computed, max(l_suppkey) % 4 = 0 and l_linenumber < 3 as changed from {{lineitem}} group by 1, 2, 3, 4, l_linenumber"
+CHAIN_OBJECTS = ("select 'd' || cast(floor(l_suppkey / 10) as int) as db, 'dbo' as sch, 'T' || (l_partkey % 40) as tab, case l_suppkey % 3 when 0 then 'index' when 1 then 'check' else 'foreign_key' end as kind, 'N' || l_partkey as name, case when max(l_suppkey) % 3 <> 1 then 'C' || max(l_linenumber) || ', C1' || max(l_linenumber) || ' DESC' end as columns, "
+                 "case when max(l_suppkey) % 3 = 1 then '([C' || max(l_linenumber) || ']>(0) OR C10 = ''x'')' end as definition, case when max(l_suppkey) % 3 = 2 then 'dbo' end as related_schema, case when max(l_suppkey) % 3 = 2 then 'T' || (max(l_orderkey) % 40) end as related_table, case when max(l_suppkey) % 3 = 2 then '[C' || min(l_linenumber) || ']' end as related_columns from {lineitem} group by 1, 2, 3, 4, 5")
+
+
+def column_impact_chain(spark, d):
+    columns = _frame(spark, d, CHAIN_COLUMNS)
+    return drift.transitive_impact(columns.where("changed"), columns, _frame(spark, d, CHAIN_OBJECTS), common.work_dir(spark))
+
+
 def _drops(spark, d, unknown):
     want, live = _objects(spark, d)
     return drift.index_drops(want, live, drift.signature_drift(*_signed(spark, d)), drift.changed_columns(*_columns(spark, d)), "mine", unknown)
@@ -232,7 +243,7 @@ def untagged_objects(spark, d):
 
 QUERIES = {f.__name__: f for f in (
     read_definitions, read_catalog, def_explode, normalize_names, normalize_exprs, normalize_column_list, type_string, new_tables, removed_objects, ownership_conflicts, renamed_tables, new_columns, renamed_columns,
-    removed_columns, changed_columns, signature_drift, signature_renames, unknown_objects, clustered_conflicts, column_impact, drop_set, dependent_fks, storage_drift, catalog_to_defs, properties_map, untagged_objects)}
+    removed_columns, changed_columns, signature_drift, signature_renames, unknown_objects, clustered_conflicts, column_impact, column_impact_chain, drop_set, dependent_fks, storage_drift, catalog_to_defs, properties_map, untagged_objects)}
 
 _SIGNATURE = "case kind when 'index' then columns || ' ' || is_unique::varchar || ' ' || clustered::varchar when 'xml_index' then split_part(columns, ',', 1) when 'foreign_key' then columns || ' ' || related when 'check' then definition else columns end as signature"
 _WITH = f"with lc as ({plain(LIVE_COLUMNS)}), wc as ({plain(WANT_COLUMNS)}), lt as ({plain(LIVE_TABLES)}), wt as ({plain(WANT_TABLES)}), lo as (select *, {_SIGNATURE} from ({plain(LIVE_OBJECTS)})), wo as (select *, {_SIGNATURE} from ({plain(WANT_OBJECTS)})), "
@@ -290,6 +301,9 @@ ORACLE_SQL = {
     "unknown_objects": _WITH + f"x as (select 1) select {_KEY}, kind, name from lo l where {_NO_WANT}",
     "clustered_conflicts": _WITH + f"x as (select 1) select {_key('w')}, w.name, l.name as conflict from wo w join lo l on {_same('w', 'l')} and l.clustered where w.clustered and not exists (select 1 from lo l2 where {_same('w', 'l2', 'name')})",
     "column_impact": _WITH + _CHANGED + f" select distinct {_key('o')}, o.kind, o.name from lo o join changed c on {_same('o', 'c')} where c.reasons <> '' and (list_contains(list_transform(string_split(o.columns, ','), lambda x: replace(x, ' DESC', '')), c.col) or contains(o.definition, c.col))",
+    "column_impact_chain": f"with recursive c as ({plain(CHAIN_COLUMNS)}), o as ({plain(CHAIN_OBJECTS)}), a as (select db, sch, tab, lower(col) as col, 0 as depth from c where changed union select c.db, c.sch, c.tab, lower(c.col), a.depth + 1 from c join a on c.db = a.db and c.sch = a.sch and c.tab = a.tab and starts_with(c.computed, '[' || a.col || '] ')), "
+                           "m as (select db, sch, tab, col, min(depth) as depth from a group by 1, 2, 3, 4), h as (select o.db, o.sch, o.tab, kind, name, depth from o join m on o.db = m.db and o.sch = m.sch and o.tab = m.tab and (list_contains(list_transform(string_split(lower(o.columns), ','), lambda x: trim(replace(x, ' desc', ''))), m.col) or contains(lower(o.definition), '[' || m.col || ']') or (m.col = 'c10' and o.definition is not null)) "
+                           "union all select o.db, o.sch, o.tab, kind, name, depth from o join m on o.db = m.db and o.related_schema = m.sch and o.related_table = m.tab and lower(o.related_columns) = '[' || m.col || ']' union all select db, sch, tab, 'column', col, depth from m where depth > 0) select db as \"database\", sch as \"schema\", tab as \"table\", kind, name, min(depth) as depth from h group by all",
     "drop_set": _WITH + _DROPS + f"select drop_unknown, {_KEY}, kind, name from gone",
     "dependent_fks": _WITH + _DROPS + f"select {_key('f')}, f.name from lo f where f.kind = 'foreign_key' and exists (select 1 from gone g join lo l on {_same('g', 'l', 'kind', 'name')} where not g.drop_unknown and g.kind = 'index' and l.is_unique and l.db = f.db and l.sch = 'dbo' and l.tab = f.related)",
     "storage_drift": _WITH + f"i as (select {_key('w')}, w.name, coalesce(w.compression, 'NONE') as want_compression, coalesce(nullif(w.fill_factor, 0), 100) as want_fill, coalesce(l.compression, 'NONE') as have_compression, coalesce(nullif(l.fill_factor, 0), 100) as have_fill from wo w join lo l on {_same('w', 'l', 'name')} and l.kind = 'index' where w.kind = 'index'), c as (select db, sch, tab, max(coalesce(compression, 'NONE')) as over from wo where kind = 'index' and clustered group by 1, 2, 3), t as (select distinct {_key('w')}, null::varchar as name, coalesce(c.over, w.compression, 'NONE') as want_compression, 100 as want_fill, coalesce(l.compression, 'NONE') as have_compression, 100 as have_fill from wt w left join c on {_same('w', 'c')} join lt l on {_same('w', 'l')}), j as (select * from i union all select * from t) select * from j where want_compression <> have_compression or want_fill <> have_fill",

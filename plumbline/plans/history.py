@@ -73,7 +73,25 @@ DEEP = "select event_id, to_json(named_struct('a', event_type, 'b', named_struct
 
 
 def json_flatten(spark, d):
-    return documents.json_flatten(derived(spark, d, DEEP), "event_id", "doc")
+    return documents.json_flatten(derived(spark, d, DEEP), "event_id", "doc", common.work_dir(spark))
+
+
+#: Twelve levels, with an array in the middle.
+DEEPER = "select event_id, '{{\"a\": ' || repeat('{{\"x\": ', 5) || '[7, {{\"t\": \"' || event_type || '\"}}, {{}}, null, ' || repeat('{{\"y\": ', 5) || event_id || repeat('}}', 5) || ']' || repeat('}}', 5) || ', \"b\": []}}' as doc from {events}"
+
+
+def json_flatten_deep(spark, d):
+    return documents.json_flatten(derived(spark, d, DEEPER), "event_id", "doc", common.work_dir(spark))
+
+
+NESTED_XML = ("select p_partkey, '<part id=\"0' || p_partkey || '\"><name>' || p_name || '</name><made by=\"' || p_brand || '\"><size>0' || p_size || '</size>and <size unit=\"cm\">' || (p_size + 1) || '</size> too<deep><er><est>' || p_type || '</est></er></deep></made><none/>"
+              "</part>' || case when p_partkey % 50 = 0 then '<more' else '' end as doc from {part}")
+
+
+def xml_shred(spark, d):
+    """Nested, repeated, mixed and attribute nodes, and documents that are not well-formed."""
+    out = documents.xml_shred(derived(spark, d, NESTED_XML), "p_partkey", "doc")
+    return out.withColumn("value", F.when(F.col("kind") != "fault", F.col("value")))
 
 
 def text_postings(spark, d):
@@ -137,7 +155,7 @@ def obsolete_entries(spark, d):
     return ledger.obsolete(done, inputs).select(*ledger.KEY)
 
 
-QUERIES = {f.__name__: f for f in (temporal_on, temporal_off, temporal_apply, temporal_versions, temporal_as_of, temporal_alter, xml_nodes, json_entries, json_flatten, text_postings, text_stoplist, text_multi_column, text_refresh_manual, text_refresh_stream, pending_inputs, record_inputs, obsolete_entries)}
+QUERIES = {f.__name__: f for f in (temporal_on, temporal_off, temporal_apply, temporal_versions, temporal_as_of, temporal_alter, xml_nodes, xml_shred, json_entries, json_flatten, json_flatten_deep, text_postings, text_stoplist, text_multi_column, text_refresh_manual, text_refresh_stream, pending_inputs, record_inputs, obsolete_entries)}
 QUERIES |= {"xml_layout_path": _layout("PATH", "path = 'brand' and value = 'Brand#2'"), "xml_layout_value": _layout("VALUE", "value = 'ECONOMY'"), "xml_layout_property": _layout("PROPERTY", "p_partkey < 50")}
 
 _T, _S = plain(TARGET), plain(SOURCE)
@@ -151,6 +169,14 @@ _NODES = ("select p_partkey, 'name' as path, 1 as ordinal, p_name as value from
 _PIECES = "(select doc_id, unnest(w) as term, generate_subscripts(w, 1) - 1 as place from (select doc_id, regexp_split_to_array(lower({text}), '[^\\p{{L}}\\p{{N}}]+') as w from {rows}))"
 
 
+_SHREDDED = [
+    (0, "null", "element", "'part'", "/part", 1, "null"), (1, 0, "attribute", "'id'", "/part/@id", 1, "id"), (2, 0, "element", "'name'", "/part/name", 1, "p_name"), (3, 2, "text", "null", "/part/name", 1, "p_name"),
+    (4, 0, "element", "'made'", "/part/made", 1, "'and too'"), (5, 4, "attribute", "'by'", "/part/made/@by", 1, "p_brand"), (6, 4, "element", "'size'", "/part/made/size", 1, "'0' || p_size"), (7, 6, "text", "null", "/part/made/size", 1, "'0' || p_size"),
+    (8, 4, "text", "null", "/part/made", 1, "'and'"), (9, 4, "element", "'size'", "/part/made/size", 2, "(p_size + 1)::varchar"), (10, 9, "attribute", "'unit'", "/part/made/size/@unit", 1, "'cm'"), (11, 9, "text", "null", "/part/made/size", 1, "(p_size + 1)::varchar"),
+    (12, 4, "text", "null", "/part/made", 2, "'too'"), (13, 4, "element", "'deep'", "/part/made/deep", 1, "null"), (14, 13, "element", "'er'", "/part/made/deep/er", 1, "null"), (15, 14, "element", "'est'", "/part/made/deep/er/est", 1, "p_type"),
+    (16, 15, "text", "null", "/part/made/deep/er/est", 1, "p_type"), (17, 0, "element", "'none'", "/part/none", 1, "null")]
+
+
 def _terms(rows="documents", text="text"):
     return _PIECES.format(rows=rows, text=text)
 
@@ -167,6 +193,10 @@ ORACLE_SQL = {
     "temporal_as_of": f"with t as ({_T}), s as ({_S}) select 'before' as at, o_orderkey, o_totalprice, o_orderpriority from t union all select 'after', o_orderkey, o_totalprice, o_orderpriority from s",
     "temporal_alter": _APPLIED + "select o_orderkey, o_totalprice::decimal(20,2)::varchar as o_totalprice, null::varchar as note from a",
     "xml_nodes": _NODES,
+    "xml_shred": "with p as (select p_partkey, p_name, p_brand, p_size, p_type, '0' || p_partkey as id, p_partkey % 50 = 0 as bad from part) select p_partkey, node::bigint as node, parent::bigint as parent, kind, name, path, ordinal, value from (" + " union all ".join(
+        f"select p_partkey, {node} as node, {parent} as parent, '{kind}' as kind, {name} as name, '{path}' as path, {ordinal}::int as ordinal, {value} as value from p where not bad" for node, parent, kind, name, path, ordinal, value in _SHREDDED)
+        + " union all select p_partkey, 0, null, 'fault', null, null, null, null from p where bad)",
+    "json_flatten_deep": "select event_id, 'a.x.x.x.x.x.' || p as path, v as value from (select event_id, '0' as p, '7' as v from events union all select event_id, '1.t', event_type from events union all select event_id, '4.y.y.y.y.y', event_id::varchar from events)",
     "xml_layout_path": f"select * from ({_NODES}) where path = 'brand' and value = 'Brand#2'",
     "xml_layout_value": f"select * from ({_NODES}) where value = 'ECONOMY'",
     "xml_layout_property": f"select * from ({_NODES}) where p_partkey < 50",
