@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import normalize
-from ..operators import checks, conform, stats
+from ..operators import actions, checks, conform, stats
 from . import common
-from .common import derived, table
+from .common import derived, plain, table
 
 
 def rename_columns(spark, d):
@@ -151,6 +154,40 @@ def no_action_blockers(spark, d):
     return checks.no_action_blockers(_gone(spark, d), "c_custkey", table(spark, d, "orders"), "o_custkey")
 
 
+def _deleted(outcome):
+    """(tab, id, what, value) of all that happens."""
+    rows = [df.select(F.lit(t).alias("tab"), F.col("id").cast("bigint").alias("id"), F.lit("delete").alias("what"), F.lit(None).cast("bigint").alias("value")) for t, df in outcome.deleted.items()]
+    rows += [df.select(F.lit(r.child).alias("tab"), F.col("id").cast("bigint").alias("id"), F.lit(r.column).alias("what"), F.col("value").cast("bigint").alias("value")) for r, df in outcome.changed.items()]
+    rows.append(outcome.blockers.select(F.col("reference").alias("tab"), F.col("id").cast("bigint").alias("id"), F.lit("blocks").alias("what"), F.lit(None).cast("bigint").alias("value")))
+    return reduce(DataFrame.unionByName, rows)
+
+
+def delete_actions(spark, d):
+    """A nation goes: its customers, their orders and lines with it; suppliers lose it, the
+    customers' events get customer 1, and lines by its suppliers elsewhere stand in the way."""
+    tables = {t: table(spark, d, t) for t in ("nation", "customer", "supplier", "orders", "events")}
+    tables["lineitem"] = derived(spark, d, "select l_orderkey * 100 + l_linenumber as id, l_orderkey, max(l_suppkey) as l_suppkey from {lineitem} group by 1, 2")
+    ids = {"nation": "n_nationkey", "customer": "c_custkey", "supplier": "s_suppkey", "orders": "o_orderkey", "events": "event_id", "lineitem": "id"}
+    R = actions.Reference
+    graph = [R("fk_customer", "customer", "c_nationkey", "nation", "n_nationkey", "CASCADE"), R("fk_supplier", "supplier", "s_nationkey", "nation", "n_nationkey", "SET NULL"), R("fk_orders", "orders", "o_custkey", "customer", "c_custkey", "CASCADE"),
+             R("fk_lines", "lineitem", "l_orderkey", "orders", "o_orderkey", "CASCADE"), R("fk_events", "events", "user_id", "customer", "c_custkey", "SET DEFAULT", "cast(1 as bigint)"), R("fk_supplies", "lineitem", "l_suppkey", "supplier", "s_suppkey")]
+    gone = {"nation": tables["nation"].where("n_nationkey = 3"), "supplier": tables["supplier"].where("s_nationkey = 3 and s_suppkey % 2 = 0")}
+    return _deleted(actions.delete(tables, ids, graph, gone, common.work_dir(spark)))
+
+
+#: Chains of four in a table, of orders and their lines that refer to each other in turn.
+CYCLE_A = "select o_orderkey as id, case when o_orderkey % 4 <> 0 then o_orderkey - 1 end as before, o_custkey * 7 as b from {orders}"
+CYCLE_B = "select c_custkey * 7 as id, (c_custkey * 13) % 500 as a, case when c_custkey % 3 = 0 then 7 end as other from {customer}"
+
+
+def delete_actions_cycle(spark, d):
+    """Two tables that delete each other's rows, one of them also its own."""
+    tables = {"a": derived(spark, d, CYCLE_A), "b": derived(spark, d, CYCLE_B)}
+    R = actions.Reference
+    graph = [R("own", "a", "before", "a", "id", "CASCADE"), R("a_b", "a", "b", "b", "id", "CASCADE"), R("b_a", "b", "a", "a", "id", "CASCADE"), R("b_b", "b", "other", "b", "id", "SET NULL")]
+    return _deleted(actions.delete(tables, {"a": "id", "b": "id"}, graph, {"a": tables["a"].where("id in (1, 2, 17)"), "b": tables["b"].where("id = 7")}, common.work_dir(spark)))
+
+
 def cascade_update(spark, d):
     moved = _gone(spark, d).select(F.col("c_custkey").alias("old"), F.when(F.col("c_custkey") % 20 != 0, F.col("c_custkey") + 1_000_000).alias("new"))
     return checks.cascade_update(table(spark, d, "orders").select("o_orderkey", "o_custkey"), "o_custkey", moved, "old", "new")
@@ -184,7 +221,7 @@ def stats_histogram(spark, d):
 QUERIES = {f.__name__: f for f in (
     rename_columns, union_same_template, add_columns, drop_columns, cast_columns, computed_columns, identity_column, cast_failures, fill_defaults, sparse_report, collate_column, mask_column,
     pk_violations, unique_violations, unique_filtered_violations, fk_orphans, fk_orphans_composite, fk_self_orphans, check_violations, column_check_violations, not_null_violations,
-    cascade_delete, cascade_delete_self, set_null_on_delete, set_default_on_delete, no_action_blockers, cascade_update, gate, constraint_report, stats_multi, stats_histogram)}
+    cascade_delete, cascade_delete_self, set_null_on_delete, set_default_on_delete, no_action_blockers, delete_actions, delete_actions_cycle, cascade_update, gate, constraint_report, stats_multi, stats_histogram)}
 QUERIES |= {"stats_single": _single(), "stats_filtered": _single(where="o_orderstatus = 'F'"), "stats_sampled": _single(sample=("o_orderkey", 20))}
 
 _MIXED = common.plain(MIXED)
@@ -218,6 +255,12 @@ ORACLE_SQL = {
     "set_null_on_delete": f"select o_orderkey, case when o_custkey in {_GONE} then null else o_custkey end as o_custkey from orders",
     "set_default_on_delete": f"select o_orderkey, case when o_custkey in {_GONE} then -1 else o_custkey end as o_custkey from orders",
     "no_action_blockers": f"select o_custkey as c_custkey, count(*) as n_children from orders where o_custkey in {_GONE} group by 1",
+    "delete_actions": "with s as (select s_suppkey from supplier where s_nationkey = 3 and s_suppkey % 2 = 0), c as (select c_custkey from customer where c_nationkey = 3), o as (select o_orderkey from orders where o_custkey in (select c_custkey from c)), l as (select l_orderkey * 100 + l_linenumber as id, max(l_suppkey) as l_suppkey, l_orderkey in (select o_orderkey from o) as gone from lineitem group by l_orderkey, l_linenumber) "
+                      "select 'nation' as tab, 3::bigint as id, 'delete' as what, null::bigint as value union all select 'supplier', s_suppkey, 'delete', null from s union all select 'customer', c_custkey, 'delete', null from c union all select 'orders', o_orderkey, 'delete', null from o union all select 'lineitem', id, 'delete', null from l where gone "
+                      "union all select 'supplier', s_suppkey, 's_nationkey', null from supplier where s_nationkey = 3 and s_suppkey % 2 <> 0 union all select 'events', event_id, 'user_id', 1 from events where user_id in (select c_custkey from c) union all select 'fk_supplies', id, 'blocks', null from l where not gone and l_suppkey in (select s_suppkey from s) "
+                      "union all select 'fk_events', event_id, 'blocks', null from events where user_id in (select c_custkey from c) and 1 in (select c_custkey from c)",
+    "delete_actions_cycle": f"with recursive a as ({plain(CYCLE_A)}), b as ({plain(CYCLE_B)}), r as (select 'a' as tab, id from a where id in (1, 2, 17) union select 'b', id from b where id = 7 union select * from (select case k when 3 then 'b' else 'a' end as tab, case k when 1 then a.id when 2 then c.id else b.id end as id from r, (values (1), (2), (3)) t(k) left join a on k = 1 and r.tab = 'a' and a.before = r.id left join a c on k = 2 and r.tab = 'b' and c.b = r.id left join b on k = 3 and r.tab = 'a' and b.a = r.id) where id is not null) "
+                            "select tab, id::bigint as id, 'delete' as what, null::bigint as value from r union all select 'b', id, 'other', null from b where other in (select id from r where tab = 'b') and id not in (select id from r where tab = 'b')",
     "cascade_update": f"select o_orderkey, case when o_custkey not in {_GONE} then o_custkey when o_custkey % 20 <> 0 then o_custkey + 1000000 end as o_custkey from orders",
     "gate": "select count(*) > 0 as ok from orders",
     "constraint_report": "select 'lineitem' as \"table\", 'pk' as \"constraint\", count(*) as n from (select 1 from lineitem group by l_orderkey, l_linenumber having count(*) > 1) union all select 'lineitem', 'fk_orders', count(*) from lineitem where l_orderkey not in (select o_orderkey from orders where o_orderkey % 20 <> 0) union all select 'lineitem', 'ck_quantity', count(*) from lineitem where not l_quantity < 25 union all select 'lineitem', 'ck_discount', count(*) from lineitem where not l_discount <= 0.05 union all select 'lineitem', 'l_shipdate', count(*) from lineitem where l_shipdate is null union all select 'orders', 'uq_cust', count(*) from (select 1 from orders group by o_custkey having count(*) > 1)",
