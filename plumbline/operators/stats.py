@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -25,7 +25,24 @@ def multi(df: DataFrame, columns: list[str]) -> DataFrame:
     return groups.groupBy(level.cast("int").alias("prefix")).agg(F.count("*").alias("n_distinct"))
 
 
-def histogram(df: DataFrame, column: str, steps: int = 10) -> DataFrame:
-    """(step, high) of about equally many rows each, by approximate percentiles."""
-    parts = [i / steps for i in range(1, steps + 1)]
-    return df.agg(F.percentile_approx(column, parts, 10_000).alias("q")).select(F.posexplode("q").alias("step", "high")).withColumn("step", F.col("step") + 1)
+def histogram(df: DataFrame, column: str, work: str, steps: int = 10) -> DataFrame:
+    """(step, high, n_below, n_equal): the values up to which the first, second, ... part of
+    the rows lies, exactly, with the rows below each and equal to it; nulls do not count.
+
+    Values are counted first, so that a common one is a single row, and written in ranges.
+    The ranges' sums tell which ranges hold a bound; only those are summed up value by
+    value, each in a task of its own. A step whose bound is that of the step before, as a
+    value has several parts' rows, is left out."""
+    spark = df.sparkSession
+    counts = df.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("high")).agg(F.count("*").alias("n_equal"))
+    counts.repartitionByRange("high").withColumn("part", F.spark_partition_id()).write.parquet(work)
+    counts = spark.read.parquet(work)
+    # one row per range from here on
+    sums = counts.groupBy("part").agg(F.sum("n_equal").alias("n"), F.min("high").alias("low"))
+    before = sums.select("part", "n", (F.sum("n").over(Window.orderBy("low")) - F.col("n")).alias("before"), F.sum("n").over(Window.partitionBy()).alias("total"))
+    wanted = before.select("*", F.explode(F.sequence(F.lit(1), F.lit(steps))).alias("step")).withColumn("at", F.ceil(F.col("total") * F.col("step") / F.lit(steps)))
+    wanted = wanted.where("at > before and at <= before + n").select("part", "before", "step", "at")
+    inside = counts.join(F.broadcast(wanted.select("part", "before").distinct()), "part")
+    summed = inside.select("part", "high", "n_equal", (F.col("before") + F.sum("n_equal").over(Window.partitionBy("part").orderBy("high"))).alias("upto"))
+    hit = summed.join(F.broadcast(wanted.select("part", "step", "at")), "part").where("at <= upto and at > upto - n_equal")
+    return hit.groupBy("high", "n_equal", "upto").agg(F.min("step").alias("step")).select("step", "high", (F.col("upto") - F.col("n_equal")).alias("n_below"), "n_equal")

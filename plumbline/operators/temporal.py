@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.naming import fresh
 from .merge import differs, joined
 
 FIRST, LAST = "0001-01-01 00:00:00", "9999-12-31 23:59:59.999999"
@@ -41,11 +42,50 @@ def apply(current: DataFrame, history: DataFrame, source: DataFrame, keys: list[
     return now, history.unionByName(closed)
 
 
-def versions(events: DataFrame, key: str, time: str, tie: str) -> DataFrame:
-    """Every event as a version valid until the key's next one. All events of a key are
-    sorted in one task, which spills to disk where a key has very many."""
-    until = F.lead(time).over(Window.partitionBy(key).orderBy(time, tie))
-    return events.withColumns({"ValidFrom": F.col(time), "ValidTo": F.coalesce(until, _time(LAST))})
+#: Events of a key up to which one task sorts them all, and keys up to which the table of
+#: slices is broadcast; both are counted.
+SLICE_ROWS, BROADCAST_ROWS = 1_000_000, 100_000
+
+
+def slices(events: DataFrame, key: str, time: str, limit: int) -> DataFrame | None:
+    """(key, bounds) of keys with more than limit events: times that cut theirs into parts
+    of about limit each. None if no key has so many."""
+    counts = events.groupBy(key).agg(F.count("*").alias("n")).where(F.col("n") > limit)
+    most = counts.agg(F.max("n")).head()[0]
+    if most is None:
+        return None
+    n = -(-most // limit)
+    (hot,) = fresh(events.columns, "hot")
+    keys = counts.select(F.col(key).alias(hot))
+    rows = events.join(_checked(keys), F.col(key).eqNullSafe(F.col(hot)), "left_semi")
+    return rows.groupBy(key).agg(F.array_distinct(F.percentile_approx(time, [i / n for i in range(1, n)], max(10_000, 10 * n))).alias("bounds"))
+
+
+def _checked(df: DataFrame) -> DataFrame:
+    return F.broadcast(df) if len(df.select(F.lit(1)).head(BROADCAST_ROWS + 1)) <= BROADCAST_ROWS else df
+
+
+def versions(events: DataFrame, key: str, time: str, tie: str, limit: int = SLICE_ROWS) -> DataFrame:
+    """Every event as a version valid until the key's next one; a null key is a key of its
+    own. Keys with more than limit events are cut into slices of time, so that no task
+    sorts all of one; the first time of each slice, a row per slice, ends the slice before.
+    Only events of one key at one time, which slices cannot part, stay in one task."""
+    ends = _time(LAST)
+    cut = slices(events, key, time, limit)
+    if cut is None:
+        until = F.lead(time).over(Window.partitionBy(key).orderBy(time, tie))
+        return events.withColumns({"ValidFrom": F.col(time), "ValidTo": F.coalesce(until, ends)})
+    hot, bounds, part, nxt = fresh(events.columns, "hot", "bounds", "part", "next")
+    cut = _checked(cut.select(F.col(key).alias(hot), F.col("bounds").alias(bounds)))
+    rows = events.join(cut, F.col(key).eqNullSafe(F.col(hot)), "left")
+    rows = rows.withColumn(part, F.coalesce(F.size(F.filter(bounds, lambda b: b < F.col(time))), F.lit(0))).withColumn(part, F.when(F.col(bounds).isNull(), 0).otherwise(F.col(part))).drop(hot)
+    first = rows.where(F.col(bounds).isNotNull()).groupBy(key, part).agg(F.min(time).alias(nxt))
+    after = first.select(F.col(key).alias(hot), F.col(part), F.lead(nxt).over(Window.partitionBy(key).orderBy(part)).alias(nxt))
+    until = F.lead(time).over(Window.partitionBy(key, part).orderBy(time, tie))
+    inside = rows.withColumns({"ValidFrom": F.col(time), "ValidTo": until}).drop(bounds)
+    last = after.withColumnRenamed(part, f"{part}_")
+    both = inside.join(_checked(last), F.col(key).eqNullSafe(F.col(hot)) & (F.col(part) == F.col(f"{part}_")), "left")
+    return both.withColumn("ValidTo", F.coalesce("ValidTo", nxt, ends)).drop(hot, part, f"{part}_", nxt)
 
 
 def as_of(current: DataFrame, history: DataFrame, at: str) -> DataFrame:

@@ -215,20 +215,32 @@ def stats_multi(spark, d):
 
 
 def stats_histogram(spark, d):
-    return stats.histogram(table(spark, d, "orders"), "o_totalprice")
+    """Of quantities, which repeat a lot."""
+    return stats.histogram(table(spark, d, "lineitem"), "l_quantity", common.work_dir(spark), 8)
+
+
+def stats_histogram_prices(spark, d):
+    return stats.histogram(derived(spark, d, "select case when o_orderkey % 9 <> 0 then o_totalprice end as price from {orders}"), "price", common.work_dir(spark), 200)
 
 
 QUERIES = {f.__name__: f for f in (
     rename_columns, union_same_template, add_columns, drop_columns, cast_columns, computed_columns, identity_column, cast_failures, fill_defaults, sparse_report, collate_column, mask_column,
     pk_violations, unique_violations, unique_filtered_violations, fk_orphans, fk_orphans_composite, fk_self_orphans, check_violations, column_check_violations, not_null_violations,
-    cascade_delete, cascade_delete_self, set_null_on_delete, set_default_on_delete, no_action_blockers, delete_actions, delete_actions_cycle, cascade_update, gate, constraint_report, stats_multi, stats_histogram)}
+    cascade_delete, cascade_delete_self, set_null_on_delete, set_default_on_delete, no_action_blockers, delete_actions, delete_actions_cycle, cascade_update, gate, constraint_report, stats_multi, stats_histogram, stats_histogram_prices)}
 QUERIES |= {"stats_single": _single(), "stats_filtered": _single(where="o_orderstatus = 'F'"), "stats_sampled": _single(sample=("o_orderkey", 20))}
 
 _MIXED = common.plain(MIXED)
 _STAFF = common.plain(STAFF)
 _GONE = "(select c_custkey from customer where c_custkey % 10 = 0)"
 _STATS = "select count(*) as n_rows, count(distinct o_custkey) as n_distinct, count(*) filter (o_custkey is null) as n_nulls, min(o_custkey) as low, max(o_custkey) as high from orders"
+def _histogram(value, rows, steps):
+    return (f"with v as (select {value} as high, count(*) as n_equal from {rows} where {value} is not null group by 1), c as (select *, sum(n_equal) over (order by high) as upto, sum(n_equal) over () as total from v) "
+            f"select min(step)::int as step, high, (upto - n_equal)::bigint as n_below, n_equal from c, (select unnest(range(1, {steps + 1})) as step) where (total * step + {steps - 1}) // {steps} between upto - n_equal + 1 and upto group by high, upto, n_equal")
+
+
 ORACLE_SQL = {
+    "stats_histogram": _histogram("l_quantity", "lineitem", 8),
+    "stats_histogram_prices": _histogram("price", "(select case when o_orderkey % 9 <> 0 then o_totalprice end as price from orders)", 200),
     "rename_columns": "select n_nationkey, n_name as name, n_regionkey from nation",
     "union_same_template": "select c_custkey, case when c_custkey % 2 = 0 then c_name end as c_name, case when c_custkey % 2 = 0 then 'even' else 'odd' end as database from customer",
     "add_columns": "select r_regionkey, r_name, null::varchar as a, r_regionkey * 2 as z from region",

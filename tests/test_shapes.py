@@ -1,10 +1,14 @@
 """Conforming, checking and normalising small frames."""
 
+import collections
+import datetime
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from plumbline.functions import normalize
-from plumbline.operators import checks, conform, drift, ledger, stats
+from plumbline.operators import checks, conform, drift, ledger, stats, temporal
 from plumbline.sources import tables as src
 
 
@@ -88,14 +92,36 @@ def test_definition_file(spark, tmp_path):
     assert flat["foreign_keys"].isEmpty() and flat["text"].isEmpty()
 
 
-def test_histogram_steps_hold_equally_many_rows(spark, sf):
-    orders = spark.read.parquet(f"{sf}/orders.parquet")
-    n = orders.count()
-    steps = {r["step"]: r["high"] for r in stats.histogram(orders, "o_totalprice").collect()}
-    assert sorted(steps) == list(range(1, 11)) and steps[10] == orders.agg(F.max("o_totalprice")).head()[0]
-    for step, high in steps.items():
-        below, upto = orders.where(F.col("o_totalprice") < high).count(), orders.where(F.col("o_totalprice") <= high).count()
-        assert below - n / 1000 - 1 <= n * step / 10 <= upto + n / 1000 + 1
+def test_histogram_by_sorting(spark, tmp_path):
+    """Bounds, rows below and rows equal against a sorted list; ties, nulls, few rows, none."""
+    rng = random.Random(8)
+    for trial, (n, steps, values) in enumerate([(1000, 10, 37), (1000, 7, 100_000), (5, 10, 3), (400, 4, 1), (0, 4, 9)]):
+        data = [rng.choice([None, rng.randrange(values)]) for _ in range(n)]
+        df = spark.createDataFrame([(x,) for x in data], "v int").repartition(5)
+        kept = sorted(x for x in data if x is not None)
+        want = {}
+        for i in range(1, steps + 1 if kept else 1):
+            high = kept[-(-len(kept) * i // steps) - 1]
+            want.setdefault(high, (i, high, sum(x < high for x in kept), kept.count(high)))
+        assert sorted(tuple(r) for r in stats.histogram(df, "v", f"{tmp_path}/{trial}", steps).collect()) == sorted(want.values())
+
+
+def test_versions_of_a_hot_key(spark):
+    """One user with most events, times that repeat: cut into slices, same rows."""
+    rng = random.Random(2)
+    rows = [(i, 7 if rng.random() < 0.9 else rng.choice([1, 2, None]), datetime.datetime(2024, 1, 1) + datetime.timedelta(seconds=rng.choice([rng.randrange(5000), 77])), 3) for i in range(3000)]
+    df = spark.createDataFrame(rows, "id int, user int, ts timestamp_ntz, part int").repartition(4)
+    want = sorted(map(str, temporal.versions(df, "user", "ts", "id").collect()))
+    for limit in (50, 400, 2600):
+        cut = temporal.versions(df, "user", "ts", "id", limit=limit)
+        assert cut.columns == [*df.columns, "ValidFrom", "ValidTo"]
+        assert sorted(map(str, cut.collect())) == want
+    found = temporal.slices(df, "user", "ts", 400).collect()
+    assert [r["user"] for r in found] == [7] and len(found[0]["bounds"]) > 3
+    # no slice holds much more than the limit, but for the time that repeats
+    per = collections.Counter(sum(b < t for b in found[0]["bounds"]) for _, u, t, _ in rows if u == 7)
+    assert sorted(per.values())[-2] <= 600
+
 
 
 def test_ledger(spark):
