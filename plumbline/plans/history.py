@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import documents, ledger, temporal, text
+from ..sources import layouts
 from ..streaming import text_stream
 from . import common
 from .common import derived, plain, table
@@ -42,6 +43,15 @@ def temporal_versions(spark, d):
     return temporal.versions(events, "user_id", "ts", "event_id").select("event_id", "user_id", "event_type", F.unix_micros(F.col("ValidFrom").cast("timestamp")).alias("from_us"), F.unix_micros(F.col("ValidTo").cast("timestamp")).alias("to_us"))
 
 
+HOT = "select event_id, case when event_id % 10 < 9 then 1 else user_id end as user_id, ts from {events}"
+
+
+def temporal_versions_hot(spark, d):
+    """One user with nine tenths of the events, cut into slices."""
+    out = temporal.versions(derived(spark, d, HOT), "user_id", "ts", "event_id", limit=500)
+    return out.select("event_id", "user_id", F.unix_micros(F.col("ValidFrom").cast("timestamp")).alias("from_us"), F.unix_micros(F.col("ValidTo").cast("timestamp")).alias("to_us"))
+
+
 def temporal_as_of(spark, d):
     current, past = _applied(spark, d)
     before, after = temporal.as_of(current, past, "2024-05-31 00:00:00"), temporal.as_of(current, past, "2024-06-02 00:00:00")
@@ -65,6 +75,18 @@ def _layout(kind, where):
     return lambda spark, d: documents.xml_layout(xml_nodes(spark, d), kind, "p_partkey").where(where)
 
 
+def xml_lookup(spark, d):
+    """All nodes of the parts' documents stored by value, and by path and value; one lookup
+    in each."""
+    nodes, base = documents.xml_shred(derived(spark, d, NESTED_XML), "p_partkey", "doc"), common.work_dir(spark)
+    for kind in ("PATH", "VALUE"):
+        order = [c for c in documents.LAYOUTS[kind] if c]
+        layouts.store(nodes, f"{base}/{kind}", order, ["p_partkey", "node"], by_value=["value"], files=8)
+    by_path = layouts.lookup(spark, f"{base}/PATH", "path", "/part/made/@by", "/part/made/@by", F.col("value") == "Brand#2")
+    by_value = layouts.lookup(spark, f"{base}/VALUE", "value", "ECONOMY", "ECONOMY")
+    return by_path.unionByName(by_value)
+
+
 def json_entries(spark, d):
     return documents.json_entries(table(spark, d, "events"), "event_id", "props")
 
@@ -155,7 +177,7 @@ def obsolete_entries(spark, d):
     return ledger.obsolete(done, inputs).select(*ledger.KEY)
 
 
-QUERIES = {f.__name__: f for f in (temporal_on, temporal_off, temporal_apply, temporal_versions, temporal_as_of, temporal_alter, xml_nodes, xml_shred, json_entries, json_flatten, json_flatten_deep, text_postings, text_stoplist, text_multi_column, text_refresh_manual, text_refresh_stream, pending_inputs, record_inputs, obsolete_entries)}
+QUERIES = {f.__name__: f for f in (temporal_on, temporal_off, temporal_apply, temporal_versions, temporal_versions_hot, temporal_as_of, temporal_alter, xml_nodes, xml_shred, xml_lookup, json_entries, json_flatten, json_flatten_deep, text_postings, text_stoplist, text_multi_column, text_refresh_manual, text_refresh_stream, pending_inputs, record_inputs, obsolete_entries)}
 QUERIES |= {"xml_layout_path": _layout("PATH", "path = 'brand' and value = 'Brand#2'"), "xml_layout_value": _layout("VALUE", "value = 'ECONOMY'"), "xml_layout_property": _layout("PROPERTY", "p_partkey < 50")}
 
 _T, _S = plain(TARGET), plain(SOURCE)
@@ -190,12 +212,14 @@ ORACLE_SQL = {
     "temporal_off": "select * from nation",
     "temporal_apply": _APPLIED + "select * from a",
     "temporal_versions": "select event_id, user_id, event_type, epoch_us(ts) as from_us, coalesce(epoch_us(lead(ts) over (partition by user_id order by ts, event_id)), 253402300799999999) as to_us from events",
+    "temporal_versions_hot": f"select event_id, user_id, epoch_us(ts) as from_us, coalesce(epoch_us(lead(ts) over (partition by user_id order by ts, event_id)), 253402300799999999) as to_us from ({plain(HOT)})",
     "temporal_as_of": f"with t as ({_T}), s as ({_S}) select 'before' as at, o_orderkey, o_totalprice, o_orderpriority from t union all select 'after', o_orderkey, o_totalprice, o_orderpriority from s",
     "temporal_alter": _APPLIED + "select o_orderkey, o_totalprice::decimal(20,2)::varchar as o_totalprice, null::varchar as note from a",
     "xml_nodes": _NODES,
     "xml_shred": "with p as (select p_partkey, p_name, p_brand, p_size, p_type, '0' || p_partkey as id, p_partkey % 50 = 0 as bad from part) select p_partkey, node::bigint as node, parent::bigint as parent, kind, name, path, ordinal, value from (" + " union all ".join(
         f"select p_partkey, {node} as node, {parent} as parent, '{kind}' as kind, {name} as name, '{path}' as path, {ordinal}::int as ordinal, {value} as value from p where not bad" for node, parent, kind, name, path, ordinal, value in _SHREDDED)
         + " union all select p_partkey, 0, null, 'fault', null, null, null, null from p where bad)",
+    "xml_lookup": "select '/part/made/@by' as path, p_brand as value, p_partkey, 5::bigint as node from part where p_brand = 'Brand#2' and p_partkey % 50 <> 0 union all select '/part/made/deep/er/est', p_type, p_partkey, n from part, (values (15::bigint), (16::bigint)) t(n) where p_type = 'ECONOMY' and p_partkey % 50 <> 0",
     "json_flatten_deep": "select event_id, 'a.x.x.x.x.x.' || p as path, v as value from (select event_id, '0' as p, '7' as v from events union all select event_id, '1.t', event_type from events union all select event_id, '4.y.y.y.y.y', event_id::varchar from events)",
     "xml_layout_path": f"select * from ({_NODES}) where path = 'brand' and value = 'Brand#2'",
     "xml_layout_value": f"select * from ({_NODES}) where value = 'ECONOMY'",

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import functions as F
 
 from ..operators import merge
+from ..sources import layouts
 from ..sources import tables as src
 from . import common
 from .common import derived, plain, table
@@ -62,6 +65,13 @@ def covering_projection(spark, d):
     return src.covering_projection(table(spark, d, "lineitem"), ["l_shipdate DESC", "l_orderkey"], ["l_quantity"], "l_returnflag = 'R'")
 
 
+def covering_lookup(spark, d):
+    """A narrow stored copy of returned lines, looked up by a month and a quantity."""
+    path = common.work_dir(spark)
+    layouts.store(table(spark, d, "lineitem"), path, ["l_shipdate DESC", "l_orderkey"], ["l_quantity"], "l_returnflag = 'R'", ["l_orderkey"], files=12)
+    return layouts.lookup(spark, path, "l_shipdate", datetime(1995, 3, 1), datetime(1995, 3, 31), F.col("l_quantity") > 25)
+
+
 def extract_many(spark, d):
     found = src.extract_many(spark, d, {"nation": {"keys": ["n_nationkey"]}, "region": {"keys": ["r_regionkey"], "where": "r_regionkey > 0"}, "no_such_table": {"keys": ["x"]}, "supplier": {"keys": ["s_suppkey"]}})
     counts = [df.agg(F.count("*").alias("n_rows")).select(F.lit(name).alias("name"), "n_rows") for name, df in sorted(found.items())]
@@ -135,7 +145,7 @@ def merge_key_guard(spark, d):
 
 QUERIES = {
     "merge_actions": merge_actions, "extract_filtered": extract_filtered, "rows_to_json": rows_to_json, "json_to_rows": json_to_rows, "geo_pair": geo_pair,
-    "write_clustered": write_clustered, "covering_projection": covering_projection, "extract_many": extract_many,
+    "write_clustered": write_clustered, "covering_projection": covering_projection, "covering_lookup": covering_lookup, "extract_many": extract_many,
     "merge_upsert": _merged(), "merge_insert_only": merge_insert_only, "merge_delete_scoped": _merged(delete=True, where="o_orderstatus = 'F'"),
     "changed_rows": changed_rows, "changed_rows_typed": changed_rows_typed, "merge_column_roles": merge_column_roles, "merge_plan_counts": merge_plan_counts, "merge_key_guard": merge_key_guard,
     "merge_stored": merge_stored, "merge_stored_counts": merge_stored_counts,
@@ -159,6 +169,7 @@ ORACLE_SQL = {
     "geo_pair": "select s_suppkey, case when s_suppkey % 5 <> 0 then 'POINT (' || s_nationkey || ' ' || s_suppkey || ')' end as wkt, case when s_suppkey % 5 <> 0 then 4326 end as srid from supplier",
     "write_clustered": "select * from orders",
     "covering_projection": "select l_shipdate, l_orderkey, l_quantity from lineitem where l_returnflag = 'R'",
+    "covering_lookup": "select l_shipdate, l_orderkey, l_quantity from lineitem where l_returnflag = 'R' and l_quantity > 25 and l_shipdate between timestamp '1995-03-01' and timestamp '1995-03-31'",
     "extract_many": "select 'nation' as name, count(*) as n_rows from nation union all select 'region', count(*) from region where r_regionkey > 0 union all select 'supplier', count(*) from supplier",
     "merge_actions": WITH + "select coalesce(t.o_orderkey, s.o_orderkey) as o_orderkey, " + _ACTION.format(gone="'delete'") + " as action" + _JOIN,
     "merge_upsert": WITH + f"select {_TAKE}" + _JOIN,

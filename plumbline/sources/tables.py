@@ -83,13 +83,17 @@ def read_catalog(snapshot: DataFrame, only: DataFrame | None = None, own_schema:
 CODECS = {"NONE": "uncompressed", "ROW": "snappy", "PAGE": "zstd"}
 
 
-def _order(keys: list[str]) -> list:
+def names_of(keys: list[str]) -> list[str]:
+    return [k.rsplit(" ", 1)[0] if k.upper().endswith((" DESC", " ASC")) else k for k in keys]
+
+
+def ordered(keys: list[str]) -> list:
     return [F.col(k[:-5]).desc() if k.upper().endswith(" DESC") else F.col(k.removesuffix(" ASC")) for k in keys]
 
 
 def write_clustered(df: DataFrame, path: str, keys: list[str], compression: str = "NONE", partitions: int | None = None) -> None:
     """Write df in ranges of its clustered key (`name` or `name DESC`), sorted inside."""
-    order = _order(keys)
+    order = ordered(keys)
     ranges = df.repartitionByRange(partitions, *order) if partitions else df.repartitionByRange(*order)
     ranges.sortWithinPartitions(*order).write.option("compression", CODECS[compression.upper()]).parquet(path)
 
@@ -97,8 +101,8 @@ def write_clustered(df: DataFrame, path: str, keys: list[str], compression: str
 def covering_projection(df: DataFrame, keys: list[str], include: list[str] = (), where: str | None = None) -> DataFrame:
     """A narrow copy: key and included columns of rows that match, sorted by key."""
     rows = df.where(where) if where else df
-    names = [k.rsplit(" ", 1)[0] if k.upper().endswith((" DESC", " ASC")) else k for k in keys]
-    return rows.select(*names, *[c for c in include if c not in names]).sortWithinPartitions(*_order(keys))
+    names = names_of(keys)
+    return rows.select(*names, *[c for c in include if c not in names]).sortWithinPartitions(*ordered(keys))
 
 
 def extract_many(spark: SparkSession, base: str, tables: dict[str, dict]) -> dict[str, DataFrame]:
