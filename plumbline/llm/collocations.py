@@ -27,6 +27,7 @@ from __future__ import annotations
 import re
 from array import array
 from collections import Counter
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -37,15 +38,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import partitions, saved, table
+from .common import partitions, saved, small, table
 from .hashing import PRIME, U, mixed
 from .lloyd import pack, unpack
 
 # Fixed values of the query's contract.
 PIECE = rb"[.,;:!?\x0A-\x0D]"
 LONGEST, LEAST, INSIDE_PERCENT, TOP = 3, 10, 50, 2000
-#: Words of a chunk: its places and numbers take 8 MB, its dictionary a few times that.
-CHUNK_WORDS = 1 << 20
+#: Words of a chunk: its places and numbers take 16 MB, its dictionary a few times that.
+CHUNK_WORDS = 1 << 21
 #: Occurrences that a bucket is meant for, and how many phrases one can number.
 BUCKET_OCCURRENCES, NUMBERS = 400_000, 1 << 24
 #: Groups that share a language's ranking before its best are brought together.
@@ -203,8 +204,9 @@ def counted(relation: DataFrame, words: bool, least: int) -> tuple[DataFrame, Da
 
 
 def mined(docs: DataFrame, text_col: str, lang_col: str, longest: int = LONGEST, least: int = LEAST, size: int = CHUNK_WORDS) -> tuple[list[DataFrame], DataFrame]:
-    """Frequent phrases of every length from 1 to longest (id, lang, words, a, the counts
-    of all first and all last parts, and the parts' numbers), and all words per language."""
+    """Frequent phrases of every length from 1 to longest, and all words per language. Words
+    are (id, lang, word, a); longer phrases have the numbers of their parts, head and tail,
+    and firsts and lasts, the counts of all they start and end with, instead of the word."""
     spark = docs.sparkSession
     kept = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), F.encode(F.coalesce(F.col(text_col), F.lit("")), "UTF-8").alias("text"))
     # a word and its space have six bytes or so; the number only says how work is dealt
@@ -214,15 +216,17 @@ def mined(docs: DataFrame, text_col: str, lang_col: str, longest: int = LONGEST,
     found, stay = counted(relation, True, least)
     text = F.col("word").cast("string")
     word = F.substring_index(text, " ", 1)
-    levels = [saved(found.select("id", F.substring(text, F.length(word) + 2, F.length(text)).alias("lang"), F.array(word).alias("words"), "a", F.array("a").alias("firsts"), F.array("a").alias("lasts")), "phrases")]
+    levels = [saved(found.select("id", F.substring(text, F.length(word) + 2, F.length(text)).alias("lang"), word.alias("word"), "a"), "phrases")]
+    firsts, lasts = F.array("a"), F.array("a")
     for _ in range(longest - 1):
         whole = relation.where("bucket = -1")
         n = whole.agg(F.sum("size")).head()[0] or 0
         relation = saved(whole.select("chunk", "items", "one").groupBy("chunk").cogroup(stay.groupBy("chunk")).applyInArrow(_extend(buckets_for(spark, n)), STORED), "occurrences")
         found, stay = counted(relation, False, least)
-        first = levels[-1].select(F.col("id").alias("head"), "lang", F.col("words").alias("before"), "firsts")
-        last = levels[-1].select(F.col("id").alias("tail"), F.element_at("words", -1).alias("word"), "lasts")
-        levels.append(saved(found.join(first, "head").join(last, "tail").select("id", "lang", "head", "tail", F.concat("before", F.array("word")).alias("words"), "a", F.concat("firsts", F.array("a")).alias("firsts"), F.concat("lasts", F.array("a")).alias("lasts")), "phrases"))
+        first = levels[-1].select(F.col("id").alias("head"), "lang", firsts.alias("firsts"))
+        last = levels[-1].select(F.col("id").alias("tail"), lasts.alias("lasts"))
+        levels.append(saved(found.join(first, "head").join(last, "tail").select("id", "lang", "head", "tail", "a", F.concat("firsts", F.array("a")).alias("firsts"), F.concat("lasts", F.array("a")).alias("lasts")), "phrases"))
+        firsts, lasts = F.col("firsts"), F.col("lasts")
     return levels, totals
 
 
@@ -244,14 +248,38 @@ def scored(phrases: DataFrame) -> DataFrame:
     whole = F.col("a").cast("decimal(15,0)")
     # decimal(38,0): a million times a product of two 15-digit counts
     top = (F.lit(1_000_000).cast("decimal(7,0)") * whole * whole).cast("decimal(38,0)")
-    size = F.size("words")
+    size = F.size("firsts")
 
     def cut(k):
         l, r = at("firsts", k - 1), at("lasts", size - k - 1)
         return F.struct(F.call_function("div", top, l * r).alias("score"), k.alias("k"), l.cast("bigint").alias("l"), r.cast("bigint").alias("r"))
 
     worst = F.array_min(F.transform(F.sequence(F.lit(1), size - 1), cut))
-    return phrases.withColumn("worst", worst).select("lang", F.array_join("words", " ").alias("phrase"), "a", F.col("worst.l").alias("l"), F.col("worst.r").alias("r"), F.col("worst.score").alias("score"))
+    return phrases.withColumn("worst", worst).select("id", "lang", "a", F.col("worst.l").alias("l"), F.col("worst.r").alias("r"), F.col("worst.score").alias("score"))
+
+
+def foremost(rows: DataFrame, top: int) -> DataFrame:
+    """Rows that can be among the first of their language by score and count, a little more
+    than top of each: those above a cut by counts per hundred scores, and of these those
+    above a cut by score and count. Rows equal in both stay together."""
+    def cut(df: DataFrame, keys: list[str]) -> DataFrame:
+        counts = df.groupBy("lang", *keys).agg(F.count("*").alias("c"))
+        down = Window.partitionBy("lang").orderBy(*[F.desc(k) for k in keys])
+        kept = counts.withColumn("above", F.sum("c").over(down) - F.col("c")).where(F.col("above") < top)
+        return df.join(kept.select("lang", *keys), ["lang", *keys], "left_semi")
+
+    return cut(cut(rows.withColumn("hundred", F.expr("score div 100")), ["hundred"]), ["score", "a"]).drop("hundred")
+
+
+def spelt(rows: DataFrame, levels: list[DataFrame]) -> DataFrame:
+    """(id, phrase) for ids of phrases of the last of some levels. Going down one level, a
+    row of numbers x, y, z becomes head(x), tail(x), tail(y), tail(z)."""
+    parts = rows.select("id", F.lit(0).alias("place"), F.col("id").alias("part"))
+    for level in reversed(levels[1:]):
+        down = level.select(F.col("id").alias("part"), "head", "tail").join(small(saved(parts, "parts")), "part")
+        parts = down.select("id", F.explode(F.when(F.col("place") == 0, F.array(F.struct(F.lit(0).alias("place"), F.col("head").alias("part")), F.struct(F.lit(1).alias("place"), F.col("tail").alias("part")))).otherwise(F.array(F.struct((F.col("place") + 1).alias("place"), F.col("tail").alias("part"))))).alias("x")).select("id", "x.*")
+    words = levels[0].select(F.col("id").alias("part"), "word").join(small(saved(parts, "parts")), "part")
+    return words.groupBy("id").agg(F.array_join(F.sort_array(F.collect_list(F.struct("place", "word")))["word"], " ").alias("phrase"))
 
 
 def best(phrases: DataFrame, top: int = TOP) -> DataFrame:
@@ -267,11 +295,13 @@ def best(phrases: DataFrame, top: int = TOP) -> DataFrame:
 def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", longest: int = LONGEST, least: int = LEAST, top: int = TOP, size: int = CHUNK_WORDS) -> DataFrame:
     """Each language's best phrases of 2 to longest words: lang, rank, phrase, a, l, r, n, score."""
     levels, totals = mined(docs, text_col, lang_col, longest, least, size)
-    kept = [scored(outside(p, q)) for p, q in zip(levels[1:], [*levels[2:], None])]
-    out = kept[0]
-    for x in kept[1:]:
-        out = out.unionByName(x)
-    return best(out, top).join(totals, "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
+    kept = [scored(outside(p, q)).withColumn("length", F.lit(k)) for k, (p, q) in enumerate(zip(levels[1:], [*levels[2:], None]), 2)]
+    rows = saved(foremost(saved(reduce(DataFrame.unionByName, kept), "scored"), top), "foremost")
+    named = []
+    for k in range(2, longest + 1):
+        of = rows.where(F.col("length") == k)
+        named.append(of.join(spelt(of, levels[:k]), "id"))
+    return best(reduce(DataFrame.unionByName, named), top).join(totals, "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
 
 
 def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -104,7 +104,7 @@ def test_collocations_over_small_chunks(spark, hard):
 
 def test_products_beyond_64_bits(spark):
     a, l, r = 4_000_000_000_00, 5_000_000_000_00, 7_000_000_000_00
-    df = spark.createDataFrame([("x", ["a", "b"], a, [l, a], [r, a])], "lang string, words array<string>, a bigint, firsts array<bigint>, lasts array<bigint>")
+    df = spark.createDataFrame([(1, "x", a, [l, a], [r, a])], "id bigint, lang string, a bigint, firsts array<bigint>, lasts array<bigint>")
     assert collocations.scored(df).head()["score"] == 1_000_000 * a * a // (l * r)
 
 
