@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import partitions, saved, small, table
+from .common import forget, partitions, saved, small, table
 from .hashing import PRIME, U, mixed
 from .lloyd import pack, unpack
 
@@ -214,6 +214,7 @@ def mined(docs: DataFrame, text_col: str, lang_col: str, longest: int = LONGEST,
     relation = saved(kept.mapInArrow(_words(buckets_for(spark, n), size), STORED), "occurrences")
     totals = saved(relation.where("bucket = -1").select(F.explode(F.arrays_zip("lang", "n")).alias("d")).groupBy(F.col("d.lang").alias("lang")).agg(F.sum("d.n").alias("n")), "totals")
     found, stay = counted(relation, True, least)
+    used = [relation, stay]
     text = F.col("word").cast("string")
     word = F.substring_index(text, " ", 1)
     levels = [saved(found.select("id", F.substring(text, F.length(word) + 2, F.length(text)).alias("lang"), word.alias("word"), "a"), "phrases")]
@@ -222,11 +223,15 @@ def mined(docs: DataFrame, text_col: str, lang_col: str, longest: int = LONGEST,
         whole = relation.where("bucket = -1")
         n = whole.agg(F.sum("size")).head()[0] or 0
         relation = saved(whole.select("chunk", "items", "one").groupBy("chunk").cogroup(stay.groupBy("chunk")).applyInArrow(_extend(buckets_for(spark, n)), STORED), "occurrences")
+        # what the level came from has been read for the last time; the parts are in levels
+        forget(*used)
         found, stay = counted(relation, False, least)
+        used = [relation, stay]
         first = levels[-1].select(F.col("id").alias("head"), "lang", firsts.alias("firsts"))
         last = levels[-1].select(F.col("id").alias("tail"), lasts.alias("lasts"))
         levels.append(saved(found.join(first, "head").join(last, "tail").select("id", "lang", "head", "tail", "a", F.concat("firsts", F.array("a")).alias("firsts"), F.concat("lasts", F.array("a")).alias("lasts")), "phrases"))
         firsts, lasts = F.col("firsts"), F.col("lasts")
+    forget(*used)
     return levels, totals
 
 

@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.paths import delete
+
 SPACES = " \t\n\x0b\x0c\r"
 SPLIT = r"[\x20\x09-\x0D]+"
 #: Rows up to which a joined side is broadcast; above it the join shuffles.
@@ -55,6 +57,14 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def forget(*tables: DataFrame) -> None:
+    """Delete tables that saved() wrote, once all that reads them has been written too."""
+    for df in tables:
+        spark, base = df.sparkSession, f"{shared_dir(df.sparkSession).rstrip('/')}/plumbline/".removeprefix("file:").lstrip("/")
+        folders = {f.rsplit("/", 1)[0] for f in df.inputFiles()}
+        delete(spark, [f for f in folders if base in f])
+
+
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """df, marked for broadcast if counting shows that it has at most `rows` rows.
     df should be cheap to read (a written table)."""
