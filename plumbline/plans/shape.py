@@ -177,7 +177,7 @@ def delete_actions(spark, d):
 
 #: Chains of four in a table, of orders and their lines that refer to each other in turn.
 CYCLE_A = "select o_orderkey as id, case when o_orderkey % 4 <> 0 then o_orderkey - 1 end as before, o_custkey * 7 as b from {orders}"
-CYCLE_B = "select c_custkey * 7 as id, (c_custkey * 13) % 500 as a, case when c_custkey % 3 = 0 then 7 end as other from {customer}"
+CYCLE_B = "select c_custkey * 7 as id, case when c_custkey % 3 = 1 then (c_custkey * 13) % 500 end as a, case when c_custkey % 3 = 0 then 7 end as other from {customer}"
 
 
 def delete_actions_cycle(spark, d):

@@ -63,14 +63,14 @@ def _impact(spark, changed, columns, objects, folder):
     return c, cols, obj, {(r["table"], r["kind"], r["name"], r["depth"]) for r in drift.transitive_impact(c, cols, obj, str(folder)).collect()}
 
 
-OBJECTS = [("T", "index", "I", "[C3] DESC, X", None, None, None, None), ("T", "check", "K", None, "([c10] > 'C1 is text')", None, None, None), ("T", "statistic", "S", "C1", None, None, None, None), ("T", "index", "F", "X", "[C2]<(5)", None, None, None),
+TOUCHED = [("T", "index", "I", "[C3] DESC, X", None, None, None, None), ("T", "check", "K", None, "([c10] > 'C1 is text')", None, None, None), ("T", "statistic", "S", "C1", None, None, None, None), ("T", "index", "F", "X", "[C2]<(5)", None, None, None),
            ("U", "foreign_key", "R", "A", None, "s", "T", "[c4],B"), ("U", "index", "J", "C1", None, None, None, None), ("T", "check", "E", None, "", None, None, None)]
 
 
 def test_impact_over_computed_columns(spark, tmp_path):
     """C1 -> C2 -> C3 -> C4 and what hangs on each; C10 and other tables are not touched."""
     columns = [("T", "C1", None), ("T", "C2", "[C1]*(2)"), ("T", "C3", "len(C2) + 'C10'"), ("T", "C4", "(C3 + [C2])"), ("T", "C10", "[X]"), ("U", "C2", "[C1]")]
-    c, _, obj, got = _impact(spark, [("T", "c1")], columns, OBJECTS, tmp_path)
+    c, _, obj, got = _impact(spark, [("T", "c1")], columns, TOUCHED, tmp_path)
     assert got == {("T", "column", "c2", 1), ("T", "column", "c3", 2), ("T", "column", "c4", 2), ("T", "statistic", "S", 0), ("T", "index", "F", 1), ("T", "index", "I", 2), ("U", "foreign_key", "R", 2)}
     assert {r["name"] for r in drift.column_impact(c, obj).collect()} == {"S"}
     assert {r["name"] for r in drift.column_impact(c, obj, "substring").collect()} == {"S", "K"}
@@ -78,5 +78,5 @@ def test_impact_over_computed_columns(spark, tmp_path):
 
 def test_impact_ends_on_a_cycle(spark, tmp_path):
     columns = [("T", "C1", "C2"), ("T", "C2", "C1")]
-    assert _impact(spark, [("T", "C1")], columns, OBJECTS[:1], tmp_path)[3] == {("T", "column", "c2", 1)}
-    assert _impact(spark, [], columns, OBJECTS, tmp_path / "none")[3] == set()
+    assert _impact(spark, [("T", "C1")], columns, TOUCHED[:1], tmp_path)[3] == {("T", "column", "c2", 1)}
+    assert _impact(spark, [], columns, TOUCHED, tmp_path / "none")[3] == set()
