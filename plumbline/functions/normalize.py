@@ -12,8 +12,9 @@ def strip_brackets(name: Column) -> Column:
     e = F.trim(name)
     left = F.length(F.regexp_extract(e, r"^\[*", 0))
     right = F.length(F.replace(F.regexp_extract(e, r"(?:\] *)*$", 0), F.lit(" ")))
-    # one step per pair that both ends have
-    return F.aggregate(F.array_repeat(F.lit(0), F.least(left, right)), e, lambda acc, _: F.rtrim(F.substr(acc, F.lit(2), F.length(acc) - 2)))
+    # one step per pair that both ends have; most names have none and are not searched
+    inner = F.aggregate(F.array_repeat(F.lit(0), F.least(left, right)), e, lambda acc, _: F.rtrim(F.substr(acc, F.lit(2), F.length(acc) - 2)))
+    return F.when(e.startswith("["), inner).otherwise(e)
 
 
 def bracketed(name: Column) -> Column:

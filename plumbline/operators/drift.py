@@ -91,7 +91,7 @@ OBJECT = [*TABLE, "kind", "name"]
 #: The kind of each frame's objects, and the fields of their signature with the spelling
 #: in which they are compared.
 SIGNED = {
-    "indexes": ("index", {"IndexColumns": "list", "IncludeColumns": "set", "FilterExpression": "expression", "Unique": "flag", "PrimaryKey": "flag", "UniqueConstraint": "flag", "Clustered": "flag", "ColumnStore": "flag"}),
+    "indexes": ("index", {"IndexColumns": "list", "IncludeColumns": "set", "FilterExpression": "expression", "Unique": "flag", "PrimaryKey": "flag", "UniqueConstraint": "flag", "Clustered": "flag", "ColumnStore": "flag", "CompressionType": "word"}),
     "xml_indexes": ("xml_index", {"Column": "name", "IsPrimary": "flag", "PrimaryIndex": "name", "SecondaryIndexType": "word"}),
     "foreign_keys": ("foreign_key", {"Columns": "list", "RelatedTableSchema": "name", "RelatedTable": "name", "RelatedColumns": "list", "DeleteAction": "action", "UpdateAction": "action"}),
     "checks": ("check", {"Expression": "expression"}),
@@ -110,10 +110,37 @@ _SPELL = {
 }
 
 
+#: Compressions of tables and of indexes over rows, and of columnstore indexes; the first of
+#: each is what an index has that declares none.
+ROWS, COLUMNSTORE = ("NONE", "ROW", "PAGE"), ("COLUMNSTORE", "COLUMNSTORE_ARCHIVE")
+
+
+def index_compression(declared: Column, columnstore: Column) -> Column:
+    """The compression of an index of that form; null where the form cannot have the one
+    declared, which then differs from any that a live index has."""
+    word = F.upper(F.nullif(F.trim(declared), F.lit("")))
+    store = F.coalesce(word, F.lit(COLUMNSTORE[0]))
+    rows = F.coalesce(word, F.lit(ROWS[0]))
+    return F.when(columnstore, F.when(store.isin(*COLUMNSTORE), store)).when(rows.isin(*ROWS), rows)
+
+
+def index_form(df: DataFrame) -> DataFrame:
+    """Indexes with the fields that count for their form: a columnstore index has no keys, a
+    clustered one covers all columns, and each form has its own compressions."""
+    types = {"IndexColumns": "string", "IncludeColumns": "string", "Clustered": "boolean", "ColumnStore": "boolean", "CompressionType": "string"}
+    value = {c: F.col(c) if c in df.columns else F.lit(None).cast(t) for c, t in types.items()}
+    store, clustered = (F.coalesce(value[c], F.lit(False)) for c in ("ColumnStore", "Clustered"))
+    return df.withColumns({"IndexColumns": F.when(~store, value["IndexColumns"]), "IncludeColumns": F.when(~(store & clustered), value["IncludeColumns"]), "CompressionType": index_compression(value["CompressionType"], store)})
+
+
 def signatures(flat: dict[str, DataFrame]) -> DataFrame:
     """(table, kind, name, signature) of all objects of flat frames as explode_definitions
     makes them, however names, lists and expressions are spelled. A field that a frame
-    lacks counts as null; a text index, of which a table has one, is named `text`."""
+    lacks counts as null; a text index, of which a table has one, is named `text`. An index
+    whose compression differs is another one, as it is dropped and made again."""
+    if "indexes" in flat:
+        flat = flat | {"indexes": index_form(flat["indexes"])}
+
     def signed(df: DataFrame, kind: str, fields: dict[str, str]) -> DataFrame:
         def part(name: str, how: str) -> Column:
             value = F.col(name) if name in df.columns else F.lit(None).cast("boolean" if how == "flag" else "string")
@@ -249,17 +276,23 @@ def dependent_fks(fks: DataFrame, indexes: DataFrame, dropped: DataFrame) -> Dat
 
 def storage_drift(desired: DataFrame, live: DataFrame, tables: DataFrame, live_tables: DataFrame) -> DataFrame:
     """Indexes and (without a name) tables whose compression or fill factor differs. No
-    compression is NONE, a fill factor of 0 is 100, and a table takes the compression of
-    its clustered index, if it is to have one."""
-    none = lambda c: F.coalesce(c, F.lit("NONE"))
+    compression is NONE, or COLUMNSTORE where column_store says so, and a fill factor of 0 is
+    100. A table takes the compression of its clustered index, if it is to have one; under a
+    clustered columnstore index, or with a compression that tables cannot have, it has no
+    drift of its own."""
     fill = lambda c: F.coalesce(F.nullif(c, F.lit(0)), F.lit(100))
-    want = desired.select(*TABLE, "name", none(F.col("compression")).alias("want_compression"), fill(F.col("fill_factor")).alias("want_fill"))
-    have = live.select(*TABLE, "name", none(F.col("compression")).alias("have_compression"), fill(F.col("fill_factor")).alias("have_fill"))
-    indexes = want.join(have, [*TABLE, "name"])
-    over = desired.where("clustered").groupBy(*TABLE).agg(F.max(none(F.col("compression"))).alias("over"))
     full = F.lit(100)
-    of = tables.join(over, TABLE, "left").select(*TABLE, none(F.coalesce("over", "compression")).alias("want_compression")).distinct()
-    of = of.join(live_tables.select(*TABLE, none(F.col("compression")).alias("have_compression")), TABLE)
+
+    def side(df: DataFrame, prefix: str) -> DataFrame:
+        store = F.coalesce("column_store", F.lit(False)) if "column_store" in df.columns else F.lit(False)
+        squeezed = F.coalesce("compression", F.when(store, COLUMNSTORE[0]).otherwise(ROWS[0]))
+        return df.select(*TABLE, "name", "clustered", store.alias("store"), squeezed.alias(f"{prefix}_compression"), fill(F.col("fill_factor")).alias(f"{prefix}_fill"))
+
+    want, have = side(desired, "want"), side(live, "have")
+    indexes = want.drop("clustered", "store").join(have.drop("clustered", "store"), [*TABLE, "name"])
+    over = want.where("clustered").groupBy(*TABLE).agg(F.max(F.when(F.col("store"), COLUMNSTORE[0]).otherwise(F.col("want_compression"))).alias("over"))
+    of = tables.join(over, TABLE, "left").select(*TABLE, F.coalesce("over", "compression", F.lit(ROWS[0])).alias("want_compression")).distinct().where(F.col("want_compression").isin(*ROWS))
+    of = of.join(live_tables.select(*TABLE, F.coalesce("compression", F.lit(ROWS[0])).alias("have_compression")), TABLE)
     of = of.select(*TABLE, F.lit(None).cast("string").alias("name"), "want_compression", full.alias("want_fill"), "have_compression", full.alias("have_fill"))
     return indexes.select(*of.columns).unionByName(of).where("want_compression <> have_compression or want_fill <> have_fill")
 

@@ -22,10 +22,12 @@ LIVE_TABLES = "select 'd' || cast(floor(o_custkey / 150) as int) as db, 'dbo' as
 WANT_TABLES = "select 'd' || cast(floor(o_custkey / 150) as int) as db, 'dbo' as sch, 'T' || (o_orderkey % 40 + 5) as tab, case when max(o_custkey) % 2 = 0 then 'T' || (o_orderkey % 40) end as old_name, case when max(o_orderkey) % 3 = 0 then 'PAGE' end as compression from {orders} where o_custkey % 9 <> 0 group by 1, 2, 3, o_orderkey % 40"
 #: Objects of several kinds with a signature, a column list or a text.
 _OBJECT = "'d' || cast(floor(o_custkey / 150) as int) as db, 'dbo' as sch, 'T' || (o_orderkey % 40) as tab, case o_custkey % 5 when 0 then 'index' when 1 then 'check' when 2 then 'statistic' when 3 then 'xml_index' else 'foreign_key' end as kind"
-_REST = ("case when max(o_custkey) % 5 = 1 then null else 'C' || (max(o_orderkey) % 9) || ',C' || (max(o_orderkey) % 4) || ' DESC' end as columns, case when max(o_custkey) % 5 = 1 then '([C' || (max(o_orderkey) % 9) || ']>(0))' end as definition, "
-         "max(o_custkey) % 10 = 0 as clustered, max(o_orderkey) % 4 = 0 as is_unique, 'T' || (max(o_orderkey) % 30) as related, cast(max(o_orderkey) % 3 * 40 as int) as fill_factor, case when max(o_orderkey) % 5 = 0 then 'ROW' end as compression, case when max(o_custkey) % 7 = 0 then null when max(o_custkey) % 4 = 0 then 'other' else 'mine' end as owner")
-LIVE_OBJECTS = f"select {_OBJECT}, 'N' || (o_orderkey % 11) as name, {_REST} from {{orders}} where o_orderkey % 3 <> 0 group by 1, 2, 3, 4, 5"
-WANT_OBJECTS = f"select {_OBJECT}, 'N' || (o_orderkey % 13) as name, {_REST} from {{orders}} where o_orderkey % 4 <> 0 group by 1, 2, 3, 4, 5"
+#: Compression follows another order in live objects than in desired ones, so that some
+#: indexes differ by it alone.
+_REST = ("max(o_orderkey) % 7 = 0 as column_store, case when max(o_orderkey) % 7 = 0 then case when {of}(o_orderkey) % 2 = 0 then 'COLUMNSTORE_ARCHIVE' end when {of}(o_orderkey) % 5 = 0 then 'ROW' when {of}(o_orderkey) % 5 = 1 then 'PAGE' end as compression, case when max(o_custkey) % 5 = 1 then null else 'C' || (max(o_orderkey) % 9) || ',C' || (max(o_orderkey) % 4) || ' DESC' end as columns, case when max(o_custkey) % 5 = 1 then '([C' || (max(o_orderkey) % 9) || ']>(0))' end as definition, "
+         "max(o_custkey) % 10 = 0 as clustered, max(o_orderkey) % 4 = 0 as is_unique, 'T' || (max(o_orderkey) % 30) as related, cast(max(o_orderkey) % 3 * 40 as int) as fill_factor, case when max(o_custkey) % 7 = 0 then null when max(o_custkey) % 4 = 0 then 'other' else 'mine' end as owner")
+LIVE_OBJECTS = f"select {_OBJECT}, 'N' || (o_orderkey % 11) as name, {_REST.format(of='max')} from {{orders}} where o_orderkey % 3 <> 0 group by 1, 2, 3, 4, 5"
+WANT_OBJECTS = f"select {_OBJECT}, 'N' || (o_orderkey % 13) as name, {_REST.format(of='min')} from {{orders}} where o_orderkey % 4 <> 0 group by 1, 2, 3, 4, 5"
 
 
 def _frame(spark, d, sql):
@@ -53,7 +55,7 @@ def _flat(objects):
     """The objects of each kind with the fields of their definition."""
     of = {k: objects.where(F.col("kind") == k).withColumn("Name", F.col("name")) for k in ("index", "xml_index", "foreign_key", "check", "statistic")}
     return {
-        "indexes": of["index"].select(*K, "Name", F.col("columns").alias("IndexColumns"), F.col("is_unique").alias("Unique"), F.col("clustered").alias("Clustered")),
+        "indexes": of["index"].select(*K, "Name", F.col("columns").alias("IndexColumns"), F.when(F.col("column_store"), F.split("columns", ",")[0]).alias("IncludeColumns"), F.col("is_unique").alias("Unique"), F.col("clustered").alias("Clustered"), F.col("column_store").alias("ColumnStore"), F.col("compression").alias("CompressionType")),
         "xml_indexes": of["xml_index"].select(*K, "Name", F.split("columns", ",")[0].alias("Column"), F.lit(True).alias("IsPrimary")),
         "foreign_keys": of["foreign_key"].select(*K, "Name", F.col("columns").alias("Columns"), F.lit("dbo").alias("RelatedTableSchema"), F.col("related").alias("RelatedTable"), F.col("columns").alias("RelatedColumns")),
         "checks": of["check"].select(*K, "Name", F.col("definition").alias("Expression")),
@@ -245,7 +247,7 @@ QUERIES = {f.__name__: f for f in (
     read_definitions, read_catalog, def_explode, normalize_names, normalize_exprs, normalize_column_list, type_string, new_tables, removed_objects, ownership_conflicts, renamed_tables, new_columns, renamed_columns,
     removed_columns, changed_columns, signature_drift, signature_renames, unknown_objects, clustered_conflicts, column_impact, column_impact_chain, drop_set, dependent_fks, storage_drift, catalog_to_defs, properties_map, untagged_objects)}
 
-_SIGNATURE = "case kind when 'index' then columns || ' ' || is_unique::varchar || ' ' || clustered::varchar when 'xml_index' then split_part(columns, ',', 1) when 'foreign_key' then columns || ' ' || related when 'check' then definition else columns end as signature"
+_SIGNATURE = "case kind when 'index' then case when column_store then case when clustered then 'all' else 'only ' || split_part(columns, ',', 1) end else columns end || ' ' || is_unique::varchar || ' ' || clustered::varchar || ' ' || coalesce(compression, case when column_store then 'COLUMNSTORE' else 'NONE' end) when 'xml_index' then split_part(columns, ',', 1) when 'foreign_key' then columns || ' ' || related when 'check' then definition else columns end as signature"
 _WITH = f"with lc as ({plain(LIVE_COLUMNS)}), wc as ({plain(WANT_COLUMNS)}), lt as ({plain(LIVE_TABLES)}), wt as ({plain(WANT_TABLES)}), lo as (select *, {_SIGNATURE} from ({plain(LIVE_OBJECTS)})), wo as (select *, {_SIGNATURE} from ({plain(WANT_OBJECTS)})), "
 _KEY = 'db as "database", sch as "schema", tab as "table"'
 
@@ -306,7 +308,9 @@ ORACLE_SQL = {
                            "union all select o.db, o.sch, o.tab, kind, name, depth from o join m on o.db = m.db and o.related_schema = m.sch and o.related_table = m.tab and lower(o.related_columns) = '[' || m.col || ']' union all select db, sch, tab, 'column', col, depth from m where depth > 0) select db as \"database\", sch as \"schema\", tab as \"table\", kind, name, min(depth) as depth from h group by all",
     "drop_set": _WITH + _DROPS + f"select drop_unknown, {_KEY}, kind, name from gone",
     "dependent_fks": _WITH + _DROPS + f"select {_key('f')}, f.name from lo f where f.kind = 'foreign_key' and exists (select 1 from gone g join lo l on {_same('g', 'l', 'kind', 'name')} where not g.drop_unknown and g.kind = 'index' and l.is_unique and l.db = f.db and l.sch = 'dbo' and l.tab = f.related)",
-    "storage_drift": _WITH + f"i as (select {_key('w')}, w.name, coalesce(w.compression, 'NONE') as want_compression, coalesce(nullif(w.fill_factor, 0), 100) as want_fill, coalesce(l.compression, 'NONE') as have_compression, coalesce(nullif(l.fill_factor, 0), 100) as have_fill from wo w join lo l on {_same('w', 'l', 'name')} and l.kind = 'index' where w.kind = 'index'), c as (select db, sch, tab, max(coalesce(compression, 'NONE')) as over from wo where kind = 'index' and clustered group by 1, 2, 3), t as (select distinct {_key('w')}, null::varchar as name, coalesce(c.over, w.compression, 'NONE') as want_compression, 100 as want_fill, coalesce(l.compression, 'NONE') as have_compression, 100 as have_fill from wt w left join c on {_same('w', 'c')} join lt l on {_same('w', 'l')}), j as (select * from i union all select * from t) select * from j where want_compression <> have_compression or want_fill <> have_fill",
+    "storage_drift": _WITH + f"wi as (select *, coalesce(compression, case when column_store then 'COLUMNSTORE' else 'NONE' end) as c from wo where kind = 'index'), li as (select *, coalesce(compression, case when column_store then 'COLUMNSTORE' else 'NONE' end) as c from lo where kind = 'index'), "
+                     f"i as (select {_key('w')}, w.name, w.c as want_compression, coalesce(nullif(w.fill_factor, 0), 100) as want_fill, l.c as have_compression, coalesce(nullif(l.fill_factor, 0), 100) as have_fill from wi w join li l on {_same('w', 'l', 'name')}), o as (select db, sch, tab, max(case when column_store then 'COLUMNSTORE' else c end) as over from wi where clustered group by 1, 2, 3), "
+                     f"t as (select distinct {_key('w')}, null::varchar as name, coalesce(o.over, w.compression, 'NONE') as want_compression, 100 as want_fill, coalesce(l.compression, 'NONE') as have_compression, 100 as have_fill from wt w left join o on {_same('w', 'o')} join lt l on {_same('w', 'l')}), j as (select * from i union all select * from t where want_compression in ('NONE', 'ROW', 'PAGE')) select * from j where want_compression <> have_compression or want_fill <> have_fill",
     "catalog_to_defs": _WITH + f"x as (select 1) select {_key('c')}, min(c.col) as text_key, string_agg(c.col || ' ' || c.type, ';' order by c.col) as \"Columns\", {_listed('index', 'o.columns, o.is_unique, o.clustered')} as \"Indexes\", {_listed('xml_index', "split_part(o.columns, ',', 1), true")} as \"XmlIndexes\", {_listed('foreign_key', 'o.columns, o.related, o.columns')} as \"ForeignKeys\", {_listed('check', 'o.definition')} as \"CheckConstraints\", {_listed('statistic', 'o.columns')} as \"Statistics\" from wc c group by c.db, c.sch, c.tab",
     "properties_map": f"with i as ({plain(PROPS_I)}), c as ({plain(PROPS_C)}), b as (select coalesce(i.owner, c.owner) as owner, coalesce(i.name, c.name) as name, coalesce(i.value, c.value) as value from i full join c on i.owner = c.owner and i.name = c.name) select owner, string_agg(name || '=' || value, ';' order by name) as properties from b group by owner",
     "untagged_objects": _WITH + f"x as (select 1) select {_KEY} from lt l where owner is null and exists (select 1 from wt w where {_same('w', 'l')})",

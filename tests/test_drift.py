@@ -1,5 +1,7 @@
 """Signatures of declared objects, and what is dropped with what."""
 
+import json
+
 from pyspark.sql import functions as F
 
 from plumbline.operators import drift
@@ -36,6 +38,29 @@ def test_changes_count(spark):
     assert got == {("index", "I", "changed"), ("foreign_key", "F", "changed"), ("default", "A", "changed")}
 
 
+def _index(**fields):
+    return json.dumps({"Schema": "s", "Name": "T", "Columns": [{"Name": "A", "DataType": "INT"}], "Indexes": [{"Name": "I", "IndexColumns": "A", "IncludeColumns": "B"} | fields]})
+
+
+def test_an_index_that_differs_by_compression_alone(spark):
+    drifts = lambda a, b: not drift.signature_drift(signed(spark, _index(**a)), signed(spark, _index(**b))).isEmpty()
+    assert drifts({"CompressionType": "PAGE"}, {})
+    assert not drifts({"CompressionType": " "}, {"CompressionType": "none"})
+    assert drifts({"ColumnStore": True, "CompressionType": "COLUMNSTORE_ARCHIVE"}, {"ColumnStore": True})
+    assert not drifts({"ColumnStore": True, "CompressionType": "COLUMNSTORE"}, {"ColumnStore": True})
+    # a compression that the form cannot have
+    assert drifts({"CompressionType": "COLUMNSTORE"}, {}) and drifts({"ColumnStore": True, "CompressionType": "PAGE"}, {"ColumnStore": True})
+
+
+def test_forms_of_columnstore_indexes(spark):
+    """They have no keys; one that is clustered covers all columns."""
+    drifts = lambda a, b: not drift.signature_drift(signed(spark, _index(**a)), signed(spark, _index(**b))).isEmpty()
+    store = {"ColumnStore": True}
+    assert drifts(store, {}) and not drifts(store, store | {"IndexColumns": "B"})
+    assert drifts(store, store | {"IncludeColumns": "A"})
+    assert not drifts(store | {"Clustered": True}, store | {"Clustered": True, "IncludeColumns": "A"})
+
+
 OBJECTS = "database string, schema string, table string, kind string, name string, columns string, definition string, clustered boolean, is_unique boolean, owner string"
 
 
