@@ -105,7 +105,7 @@ def key_guard(source: DataFrame, keys: list[str]) -> DataFrame:
     return per.where(null | (F.col("n") > 1)).withColumn("reason", F.when(null, "null").otherwise("repeated"))
 
 
-def _values(by: list[str], rows: list) -> Column:
+def in_partitions(by: list[str], rows: list) -> Column:
     """Whether a row lies in one of the partitions."""
     return reduce(or_, [reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.lit(r[c])) for c in by]) for r in rows], F.lit(False))
 
@@ -128,7 +128,7 @@ def merge_stored(path: str, source: DataFrame, keys: list[str], by: list[str], w
     spark = source.sparkSession
     target = spark.read.parquet(path)
     if set(by) <= set(keys) and not delete_missing:
-        target = target.where(_values(by, source.select(*by).distinct().collect()))
+        target = target.where(in_partitions(by, source.select(*by).distinct().collect()))
     change = [c for c in target.columns if c in source.columns and c not in keys and (set_columns is None or c in set_columns)]
     scoped, scope = _scoped(target, where)
     both, new, gone = joined(scoped, source, keys, "full_outer")
@@ -151,7 +151,7 @@ def merge_stored(path: str, source: DataFrame, keys: list[str], by: list[str], w
     counts = spark.read.schema(counts.schema).parquet(f"{work}/counts")
     touched = counts.select(*by).collect()
     if touched:
-        held = spark.read.parquet(path).where(_values(by, touched))
+        held = spark.read.parquet(path).where(in_partitions(by, touched))
         # keys of rows that go or are replaced; a null key matches nothing, so such rows only go by being missing
         out = held.join(rows.where(F.col(act) != INSERT).select(*keys), keys, "left_anti").select(*target.columns)
         if delete_missing:
@@ -162,7 +162,7 @@ def merge_stored(path: str, source: DataFrame, keys: list[str], by: list[str], w
         out = spark.read.schema(out.schema).parquet(f"{work}/rows")
         filled = {tuple(r) for r in out.select(*by).distinct().collect()}
         emptied = [r for r in touched if tuple(r) not in filled]
-        places = listed(held.where(_values(by, emptied))) if emptied else []
+        places = listed(held.where(in_partitions(by, emptied))) if emptied else []
         out.repartition(*by).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path)
         delete(spark, sorted({p.rsplit("/", 1)[0] for p in places}))
     return counts

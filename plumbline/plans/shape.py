@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import normalize
-from ..operators import actions, checks, conform, stats
+from ..operators import actions, checks, conform, stats, statstore
 from . import common
 from .common import derived, plain, table
 
@@ -223,8 +223,35 @@ def stats_histogram_prices(spark, d):
     return stats.histogram(derived(spark, d, "select case when o_orderkey % 9 <> 0 then o_totalprice end as price from {orders}"), "price", common.work_dir(spark), 200)
 
 
+KEPT = ["l_returnflag", "l_suppkey", "l_shipdate", "l_quantity"]
+
+
+def stats_kept(spark, d):
+    """Statistics by month of shipment: counted over an older table, then only for its
+    changed months, with appended rows and a lost month, beside exact counts. Estimates
+    are within four standard errors."""
+    path, store = common.work_dir(spark), common.work_dir(spark)
+    lines = derived(spark, d, "select *, date_format(l_shipdate, 'yyyy-MM') as month from {lineitem}").select("month", "l_orderkey", *KEPT)
+    late, new = F.coalesce(F.col("month") >= "1996", F.lit(True)), F.col("l_orderkey") % 5 == 0
+    extra = lines.where("l_orderkey % 50 = 1").withColumn("month", F.lit("2099-01"))
+    lines.where(~new).unionByName(extra).repartition("month").write.partitionBy("month").parquet(f"{path}/before")
+    lines.repartition("month").write.partitionBy("month").parquet(f"{path}/after")
+    schema = lines.schema
+    before, after = (spark.read.schema(schema).parquet(f"{path}/{x}") for x in ("before", "after"))
+    by = ["month"]
+    statstore.refresh(before, store, 0, by, KEPT)
+    statstore.refresh(after, store, 1, by, KEPT, before.unionByName(after).where(late).select("month").distinct())
+    statstore.absorb(after.where(~late & new), store, 2, by, KEPT)
+    statstore.fold(spark, store, 3)
+    kept = statstore.describe(statstore.live(spark, store), KEPT)
+    exact = stats.multi(lines, KEPT).withColumnRenamed("n_distinct", "exact_prefix")
+    values = lines.agg(*[F.countDistinct(c).alias(c) for c in KEPT]).unpivot([], KEPT, "column", "exact_distinct")
+    near = lambda x, y: F.abs(F.col(x) - F.col(y)) <= F.col(y) * F.lit(4 * statstore.error())
+    return kept.join(exact, "prefix").join(values, "column").select("column", "prefix", "n_rows", "n_nulls", "low", "high", near("n_distinct", "exact_distinct").alias("near_distinct"), near("n_prefix", "exact_prefix").alias("near_prefix"))
+
+
 QUERIES = {f.__name__: f for f in (
-    rename_columns, union_same_template, add_columns, drop_columns, cast_columns, computed_columns, identity_column, cast_failures, fill_defaults, sparse_report, collate_column, mask_column,
+    stats_kept, rename_columns, union_same_template, add_columns, drop_columns, cast_columns, computed_columns, identity_column, cast_failures, fill_defaults, sparse_report, collate_column, mask_column,
     pk_violations, unique_violations, unique_filtered_violations, fk_orphans, fk_orphans_composite, fk_self_orphans, check_violations, column_check_violations, not_null_violations,
     cascade_delete, cascade_delete_self, set_null_on_delete, set_default_on_delete, no_action_blockers, delete_actions, delete_actions_cycle, cascade_update, gate, constraint_report, stats_multi, stats_histogram, stats_histogram_prices)}
 QUERIES |= {"stats_single": _single(), "stats_filtered": _single(where="o_orderstatus = 'F'"), "stats_sampled": _single(sample=("o_orderkey", 20))}
@@ -241,6 +268,7 @@ def _histogram(value, rows, steps):
 ORACLE_SQL = {
     "stats_histogram": _histogram("l_quantity", "lineitem", 8),
     "stats_histogram_prices": _histogram("price", "(select case when o_orderkey % 9 <> 0 then o_totalprice end as price from orders)", 200),
+    "stats_kept": " union all ".join(f"select '{c}' as \"column\", {i + 1} as prefix, count(*) as n_rows, count(*) filter ({c} is null) as n_nulls, min({c})::varchar as low, max({c})::varchar as high, true as near_distinct, true as near_prefix from lineitem" for i, c in enumerate(KEPT)),
     "rename_columns": "select n_nationkey, n_name as name, n_regionkey from nation",
     "union_same_template": "select c_custkey, case when c_custkey % 2 = 0 then c_name end as c_name, case when c_custkey % 2 = 0 then 'even' else 'odd' end as database from customer",
     "add_columns": "select r_regionkey, r_name, null::varchar as a, r_regionkey * 2 as z from region",

@@ -23,6 +23,13 @@ def delete(spark: SparkSession, paths: list[str]) -> None:
         fs.delete(p, True)
 
 
+def finished(spark: SparkSession, path: str) -> list[str]:
+    """Folders right under path whose write has ended, by the mark that Spark leaves."""
+    fs, p = _file_system(spark, path)
+    found = [x.getPath() for x in fs.listStatus(p) if x.isDirectory()] if fs.exists(p) else []
+    return sorted(x.toString() for x in found if exists(spark, f"{x.toString()}/_SUCCESS"))
+
+
 def listed(df: DataFrame) -> list[str]:
     """The files that hold rows of a frame read from files, by their rows."""
     return [r[0] for r in df.select(F.col("_metadata.file_path")).distinct().collect()]

@@ -39,6 +39,19 @@ def test_compression_of_a_clustered_index(spark):
     assert sorted((r["table"], r["name"] or "", r["want_compression"], r["have_compression"]) for r in out) == [("u", "", "PAGE", "NONE"), ("u", "i", "NONE", "PAGE")]
 
 
+def test_a_clustered_columnstore_index_takes_its_table_out(spark):
+    """A table under one has no compression of its own; a columnstore index has COLUMNSTORE
+    where it declares none, and tables drift among NONE, ROW and PAGE only."""
+    index = "database string, schema string, table string, name string, compression string, clustered boolean, column_store boolean, fill_factor int"
+    table = "database string, schema string, table string, compression string"
+    desired = spark.createDataFrame([("d", "dbo", "t", "i", None, True, True, 0), ("d", "dbo", "u", "i", "COLUMNSTORE_ARCHIVE", False, True, 0)], index)
+    live = spark.createDataFrame([("d", "dbo", "t", "i", "COLUMNSTORE", True, True, 0), ("d", "dbo", "u", "i", None, False, True, 100)], index)
+    tables = spark.createDataFrame([("d", "dbo", "t", "PAGE"), ("d", "dbo", "u", "ROW"), ("d", "dbo", "v", "XML")], table)
+    now = spark.createDataFrame([("d", "dbo", t, None) for t in "tuv"], table)
+    out = drift.storage_drift(desired, live, tables, now).collect()
+    assert sorted((r["table"], r["name"] or "", r["want_compression"], r["have_compression"]) for r in out) == [("u", "", "ROW", "NONE"), ("u", "i", "COLUMNSTORE_ARCHIVE", "COLUMNSTORE")]
+
+
 def test_conform(spark):
     df = spark.createDataFrame([(1, "12", "x"), (2, "no", "y")], "id int, old string, junk string")
     out = conform.conform(df, {"old": "n"}, {"id": ("int", None), "n": ("int", None), "d": ("string", "'none'")}, {"twice": "id * 2"})
