@@ -24,10 +24,10 @@ WANT_TABLES = "select 'd' || cast(floor(o_custkey / 150) as int) as db, 'dbo' as
 _OBJECT = "'d' || cast(floor(o_custkey / 150) as int) as db, 'dbo' as sch, 'T' || (o_orderkey % 40) as tab, case o_custkey % 5 when 0 then 'index' when 1 then 'check' when 2 then 'statistic' when 3 then 'xml_index' else 'foreign_key' end as kind"
 #: Compression follows another order in live objects than in desired ones, so that some
 #: indexes differ by it alone.
-_REST = ("max(o_orderkey) % 7 = 0 as column_store, case when max(o_orderkey) % 7 = 0 then case when {of}(o_orderkey) % 2 = 0 then 'COLUMNSTORE_ARCHIVE' end when {of}(o_orderkey) % 5 = 0 then 'ROW' when {of}(o_orderkey) % 5 = 1 then 'PAGE' end as compression, case when max(o_custkey) % 5 = 1 then null else 'C' || (max(o_orderkey) % 9) || ',C' || (max(o_orderkey) % 4) || ' DESC' end as columns, case when max(o_custkey) % 5 = 1 then '([C' || (max(o_orderkey) % 9) || ']>(0))' end as definition, "
+_REST = ("max(o_orderkey) % 7 = 0 as column_store, case when max(o_orderkey) % 7 = 0 then case when ({of}) % 2 = 0 then 'COLUMNSTORE_ARCHIVE' end when ({of}) % 5 = 0 then 'ROW' when ({of}) % 5 = 1 then 'PAGE' end as compression, case when max(o_custkey) % 5 = 1 then null else 'C' || (max(o_orderkey) % 9) || ',C' || (max(o_orderkey) % 4) || ' DESC' end as columns, case when max(o_custkey) % 5 = 1 then '([C' || (max(o_orderkey) % 9) || ']>(0))' end as definition, "
          "max(o_custkey) % 10 = 0 as clustered, max(o_orderkey) % 4 = 0 as is_unique, 'T' || (max(o_orderkey) % 30) as related, cast(max(o_orderkey) % 3 * 40 as int) as fill_factor, case when max(o_custkey) % 7 = 0 then null when max(o_custkey) % 4 = 0 then 'other' else 'mine' end as owner")
-LIVE_OBJECTS = f"select {_OBJECT}, 'N' || (o_orderkey % 11) as name, {_REST.format(of='max')} from {{orders}} where o_orderkey % 3 <> 0 group by 1, 2, 3, 4, 5"
-WANT_OBJECTS = f"select {_OBJECT}, 'N' || (o_orderkey % 13) as name, {_REST.format(of='min')} from {{orders}} where o_orderkey % 4 <> 0 group by 1, 2, 3, 4, 5"
+LIVE_OBJECTS = f"select {_OBJECT}, 'N' || (o_orderkey % 11) as name, {_REST.format(of='max(o_orderkey)')} from {{orders}} where o_orderkey % 3 <> 0 group by 1, 2, 3, 4, 5"
+WANT_OBJECTS = f"select {_OBJECT}, 'N' || (o_orderkey % 13) as name, {_REST.format(of='max(o_orderkey) + max(o_custkey) % 7')} from {{orders}} where o_orderkey % 4 <> 0 group by 1, 2, 3, 4, 5"
 
 
 def _frame(spark, d, sql):
