@@ -11,7 +11,9 @@ teach what comes before new words and how these are spelled. So
 where P(word | symbol) is the word's share of the symbol's training count and spellings
 are texts of bytes, modelled like the texts of symbols. The most frequent words are the
 only vocabulary that is gathered; words and their counts stay in Spark tables, in which
-blocks of documents look theirs up, part by part, and none is dropped.
+blocks of documents look theirs up, part by part, and none is dropped. Which documents a block
+has, and in which order, follows from a hash of id and text and from the size of all
+texts, so that neither the model nor a score depends on how the input is partitioned.
 
 Each bit is predicted in five contexts: the two symbols before, the one before, the
 second before alone (a sparse pair), and, learned in the text itself, none and the one
@@ -22,7 +24,8 @@ are updated after every bit, in the order of the text. They restart every SEGMEN
 so that parts of texts are worked on side by side, whatever their length; the symbols
 before are known across such a cut. Where weights start, and the map, are learned bit by
 bit from all training documents, in two folds (odd and even remainders), each predicted
-from the other's counts.
+from the other's counts: each block learns by itself, and the blocks' weights are averaged
+by their bits, in whole numbers, whose sums are the same in any order.
 
 Null text is empty and scores its end alone. Rows that repeat score alike. A null
 doc_id counts as training. Words are told apart by 64 bits. Empty input gives empty output.
@@ -52,6 +55,8 @@ PART_BYTES, CONTEXT_PARTS = 16 << 20, 32
 #: Stretched probabilities are kept in steps of 1 / SCALE, up to 127 of them.
 SCALE = 12.0
 INPUTS, GATES, BINS = 3, 8 * 8, 33
+#: Learned weights are summed in steps of 1 / STEPS.
+STEPS = 1 << 16
 #: Entries of a segment's own hashed contexts; what weights and own contexts move by.
 OWN = 2048
 RATE, SHARED_RATE, OWN_RATES = 0.002, 0.02, (0.05, 0.15)
@@ -99,39 +104,61 @@ def word_keys(words: list[bytes], endings: _Endings) -> np.ndarray:
     return h & ~U(63) | ending
 
 
+def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
+    """The documents (chunk, rest, id, text) of a block: one chunk's, BLOCK_BYTES and the
+    rest of a text at most."""
+    docs, size, last = [], 0, None
+    for batch in batches:
+        for row in zip(*(c.to_pylist() for c in batch.columns)):
+            if docs and (row[0] != last or size >= BLOCK_BYTES):
+                yield docs
+                docs, size = [], 0
+            docs.append(row)
+            last, size = row[0], size + len(row[3] or b"")
+    if docs:
+        yield docs
+
+
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Documents (rest, id, text) as blocks: ids (null: the smallest long), each document's
-    words as places in the block's list of words, which is sorted by key, and how often
-    either fold has them."""
+    """Documents as blocks: ids (null: the smallest long), each document's words as places
+    in the block's list of words, which is sorted by key, and how often either fold has
+    them."""
     endings, made = _Endings(), TaskContext.get().partitionId() << 32
-    for batch in batches:
-        ids = batch.column(1).fill_null(-(1 << 63)).to_numpy(zero_copy_only=False)
-        rest = batch.column(0).to_numpy(zero_copy_only=False).astype(np.uint8)
-        texts = batch.column(2).to_pylist()
-        at = 0
-        while at < len(texts):
-            start, size = at, 0
-            place: dict[bytes, int] = {}
-            found, sizes = [], []
-            while at < len(texts) and size < BLOCK_BYTES:
-                text = texts[at] or b""
-                words = text.lower().split()
-                found.append(np.fromiter([place.setdefault(w, len(place)) for w in words], np.uint32, len(words)))
-                sizes.append(len(text))
-                size += len(text)
-                at += 1
-            words = list(place)
-            key = word_keys(words, endings)
-            order = np.argsort(key)
-            rank = np.empty(len(order), np.uint32)
-            rank[order] = np.arange(len(order), dtype=np.uint32)
-            lengths = np.array([len(x) for x in found], np.int32)
-            tokens, r = rank[np.concatenate(found)], rest[start:at]
-            fold = np.repeat(np.where(r > 0, 1 + r % 2, 0), lengths)
-            counts = [np.bincount(tokens[fold == f], minlength=len(words)).astype(np.uint32) for f in (1, 2)]
-            yield _rows(BLOCKS, [(made, ids[start:at].tobytes(), r.tobytes(), packed(np.array(sizes, np.int64)), packed(lengths), packed(tokens), packed(np.frombuffer(b" ".join(words[i] for i in order), np.uint8)),
-                                  key[order].tobytes(), packed(counts[0]), packed(counts[1]), len(words), int((fold > 0).sum() + (r > 0).sum()), int((r > 0).sum()))])
-            made += 1
+    for docs in _grouped(batches):
+        ids = np.array([-(1 << 63) if i is None else i for _, _, i, _ in docs], np.int64)
+        r = np.array([rest for _, rest, _, _ in docs], np.uint8)
+        place: dict[bytes, int] = {}
+        found, sizes = [], []
+        for _, _, _, text in docs:
+            words = (text or b"").lower().split()
+            found.append(np.fromiter([place.setdefault(w, len(place)) for w in words], np.uint32, len(words)))
+            sizes.append(len(text or b""))
+        words = list(place)
+        key = word_keys(words, endings)
+        order = np.argsort(key, kind="stable")
+        rank = np.empty(len(order), np.uint32)
+        rank[order] = np.arange(len(order), dtype=np.uint32)
+        lengths = np.array([len(x) for x in found], np.int32)
+        tokens = rank[np.concatenate(found)]
+        fold = np.repeat(np.where(r > 0, 1 + r % 2, 0), lengths)
+        counts = [np.bincount(tokens[fold == f], minlength=len(words)).astype(np.uint32) for f in (1, 2)]
+        yield _rows(BLOCKS, [(made, ids.tobytes(), r.tobytes(), packed(np.array(sizes, np.int64)), packed(lengths), packed(tokens), packed(np.frombuffer(b" ".join(words[i] for i in order), np.uint8)),
+                              key[order].tobytes(), packed(counts[0]), packed(counts[1]), len(words), int((fold > 0).sum() + (r > 0).sum()), int((r > 0).sum()))])
+        made += 1
+
+
+def chunked(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(chunk, rest, id, text), a chunk's rows together and in the order of their hash.
+    There are as many chunks as BLOCK_BYTES go into all texts, whatever the cluster."""
+    spark = docs.sparkSession
+    raw = docs.select(remainder(F.col(id_col)).alias("rest"), F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text"))
+    size = raw.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).head()[0]
+    chunks = max(1, -(-size // BLOCK_BYTES))
+    h = F.xxhash64("id", "text")
+    dealt = raw.withColumn("h", h).withColumn("chunk", F.pmod("h", F.lit(chunks)))
+    parts = min(chunks, max(partitions(spark), chunks // 16))
+    placed = dealt.repartitionById(parts, F.pmod("chunk", F.lit(parts)).cast("int"))
+    return placed.sortWithinPartitions("chunk", "h").select("chunk", "rest", "id", "text")
 
 
 def _asks(parts: int):
@@ -160,7 +187,7 @@ def _answers(batches):
         ends = np.cumsum([0, *map(len, asked)])
         for block, a, b in zip(blocks, ends[:-1], ends[1:]):
             yield _rows(ANSWERS, [(block, part, packed(c[at[a:b]].astype(np.uint64)), 0, b"", b"", b"")])
-        top = np.lexsort((key, -c))[:TOP]
+        top = np.lexsort((key.view(np.int64), -c))[:TOP]
         top = top[c[top] > 1]
         by_ending = np.bincount((key & U(63)).astype(np.int64), c, 64).astype(np.int64)
         yield _rows(ANSWERS, [(-1, part, b"", int((c > 0).sum()), by_ending.tobytes(), key[top].tobytes(), c[top].tobytes())])
@@ -445,37 +472,38 @@ def _together(tables: Tables, mixer: Mixer, stream, one, two, at, length, shared
 
 
 def _learned(tables):
-    """(name, kind, at, value): sums over tasks of weights times bits, bits, and the map's
-    counts, each fold's documents being predicted by the other fold's counts."""
+    """(kind, at, value): sums over blocks of weights (in steps of 1 / STEPS) times bits,
+    of bits, and of the map's counts, all whole; each fold's documents are predicted by
+    the other fold's counts."""
     def run(batches):
-        sums = [np.zeros(GATES * INPUTS + 1 + 2 * 8 * BINS) for _ in range(2)]
-        mixers = [Mixer(), Mixer()]
+        sums = np.zeros((2, GATES * INPUTS + 1 + 2 * 8 * BINS), np.int64)
         for batch in batches:
             for rest, *row in zip(*(c.to_pylist() for c in batch.columns)):
                 r = np.frombuffer(rest, np.uint8)
                 for kind in (0, 1):
                     stream, lengths = _texts_of(row, kind)
-                    of = 1 + r % 2
+                    of, mixer = 1 + r % 2, Mixer()
                     for fold in (1, 2):
                         some = stream[np.repeat(of == fold, lengths)]
                         if len(some):
-                            _, w, times, ones = mixed(tables.value[kind][3 - fold], mixers[kind], some, lengths[of == fold], STARTS[kind], True)
-                            # a task goes on with the weights that it has
-                            mixers[kind] = Mixer(w, mixers[kind].map)
-                            sums[kind] += np.concatenate([w.ravel() * len(some), [len(some)], times, ones])
+                            _, w, times, ones = mixed(tables.value[kind][3 - fold], mixer, some, lengths[of == fold], STARTS[kind], True)
+                            # a block goes on with the weights that it has
+                            mixer = Mixer(w, mixer.map)
+                            whole = np.rint(w.ravel().astype(np.float64) * STEPS).astype(np.int64)
+                            sums[kind] += np.concatenate([whole * len(some), [len(some)], np.rint(times).astype(np.int64), np.rint(ones).astype(np.int64)])
         for kind in (0, 1):
-            yield pa.RecordBatch.from_arrays([pa.array([kind] * len(sums[kind]), pa.int64()), pa.array(np.arange(len(sums[kind]))), pa.array(sums[kind])], ["kind", "at", "value"])
+            yield pa.RecordBatch.from_arrays([pa.array([kind] * sums.shape[1], pa.int64()), pa.array(np.arange(sums.shape[1])), pa.array(sums[kind])], ["kind", "at", "value"])
 
     return run
 
 
 def fitted(sums: np.ndarray) -> Mixer:
-    """The mixer for sums of what tasks have learned, rounded so that reruns agree."""
+    """The mixer for sums of what blocks have learned."""
     if not len(sums) or not sums[GATES * INPUTS]:
         return Mixer()
-    weights = (sums[: GATES * INPUTS] / sums[GATES * INPUTS]).reshape(INPUTS, GATES)
+    weights = (sums[: GATES * INPUTS] / (sums[GATES * INPUTS] * STEPS)).reshape(INPUTS, GATES)
     times, ones = sums[GATES * INPUTS + 1 :].reshape(2, 8, BINS)
-    return Mixer(np.round(weights, 5), np.round(np.clip((ones + 20 * Mixer().map) / (times + 20), 1e-4, 1 - 1e-4), 5))
+    return Mixer(weights, np.clip((ones + 20 * Mixer().map) / (times + 20), 1e-4, 1 - 1e-4))
 
 
 SCORED = "id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits double, bits_per_byte double"
@@ -526,8 +554,7 @@ def model_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     them: the vocabulary, and tables and mixer for symbols and for spellings."""
     spark = docs.sparkSession
     share = spark.sparkContext.broadcast
-    raw = docs.select(remainder(F.col(id_col)).alias("rest"), F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text"))
-    blocks = saved(raw.mapInArrow(_blocks, BLOCKS), "blocks")
+    blocks = saved(chunked(docs, id_col, text_col).mapInArrow(_blocks, BLOCKS), "blocks")
     size = blocks.agg(F.coalesce(F.sum("n_words"), F.lit(0))).head()[0] * 12
     parts = max(partitions(spark), -(-size // PART_BYTES))
     asks = blocks.select("block", "keys", "first", "second").mapInArrow(_asks(parts), "part long, block long, keys binary, n binary")
@@ -546,7 +573,7 @@ def model_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         return [Tables([tuple(r)[2:] for r in rows if r["kind"] == kind]) for kind in (0, 1)]
 
     folds = share([{1: a, 2: b} for a, b in zip(tables(1), tables(2))])
-    learned = streams.select("learn_rest", *LESSONS).mapInArrow(_learned(folds), "kind long, at long, value double").groupBy("kind", "at").agg(F.sum("value").alias("value")).collect()
+    learned = streams.select("learn_rest", *LESSONS).mapInArrow(_learned(folds), "kind long, at long, value long").groupBy("kind", "at").agg(F.sum(F.col("value").cast("decimal(38,0)")).cast("double").alias("value")).collect()
     mixers = [fitted(np.array([v for _, v in sorted((r["at"], r["value"]) for r in learned if r["kind"] == kind)])) for kind in (0, 1)]
     folds.unpersist()
     return streams, vocabulary, tables(0), mixers
