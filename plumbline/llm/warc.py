@@ -7,10 +7,17 @@ page_id is a response with the payload; the others are revisits that carry heade
 only and refer to it. Reading back, files are parsed by Content-Length alone, so
 payloads may hold anything, and payload digests are computed again.
 
-Each file's captures are sorted where they are read: a run. Runs are dealt out by
-ranges of (URL key, timestamp, page_id), cut also inside a URL that has very many
-captures, and in each range a loser tree merges the runs' parts, so that the parts
-one after another are the captures of all archives in order.
+Archives are bounded by bytes: pages are written by classes of size, each with as many
+records a file as fit into FILE_BYTES, or one that is larger by itself.
+
+Each file's captures are sorted where they are read: a run, cut into blocks of BLOCK
+captures. Runs are dealt out by ranges of (URL key, timestamp, page_id), cut also inside
+a URL that has very many captures, and in each range a loser tree merges the runs' parts,
+so that the parts one after another are the captures of all archives in order. A range's
+blocks come to its task in the order of their first captures, sorted by Spark, which
+spills. What is not after the first capture of the newest block can be given out, since
+all that is still to come is after it; so a task holds about a block of each run, not its
+range, and equal captures, however many, are given out at once.
 
 Null html is an empty payload. A null url has the empty key and no target header, a
 null page_id stays null and is never referred to before others. Repeated rows are
@@ -22,6 +29,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
+from collections.abc import Iterator
 from urllib.parse import urlsplit
 
 import pyarrow as pa
@@ -31,9 +39,12 @@ from pyspark.sql import functions as F
 from .common import new_path, partitions, saved, small, table
 
 CRLF = "\r\n"
-RECORDS_PER_FILE = 4000
-#: Captures that one merging task holds.
-MERGED = 500_000
+#: Bytes of records that a file may have, and the largest pages of the classes of size.
+FILE_BYTES, CLASSES = 64 << 20, (16 << 10, 1 << 20, None)
+#: Bytes that a record's headers may take beside payload and URL.
+HEADERS = 1 << 10
+#: Captures of a block of a run, and those that a range of the merge should have.
+BLOCK, RANGE = 256, 500_000
 EPOCH = 1_704_067_200
 _BASE32HEX, _BASE32 = "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 
@@ -45,13 +56,15 @@ def sha1_base32(data: Column) -> Column:
     return F.translate(F.concat(*parts), _BASE32HEX, _BASE32)
 
 
-def records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", date: Column | None = None, least_bytes: int = 0) -> DataFrame:
-    """(value): a WARC record per page, without the line ends that close it."""
+def records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", date: Column | None = None, least_bytes: int = 0, keep: Column | None = None) -> DataFrame:
+    """(value): a WARC record per page, without the line ends that close it, and kept,
+    the value of an expression over the page."""
     html = F.coalesce(F.col(html_col), F.lit(""))
     body = html.cast("binary")
     base = pages.select(F.col(id_col).cast("long").alias("page_id"), F.regexp_replace(F.col(url_col), r"[\x00-\x20]", "%20").alias("url"), html.alias("html"),
                         F.octet_length(body).cast("long").alias("bytes"), sha1_base32(body).alias("digest"),
-                        (date if date is not None else F.timestamp_seconds(EPOCH + F.coalesce(F.col(id_col).cast("long"), F.lit(0)))).alias("date"))
+                        (date if date is not None else F.timestamp_seconds(EPOCH + F.coalesce(F.col(id_col).cast("long"), F.lit(0)))).alias("date"),
+                        (keep if keep is not None else F.lit(None).cast("int")).alias("kept"))
     several = base.where(F.col("bytes") >= least_bytes).groupBy("digest").agg(F.max("page_id").alias("last"), F.count("*").alias("n")).where("n > 1").select(F.col("digest").alias("d"), "last")
     base = base.join(small(saved(several, "several")), F.col("digest") == F.col("d"), "left")
     revisit = F.col("last").isNotNull() & ~F.col("last").eqNullSafe(F.col("page_id")) & (F.col("bytes") >= least_bytes)
@@ -67,12 +80,22 @@ def records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
         F.coalesce(F.concat(F.lit(f"{CRLF}WARC-Target-URI: "), "url"), F.lit("")), F.lit(f"{CRLF}WARC-Payload-Digest: sha1:"), F.col("digest"),
         F.when(revisit, F.concat(F.lit(f"{CRLF}WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest{CRLF}WARC-Refers-To: "), urn(F.col("last")))).otherwise(""),
         F.lit(f"{CRLF}Content-Type: application/http;msgtype=response{CRLF}Content-Length: "), F.octet_length(block).cast("string"), F.lit(CRLF + CRLF))
-    return base.select(F.concat(head, block).alias("value"))
+    return base.select(F.concat(head, block).alias("value"), "kept")
 
 
-def write(pages: DataFrame, path: str, **columns) -> None:
-    """Write the pages' records as archives under path."""
-    records(pages, **columns).write.option("lineSep", CRLF + CRLF).option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
+def write(pages: DataFrame, path: str, url_col: str = "url", html_col: str = "html", **columns) -> None:
+    """Write the pages' records as archives under path, a folder for each class of size
+    that has pages (one for none), none over FILE_BYTES unless it is a single record."""
+    size = F.octet_length(F.coalesce(F.col(html_col), F.lit(""))) + 4 * F.octet_length(F.coalesce(F.col(url_col), F.lit("")))
+    of = F.lit(len(CLASSES) - 1)
+    for i, most in reversed(list(enumerate(CLASSES[:-1]))):
+        of = F.when(size <= most, i).otherwise(of)
+    made, klass = records(pages, url_col=url_col, html_col=html_col, keep=of, **columns), F.col("kept")
+    held = sorted(r[0] for r in pages.select(of.alias("kept")).distinct().collect())
+    for i in held or [0]:
+        most = CLASSES[i]
+        per_file = FILE_BYTES // (most + HEADERS) if most else 1
+        made.where(klass == i).select("value").write.option("lineSep", CRLF + CRLF).option("maxRecordsPerFile", per_file).text(f"{path}/size-{i}")
 
 
 def url_key(url: str | None) -> str:
@@ -103,7 +126,10 @@ def parse(content: bytes):
         at = start + size + 4
 
 
-RUN = "urlkey string, ts string, page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, file string, offset long, length long, run long, seq int"
+RUN = "urlkey string, ts string, page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, file string, offset long, length long"
+#: A run's captures, each with its place and the first capture of its block.
+DEALT = f"{RUN}, run long, seq int, first_urlkey string, first_ts string, first_page_id long"
+FIRST = ["first_urlkey", "first_ts", "first_page_id"]
 
 
 def _urn(value: str | None) -> int | None:
@@ -111,9 +137,17 @@ def _urn(value: str | None) -> int | None:
     return int(bare) if re.fullmatch(r"-?\d+", bare) else None
 
 
+def _schema(names: str) -> pa.Schema:
+    return pa.schema([(f.split()[0], {"string": pa.string(), "long": pa.int64(), "int": pa.int32()}[f.split()[1]]) for f in names.split(", ")])
+
+
+def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), schema.types)] if rows else [pa.array([], t) for t in schema.types], schema=schema)
+
+
 def _runs(batches):
     """The captures of each archive in order: one sorted run per file."""
-    schema = pa.schema([(f.split()[0], {"string": pa.string(), "long": pa.int64(), "int": pa.int32()}[f.split()[1]]) for f in RUN.split(", ")])
+    schema = _schema(DEALT)
     for batch in batches:
         for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             found = []
@@ -123,8 +157,7 @@ def _runs(batches):
                 found.append((url_key(h.get("warc-target-uri")), h["warc-date"], _urn(h["warc-record-id"]), int(h["http-length"]) if revisit else len(payload), digest, h["warc-type"], _urn(h["warc-refers-to"]) if revisit else None, path, at, length))
             found.sort(key=order)
             run = int.from_bytes(hashlib.sha1(path.encode()).digest()[:8], "big", signed=True)
-            rows = [(*r, run, i) for i, r in enumerate(found)]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), schema.types)] if rows else [pa.array([], t) for t in schema.types], schema=schema)
+            yield _batch([(*r, run, i, *found[i - i % BLOCK][:3]) for i, r in enumerate(found)], schema)
 
 
 def order(capture: tuple) -> tuple:
@@ -161,8 +194,16 @@ class LoserTree:
             node //= 2
         self.winner = i
 
+    def rest(self) -> list[list[tuple]]:
+        """What is left of the runs that have not ended."""
+        return [run[at:] for run, at in zip(self.runs, self.at) if at < len(run)]
+
     def __iter__(self):
-        while self.runs and self.keys[self.winner][0] == 0:
+        return self.until(None)
+
+    def until(self, bound: tuple | None):
+        """The items up to a bound, itself included, in order()'s terms (None: all)."""
+        while self.runs and self.keys[self.winner][0] == 0 and (bound is None or self.keys[self.winner][1:-1] <= bound):
             i = self.winner
             yield self.runs[i][self.at[i]]
             self.at[i] += 1
@@ -170,46 +211,47 @@ class LoserTree:
             self._play(i)
 
 
-def _merge(batches):
-    runs: dict[int, list[tuple]] = {}
-    schema = None
-    for batch in batches:
-        schema = batch.schema
-        for row in zip(*(c.to_pylist() for c in batch.columns)):
-            runs.setdefault(row[10], []).append(row)
-    if schema is None:
-        return
-    out: list[tuple] = []
-    n = 0
-    names = pa.schema([*schema, pa.field("rank", pa.int64())])
+def merged(batches: Iterator[list[tuple]], place: int, first: int) -> Iterator[tuple]:
+    """Rows in order() from lists of rows: run at `place`, first capture of the row's block
+    in the three places from `first`, sorted by first capture, run and place in the run."""
+    live: dict[int, list[tuple]] = {}
+    for rows in batches:
+        for row in rows:
+            live.setdefault(row[place], []).append(row)
+        tree = LoserTree(list(live.values()))
+        yield from tree.until(order(rows[-1][first : first + 3]))
+        live = {run[0][place]: run for run in tree.rest()}
+    yield from LoserTree(list(live.values()))
 
-    def flush():
-        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), names)], schema=names)
 
-    for row in LoserTree(list(runs.values())):
-        out.append((*row, n))
-        n += 1
+def _merge(batches):
+    schema = _schema(RUN + ", rank long")
+    wide = len(schema) - 1
+    lists = (list(zip(*(c.to_pylist() for c in batch.columns))) for batch in batches if batch.num_rows)
+    out: list[tuple] = []
+    for n, row in enumerate(merged(lists, wide, wide + 2)):
+        out.append((*row[:wide], n))
         if len(out) == 10_000:
-            yield flush()
+            yield _batch(out, schema)
             out = []
     if out:
-        yield flush()
+        yield _batch(out, schema)
 
 
 def index(spark: SparkSession, path: str) -> DataFrame:
     """The captures of all archives under path in order of URL key and time: position,
     urlkey, ts, page_id, payload, record and place in its archive."""
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-    runs = saved(files.mapInArrow(_runs, RUN), "runs")
-    parts = max(1, min(partitions(spark), -(-(n := runs.count()) // 1000)), -(-n // MERGED))
-    dealt = runs.repartitionByRange(parts, "urlkey", "ts", "page_id").sortWithinPartitions("run", "seq")
-    merged = saved(dealt.mapInArrow(_merge, RUN + ", rank long").withColumn("part", F.spark_partition_id()), "captures")
-    sizes = merged.groupBy("part").count()
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "content")
+    runs = saved(files.mapInArrow(_runs, DEALT), "runs")
+    parts = max(1, min(partitions(spark), -(-(n := runs.count()) // 1000)), -(-n // RANGE))
+    dealt = runs.repartitionByRange(parts, "urlkey", "ts", "page_id").sortWithinPartitions(*FIRST, "run", "seq")
+    captures = saved(dealt.mapInArrow(_merge, RUN + ", rank long").withColumn("part", F.spark_partition_id()), "captures")
+    sizes = captures.groupBy("part").count()
     before = F.coalesce(F.sum("count").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     # one row per part
     offsets = sizes.select(F.col("part").alias("p"), before.alias("before"))
-    out = merged.join(small(saved(offsets, "offsets")), F.col("part") == F.col("p"))
-    return out.select((F.col("before") + F.col("rank")).alias("position"), *[f.split()[0] for f in RUN.split(", ") if f.split()[0] not in ("run", "seq")])
+    out = captures.join(small(saved(offsets, "offsets")), F.col("part") == F.col("p"))
+    return out.select((F.col("before") + F.col("rank")).alias("position"), *[f.split()[0] for f in RUN.split(", ")])
 
 
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

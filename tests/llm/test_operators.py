@@ -509,6 +509,43 @@ def test_loser_tree():
         assert [warc.order(x) for x in got] == sorted(warc.order(x) for r in runs for x in r)
 
 
+def test_merging_holds_a_block_of_each_run(monkeypatch):
+    """Runs of thousands of captures, in batches as Spark sorts them: the same order as
+    sorting all, and never much more than a block of each run in hand, though a third of
+    all captures are equal."""
+    rng = random.Random(6)
+    rows = []
+    for run in range(12):
+        keys = sorted(((rng.choice(["same", f"u{rng.randrange(40)}", f"v{rng.randrange(9000)}"]), "t", rng.choice([None, 1, 2, 3])) for _ in range(3000)), key=warc.order)
+        rows += [(*k, run, i, *keys[i - i % warc.BLOCK]) for i, k in enumerate(keys)]
+    rows.sort(key=lambda r: (warc.order(r[5:8]), r[3], r[4]))
+    held = []
+    tree = warc.LoserTree
+    monkeypatch.setattr(warc, "LoserTree", lambda runs: held.append(sum(map(len, runs))) or tree(runs))
+    got = list(warc.merged((rows[a : a + 500] for a in range(0, len(rows), 500)), 3, 5))
+    assert [warc.order(r) for r in got] == sorted(map(warc.order, rows)) and sorted(map(str, got)) == sorted(map(str, rows))
+    assert max(held) <= 12 * warc.BLOCK + 500
+
+
+def test_archives_are_bounded_by_bytes(spark, monkeypatch):
+    """Pages of 2 MB beside small ones, a null and a repeated page_id, no page at all."""
+    monkeypatch.setattr(warc, "FILE_BYTES", 4 << 20)
+    big = F.repeat(F.concat(F.lit("page "), F.col("id").cast("string"), F.lit("\r\n\r\n")), 170_000)
+    pages = spark.range(12).select(F.col("id").alias("page_id"), F.concat(F.lit("http://a.com/"), F.col("id").cast("string")).alias("url"), F.when(F.col("id") % 3 == 0, big).when(F.col("id") % 3 == 1, F.repeat(F.lit("x"), 40_000)).otherwise("y").alias("html"))
+    pages = pages.unionByName(spark.createDataFrame([(None, None, "alone"), (5, "http://b.com/", "y")], "page_id bigint, url string, html string")).coalesce(1)
+    path = warc.new_path(spark, "test")
+    warc.write(pages, path)
+    sizes = [r["length"] for r in spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.txt").load(path).select("length").collect()]
+    assert len(sizes) >= 6 and max(sizes) <= 4 << 20
+    out = sorted(warc.index(spark, path).collect(), key=lambda r: r["position"])
+    want = {r["page_id"]: len(r["html"]) for r in pages.collect()}
+    assert len(out) == 14 and [r["position"] for r in out] == list(range(14)) and all(r["payload_bytes"] == want[r["page_id"]] for r in out)
+    assert sum(r["record_type"] == "response" for r in out) == 7 and all(r["refers_to"] in (11, 10) for r in out if r["record_type"] == "revisit")
+    empty = warc.new_path(spark, "test")
+    warc.write(pages.limit(0), empty)
+    assert warc.index(spark, empty).isEmpty()
+
+
 def test_chat(spark):
     odd = ["####", "#####</turn>\n", "\\", "\\n", "a\\\\n", "###\\ x\ny</turn>", "\n", "</turn></turn>", "#\\##", "<\\/turn>", "", "######", "plain", None, chat.TRICKY]
     rows = [(i % 7 if i % 7 else None, i, odd[(i * 5) % 15] if i % 2 else "assistant", odd[i % 15]) for i in range(60)] + [(1, 1, "assistant", "a tie")]
