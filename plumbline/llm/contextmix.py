@@ -33,8 +33,9 @@ doc_id counts as training. Words are told apart by 64 bits. Empty input gives em
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Iterator
-from itertools import groupby
+from itertools import count, groupby
 
 import numpy as np
 import pyarrow as pa
@@ -127,11 +128,11 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for docs in _grouped(batches):
         ids = np.array([-(1 << 63) if i is None else i for _, _, i, _ in docs], np.int64)
         r = np.array([rest for _, rest, _, _ in docs], np.uint8)
-        place: dict[bytes, int] = {}
+        place: dict[bytes, int] = defaultdict(count().__next__)
         found, sizes = [], []
         for _, _, _, text in docs:
             words = (text or b"").lower().split()
-            found.append(np.fromiter([place.setdefault(w, len(place)) for w in words], np.uint32, len(words)))
+            found.append(np.fromiter(map(place.__getitem__, words), np.uint32, len(words)))
             sizes.append(len(text or b""))
         words = list(place)
         key = word_keys(words, endings)
@@ -339,28 +340,27 @@ TABLES = "kind long, version long, part long, pairs binary, ones binary, skips b
 
 
 class Tables:
-    """Predictions by the symbols before, of fixed size: 2^24 nodes for two of them."""
+    """Predictions by the symbols before, of fixed size: 2^24 nodes for two of them, which
+    have 8 times the value plus the level."""
 
     def __init__(self, rows: list[tuple] = ()):
         """rows: part, pairs, ones, skips."""
-        self.pairs, self.levels = np.zeros(1 << 24, np.int8), np.zeros(1 << 24, np.int8)
+        self.pairs = np.zeros(1 << 24, np.int16)
         ones, skips = np.zeros((256, 256), np.int64), np.full((256, 256), 128, np.uint16)
         width, high = (1 << 24) // CONTEXT_PARTS, 256 // CONTEXT_PARTS
         for part, pairs, one, skip in rows:
             state = unpacked(pairs, np.uint16)
-            self.pairs[part * width : (part + 1) * width] = ((state & 255).astype(np.int16) - 128).astype(np.int8)
-            self.levels[part * width : (part + 1) * width] = state >> 8
+            self.pairs[part * width : (part + 1) * width] = ((state & 255).astype(np.int16) - 128) * 8 + (state >> 8).astype(np.int16)
             ones += unpacked(one, np.int64).reshape(256, 256)
             skips[part * high : (part + 1) * high] = unpacked(skip, np.uint16).reshape(-1, 256)
         self.one, self.skip = (self._value(x).ravel() for x in (states(ones), skips))
 
     def __getstate__(self) -> tuple:
         """Contexts never seen, the most by far in small corpora, take no room on the way."""
-        return packed(self.pairs), packed(self.levels), self.one, self.skip
+        return packed(self.pairs), self.one, self.skip
 
     def __setstate__(self, state: tuple) -> None:
-        self.pairs, self.levels = (unpacked(x, np.int8) for x in state[:2])
-        self.one, self.skip = state[2:]
+        self.pairs, (self.one, self.skip) = unpacked(state[0], np.int16), state[1:]
 
     @staticmethod
     def _value(state: np.ndarray) -> np.ndarray:
@@ -391,83 +391,84 @@ def segments(lengths: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np
 
 def mixed(tables: Tables, mixer: Mixer, stream: np.ndarray, lengths: np.ndarray, start: int, learn: bool = False, size: int = SEGMENT):
     """The bits that each of the texts takes. With learn, the weights by gate are learned,
-    one set for all texts, and (bits, weights, times, ones), the last two being the map's
-    counts, come back."""
+    one set for all texts, and (weights, times, ones), the last two being the map's counts,
+    come back instead."""
     one, two = before(stream, lengths, start)
     text, at, length = segments(lengths, size)
     out = np.zeros(len(lengths))
     shared = mixer.weights.copy()
-    seen = np.zeros((2, 8 * BINS))
+    seen = np.zeros((8 * BINS, 2))
     for a in range(0, len(text), WIDTH):
         few = slice(a, a + WIDTH)
         np.add.at(out, text[few], _together(tables, mixer, stream, one, two, at[few], length[few], shared, seen, learn))
-    return (out, shared, *seen) if learn else out
+    return (shared, seen.sum(axis=1), seen[:, 1]) if learn else out
 
 
 def _together(tables: Tables, mixer: Mixer, stream, one, two, at, length, shared, seen, learn) -> np.ndarray:
-    """Bits per segment; all advance bit by bit side by side, longest first.
+    """Bits per segment (with learn: none are counted); all advance symbol by symbol side by
+    side, longest first. The eight bits of a symbol have nodes and changes of their own, so
+    none of them reads what another moves, and they go together.
 
     Stretched prediction: the contexts' values times (weight by gate + the segment's own
     change of it) + what the segment has learned in its own two contexts. Each of these
     moves by its rate times the error after the bit."""
     n, total = len(at), np.zeros(len(at))
     active = np.searchsorted(-length, -np.arange(int(length[0])) - 1, side="right")
-    own0, own1 = np.zeros(n * 256, np.float32), np.zeros(n * OWN, np.float32)
-    moved = np.zeros((8, INPUTS, n), np.float32)
-    base0, base1 = np.arange(n) * 256, np.arange(n) * OWN
+    # the context of the symbol before, then the one of none
+    own = np.zeros(n * (OWN + 256), np.float32)
+    base0, base1 = n * OWN + np.arange(n) * 256, np.arange(n) * OWN
+    moved = np.zeros((INPUTS, 8, n), np.float32)
     one_f, clip, refined = np.float32(1), "clip", mixer.map.ravel()
+    bit = np.arange(8)[:, None]
+    first_gate, first_spot = bit * 8, ((BINS - 1) / 2 + 0.5 + bit * BINS).astype(np.float32)
+    rates = np.array(OWN_RATES, np.float32)[:, None, None]
     for step, m in enumerate(active):
         here = at[:m] + step
-        symbol, c1, c2 = stream.take(here), one.take(here).astype(np.int64), two.take(here).astype(np.int64)
-        b0, b1 = base0[:m], base1[:m] + ((c1 * 0x9E35 + 0x55) & (OWN - 1))
-        pair, c1, c2 = c2 << 16 | c1 << 8, c1 << 8, c2 << 8
-        node = np.ones(m, np.int64)
-        bits = symbol >> np.arange(7, -1, -1, dtype=np.uint8)[:, None] & 1
+        symbol, c1, c2 = (x.take(here).astype(np.int64) for x in (stream, one, two))
+        node, bits = symbol + 256 >> 8 - bit, symbol >> 7 - bit & 1
         wide = bits.astype(np.float32)
-        ys, gates, spots = np.empty((8, INPUTS, m), np.float32), np.empty((8, m), np.int64), np.empty((8, m), np.int64)
-        ps = np.empty((8, m), np.float32)
-        for bit in range(8):
-            y, gate, p = ys[bit], gates[bit], ps[bit]
-            i = pair + node
-            np.multiply(tables.pairs.take(i, mode=clip), np.float32(1 / SCALE), out=y[0])
-            np.add(tables.levels.take(i, mode=clip), bit * 8, out=gate)
-            tables.one.take(c1 + node, out=y[1], mode=clip)
-            tables.skip.take(c2 + node, out=y[2], mode=clip)
-            i0, i1 = b0 + node, b1 ^ (node * 0x2F & (OWN - 1))
-            p0, p1 = own0.take(i0, mode=clip), own1.take(i1, mode=clip)
-            z = p0 + p1
-            for k in range(INPUTS):
-                w = shared[k].take(gate, mode=clip)
-                w += moved[bit, k, :m]
-                w *= y[k]
-                z += w
-            np.clip(z, -8, 8, out=z)
-            np.negative(z, out=p)
-            np.exp(p, out=p)
-            p += one_f
-            np.divide(one_f, p, out=p)
-            z *= np.float32((BINS - 1) / 16)
-            z += np.float32((BINS - 1) / 2 + 0.5 + bit * BINS)
-            spots[bit] = z
-            error = wide[bit] - p
-            own0[i0] = p0 + error * np.float32(OWN_RATES[0])
-            own1[i1] = p1 + error * np.float32(OWN_RATES[1])
-            change = moved[bit, :, :m]
-            change += y * (error * np.float32(RATE))
-            node += node
-            node += bits[bit]
+        i = np.empty((2, 8, m), np.int64)
+        np.add(node, base0[:m], out=i[0])
+        np.multiply(node, 0x2F, out=i[1])
+        i[1] &= OWN - 1
+        i[1] ^= base1[:m] + ((c1 * 0x9E35 + 0x55) & (OWN - 1))
+        p = own.take(i, mode=clip)
+        z = p[0] + p[1]
+        state = tables.pairs.take(node + (c2 << 16 | c1 << 8), mode=clip)
+        gate = (state & 7) + first_gate
+        y = np.empty((INPUTS, 8, m), np.float32)
+        np.multiply(state >> 3, np.float32(1 / SCALE), out=y[0])
+        tables.one.take(node + (c1 << 8), out=y[1], mode=clip)
+        tables.skip.take(node + (c2 << 8), out=y[2], mode=clip)
+        change, w = moved[:, :, :m], shared.take(gate, axis=1, mode=clip)
+        w += change
+        w *= y
+        for k in range(INPUTS):
+            z += w[k]
+        np.clip(z, -8, 8, out=z)
+        q = np.negative(z)
+        np.exp(q, out=q)
+        q += one_f
+        np.divide(one_f, q, out=q)
+        z *= np.float32((BINS - 1) / 16)
+        z += first_spot
+        spot, error = z.astype(np.int64), wide - q
+        p += error * rates
+        own[i] = p
+        np.multiply(y, error * np.float32(RATE), out=w)
+        change += w
         if learn:
-            error, gate, spot = wide - ps, gates.ravel(), spots.ravel()
-            seen[0] += np.bincount(spot, minlength=8 * BINS)
-            seen[1] += np.bincount(spot, wide.ravel(), 8 * BINS)
+            seen += np.bincount((spot * 2 + bits).ravel(), minlength=seen.size).reshape(seen.shape)
+            gate, y = gate.ravel(), y * error
             times = np.maximum(np.bincount(gate, minlength=GATES), 50)
             for k in range(INPUTS):
-                shared[k] += np.bincount(gate, (error * ys[:, k]).ravel(), GATES) / times * SHARED_RATE
-        ps += refined.take(spots, mode=clip)
-        ps *= np.float32(0.5)
-        # 1 - p where the bit is 0
-        ps -= one_f - wide
-        total[:m] -= np.log2(np.maximum(np.abs(ps, out=ps), np.float32(1e-9))).sum(axis=0, dtype=np.float64)
+                shared[k] += np.bincount(gate, y[k].ravel(), GATES) / times * SHARED_RATE
+        else:
+            q += refined.take(spot, mode=clip)
+            q *= np.float32(0.5)
+            # 1 - p where the bit is 0
+            q -= one_f - wide
+            total[:m] -= np.log2(np.maximum(np.abs(q, out=q), np.float32(1e-9)).prod(axis=0, dtype=np.float64))
     return total
 
 
@@ -486,7 +487,7 @@ def _learned(tables):
                     for fold in (1, 2):
                         some = stream[np.repeat(of == fold, lengths)]
                         if len(some):
-                            _, w, times, ones = mixed(tables.value[kind][3 - fold], mixer, some, lengths[of == fold], STARTS[kind], True)
+                            w, times, ones = mixed(tables.value[kind][3 - fold], mixer, some, lengths[of == fold], STARTS[kind], True)
                             # a block goes on with the weights that it has
                             mixer = Mixer(w, mixer.map)
                             whole = np.rint(w.ravel().astype(np.float64) * STEPS).astype(np.int64)

@@ -455,6 +455,62 @@ def test_predictions_add_up():
     assert math.isclose((2.0 ** -(longer - shorter)).sum(), 1, rel_tol=1e-4)
 
 
+def test_bits_of_a_symbol_go_together():
+    """A table is asked once per place in the texts, whatever the number of texts and bits."""
+    class Counted(np.ndarray):
+        asked = 0
+
+        def take(self, *args, **kwargs):
+            Counted.asked += 1
+            return super().take(*args, **kwargs)
+
+    for learn in (False, True):
+        tables = contextmix.Tables()
+        tables.one, Counted.asked = tables.one.view(Counted), 0
+        contextmix.mixed(tables, contextmix.Mixer(), np.arange(12, dtype=np.uint8), np.array([3, 5, 4]), 1, learn)
+        assert Counted.asked == 5
+
+
+def test_learned_weights_by_brute_force():
+    """Weights and the map's counts, one bit of one text after another, each step's weights
+    moving after all texts' bits of a place."""
+    rng = np.random.default_rng(6)
+    cube = np.zeros((256, 256, 256), np.int64)
+    cube[:12, :12, :12] = rng.integers(0, 40, (12, 12, 12)) * (rng.random((12, 12, 12)) < 0.3)
+    width = 256 // contextmix.CONTEXT_PARTS
+    tables = contextmix.Tables([(p, contextmix.packed(contextmix.states(x.reshape(-1, 256)).ravel()), contextmix.packed(x.sum(axis=0).ravel()), contextmix.packed(contextmix.states(x.sum(axis=1)).ravel()))
+                                for p in range(contextmix.CONTEXT_PARTS) for x in [cube[p * width : (p + 1) * width]]])
+    texts = [rng.integers(0, 12, n).tolist() for n in (30, 30, 21, 9, 1)]
+    found = contextmix.mixed(tables, contextmix.Mixer(), np.array(sum(texts, []), np.uint8), np.array([len(t) for t in texts]), 1, True)
+    states = [contextmix.states(x).astype(int) for x in (cube[:12, :12].reshape(-1, 256), cube.sum(axis=0)[:12], cube.sum(axis=1)[:12])]
+    weights, times, ones = np.full((3, contextmix.GATES), 0.4), Counter(), Counter()
+    own, moved = [[Counter(), Counter()] for _ in texts], [np.zeros((8, 3)) for _ in texts]
+    for at in range(30):
+        sums, n = np.zeros((3, contextmix.GATES)), Counter()
+        for k, text in enumerate(texts):
+            if at < len(text):
+                two, one = [1, 1, *text][at : at + 2]
+                for bit in range(8):
+                    node, b = text[at] + 256 >> 8 - bit, text[at] >> 7 - bit & 1
+                    seen = [x[i, node] for x, i in zip(states, (two * 12 + one, one, two))]
+                    y, gate = np.array([((s & 255) - 128) / contextmix.SCALE for s in seen]), bit * 8 + (seen[0] >> 8)
+                    places = node, (one, node)
+                    z = sum(o[p] for o, p in zip(own[k], places)) + ((weights[:, gate] + moved[k][bit]) * y).sum()
+                    z = max(-8.0, min(8.0, z))
+                    error = b - 1 / (1 + math.exp(-z))
+                    times[bit, int(z * 2 + 16.5)] += 1
+                    ones[bit, int(z * 2 + 16.5)] += b
+                    sums[:, gate] += error * y
+                    n[gate] += 1
+                    for o, p, rate in zip(own[k], places, contextmix.OWN_RATES):
+                        o[p] += error * rate
+                    moved[k][bit] += error * contextmix.RATE * y
+        weights += sums / np.maximum([n[g] for g in range(contextmix.GATES)], 50) * contextmix.SHARED_RATE
+    assert np.allclose(found[0], weights, atol=1e-5) and abs(weights - 0.4).max() > 1e-3
+    for got, want in zip(found[1:], (times, ones)):
+        assert got.reshape(8, -1).tolist() == [[want[b, i] for i in range(contextmix.BINS)] for b in range(8)]
+
+
 def test_long_texts_are_cut_only_for_work(spark):
     """A very long text scores the same with other documents around it, whole and in order."""
     rng = random.Random(3)
