@@ -4,11 +4,13 @@ Intervals are half open: ValidFrom <= t < ValidTo."""
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.naming import fresh
+from ..sources.paths import work_dir
 from .merge import differs, joined
 
 FIRST, LAST = "0001-01-01 00:00:00", "9999-12-31 23:59:59.999999"
@@ -42,23 +44,59 @@ def apply(current: DataFrame, history: DataFrame, source: DataFrame, keys: list[
     return now, history.unionByName(closed)
 
 
-#: Events of a key up to which one task sorts them all, and keys up to which the table of
-#: slices is broadcast; both are counted.
-SLICE_ROWS, BROADCAST_ROWS = 1_000_000, 100_000
+#: Events of a key up to which one task sorts them all, and rows up to which a table of
+#: slices is broadcast; both are counted. A slice cut again is cut into PARTS at least.
+SLICE_ROWS, BROADCAST_ROWS, PARTS = 1_000_000, 100_000, 64
+
+
+def _micros(df: DataFrame, time: str) -> Column:
+    """A time in microseconds, in the order of the times whatever the session's zone."""
+    if df.schema[time].dataType.typeName() == "timestamp":
+        return F.unix_micros(time)
+    since = F.col(time).cast("timestamp_ntz") - _time("1970-01-01 00:00:00")
+    return (since.cast("interval second").cast("decimal(18,6)") * 1_000_000).cast("long")
+
+
+def _sliced(events: DataFrame, key: str, time: str, limit: int, us: str, start: str) -> tuple[DataFrame, DataFrame] | None:
+    """(events with a column `start`, (key, start, first, last) of the slices): events of
+    keys with more than limit are cut into slices of 2 * limit at most, or of one time,
+    and know where theirs starts, in microseconds. Events of other keys and without a time
+    have null there. None if there is nothing to cut.
+
+    Slices are cut by arithmetic: a key's span into as many parts of one length as it has
+    limits, and parts that hold too many events again, between their own first and last
+    time. Their counts are exact and written, so that every reader finds the same slices."""
+    spark, base = events.sparkSession, work_dir(events.sparkSession)
+    hot, at, low, width = fresh([*events.columns, us, start], "hot", "at", "low", "width")
+    rows = events.withColumns({us: _micros(events, time), start: F.lit(None).cast("long")})
+    found, done, level = rows, [], 0
+    while True:
+        counts = found.where(F.col(us).isNotNull()).groupBy(F.col(key).alias("key"), F.col(start).alias("start"))
+        counts = counts.agg(F.count("*").alias("n"), F.min(us).alias("low"), F.max(us).alias("high"), F.min(time).alias("first"), F.max(time).alias("last")).where(F.lit(level > 0) | (F.col("n") > limit))
+        counts.write.parquet(f"{base}/{level}")
+        counts = spark.read.schema(counts.schema).parquet(f"{base}/{level}")
+        many = (F.col("n") > (2 * limit if level else limit)) & (F.col("low") < F.col("high"))
+        cut = counts.where(many)
+        if level:
+            done.append(counts.where(~many).select("key", "start", "first", "last"))
+        if cut.isEmpty():
+            return (rows, reduce(DataFrame.unionByName, done)) if level else None
+        parts = F.greatest(F.ceil(F.col("n") / limit), F.lit(PARTS if level else 2))
+        cut = _checked(cut.select(F.col("key").alias(hot), F.col("start").alias(at), F.col("low").alias(low), (F.floor((F.col("high") - F.col("low")) / parts) + 1).alias(width)))
+        same = F.col(key).eqNullSafe(F.col(hot)) & F.col(start).eqNullSafe(F.col(at))
+        moved = F.when(F.col(width).isNull(), F.col(start)).otherwise(F.col(us) - (F.col(us) - F.col(low)) % F.col(width))
+        found, rows = (rows.join(cut, same, how).withColumn(start, moved).drop(hot, at, low, width) for how in ("inner", "left"))
+        level += 1
 
 
 def slices(events: DataFrame, key: str, time: str, limit: int) -> DataFrame | None:
     """(key, bounds) of keys with more than limit events: times that cut theirs into parts
-    of about limit each. None if no key has so many."""
-    counts = events.groupBy(key).agg(F.count("*").alias("n")).where(F.col("n") > limit)
-    most = counts.agg(F.max("n")).head()[0]
-    if most is None:
+    of 2 * limit at most, each the last of its part. None if no key has so many."""
+    found = _sliced(events, key, time, limit, *fresh(events.columns, "us", "start"))
+    if found is None:
         return None
-    n = -(-most // limit)
-    (hot,) = fresh(events.columns, "hot")
-    keys = counts.select(F.col(key).alias(hot))
-    rows = events.join(_checked(keys), F.col(key).eqNullSafe(F.col(hot)), "left_semi")
-    return rows.groupBy(key).agg(F.array_distinct(F.percentile_approx(time, [i / n for i in range(1, n)], max(10_000, 10 * n))).alias("bounds"))
+    ends = F.sort_array(F.collect_list("last"))
+    return found[1].groupBy(F.col("key").alias(key)).agg(ends.alias("ends")).select(key, F.slice("ends", 1, F.size("ends") - 1).alias("bounds"))
 
 
 def _checked(df: DataFrame) -> DataFrame:
@@ -67,25 +105,22 @@ def _checked(df: DataFrame) -> DataFrame:
 
 def versions(events: DataFrame, key: str, time: str, tie: str, limit: int = SLICE_ROWS) -> DataFrame:
     """Every event as a version valid until the key's next one; a null key is a key of its
-    own. Keys with more than limit events are cut into slices of time, so that no task
-    sorts all of one; the first time of each slice, a row per slice, ends the slice before.
-    Only events of one key at one time, which slices cannot part, stay in one task."""
-    ends = _time(LAST)
-    cut = slices(events, key, time, limit)
-    if cut is None:
-        until = F.lead(time).over(Window.partitionBy(key).orderBy(time, tie))
+    own, a null time or tie comes last. Keys with more than limit events are cut into slices
+    of time, so that no task sorts all of one; the first time of each slice, a row per
+    slice, ends the slice before. Only events of one key at one time, or without a time,
+    which slices cannot part, stay in one task."""
+    ends, order = _time(LAST), [F.col(c).asc_nulls_last() for c in (time, tie)]
+    us, start, hot, at, nxt = fresh(events.columns, "us", "start", "hot", "at", "next")
+    found = _sliced(events, key, time, limit, us, start)
+    if found is None:
+        until = F.lead(time).over(Window.partitionBy(key).orderBy(*order))
         return events.withColumns({"ValidFrom": F.col(time), "ValidTo": F.coalesce(until, ends)})
-    hot, bounds, part, nxt = fresh(events.columns, "hot", "bounds", "part", "next")
-    cut = _checked(cut.select(F.col(key).alias(hot), F.col("bounds").alias(bounds)))
-    rows = events.join(cut, F.col(key).eqNullSafe(F.col(hot)), "left")
-    rows = rows.withColumn(part, F.coalesce(F.size(F.filter(bounds, lambda b: b < F.col(time))), F.lit(0))).withColumn(part, F.when(F.col(bounds).isNull(), 0).otherwise(F.col(part))).drop(hot)
-    first = rows.where(F.col(bounds).isNotNull()).groupBy(key, part).agg(F.min(time).alias(nxt))
-    after = first.select(F.col(key).alias(hot), F.col(part), F.lead(nxt).over(Window.partitionBy(key).orderBy(part)).alias(nxt))
-    until = F.lead(time).over(Window.partitionBy(key, part).orderBy(time, tie))
-    inside = rows.withColumns({"ValidFrom": F.col(time), "ValidTo": until}).drop(bounds)
-    last = after.withColumnRenamed(part, f"{part}_")
-    both = inside.join(_checked(last), F.col(key).eqNullSafe(F.col(hot)) & (F.col(part) == F.col(f"{part}_")), "left")
-    return both.withColumn("ValidTo", F.coalesce("ValidTo", nxt, ends)).drop(hot, part, f"{part}_", nxt)
+    rows, cells = found
+    after = cells.select(F.col("key").alias(hot), F.col("start").alias(at), F.lead("first").over(Window.partitionBy("key").orderBy("start")).alias(nxt))
+    until = F.lead(time).over(Window.partitionBy(key, start).orderBy(*order))
+    inside = rows.withColumns({"ValidFrom": F.col(time), "ValidTo": until})
+    both = inside.join(_checked(after), F.col(key).eqNullSafe(F.col(hot)) & (F.col(start) == F.col(at)), "left")
+    return both.withColumn("ValidTo", F.coalesce("ValidTo", nxt, ends)).drop(us, start, hot, at, nxt)
 
 
 def as_of(current: DataFrame, history: DataFrame, at: str) -> DataFrame:

@@ -3,11 +3,10 @@ Spark and DuckDB both run."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
+from ..sources.paths import work_dir  # noqa: F401
+
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents")
 
 
@@ -25,16 +24,3 @@ def plain(sql: str) -> str:
     for t in TABLES:
         sql = sql.replace("{" + t + "}", t)
     return sql
-
-
-def work_dir(spark: SparkSession) -> str:
-    """A new folder in the place that all executors share (spark.checkpoint.dir). A
-    temporary one is set only where a local session names none, as in tests."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base:
-        master = spark.sparkContext.master
-        if not master.startswith("local") or master.startswith("local-cluster"):
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        base = tempfile.mkdtemp(prefix="plumbline-")
-        spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/plumbline/{uuid.uuid4().hex}"

@@ -136,6 +136,37 @@ def test_versions_of_a_hot_key(spark):
     assert sorted(per.values())[-2] <= 600
 
 
+def _next_times(rows, lasts):
+    """(id, until) by sorting each user's rows; nulls last."""
+    out, per = {}, collections.defaultdict(list)
+    for i, user, ts in rows:
+        per[user].append((ts is None, ts or lasts, i is None, i, ts))
+    for found in per.values():
+        found.sort(key=lambda r: r[:4])
+        for this, following in zip(found, [*found[1:], None]):
+            out[this[3]] = following[4] if following and following[4] else lasts
+    return out
+
+
+def test_slices_are_found_once_and_nulls_come_last(spark):
+    """Every reader of the slices finds the same ones, so they are written; times at all
+    scales, some of them null, in zones with and without a summer time."""
+    rng, lasts, zone = random.Random(4), datetime.datetime(9999, 12, 31, 23, 59, 59, 999999), spark.conf.get("spark.sql.session.timeZone")
+    start = datetime.datetime(2024, 10, 27)
+    rows = [(i, rng.choice([7, 7, 7, 8, None]), rng.choice([None, *[start + datetime.timedelta(microseconds=rng.randrange(10 ** rng.randrange(1, 12)))] * 9])) for i in range(3000)]
+    rows += [(3000 + i, 7, start.replace(year=y)) for i, y in enumerate((1, 1582, 1969, 9999))]
+    df = spark.createDataFrame(rows, "id int, user int, ts timestamp_ntz").repartition(4)
+    want = _next_times(rows, lasts)
+    try:
+        for limit, named in ((40, "Europe/Berlin"), (10_000, "UTC")):
+            spark.conf.set("spark.sql.session.timeZone", named)
+            cut = temporal.versions(df, "user", "ts", "id", limit=limit)
+            assert {r["id"]: r["ValidTo"] for r in cut.collect()} == want
+            assert "percentile" not in cut._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+
+
 
 def test_ledger(spark):
     inputs = spark.createDataFrame([("a", "p", "s", False), ("b", "p", "s", True), ("c", "p", "s", None)], "path string, product string, slot string, always boolean")
