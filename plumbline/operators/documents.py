@@ -28,68 +28,102 @@ def xml_nodes(df: DataFrame, key: str, xml: str, schema: str) -> DataFrame:
 NODE = "node bigint, parent bigint, kind string, name string, path string, ordinal int, value string"
 
 
-def shred(xml: str) -> list[tuple]:
-    """The nodes of one document in document order, numbered from 0: elements (their value
-    is their own text, null if there is none), their attributes, and runs of text. path
-    holds element names from the root and @name for attributes; ordinal counts siblings of
-    one kind and name from 1. Text of blanks alone is no node."""
-    nodes: list[list] = []
-    open_: list[tuple[int, str, dict]] = [(-1, "", {})]
-    text: list[str] = []
-
-    def add(kind, name, step, value):
-        parent, path, seen = open_[-1]
-        seen[kind, name] = seen.get((kind, name), 0) + 1
-        nodes.append([len(nodes), None if parent < 0 else parent, kind, name, path + step, seen[kind, name], value])
+def shred(xml: str, columns: list[list]) -> None:
+    """Appends the nodes of one document in document order to the columns of NODE, numbered
+    from 0: elements (their value is their own text, null if there is none), their
+    attributes, and runs of text. path holds element names from the root and @name for
+    attributes; ordinal counts siblings of one kind and name from 1. Text of blanks alone is
+    no node. What is not well-formed raises, and may have appended nodes before."""
+    numbers, parents, kinds, names, paths, ordinals, values = columns
+    first, text = len(numbers), []
+    # the open element's number and path, and its parts counted by their step; those around it
+    own, here, seen, around = -1, "", {}, []
+
+    def node(parent, kind, name, path, ordinal, value):
+        numbers.append(at := len(numbers) - first)
+        parents.append(parent)
+        kinds.append(kind)
+        names.append(name)
+        paths.append(path)
+        ordinals.append(ordinal)
+        values.append(value)
+        return at
 
     def flush():
         run = "".join(text).strip()
         text.clear()
         if run:
-            add("text", None, "", run)
-            own = nodes[open_[-1][0]]
-            own[6] = run if own[6] is None else own[6] + " " + run
+            seen[""] = n = seen.get("", 0) + 1
+            node(own, "text", None, here, n, run)
+            before = values[first + own]
+            values[first + own] = run if before is None else before + " " + run
 
     def start(name, attributes):
-        flush()
-        add("element", name, f"/{name}", None)
-        open_.append((len(nodes) - 1, nodes[-1][4], {}))
+        nonlocal own, here, seen
+        if text:
+            flush()
+        step = "/" + name
+        seen[step] = n = seen.get(step, 0) + 1
+        around.append((own, here, seen))
+        here += step
+        own, seen = node(None if own < 0 else own, "element", name, here, n, None), {}
+        # an element's attributes differ in name
         for k in range(0, len(attributes), 2):
-            add("attribute", attributes[k], f"/@{attributes[k]}", attributes[k + 1])
+            node(own, "attribute", attributes[k], f"{here}/@{attributes[k]}", 1, attributes[k + 1])
 
     def end(_):
-        flush()
-        open_.pop()
+        nonlocal own, here, seen
+        if text:
+            flush()
+        own, here, seen = around.pop()
 
     parser = expat.ParserCreate()
     parser.ordered_attributes, parser.buffer_text = True, True
     parser.StartElementHandler, parser.EndElementHandler, parser.CharacterDataHandler = start, end, text.append
     # entities of the document's own could grow without bound
-    parser.EntityDeclHandler = lambda *_: (_ for _ in ()).throw(ValueError("entity declarations are not read"))
+    parser.EntityDeclHandler = _no_entities
     parser.Parse(xml, True)
-    return [tuple(n) for n in nodes]
+
+
+def _no_entities(*_):
+    raise ValueError("entity declarations are not read")
+
+
+#: Nodes up to which those of several documents go to Spark together.
+BATCH_NODES = 20_000
 
 
 def xml_shred(df: DataFrame, key: str, xml: str) -> DataFrame:
     """(key, node, parent, kind, name, path, ordinal, value): every node of an XML column at
     any depth, without a schema, one pass over each document. Null has no nodes; what is
-    not well-formed, or declares entities, has one of kind `fault` with the reason."""
+    not well-formed, or declares entities, has one of kind `fault` with the reason.
+    Documents are dealt out by their content first, as a table of few files has few tasks."""
     schema = pa.schema([(key, to_arrow_type(df.schema[key].dataType)), ("node", pa.int64()), ("parent", pa.int64()), ("kind", pa.string()), ("name", pa.string()), ("path", pa.string()), ("ordinal", pa.int32()), ("value", pa.string())])
 
     def run(batches):
         for batch in batches:
-            for k, doc in zip(batch.column(0), batch.column(1)):
+            keys, of, columns = batch.column(0), [], [[] for _ in schema.names[1:]]
+
+            def rows():
+                return pa.RecordBatch.from_arrays([keys.take(pa.array(of)).cast(schema.field(0).type), *[pa.array(c, f.type) for c, f in zip(columns, list(schema)[1:])]], schema=schema)
+
+            for i, doc in enumerate(batch.column(1)):
                 if not doc.is_valid:
                     continue
                 try:
-                    nodes = shred(doc.as_py())
+                    shred(doc.as_py(), columns)
                 except (expat.ExpatError, ValueError) as e:
-                    nodes = [(0, None, "fault", None, None, None, str(e))]
-                if nodes:
-                    columns = list(zip(*nodes))
-                    yield pa.RecordBatch.from_arrays([pa.array([k.as_py()] * len(nodes), schema.field(0).type), *[pa.array(c, f.type) for c, f in zip(columns, list(schema)[1:])]], schema=schema)
-
-    return df.select(key, xml).mapInArrow(run, f"`{key}` {df.schema[key].dataType.simpleString()}, {NODE}")
+                    for c, x in zip(columns, (0, None, "fault", None, None, None, str(e))):
+                        c[len(of):] = [x]
+                of += [i] * (len(columns[0]) - len(of))
+                if len(of) >= BATCH_NODES:
+                    yield rows()
+                    of, columns = [], [[] for _ in columns]
+            if of:
+                yield rows()
+
+    docs = df.select(key, xml).where(F.col(xml).isNotNull()).repartition(key, xml)
+    return docs.mapInArrow(run, f"`{key}` {df.schema[key].dataType.simpleString()}, {NODE}")
 
 
 #: The lookups a node table can be laid out for.

@@ -79,6 +79,9 @@ def xml_lookup(spark, d):
     """All nodes of the parts' documents stored by value, and by path and value; one lookup
     in each."""
     nodes, base = documents.xml_shred(derived(spark, d, NESTED_XML), "p_partkey", "doc"), common.work_dir(spark)
+    # a layout reads its rows twice, for its ranges and to write them
+    nodes.select("p_partkey", "node", "path", "value").write.parquet(f"{base}/nodes")
+    nodes = spark.read.parquet(f"{base}/nodes")
     for kind in ("PATH", "VALUE"):
         order = [c for c in documents.LAYOUTS[kind] if c]
         layouts.store(nodes, f"{base}/{kind}", order, ["p_partkey", "node"], by_value=["value"], files=8)

@@ -4,6 +4,7 @@ import json
 import random
 
 from plumbline.operators import documents
+from plumbline.plans import history
 
 
 def test_nodes_of_any_depth(spark):
@@ -67,3 +68,28 @@ def test_leaves_of_any_depth(spark, tmp_path):
     out = documents.json_flatten(spark.createDataFrame(rows, "id int, doc string"), "id", "doc", str(tmp_path))
     assert sorted((r["id"], r["path"], r["value"]) for r in out.collect()) == sorted((i, p, v) for i, d in docs for p, v in leaves(d))
     assert max(r["path"].count(".") for r in out.collect()) > 5
+
+
+def test_many_documents_share_batches(spark):
+    """Faults and nulls between documents, equal keys, more nodes than a batch holds."""
+    rows = [(i // 2, None if i % 7 == 0 else f"<a><b>{i}</b><b/><c" if i % 5 == 0 else f'<a k="{i}"><b>{i}</b><b/>' + "<c/>" * 20 + "</a>") for i in range(3000)]
+    want = []
+    for k, doc in rows:
+        if doc and not doc.endswith("<c"):
+            i = doc.split('"')[1]
+            want += [(k, 0, None, "element", "/a", 1, None), (k, 1, 0, "attribute", "/a/@k", 1, i), (k, 2, 0, "element", "/a/b", 1, i), (k, 3, 2, "text", "/a/b", 1, i), (k, 4, 0, "element", "/a/b", 2, None)]
+            want += [(k, 5 + n, 0, "element", "/a/c", 1 + n, None) for n in range(20)]
+        elif doc:
+            want.append((k, 0, None, "fault", None, None, None))
+    assert len(want) > 2 * documents.BATCH_NODES
+    out = documents.xml_shred(spark.createDataFrame(rows, "id int, doc string").coalesce(1), "id", "doc")
+    got = [(*r[:4], *r[5:7], None if r["kind"] == "fault" else r["value"]) for r in out.collect()]
+    assert sorted(got, key=str) == sorted(want, key=str)
+
+
+def test_a_lookup_parses_documents_once(spark, sf, monkeypatch):
+    """A layout reads its rows twice, so they are written before."""
+    plans, store = [], history.layouts.store
+    monkeypatch.setattr(history.layouts, "store", lambda df, *a, **k: (plans.append(df._jdf.queryExecution().executedPlan().toString()), store(df, *a, **k)))
+    assert history.xml_lookup(spark, sf).count()
+    assert len(plans) == 2 and not any("MapInArrow" in p for p in plans)
