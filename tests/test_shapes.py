@@ -1,5 +1,6 @@
 """Conforming, checking and normalising small frames."""
 
+import bisect
 import collections
 import datetime
 import random
@@ -168,6 +169,20 @@ def test_slices_are_found_once_and_nulls_come_last(spark):
 
 
 
+def test_many_slices_cost_an_event_no_more(spark):
+    """An event finds its slice by arithmetic, not by looking through all of them; each
+    holds twice the limit at most, and keys with few events have no more slices for it."""
+    rng, lasts = random.Random(6), datetime.datetime(9999, 12, 31, 23, 59, 59, 999999)
+    rows = [(i, 7 if i % 10 else 8, datetime.datetime(2024, 1, 1) + datetime.timedelta(microseconds=rng.randrange(10**10))) for i in range(20_000)]
+    df = spark.createDataFrame(rows, "id int, user int, ts timestamp_ntz").repartition(4)
+    cut = temporal.versions(df, "user", "ts", "id", limit=20)
+    assert "lambda" not in cut._jdf.queryExecution().executedPlan().toString()
+    assert {r["id"]: r["ValidTo"] for r in cut.collect()} == _next_times(rows, lasts)
+    bounds = {r["user"]: r["bounds"] for r in temporal.slices(df, "user", "ts", 20).collect()}
+    sizes = {u: collections.Counter(bisect.bisect_left(b, t) for _, v, t in rows if v == u) for u, b in bounds.items()}
+    assert len(sizes[7]) > 500 and 50 < len(sizes[8]) < 250 and max(max(c.values()) for c in sizes.values()) <= 40
+
+
 def test_ledger(spark):
     inputs = spark.createDataFrame([("a", "p", "s", False), ("b", "p", "s", True), ("c", "p", "s", None)], "path string, product string, slot string, always boolean")
     done = spark.createDataFrame([("a", "p", "s", None), ("b", "p", "s", None), ("z", "p", "s", None)], "path string, product string, slot string, done_at timestamp")
