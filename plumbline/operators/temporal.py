@@ -66,6 +66,8 @@ def _sliced(events: DataFrame, key: str, time: str, limit: int, us: str, start:
     Slices are cut by arithmetic: a key's span into as many parts of one length as it has
     limits, and parts that hold too many events again, between their own first and last
     time. Their counts are exact and written, so that every reader finds the same slices."""
+    if events.groupBy(key).agg(F.count(time).alias("n")).where(F.col("n") > limit).isEmpty():
+        return None
     spark, base = events.sparkSession, work_dir(events.sparkSession)
     hot, at, low, width = fresh([*events.columns, us, start], "hot", "at", "low", "width")
     rows = events.withColumns({us: _micros(events, time), start: F.lit(None).cast("long")})
